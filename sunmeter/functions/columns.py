@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sunmeter.schema import HISTOGRAM_OFFSET, POWER_STORED, POWER_SCALE, WINDOW_HOURS
+from sunmeter.schema import HISTOGRAM_OFFSET, POWER_STORED, WINDOW_HOURS
 
 SECOND_PATTERN = "yyyy-MM-dd HH:mm:ss"
 
@@ -24,8 +24,11 @@ def wire_time(time: Column) -> Column:
 
 
 def stored_power(power: Column) -> Column:
-    """The exact decimal the raw table holds, rounded half up."""
-    return F.round(power, POWER_SCALE).cast(POWER_STORED)
+    """The exact decimal the raw table holds; the cast rounds half up.
+
+    NULL where the type cannot hold the value, which ``split_valid`` rejects.
+    """
+    return power.try_cast(POWER_STORED)
 
 
 def window_energy(power: Column, hours: float = WINDOW_HOURS) -> Column:

@@ -49,14 +49,17 @@ def decode(messages: DataFrame, *keep: str, raw: bool = False) -> DataFrame:
     a NULL panel or time stays NULL (``split_valid`` takes those rows out).
     A quoted number does not parse as a number, so it also becomes 0.
     ``keep`` carries message columns along (ingest order), ``raw`` the text.
+
+    The struct is unfolded by a generator, not by a projection: a later filter
+    on the fields would be pushed into a projection and the text parsed again
+    for every field the filter names.
     """
-    extra = [F.col(name) for name in keep]
     text = F.col("value").cast("string")
+    extra = [F.col(name) for name in keep]
     if raw:
         extra.append(text.alias("raw_value"))
-    parsed = messages.select(*extra, F.from_json(text, READING_SCHEMA).alias("reading"))
-    kept = [*keep, *(["raw_value"] if raw else [])]
-    return parsed.select("reading.*", *kept).na.fill(0, subset=[POWER, STATUS])
+    parsed = F.inline(F.array(F.from_json(text, READING_SCHEMA)))
+    return messages.select(parsed, *extra).na.fill(0, subset=[POWER, STATUS])
 
 
 def shift_event_time(

@@ -42,19 +42,35 @@ def latest_fleet_power(windows: DataFrame) -> DataFrame:
     )
 
 
-def latest_status(readings: DataFrame, *order: str) -> DataFrame:
+def latest_status(readings: DataFrame, order: str) -> DataFrame:
     """A5: last non-NULL status per panel by ``order``, the ingest order as a rule.
 
     Event time is a poor order: panel clocks run ahead of heartbeats, so an
-    offline panel would look active for that long (D4).  With one order column
-    the aggregate is hash based and combined before the shuffle.
+    offline panel would look active for that long (D4).  A single number or
+    time as order keeps the aggregate hash based, one row per panel and task.
     """
-    by = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     return readings.filter(F.col(STATUS).isNotNull()).groupBy(PANEL).agg(
-        F.max_by(STATUS, by).alias(STATUS)
+        F.max_by(STATUS, order).alias(STATUS)
     )
 
 
+def latest_status_of_topic(readings: DataFrame) -> DataFrame:
+    """A5 in the order of a topic: broker time, partition, offset.
+
+    Offsets order a partition, so the rows are reduced per panel and partition
+    with plain numbers; only the last ones of a panel that moved between
+    partitions are compared by all three.  A max over structs of all rows would
+    have to sort them.
+    """
+    last = readings.filter(F.col(STATUS).isNotNull()).groupBy(PANEL, "partition").agg(
+        F.max_by(STATUS, "offset").alias(STATUS),
+        F.max_by("timestamp", "offset").alias("timestamp"),
+        F.max("offset").alias("offset"),
+    )
+    ingest_order = F.struct("timestamp", "partition", "offset")
+    return last.groupBy(PANEL).agg(F.max_by(STATUS, ingest_order).alias(STATUS))
+
+
 def power_histogram(
     windows: DataFrame,
     width: float = 20.0,

@@ -6,17 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sunmeter.functions.columns import stored_power
-from sunmeter.schema import EVENT_TIME, PANEL, POWER, STATUS
+from sunmeter.schema import (
+    EVENT_TIME, PANEL, PANEL_LENGTH, POWER, POWER_PRECISION, POWER_SCALE, STATUS,
+)
+
+POWER_BOUND = float(10 ** (POWER_PRECISION - POWER_SCALE))
 
 
 def is_valid() -> Column:
-    """A reading that can be stored and put on the time axis."""
-    return F.col(PANEL).isNotNull() & F.col(EVENT_TIME).isNotNull()
+    """A reading the raw table can hold: panel and time known, id and power in range."""
+    panel, power = F.col(PANEL), F.col(POWER)
+    storable = (F.length(panel) <= PANEL_LENGTH) & (F.abs(power) < F.lit(POWER_BOUND))
+    return panel.isNotNull() & F.col(EVENT_TIME).isNotNull() & storable
+
+
+def is_reject() -> Column:
+    """The complement of ``is_valid``; an unknown (NULL) power is a reject too."""
+    return ~F.coalesce(is_valid(), F.lit(False))
 
 
 def split_valid(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """the storable rows and the rest; every row is in exactly one of them."""
-    return decoded.filter(is_valid()), decoded.filter(~is_valid())
+    return decoded.filter(is_valid()), decoded.filter(is_reject())
 
 
 def to_raw(readings: DataFrame, whole_seconds: bool = False) -> DataFrame:

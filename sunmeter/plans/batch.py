@@ -138,6 +138,13 @@ def latest_panel_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fleet.latest_status(_readings(spark, sf_dir), "ingest_seq")
 
 
+def latest_panel_status_of_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the messages, by broker time, partition and offset."""
+    valid, _ = split_valid(
+        decode(mixed_topic(prepare(spark), sf_dir), "timestamp", "partition", "offset"))
+    return fleet.latest_status_of_topic(valid)
+
+
 def latest_fleet_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(fleet.latest_fleet_power(_windows(spark, sf_dir)), WINDOW_POWER)
 
@@ -175,7 +182,7 @@ QUERIES = {
         raw_readings_stored, panel_lookup, panel_lookup_json, panel_power_series,
         panel_window_series, readings_in_range, panel_power_window, panel_power_window_1h,
         fleet_power_window, fleet_power_from_wire, fleet_energy_window, fleet_energy_total,
-        latest_panel_status, latest_fleet_power, panel_power_histogram, fleet_power_histogram,
+        latest_panel_status, latest_panel_status_of_topic, latest_fleet_power, panel_power_histogram, fleet_power_histogram,
         panel_power_wide, expected_output, expected_output_day,
     )
 }

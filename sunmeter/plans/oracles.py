@@ -94,6 +94,7 @@ ORACLES = {
     "fleet_energy_total": _AGG + """
       select round(sum(total_power * 0.0083333333e0), 6) as energy_wh from fleet""",
     "latest_panel_status": _LATEST,
+    "latest_panel_status_of_topic": _LATEST,
     "latest_fleet_power": _AGG + """
       select max(window_end) as window_end,
              round(arg_max(total_power, window_end), 6) as total_power from fleet""",

@@ -15,7 +15,7 @@ from sunmeter.plans import fixture
 from sunmeter.plans.batch import mixed_topic, plain
 from sunmeter.schema import EVENT_TIME, PANEL, POWER, STATUS, WINDOW_END, WINDOW_POWER, WINDOW_START
 from sunmeter.session import prepare, scratch
-from sunmeter.sinks.tables import read_batches
+from sunmeter.sinks.tables import read_batches, read_raw, read_rejects
 from sunmeter.sources.messages import read_landing
 from sunmeter.streaming import jobs
 from sunmeter.streaming.replay import replay
@@ -49,8 +49,7 @@ def _raw_job(messages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 
 
 def _ingest_job(messages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    return jobs.start_ingest(
-        messages, f"{out}/raw", f"{out}/rejects", checkpoint, jobs.ALL_AVAILABLE)
+    return jobs.start_ingest(messages, out, checkpoint, jobs.ALL_AVAILABLE)
 
 
 def _append_job(messages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -78,13 +77,12 @@ def stream_restart_exactly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half the messages, a stop, the other half from the same checkpoint."""
     prepare(spark)
     out, _ = play(spark, "restart", _ordered(spark, sf_dir, 2), _ingest_job)
-    rows = read_batches(spark, f"{out}/raw")
-    return plain(rows.select(PANEL, POWER, STATUS, EVENT_TIME))
+    return plain(read_raw(spark, out).drop("day"))
 
 
 def stream_rejected_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = play(spark, "rejects", [mixed_topic(prepare(spark), sf_dir)], _ingest_job)
-    return read_batches(spark, f"{out}/rejects").select("partition", "raw_value")
+    return read_rejects(spark, out).select("partition", "raw_value")
 
 
 def stream_panel_power_append(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sunmeter.functions.columns import stored_power
+from sunmeter.operators.quality import is_reject
 from sunmeter.schema import (
-    EVENT_TIME, PANEL, PANEL_LENGTH, POWER_PRECISION, POWER_SCALE, RAW_TABLE,
+    EVENT_TIME, PANEL, PANEL_LENGTH, POWER, POWER_PRECISION, POWER_SCALE, RAW_TABLE, STATUS,
 )
 
+VALID, REJECT = "valid", "reject"
+
 
 def create_raw_table(spark: SparkSession, name: str = RAW_TABLE) -> None:
     """K7: create the raw table if it is absent, by day."""
@@ -43,6 +47,28 @@ def write_clustered(rows: DataFrame, path: str, time: str = EVENT_TIME) -> None:
         .write.partitionBy("day").mode("overwrite").parquet(path))
 
 
+def by_kind(decoded: DataFrame) -> DataFrame:
+    """Raw rows and rejects as one table: ``kind`` tells them apart, rejects keep their text."""
+    kind = F.when(is_reject(), REJECT).otherwise(VALID)
+    text = F.when(F.col("kind") == REJECT, F.col("raw_value"))
+    return with_day(decoded.withColumn("kind", kind)).select(
+        PANEL, stored_power(F.col(POWER)).alias(POWER), STATUS, EVENT_TIME,
+        "topic", "partition", "offset", text.alias("raw_value"), "kind", "day",
+    )
+
+
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    """The raw readings of a table written by kind."""
+    rows = spark.read.parquet(path).filter(F.col("kind") == VALID)
+    return rows.select(PANEL, POWER, STATUS, EVENT_TIME, "day")
+
+
+def read_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """The rejects of a table written by kind, with where they came from."""
+    rows = spark.read.parquet(path).filter(F.col("kind") == REJECT)
+    return rows.select("topic", "partition", "offset", "raw_value")
+
+
 def batch_folder(path: str, batch_id: int) -> str:
     return f"{path}/batch_id={batch_id}"
 

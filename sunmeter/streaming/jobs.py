@@ -17,10 +17,10 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from sunmeter.functions.wire import decode
 from sunmeter.operators.fleet import latest_status
-from sunmeter.operators.quality import is_valid, split_valid, to_raw
+from sunmeter.operators.quality import is_valid
 from sunmeter.operators.windows import panel_power, with_lateness
 from sunmeter.schema import WATERMARK_DELAY, WINDOW_DURATION, WINDOW_START
-from sunmeter.sinks.tables import with_day, write_batches
+from sunmeter.sinks.tables import by_kind, with_day, write_batches
 
 Trigger = dict[str, object]
 ALL_AVAILABLE: Trigger = {"availableNow": True}
@@ -41,28 +41,16 @@ def start_raw(
 
 
 def start_ingest(
-    messages: DataFrame, raw_path: str, rejects_path: str, checkpoint: str,
-    trigger: Trigger | None = None,
+    messages: DataFrame, path: str, checkpoint: str, trigger: Trigger | None = None,
 ) -> StreamingQuery:
-    """One pass over the topic that feeds the raw table and the rejects.
+    """One pass over the topic that stores the raw readings and the rejects.
 
-    Two queries would read and parse the topic twice.  The decoded batch is
-    kept for the second write; either write replaces only its own batch folder.
+    Two queries would read and parse the topic twice.  Both kinds of row go to
+    one table by kind and day, so a batch commits them together.
     """
     decoded = decode(messages, "topic", "partition", "offset", raw=True)
-    write_raw, write_rejects = write_batches(raw_path), write_batches(rejects_path)
-
-    def fan_out(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            valid, rejects = split_valid(batch)
-            write_raw(to_raw(valid), batch_id)
-            write_rejects(
-                rejects.select("topic", "partition", "offset", "raw_value"), batch_id)
-        finally:
-            batch.unpersist()
-
-    return _writer(decoded, checkpoint, "append", trigger).foreachBatch(fan_out).start()
+    return (_writer(by_kind(decoded), checkpoint, "append", trigger)
+            .partitionBy("kind", "day").format("parquet").start(path))
 
 
 def start_panel_power_append(
@@ -87,11 +75,11 @@ def start_panel_power_update(
 
 
 def start_latest_status(
-    readings: DataFrame, path: str, checkpoint: str, *order: str,
+    readings: DataFrame, path: str, checkpoint: str, order: str,
     trigger: Trigger | None = None,
 ) -> StreamingQuery:
     """A5 as a stream: the panels whose status a batch touched; one state row per panel."""
-    rows = latest_status(readings, *order)
+    rows = latest_status(readings, order)
     return (_writer(rows, checkpoint, "update", trigger)
             .foreachBatch(write_batches(path)).start())
 
