@@ -43,24 +43,24 @@ def first_rows(
     """
     if set(rows.columns) != {time, *ties}:
         raise ValueError("time and ties must name all columns")
-    untimed = F.col(time).isNull()
     steps = [
-        (untimed, None),
         (F.date_trunc("hour", time), "1 hour"),
         (F.date_trunc("second", time), "1 second"),
-        (F.col(time), None),
-        *((F.col(name), None) for name in ties),
+        *((F.col(name), None) for name in (time, *ties)),
     ]
+    in_order = [F.asc_nulls_last(name) for name in (time, *ties)]
     kept, rest, left = [], rows, limit
     for key, span in steps:
         cut = _cut(rest, key, left)
         if cut is None:  # the limit takes all that is left
             return _union([*kept, rest])
-        kept_here, rest = _divide(rest, key, time, span, cut["bucket"])
-        kept.append(kept_here)
+        before, rest = _divide(rest, key, time, span, cut["bucket"])
+        kept.append(before)
         left -= cut["before"]
+        if left == 0:
+            return _union(kept)
         if cut["rows"] <= one_task:
-            return _union([*kept, rest.orderBy(time, *ties).limit(left)])
+            return _union([*kept, rest.orderBy(*in_order).limit(left)])
     copies = rest.limit(1).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(left))))
     return _union([*kept, copies.drop("copy")])
 
@@ -70,7 +70,8 @@ def _cut(rows: DataFrame, key: Column, limit: int):
 
     The running sum goes over one row per bucket, not over the rows.
     """
-    in_order = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    in_order = Window.orderBy(F.asc_nulls_last("bucket")).rowsBetween(
+        Window.unboundedPreceding, 0)
     counts = rows.groupBy(key.alias("bucket")).agg(F.count(F.lit(1)).alias("rows"))
     cuts = (
         counts.withColumn("upto", F.sum("rows").over(in_order))
@@ -95,7 +96,7 @@ def _divide(
     can skip what lies outside.
     """
     if bucket is None:
-        return rows.filter(key.isNull() & F.lit(False)), rows.filter(key.isNull())
+        return rows.filter(key.isNotNull()), rows.filter(key.isNull())
     if span is None:
         edge = F.lit(bucket).cast(rows.select(key.alias("k")).schema["k"].dataType)
         return rows.filter(key < edge), rows.filter(key == edge)

@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
 
 _local_scratch: str | None = None
@@ -25,11 +26,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 
     Wire times carry no zone, so the session zone decides what they mean: UTC.
     State goes to RocksDB, which keeps it off the JVM heap when there are many
-    panels.  The partition count is touched only on a local master that still
+    panels, and a batch saves its changes only, not whole snapshots.  The partition count is touched only on a local master that still
     has Spark's default of 200.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set(STATE_STORE, ROCKSDB)
+    spark.conf.set(CHANGELOG, "true")
     if is_local(spark) and spark.conf.get(SHUFFLE_PARTITIONS) == "200":
         spark.conf.set(SHUFFLE_PARTITIONS, str(spark.sparkContext.defaultParallelism))
     return spark
