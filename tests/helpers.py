@@ -49,3 +49,9 @@ def rows(df: DataFrame, *columns: str) -> list[tuple]:
 
 def plan(df: DataFrame) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+def scans(df: DataFrame) -> str:
+    """The formatted plan: unlike ``plan`` it spells out filters in full."""
+    utils = df.sparkSession._jvm.org.apache.spark.sql.api.python.PythonSQLUtils
+    return utils.explainString(df._jdf.queryExecution(), "formatted")

@@ -1,0 +1,45 @@
+import json
+
+from helpers import readings, rows, scans
+from sunmeter.operators import lookup
+from sunmeter.operators.quality import to_raw
+
+DATA = [
+    ("a", 390.25, 1, "2024-01-15 12:00:00.987654"), ("a", 0.0, 0, "2024-01-15 08:00:00"),
+    ("b", 1.0, 1, "2024-01-15 13:00:00"), ("b", 2.0, 1, "2024-01-15 13:00:00.000001"),
+    ("b", 3.0, 1, "2024-01-15 07:59:59.999999"),
+]
+
+
+def test_one_panel_with_times_cut_to_seconds(spark):
+    got = lookup.panel_rows(to_raw(readings(spark, DATA)), "a")
+    assert [(r.Panel_id, str(r.power_panel), r.current_status, r.time_data)
+            for r in got.orderBy("time_data").collect()] == [
+        ("a", "0.000", 0, "2024-01-15 08:00:00"), ("a", "390.250", 1, "2024-01-15 12:00:00")]
+
+
+def test_unknown_panel_is_empty_and_text_is_only_text(spark):
+    raw = to_raw(readings(spark, DATA))
+    assert lookup.panel_rows(raw, "zz").count() == 0
+    assert lookup.panel_rows(raw, "a' OR '1'='1").count() == 0
+
+
+def test_json_reply(spark):
+    raw = to_raw(readings(spark, [("a\"é", 390.25, 1, DATA[0][3])]))
+    text = lookup.panel_rows_json(raw, "a\"é").first().reading
+    assert json.loads(text) == {
+        "Panel_id": "a\"é", "current_status": 1, "power_panel": "390.250",
+        "time_data": "2024-01-15 12:00:00"}
+
+
+def test_range_has_both_ends(spark):
+    got = lookup.around(readings(spark, DATA), "2024-01-15 12:00:00")
+    assert rows(got, "power_panel") == [(0.0,), (1.0,), (390.25,)]
+
+
+def test_range_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "r")
+    readings(spark, DATA).write.parquet(path)
+    text = scans(lookup.around(spark.read.parquet(path), "2024-01-15 12:00:00"))
+    assert "GreaterThanOrEqual(time_data,2024-01-15 08:00:00" in text
+    assert "LessThanOrEqual(time_data,2024-01-15 13:00:00" in text

@@ -1,0 +1,34 @@
+"""Every registered query against its SQL, on the smallest tables."""
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entries
+from check import TABLES, normal
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def db():
+    con = duckdb.connect()
+    for table in TABLES:
+        con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", entries.queries())
+def test_query(spark, db, name):
+    got = entries.queries()[name](spark, SF).toArrow()
+    want = db.sql(entries.oracle_sql()[name]).to_arrow_table()
+    assert {f.name: str(f.type) for f in got.schema} == {f.name: str(f.type) for f in want.schema}
+    assert got.num_rows > 0 or name in ("readings_in_range",)
+    assert normal(got.to_pylist()) == normal(want.to_pylist())
+
+
+def test_every_query_has_sql():
+    assert set(entries.queries()) == set(entries.oracle_sql())
+
+
+def test_entry(spark):
+    assert entries.entry(spark).columns == ["window_end", "total_power"]
