@@ -17,10 +17,8 @@ def second_text(time: Column) -> Column:
 
 def wire_time(time: Column) -> Column:
     """A timestamp as producers write it: six fraction digits, or none at a full second."""
-    whole = F.date_trunc("second", time) == time
-    return F.when(whole, second_text(time)).otherwise(
-        F.date_format(time, SECOND_PATTERN + ".SSSSSS")
-    )
+    text = time.cast("string")  # the cast drops trailing zeros of the fraction
+    return F.when(F.instr(text, ".") == 0, text).otherwise(F.rpad(text, 26, "0"))
 
 
 def stored_power(power: Column) -> Column:
