@@ -80,7 +80,8 @@ def power_histogram(
     """Number of window values per bucket, per panel or for all (``combine``)."""
     keys = [] if combine else [PANEL]
     bucket = bucket_start(F.col(WINDOW_POWER), width, offset).alias("bucket_start")
-    return windows.select(*keys, bucket).groupBy(*keys, "bucket_start").agg(
+    known = windows.filter(F.col(WINDOW_POWER).isNotNull())
+    return known.select(*keys, bucket).groupBy(*keys, "bucket_start").agg(
         F.count(F.lit(1)).alias("windows")
     )
 

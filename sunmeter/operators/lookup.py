@@ -36,12 +36,14 @@ def around(
     """rows from ``back`` before to ``ahead`` after ``as_of``.
 
     The bounds take the type of the column, so the comparison reaches the scan;
-    a table with a ``day`` column is pruned to the days touched.
+    a table with a ``day`` column is pruned to the days touched, and one more on
+    either side, as the day may be that of a window's other end.
     """
     now = F.lit(as_of).cast(readings.schema[time].dataType)
     low = now - F.expr(f"INTERVAL '{back}'")
     high = now + F.expr(f"INTERVAL '{ahead}'")
     rows = readings.filter(F.col(time).between(low, high))
     if "day" in readings.columns:
-        rows = rows.filter(F.col("day").between(F.to_date(low), F.to_date(high)))
+        days = F.date_sub(F.to_date(low), 1), F.date_add(F.to_date(high), 1)
+        rows = rows.filter(F.col("day").between(*days))
     return rows

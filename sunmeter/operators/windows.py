@@ -16,9 +16,10 @@ def panel_power(readings: DataFrame, duration: str = WINDOW_DURATION) -> DataFra
 
     The mean is summed up before the shuffle, so a panel or window that holds
     most of the rows sends one row per task.  Rows without a time fall out (F2).
+    Takes decoded readings and rows of the raw table alike.
     """
     per_window = readings.groupBy(F.window(EVENT_TIME, duration), PANEL).agg(
-        F.avg(POWER).alias(WINDOW_POWER)
+        F.avg(F.col(POWER).cast("double")).alias(WINDOW_POWER)
     )
     return per_window.select(
         PANEL,

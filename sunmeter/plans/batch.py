@@ -14,7 +14,7 @@ from sunmeter.plans import fixture
 from sunmeter.schema import (
     EVENT_TIME, PANEL, POWER, STATUS, WINDOW_END, WINDOW_POWER, WINDOW_START,
 )
-from sunmeter.session import prepare, scratch
+from sunmeter.session import scratch
 from sunmeter.sinks.tables import write_clustered
 
 LOOKUP_PANEL = "8"
@@ -34,12 +34,8 @@ def plain(rows: DataFrame, *digits: str) -> DataFrame:
     return rows.select(*[column(name, kind) for name, kind in rows.dtypes])
 
 
-def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture.readings(prepare(spark), sf_dir)
-
-
 def _windows(spark: SparkSession, sf_dir: str, duration: str = "30 seconds") -> DataFrame:
-    return panel_power(_readings(spark, sf_dir), duration)
+    return panel_power(fixture.readings(spark, sf_dir), duration)
 
 
 def mixed_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,44 +55,44 @@ def mixed_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decode_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(decode(fixture.messages(_readings(spark, sf_dir))))
+    return plain(decode(fixture.messages(fixture.readings(spark, sf_dir))))
 
 
 def wire_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(decode(encode(_readings(spark, sf_dir))))
+    return plain(decode(encode(fixture.readings(spark, sf_dir))))
 
 
 def accepted_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    valid, _ = split_valid(decode(mixed_topic(prepare(spark), sf_dir)))
+    valid, _ = split_valid(decode(mixed_topic(spark, sf_dir)))
     return plain(valid)
 
 
 def rejected_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, rejects = split_valid(decode(mixed_topic(prepare(spark), sf_dir), "partition", raw=True))
+    _, rejects = split_valid(decode(mixed_topic(spark, sf_dir), "partition", raw=True))
     return rejects.select("partition", "raw_value")
 
 
 def raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_raw(_readings(spark, sf_dir))
+    return to_raw(fixture.readings(spark, sf_dir))
 
 
 def raw_readings_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written by day, clustered by panel, and read back."""
-    path = scratch(prepare(spark), "raw")
-    write_clustered(to_raw(_readings(spark, sf_dir)), path)
+    path = scratch(spark, "raw")
+    write_clustered(to_raw(fixture.readings(spark, sf_dir)), path)
     return plain(spark.read.parquet(path).drop("day"))
 
 
 def panel_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.panel_rows(to_raw(_readings(spark, sf_dir)), LOOKUP_PANEL)
+    return lookup.panel_rows(to_raw(fixture.readings(spark, sf_dir)), LOOKUP_PANEL)
 
 
 def panel_lookup_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.panel_rows_json(to_raw(_readings(spark, sf_dir)), LOOKUP_PANEL)
+    return lookup.panel_rows_json(to_raw(fixture.readings(spark, sf_dir)), LOOKUP_PANEL)
 
 
 def panel_power_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.panel_series(to_raw(_readings(spark, sf_dir)))
+    return series.panel_series(to_raw(fixture.readings(spark, sf_dir)))
 
 
 def panel_window_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +100,7 @@ def panel_window_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def readings_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lookup.around(_readings(spark, sf_dir), AS_OF)
+    rows = lookup.around(fixture.readings(spark, sf_dir), AS_OF)
     return rows.select(PANEL, POWER, STATUS, EVENT_TIME)
 
 
@@ -122,7 +118,7 @@ def fleet_power_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fleet_power_from_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way: topic, decode, valid rows, windows, fleet."""
-    valid, _ = split_valid(decode(mixed_topic(prepare(spark), sf_dir)))
+    valid, _ = split_valid(decode(mixed_topic(spark, sf_dir)))
     return plain(fleet.fleet_power(panel_power(valid)), WINDOW_POWER)
 
 
@@ -135,13 +131,13 @@ def fleet_energy_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_panel_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fleet.latest_status(_readings(spark, sf_dir), "ingest_seq")
+    return fleet.latest_status(fixture.readings(spark, sf_dir), "ingest_seq")
 
 
 def latest_panel_status_of_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from the messages, by broker time, partition and offset."""
     valid, _ = split_valid(
-        decode(mixed_topic(prepare(spark), sf_dir), "timestamp", "partition", "offset"))
+        decode(mixed_topic(spark, sf_dir), "timestamp", "partition", "offset"))
     return fleet.latest_status_of_topic(valid)
 
 
@@ -163,7 +159,7 @@ def panel_power_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expected_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _readings(spark, sf_dir).select(
+    rows = fixture.readings(spark, sf_dir).select(
         PANEL, EVENT_TIME, expected_power(F.col(EVENT_TIME)).alias("expected_power"))
     return plain(rows, "expected_power")
 
@@ -171,7 +167,7 @@ def expected_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def expected_output_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide curve: a six-hour day from nine o'clock, exponent 1."""
     curve = expected_power(F.col(EVENT_TIME), start_hour=9, hours=6, exponent=1)
-    rows = _readings(spark, sf_dir).select(PANEL, EVENT_TIME, curve.alias("expected_power"))
+    rows = fixture.readings(spark, sf_dir).select(PANEL, EVENT_TIME, curve.alias("expected_power"))
     return plain(rows, "expected_power")
 
 

@@ -13,8 +13,11 @@ from sunmeter.functions.wire import decode
 from sunmeter.operators.windows import latest_emission
 from sunmeter.plans import fixture
 from sunmeter.plans.batch import mixed_topic, plain
-from sunmeter.schema import EVENT_TIME, PANEL, POWER, STATUS, WINDOW_END, WINDOW_POWER, WINDOW_START
-from sunmeter.session import prepare, scratch
+from sunmeter.schema import (
+    EVENT_TIME, PANEL, POWER, STATUS, STATUS_SCHEMA, WINDOW_END, WINDOW_POWER, WINDOW_SCHEMA,
+    WINDOW_START,
+)
+from sunmeter.session import scratch
 from sunmeter.sinks.tables import read_batches, read_raw, read_rejects
 from sunmeter.sources.messages import read_landing
 from sunmeter.streaming import jobs
@@ -68,49 +71,44 @@ def _status_job(messages: DataFrame, out: str, checkpoint: str) -> StreamingQuer
 
 
 def stream_raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepare(spark)
     out, _ = play(spark, "raw", _ordered(spark, sf_dir), _raw_job)
     return plain(spark.read.parquet(out).select(PANEL, POWER, STATUS, EVENT_TIME))
 
 
 def stream_restart_exactly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half the messages, a stop, the other half from the same checkpoint."""
-    prepare(spark)
     out, _ = play(spark, "restart", _ordered(spark, sf_dir, 2), _ingest_job)
     return plain(read_raw(spark, out).drop("day"))
 
 
 def stream_rejected_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, _ = play(spark, "rejects", [mixed_topic(prepare(spark), sf_dir)], _ingest_job)
+    out, _ = play(spark, "rejects", [mixed_topic(spark, sf_dir)], _ingest_job)
     return read_rejects(spark, out).select("partition", "raw_value")
 
 
 def stream_panel_power_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepare(spark)
     out, _ = play(spark, "append", _ordered(spark, sf_dir), _append_job)
     rows = spark.read.parquet(out).select(PANEL, WINDOW_POWER, WINDOW_START, WINDOW_END)
     return plain(rows, WINDOW_POWER)
 
 
 def stream_panel_power_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepare(spark)
     out, _ = play(spark, "update", _ordered(spark, sf_dir), _update_job)
-    return plain(latest_emission(read_batches(spark, out)), WINDOW_POWER)
+    return plain(latest_emission(read_batches(spark, out, WINDOW_SCHEMA)), WINDOW_POWER)
 
 
 def late_readings_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages in order of arrival, one hour behind the event time of active panels."""
-    rows = fixture.readings(prepare(spark), sf_dir)
+    rows = fixture.readings(spark, sf_dir)
     late = fixture.slices(rows, LATE_STEPS, fixture.skewed_arrival())
     out, _ = play(spark, "late", late, _update_job)
-    return plain(latest_emission(read_batches(spark, out)), WINDOW_POWER)
+    return plain(latest_emission(read_batches(spark, out, WINDOW_SCHEMA)), WINDOW_POWER)
 
 
 def stream_latest_panel_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepare(spark)
     out, _ = play(spark, "status", _ordered(spark, sf_dir), _status_job)
     newest = F.max_by(STATUS, "batch_id").alias(STATUS)
-    return read_batches(spark, out).groupBy(PANEL).agg(newest)
+    return read_batches(spark, out, STATUS_SCHEMA).groupBy(PANEL).agg(newest)
 
 
 QUERIES = {

@@ -51,6 +51,11 @@ WINDOW_SCHEMA = T.StructType([
     T.StructField(WINDOW_END, T.TimestampType()),
 ])
 
+STATUS_SCHEMA = T.StructType([
+    T.StructField(PANEL, T.StringType()),
+    T.StructField(STATUS, T.IntegerType()),
+])
+
 # What the message broker's source hands over.
 MESSAGE_SCHEMA = T.StructType([
     T.StructField("key", T.BinaryType()),

@@ -8,17 +8,21 @@ import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
 
+# Parquet bytes a shuffle partition should stand for; they grow severalfold in memory.
+PARTITION_BYTES = 64 * 1024 * 1024
+
 _local_scratch: str | None = None
 
 
 def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    return spark.conf.get("spark.master", "").startswith("local")
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -37,6 +41,25 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_shuffles(
+    spark: SparkSession, *paths: str, partition_bytes: int = PARTITION_BYTES,
+) -> int:
+    """Shuffle partitions for aggregates over all of ``paths``; returns their number.
+
+    Only ever raises Spark's default of 200: a number the deployer has chosen
+    stays.  Call it before the first start of a stream too, whose checkpoint
+    fixes the number.  The files are listed, not read.
+    """
+    now = int(spark.conf.get(SHUFFLE_PARTITIONS))
+    if now != 200:
+        return now
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+    total = files.agg(F.sum("length")).first()[0] or 0
+    wanted = max(now, -(-total // partition_bytes))
+    spark.conf.set(SHUFFLE_PARTITIONS, str(wanted))
+    return wanted
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``, the folder all executors share.
 

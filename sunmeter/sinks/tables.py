@@ -6,15 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sunmeter.functions.columns import stored_power
 from sunmeter.operators.quality import is_reject
 from sunmeter.schema import (
-    EVENT_TIME, PANEL, PANEL_LENGTH, POWER, POWER_PRECISION, POWER_SCALE, RAW_TABLE, STATUS,
+    EVENT_TIME, PANEL, PANEL_LENGTH, POWER, POWER_PRECISION, POWER_SCALE, RAW_SCHEMA, RAW_TABLE,
+    STATUS,
 )
 
 VALID, REJECT = "valid", "reject"
 
+BY_KIND_SCHEMA = T.StructType([
+    *RAW_SCHEMA.fields[:4],
+    T.StructField("topic", T.StringType()),
+    T.StructField("partition", T.IntegerType()),
+    T.StructField("offset", T.LongType()),
+    T.StructField("raw_value", T.StringType()),
+    T.StructField("kind", T.StringType()),
+    T.StructField("day", T.DateType()),
+])
+
 
 def create_raw_table(spark: SparkSession, name: str = RAW_TABLE) -> None:
     """K7: create the raw table if it is absent, by day."""
@@ -57,16 +69,18 @@ def by_kind(decoded: DataFrame) -> DataFrame:
     )
 
 
+def read_by_kind(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return spark.read.schema(BY_KIND_SCHEMA).parquet(path).filter(F.col("kind") == kind)
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """The raw readings of a table written by kind."""
-    rows = spark.read.parquet(path).filter(F.col("kind") == VALID)
-    return rows.select(PANEL, POWER, STATUS, EVENT_TIME, "day")
+    return read_by_kind(spark, path, VALID).select(*RAW_SCHEMA.names)
 
 
 def read_rejects(spark: SparkSession, path: str) -> DataFrame:
     """The rejects of a table written by kind, with where they came from."""
-    rows = spark.read.parquet(path).filter(F.col("kind") == REJECT)
-    return rows.select("topic", "partition", "offset", "raw_value")
+    return read_by_kind(spark, path, REJECT).select("topic", "partition", "offset", "raw_value")
 
 
 def batch_folder(path: str, batch_id: int) -> str:
@@ -81,8 +95,7 @@ def write_batches(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def read_batches(spark: SparkSession, path: str) -> DataFrame:
+def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """All batches so far, each row with its ``batch_id``."""
-    rows = spark.read.parquet(path)
-    return rows.withColumn("batch_id", F.col("batch_id").cast("long"))
-
+    fields = [*schema.fields, T.StructField("batch_id", T.LongType())]
+    return spark.read.schema(T.StructType(fields)).parquet(path)

@@ -12,12 +12,12 @@ import time
 from collections.abc import Callable
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from sunmeter.functions.wire import decode
 from sunmeter.operators.fleet import latest_status
-from sunmeter.operators.quality import is_valid
+from sunmeter.operators.quality import is_valid, to_raw
 from sunmeter.operators.windows import panel_power, with_lateness
 from sunmeter.schema import WATERMARK_DELAY, WINDOW_DURATION, WINDOW_START
 from sunmeter.sinks.tables import by_kind, with_day, write_batches
@@ -40,6 +40,15 @@ def start_raw(
             .partitionBy("day").format("parquet").start(path))
 
 
+def start_raw_batches(
+    readings: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str,
+    trigger: Trigger | None = None,
+) -> StreamingQuery:
+    """Valid readings in stored form to a per-batch callback, such as a JDBC append."""
+    rows = to_raw(readings.filter(is_valid()))
+    return _writer(rows, checkpoint, "append", trigger).foreachBatch(write).start()
+
+
 def start_ingest(
     messages: DataFrame, path: str, checkpoint: str, trigger: Trigger | None = None,
 ) -> StreamingQuery:
@@ -93,20 +102,36 @@ def start_console(
             .format("console").option("truncate", str(truncate).lower()).start())
 
 
-def run_with_restarts(
-    start: Callable[[], StreamingQuery], restarts: int = 5, pause: float = 2.0,
-) -> StreamingQuery:
-    """Wait for a query; when it fails start it again from its checkpoint."""
-    for attempt in range(restarts + 1):
-        query = start()
+def supervise(
+    spark: SparkSession, starts: dict[str, Callable[[], StreamingQuery]],
+    restarts: int = 5, pause: float = 2.0,
+) -> None:
+    """Run all queries; start a failed one again from its checkpoint.
+
+    Any failure is seen, whichever query it hits.  When the restarts are used
+    up, the other queries are stopped and the failure is raised.
+    """
+    running = {name: start() for name, start in starts.items()}
+    while running:
         try:
-            query.awaitTermination()
-            return query
+            spark.streams.awaitAnyTermination()
         except StreamingQueryException:
-            if attempt == restarts:
-                raise
-            time.sleep(pause)
-    raise AssertionError("unreachable")
+            pass  # looked up below, per query
+        spark.streams.resetTerminated()
+        for name, query in list(running.items()):
+            if query.isActive:
+                continue
+            failure = query.exception()
+            if failure is None:
+                del running[name]
+            elif restarts == 0:
+                for other in running.values():
+                    other.stop()
+                raise failure
+            else:
+                restarts -= 1
+                time.sleep(pause)
+                running[name] = starts[name]()
 
 
 def late_rows_dropped(query: StreamingQuery) -> int:

@@ -2,11 +2,13 @@ import pytest
 from helpers import messages, rows, wire
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from sunmeter.functions.wire import decode
 from sunmeter.operators.windows import latest_emission, panel_power
+from sunmeter.schema import RAW_SCHEMA, STATUS_SCHEMA, WINDOW_SCHEMA
 from sunmeter.sinks import tables
 from sunmeter.sources.messages import read_landing
-from sunmeter.streaming import jobs
+from sunmeter.streaming import jobs, pipeline
 from sunmeter.streaming.replay import replay
 
 NOW = jobs.ALL_AVAILABLE
@@ -71,7 +73,7 @@ def test_update_emits_again_and_the_latest_wins(spark, site):
             decode(site.stream()), site.out, site.checkpoint, trigger=NOW)
 
     site.play([[at(0, 0, power=100), at(0, 10, power=200)], [at(0, 20, power=300)]], start)
-    emitted = tables.read_batches(spark, site.out)
+    emitted = tables.read_batches(spark, site.out, WINDOW_SCHEMA)
     assert rows(emitted, "total_power") == [(150.0,), (200.0,)]
     assert rows(latest_emission(emitted), "Panel_id", "total_power") == [("a", 200.0)]
 
@@ -87,7 +89,7 @@ def test_heartbeats_one_hour_behind_are_kept(spark, site):
             decode(site.stream()), site.out, site.checkpoint, trigger=NOW)
 
     runs = site.play(skewed(), start)
-    got = latest_emission(tables.read_batches(spark, site.out))
+    got = latest_emission(tables.read_batches(spark, site.out, WINDOW_SCHEMA))
     assert got.count() == 8
     assert sum(map(jobs.late_rows_dropped, runs)) == 0
     batch = panel_power(decode(spark.read.parquet(site.landing)))
@@ -100,7 +102,7 @@ def test_a_short_delay_drops_them_and_tells(spark, site):
             decode(site.stream()), site.out, site.checkpoint, delay="30 seconds", trigger=NOW)
 
     runs = site.play(skewed(), start)
-    got = latest_emission(tables.read_batches(spark, site.out))
+    got = latest_emission(tables.read_batches(spark, site.out, WINDOW_SCHEMA))
     assert got.filter("Panel_id = 'off'").count() == 1
     assert got.filter("Panel_id = 'on'").count() == 4
     assert sum(map(jobs.late_rows_dropped, runs)) == 3
@@ -124,7 +126,7 @@ def test_latest_status_stream(spark, site):
 
     off = wire("a", 0.0, "2024-01-15 11:00:00", status=0)  # later by arrival, earlier by clock
     site.play([[at(0), at(0, panel="b")], [off]], start)
-    emitted = tables.read_batches(spark, site.out)
+    emitted = tables.read_batches(spark, site.out, STATUS_SCHEMA)
     newest = emitted.groupBy("Panel_id").agg(F.max_by("current_status", "batch_id"))
     assert rows(newest) == [("a", 0), ("b", 1)]
 
@@ -143,9 +145,9 @@ def test_a_failed_batch_is_replaced_not_repeated(spark, site):
             decode(site.stream()), site.out, site.checkpoint, trigger=NOW, write=write_then_fail)
 
     site.batch(at(0, power=5.0)).write.parquet(site.landing)
-    jobs.run_with_restarts(start, restarts=1, pause=0)
+    jobs.supervise(spark, {"power": start}, restarts=1, pause=0)
     assert not failures
-    assert rows(tables.read_batches(spark, site.out), "total_power", "batch_id") == [(5.0, 0)]
+    assert rows(tables.read_batches(spark, site.out, WINDOW_SCHEMA), "total_power", "batch_id") == [(5.0, 0)]
 
 
 def test_restarts_are_bounded(spark, site):
@@ -158,7 +160,42 @@ def test_restarts_are_bounded(spark, site):
 
     site.batch(at(0)).write.parquet(site.landing)
     with pytest.raises(StreamingQueryException):
-        jobs.run_with_restarts(start, restarts=1, pause=0)
+        jobs.supervise(spark, {"power": start}, restarts=1, pause=0)
+
+
+def test_raw_batches_in_stored_form(spark, site):
+    def start():
+        return jobs.start_raw_batches(
+            decode(site.stream()), tables.write_batches(site.out), site.checkpoint, NOW)
+
+    site.play([[at(0, power=0.0005), "nope"], [at(1)]], start)
+    stored = T.StructType(RAW_SCHEMA.fields[:4])
+    got = tables.read_batches(spark, site.out, stored)
+    assert [(str(p), b) for p, b in rows(got, "power_panel", "batch_id")] == [
+        ("0.001", 0), ("1.000", 1)]
+
+
+def test_pipeline_feeds_all_tables(spark, site):
+    def starts():
+        return pipeline.starts(site.stream(), site.out, trigger=NOW)
+
+    for batch in ([at(0, power=10.0), "nope"], [at(0, 20, power=20.0), at(9, hour=14)]):
+        site.batch(*batch).write.mode("append").parquet(site.landing)
+        jobs.supervise(spark, starts(), restarts=0)
+    tables_of = pipeline.Tables(spark, site.out)
+    assert tables_of.raw().count() == 3
+    assert rows(tables_of.rejects(), "raw_value") == [("nope",)]
+    assert rows(tables_of.current_windows(), "total_power", "window_end") == [
+        (1.0, "2024-01-15 14:09:30"), (15.0, "2024-01-15 12:00:30")]
+    assert rows(tables_of.final_windows(), "total_power") == [(15.0,)]
+
+
+def test_current_windows_before_any_is_final(spark, site):
+    site.batch(at(0, power=10.0)).write.parquet(site.landing)
+    jobs.supervise(spark, pipeline.starts(site.stream(), site.out, trigger=NOW), restarts=0)
+    tables_of = pipeline.Tables(spark, site.out)
+    assert tables_of.final_windows().count() == 0
+    assert rows(tables_of.current_windows(), "total_power") == [(10.0,)]
 
 
 def test_console(spark, site):

@@ -1,5 +1,5 @@
 import pytest
-from helpers import readings, rows, scans
+from helpers import readings, rows, scans, windows
 from pyspark.sql import functions as F
 from sunmeter import session
 from sunmeter.operators import lookup
@@ -20,11 +20,11 @@ def test_create_raw_table_once(spark):
 
 @pytest.fixture(scope="module")
 def stored(spark, tmp_path_factory):
-    """Three days; one panel holds a third of the rows."""
+    """Five days; one panel holds a third of the rows."""
     path = str(tmp_path_factory.mktemp("raw") / "t")
     panel = F.when(F.col("id") % 3 == 0, "hot").otherwise(
         F.concat(F.lit("p"), F.lpad((F.col("id") % 101).cast("string"), 3, "0")))
-    df = spark.range(0, 60_000, 1, 4).select(
+    df = spark.range(0, 108_000, 1, 4).select(
         panel.alias("Panel_id"), (F.col("id") % 400).cast("double").alias("power_panel"),
         F.lit(1).alias("current_status"),
         F.timestamp_seconds(F.lit(1705276800) + F.col("id") * 4).alias("time_data"))
@@ -35,20 +35,29 @@ def stored(spark, tmp_path_factory):
 def test_clustered_write_keeps_all_rows(spark, stored):
     df, path = stored
     back = spark.read.parquet(path)
-    assert back.count() == 60_000
+    assert back.count() == 108_000
     assert rows(back.groupBy("Panel_id").count()) == rows(df.groupBy("Panel_id").count())
     assert rows(back.select("day").distinct().withColumn("day", F.col("day").cast("string"))) == [
-        ("2024-01-15",), ("2024-01-16",), ("2024-01-17",)]
+        (f"2024-01-{day}",) for day in range(15, 20)]
 
 
 def test_lookup_is_pushed_and_range_prunes_days(spark, stored):
     back = spark.read.parquet(stored[1])
     text = scans(lookup.panel_rows(back, "p007"))
     assert "EqualTo(Panel_id,p007)" in text and "ReadSchema: struct<Panel_id" in text
-    near = lookup.around(back, "2024-01-16 12:00:00")
+    near = lookup.around(back, "2024-01-17 12:00:00")
     assert near.count() == 4501  # five hours at one row per 4 s, both ends
     assert "PartitionFilters: [isnotnull(day" in scans(near)
-    assert len(near.select(F.input_file_name()).distinct().collect()) < len(back.inputFiles())
+    assert near.select("day").distinct().count() == 1
+
+
+def test_window_range_keeps_the_window_that_ends_at_midnight(spark, tmp_path):
+    path = str(tmp_path / "w")
+    df = windows(spark, [("a", 1.0, "2024-01-14 23:59:30"), ("a", 2.0, "2024-01-15 00:00:00")])
+    tables.write_clustered(df, path, "window_start")
+    near = lookup.around(
+        spark.read.parquet(path), "2024-01-15 00:00:00", "0 hours", time="window_end")
+    assert rows(near, "total_power") == [(1.0,), (2.0,)]
 
 
 def test_scratch_follows_the_sessions_folder(spark):
@@ -58,15 +67,24 @@ def test_scratch_follows_the_sessions_folder(spark):
 
 
 class ClusterSession:
-    class sparkContext:
-        master = "yarn"
-
     class conf:
         @staticmethod
         def get(name, default=None):
-            return default
+            return {"spark.master": "yarn"}.get(name, default)
 
 
 def test_no_machine_local_scratch_on_a_cluster():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.scratch(ClusterSession, "x")
+
+
+def test_shuffles_grow_with_the_input_unless_set(spark, stored):
+    was = spark.conf.get(session.SHUFFLE_PARTITIONS)
+    try:
+        assert session.size_shuffles(spark, stored[1], partition_bytes=1) == int(was)
+        spark.conf.set(session.SHUFFLE_PARTITIONS, "200")
+        assert session.size_shuffles(spark, stored[1]) == 200
+        size = session.size_shuffles(spark, stored[1], partition_bytes=1000)
+        assert 200 < size == int(spark.conf.get(session.SHUFFLE_PARTITIONS))
+    finally:
+        spark.conf.set(session.SHUFFLE_PARTITIONS, was)
