@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sunmeter.functions.columns import expected_power
-from sunmeter.functions.wire import decode, encode
+from sunmeter.functions.wire import decode, encode, shift_event_time
 from sunmeter.operators import fleet, lookup, series
 from sunmeter.operators.quality import split_valid, to_raw
 from sunmeter.operators.windows import panel_power
 from sunmeter.plans import fixture
 from sunmeter.schema import (
-    EVENT_TIME, PANEL, POWER, STATUS, WINDOW_END, WINDOW_POWER, WINDOW_START,
+    EVENT_TIME, PANEL, POWER, STATUS, WINDOW_END, WINDOW_POWER,
 )
 from sunmeter.session import scratch
 from sunmeter.sinks.tables import write_clustered
@@ -23,10 +23,13 @@ WIDE_PANELS = ("0", "1", "2", "3", "4")
 
 
 def plain(rows: DataFrame, *digits: str) -> DataFrame:
-    """Results as they are compared: times without zone, named sums at 6 digits."""
+    """Results as they are compared: times without zone, decimals as doubles, named
+    sums at 6 digits."""
     def column(name: str, kind: str) -> Column:
         if kind == "timestamp":
             return F.col(name).cast("timestamp_ntz").alias(name)
+        if kind.startswith("decimal"):
+            return F.col(name).cast("double").alias(name)
         if name in digits:
             return F.round(name, 6).alias(name)
         return F.col(name)
@@ -58,6 +61,12 @@ def decode_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(decode(fixture.messages(fixture.readings(spark, sf_dir))))
 
 
+def wire_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and texts as published, heartbeats with their quoted zeros."""
+    sent = encode(fixture.readings(spark, sf_dir), True)
+    return sent.select(F.col("key").cast("string"), F.col("value").cast("string"))
+
+
 def wire_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(decode(encode(fixture.readings(spark, sf_dir))))
 
@@ -72,8 +81,14 @@ def rejected_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejects.select("partition", "raw_value")
 
 
+def shifted_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event times with the clocks of active panels set back by an hour."""
+    shifted = shift_event_time(fixture.readings(spark, sf_dir), "-1 hour")
+    return shifted.select(PANEL, POWER, STATUS, EVENT_TIME)
+
+
 def raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_raw(fixture.readings(spark, sf_dir))
+    return plain(to_raw(fixture.readings(spark, sf_dir)))
 
 
 def raw_readings_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +99,7 @@ def raw_readings_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.panel_rows(to_raw(fixture.readings(spark, sf_dir)), LOOKUP_PANEL)
+    return plain(lookup.panel_rows(to_raw(fixture.readings(spark, sf_dir)), LOOKUP_PANEL))
 
 
 def panel_lookup_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +107,7 @@ def panel_lookup_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel_power_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.panel_series(to_raw(fixture.readings(spark, sf_dir)))
+    return plain(series.panel_series(to_raw(fixture.readings(spark, sf_dir))))
 
 
 def panel_window_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,8 +189,8 @@ def expected_output_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     query.__name__: query
     for query in (
-        decode_readings, wire_roundtrip, accepted_readings, rejected_readings, raw_readings,
-        raw_readings_stored, panel_lookup, panel_lookup_json, panel_power_series,
+        decode_readings, wire_messages, wire_roundtrip, accepted_readings, rejected_readings,
+        shifted_readings, raw_readings, raw_readings_stored, panel_lookup, panel_lookup_json, panel_power_series,
         panel_window_series, readings_in_range, panel_power_window, panel_power_window_1h,
         fleet_power_window, fleet_power_from_wire, fleet_energy_window, fleet_energy_total,
         latest_panel_status, latest_panel_status_of_topic, latest_fleet_power, panel_power_histogram, fleet_power_histogram,

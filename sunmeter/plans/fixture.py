@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sunmeter.functions.wire import encode
 from sunmeter.schema import EVENT_TIME, PANEL, POWER, STATUS, STATUS_ACTIVE, STATUS_OFFLINE, TOPIC
-from sunmeter.session import is_local, prepare, size_shuffles
+from sunmeter.session import is_local, prepare, size_tasks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +18,7 @@ def events_session(spark: SparkSession, sf_dir: str) -> SparkSession:
     """The session, set up for the size of the events where it runs on a cluster."""
     prepare(spark)
     if not is_local(spark):
-        size_shuffles(spark, f"{sf_dir}/events.parquet")
+        size_tasks(spark, f"{sf_dir}/events.parquet")
     return spark
 
 
@@ -84,8 +84,10 @@ def slices(
         low = _time_at(span["first"] + i * width, rows)
         high = _time_at(span["first"] + (i + 1) * width, rows)
         near = F.col(EVENT_TIME).between(low, high + F.expr("INTERVAL '1' HOUR"))
-        part = rows.filter(near & (arrival >= low) & (arrival < high))
-        out.append(messages(part, arrival))
+        inside = near & (arrival >= low) & (arrival < high)
+        if i == count - 1:
+            inside = inside | arrival.isNull()
+        out.append(messages(rows.filter(inside), arrival))
     return out
 
 

@@ -38,11 +38,12 @@ def _curve(start: int, hours: int, exponent: int) -> str:
 
 _AGG = _windows()
 _STORED = "cast(power_panel as decimal(20,3))"
+_STORED_VALUE = f"cast({_STORED} as double)"
 _SECONDS = "strftime(time_data, '%Y-%m-%d %H:%M:%S')"
 
 _ALL_READINGS = READINGS + "select Panel_id, power_panel, current_status, time_data from readings"
 _ALL_RAW = READINGS + f"""
-  select Panel_id, {_STORED} as power_panel, current_status, time_data from readings"""
+  select Panel_id, {_STORED_VALUE} as power_panel, current_status, time_data from readings"""
 _ALL_WINDOWS = """
   select Panel_id, round(total_power, 6) as total_power, window_start, window_end from agg"""
 _FLEET = _AGG + "select window_end, round(total_power, 6) as total_power from fleet"
@@ -54,6 +55,16 @@ _LATEST = READINGS + """
   select Panel_id, arg_max(current_status, ingest_seq) as current_status
   from readings group by Panel_id"""
 
+_WIRE_TIME = f"""case when date_trunc('second', time_data) = time_data then {_SECONDS}
+              else strftime(time_data, '%Y-%m-%d %H:%M:%S.%f') end"""
+_WIRE = READINGS + f"""
+  select Panel_id as key,
+         '{{"Panel_id":"' || Panel_id || '","power_panel":'
+         || case when current_status = 0 then '"0"' else cast(power_panel as varchar) end
+         || ',"current_status":' || case when current_status = 0 then '"0"' else '1' end
+         || ',"time_data":"' || ({_WIRE_TIME}) || '"}}' as value
+  from readings"""
+
 _WIDE_COLUMNS = ", ".join(
     f"round(max(total_power) filter (where Panel_id = '{name}'), 6) as panel_{name}"
     for name in WIDE_PANELS
@@ -62,13 +73,19 @@ _WIDE_NAMES = ", ".join(f"'{name}'" for name in WIDE_PANELS)
 
 ORACLES = {
     "decode_readings": _ALL_READINGS,
+    "wire_messages": _WIRE,
     "wire_roundtrip": _ALL_READINGS,
     "accepted_readings": _ALL_READINGS,
     "rejected_readings": _REJECTS,
+    "shifted_readings": READINGS + """
+      select Panel_id, power_panel, current_status,
+             case when current_status = 1 then time_data - interval 1 hour else time_data end
+               as time_data
+      from readings""",
     "raw_readings": _ALL_RAW,
     "raw_readings_stored": _ALL_RAW,
     "panel_lookup": READINGS + f"""
-      select Panel_id, {_STORED} as power_panel, current_status, {_SECONDS} as time_data
+      select Panel_id, {_STORED_VALUE} as power_panel, current_status, {_SECONDS} as time_data
       from readings where Panel_id = '{LOOKUP_PANEL}'""",
     "panel_lookup_json": READINGS + f"""
       select '{{"Panel_id":"' || Panel_id || '","current_status":' || current_status
@@ -76,7 +93,7 @@ ORACLES = {
              || '"}}' as reading
       from readings where Panel_id = '{LOOKUP_PANEL}'""",
     "panel_power_series": READINGS + f"""
-      select time_data, {_STORED} as power_panel, Panel_id from readings
+      select time_data, {_STORED_VALUE} as power_panel, Panel_id from readings
       order by time_data, Panel_id, power_panel limit 5000000""",
     "panel_window_series": _AGG + """
       select window_end, round(total_power, 6) as total_power, Panel_id from agg
@@ -111,7 +128,7 @@ ORACLES = {
       from agg group by window_end""",
     "expected_output": _curve(12, 1, 30),
     "expected_output_day": _curve(9, 6, 1),
-    "stream_raw_readings": _ALL_READINGS,
+    "stream_raw_readings": _ALL_RAW,
     "stream_restart_exactly_once": _ALL_RAW,
     "stream_rejected_readings": _REJECTS,
     "stream_panel_power_append": _AGG + _ALL_WINDOWS + """

@@ -14,11 +14,10 @@ from sunmeter.operators.windows import latest_emission
 from sunmeter.plans import fixture
 from sunmeter.plans.batch import mixed_topic, plain
 from sunmeter.schema import (
-    EVENT_TIME, PANEL, POWER, STATUS, STATUS_SCHEMA, WINDOW_END, WINDOW_POWER, WINDOW_SCHEMA,
-    WINDOW_START,
+    PANEL, RAW_SCHEMA, STATUS, STATUS_SCHEMA, WINDOW_POWER, WINDOW_SCHEMA,
 )
 from sunmeter.session import scratch
-from sunmeter.sinks.tables import read_batches, read_raw, read_rejects
+from sunmeter.sinks.tables import read_batches, read_raw, read_rejects, read_windows
 from sunmeter.sources.messages import read_landing
 from sunmeter.streaming import jobs
 from sunmeter.streaming.replay import replay
@@ -72,7 +71,7 @@ def _status_job(messages: DataFrame, out: str, checkpoint: str) -> StreamingQuer
 
 def stream_raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = play(spark, "raw", _ordered(spark, sf_dir), _raw_job)
-    return plain(spark.read.parquet(out).select(PANEL, POWER, STATUS, EVENT_TIME))
+    return plain(spark.read.schema(RAW_SCHEMA).parquet(out).drop("day"))
 
 
 def stream_restart_exactly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +87,7 @@ def stream_rejected_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_panel_power_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = play(spark, "append", _ordered(spark, sf_dir), _append_job)
-    rows = spark.read.parquet(out).select(PANEL, WINDOW_POWER, WINDOW_START, WINDOW_END)
-    return plain(rows, WINDOW_POWER)
+    return plain(read_windows(spark, out).drop("day"), WINDOW_POWER)
 
 
 def stream_panel_power_update(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,12 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
 
-# Parquet bytes a shuffle partition should stand for; they grow severalfold in memory.
-PARTITION_BYTES = 64 * 1024 * 1024
+SPLIT_BYTES = "spark.sql.files.maxPartitionBytes"
+
+MB = 1024 * 1024
+SHUFFLE_BYTES = 256 * MB  # input a shuffle partition stands for
+MAX_SHUFFLE_PARTITIONS = 40_000
+MAX_SCAN_TASKS = 200_000
 
 _local_scratch: str | None = None
 
@@ -41,23 +45,27 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def size_shuffles(
-    spark: SparkSession, *paths: str, partition_bytes: int = PARTITION_BYTES,
-) -> int:
-    """Shuffle partitions for aggregates over all of ``paths``; returns their number.
+def size_tasks(spark: SparkSession, *paths: str) -> None:
+    """Number of scan and shuffle tasks for aggregates over all of ``paths``.
 
-    Only ever raises Spark's default of 200: a number the deployer has chosen
-    stays.  Call it before the first start of a stream too, whose checkpoint
-    fixes the number.  The files are listed, not read.
+    Both only ever grow, and only from Spark's defaults: what the deployer has
+    chosen stays.  They are bounded, as every map task keeps track of every
+    shuffle partition.  Call it before the first start of a stream too, whose
+    checkpoint fixes the number.  The files are listed, not read.
     """
-    now = int(spark.conf.get(SHUFFLE_PARTITIONS))
-    if now != 200:
-        return now
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
     total = files.agg(F.sum("length")).first()[0] or 0
-    wanted = max(now, -(-total // partition_bytes))
-    spark.conf.set(SHUFFLE_PARTITIONS, str(wanted))
-    return wanted
+    partitions, split = task_sizes(total)
+    if spark.conf.get(SHUFFLE_PARTITIONS) == "200":
+        spark.conf.set(SHUFFLE_PARTITIONS, str(partitions))
+    if spark.conf.get(SPLIT_BYTES) in ("128MB", "134217728", "134217728b"):
+        spark.conf.set(SPLIT_BYTES, f"{split}b")
+
+
+def task_sizes(total: int) -> tuple[int, int]:
+    """Shuffle partitions and bytes per scan task for ``total`` bytes of Parquet."""
+    partitions = min(max(200, -(-total // SHUFFLE_BYTES)), MAX_SHUFFLE_PARTITIONS)
+    return partitions, max(128 * MB, -(-total // MAX_SCAN_TASKS))
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -12,7 +12,7 @@ from sunmeter.functions.columns import stored_power
 from sunmeter.operators.quality import is_reject
 from sunmeter.schema import (
     EVENT_TIME, PANEL, PANEL_LENGTH, POWER, POWER_PRECISION, POWER_SCALE, RAW_SCHEMA, RAW_TABLE,
-    STATUS,
+    STATUS, WINDOW_SCHEMA,
 )
 
 VALID, REJECT = "valid", "reject"
@@ -27,6 +27,8 @@ BY_KIND_SCHEMA = T.StructType([
     T.StructField("day", T.DateType()),
 ])
 
+FINAL_SCHEMA = T.StructType([*WINDOW_SCHEMA.fields, T.StructField("day", T.DateType())])
+
 
 def create_raw_table(spark: SparkSession, name: str = RAW_TABLE) -> None:
     """K7: create the raw table if it is absent, by day."""
@@ -83,6 +85,11 @@ def read_rejects(spark: SparkSession, path: str) -> DataFrame:
     return read_by_kind(spark, path, REJECT).select("topic", "partition", "offset", "raw_value")
 
 
+def read_windows(spark: SparkSession, path: str) -> DataFrame:
+    """Final windows, each once."""
+    return spark.read.schema(FINAL_SCHEMA).parquet(path)
+
+
 def batch_folder(path: str, batch_id: int) -> str:
     return f"{path}/batch_id={batch_id}"
 

@@ -35,7 +35,7 @@ def start_raw(
     readings: DataFrame, path: str, checkpoint: str, trigger: Trigger | None = None,
 ) -> StreamingQuery:
     """Append valid readings to the raw table, each exactly once, by day."""
-    rows = with_day(readings.filter(is_valid()))
+    rows = with_day(to_raw(readings.filter(is_valid())))
     return (_writer(rows, checkpoint, "append", trigger)
             .partitionBy("day").format("parquet").start(path))
 

@@ -1,7 +1,7 @@
 """The whole pipeline over one topic: raw readings, rejects and window power.
 
-    spark-submit --packages <topic connector> -m sunmeter.streaming.pipeline \\
-        --brokers host1:9092,host2:9092 --root <shared folder>
+    spark-submit --packages <topic connector> --py-files sunmeter.zip \\
+        sunmeter/streaming/pipeline.py --brokers host1:9092,host2:9092 --root <shared folder>
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from sunmeter.functions.wire import decode
@@ -19,12 +18,10 @@ from sunmeter.operators.quality import is_valid
 from sunmeter.operators.windows import latest_emission
 from sunmeter.schema import TOPIC, WATERMARK_DELAY, WINDOW_END, WINDOW_SCHEMA
 from sunmeter.session import prepare
-from sunmeter.sinks.tables import read_batches, read_raw, read_rejects
+from sunmeter.sinks.tables import read_batches, read_raw, read_rejects, read_windows
 from sunmeter.sources.messages import read_topic, topic_options
 from sunmeter.streaming import jobs
 
-FINAL_SCHEMA = T.StructType([*WINDOW_SCHEMA.fields, T.StructField("day", T.DateType())])
-
 
 def starts(
     messages: DataFrame, root: str, delay: str = WATERMARK_DELAY,
@@ -58,8 +55,8 @@ class Tables:
         return read_rejects(self.spark, f"{self.root}/readings")
 
     def final_windows(self) -> DataFrame:
-        """Closed windows, each once."""
-        return self.spark.read.schema(FINAL_SCHEMA).parquet(f"{self.root}/windows_final")
+        """Closed windows."""
+        return read_windows(self.spark, f"{self.root}/windows_final")
 
     def current_windows(self) -> DataFrame:
         """All windows with their newest value, open ones too.
