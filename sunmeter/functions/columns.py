@@ -59,7 +59,7 @@ def expected_power(
         raise ValueError("the curve needs a non-zero span")
     start = start_hour * 3600 + start_minute * 60
     slope = hours * 0.5 / half_span
-    second = F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time).cast("int")
+    second = F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time)
     x = (second - start) * F.lit(slope) - hours * 0.5
     peak = peak if isinstance(peak, Column) else F.lit(float(peak))
     return peak / F.pow(F.cosh(x), F.lit(float(exponent)))

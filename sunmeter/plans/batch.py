@@ -131,6 +131,12 @@ def fleet_power_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(fleet.fleet_power(_windows(spark, sf_dir)), WINDOW_POWER)
 
 
+def fleet_power_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a dashboard shows at one moment: the fleet over the last hours."""
+    shown = lookup.around(_windows(spark, sf_dir), AS_OF, time=WINDOW_END)
+    return plain(fleet.fleet_power(shown), WINDOW_POWER)
+
+
 def fleet_power_from_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way: topic, decode, valid rows, windows, fleet."""
     valid, _ = split_valid(decode(mixed_topic(spark, sf_dir)))
@@ -192,7 +198,7 @@ QUERIES = {
         decode_readings, wire_messages, wire_roundtrip, accepted_readings, rejected_readings,
         shifted_readings, raw_readings, raw_readings_stored, panel_lookup, panel_lookup_json, panel_power_series,
         panel_window_series, readings_in_range, panel_power_window, panel_power_window_1h,
-        fleet_power_window, fleet_power_from_wire, fleet_energy_window, fleet_energy_total,
+        fleet_power_window, fleet_power_in_range, fleet_power_from_wire, fleet_energy_window, fleet_energy_total,
         latest_panel_status, latest_panel_status_of_topic, latest_fleet_power, panel_power_histogram, fleet_power_histogram,
         panel_power_wide, expected_output, expected_output_day,
     )

@@ -41,6 +41,9 @@ _STORED = "cast(power_panel as decimal(20,3))"
 _STORED_VALUE = f"cast({_STORED} as double)"
 _SECONDS = "strftime(time_data, '%Y-%m-%d %H:%M:%S')"
 
+_SHOWN = f"""between timestamp '{AS_OF}' - interval 4 hour
+                          and timestamp '{AS_OF}' + interval 1 hour"""
+
 _ALL_READINGS = READINGS + "select Panel_id, power_panel, current_status, time_data from readings"
 _ALL_RAW = READINGS + f"""
   select Panel_id, {_STORED_VALUE} as power_panel, current_status, time_data from readings"""
@@ -100,11 +103,11 @@ ORACLES = {
       order by window_end, Panel_id, total_power limit 500000""",
     "readings_in_range": READINGS + f"""
       select Panel_id, power_panel, current_status, time_data from readings
-      where time_data between timestamp '{AS_OF}' - interval 4 hour
-                          and timestamp '{AS_OF}' + interval 1 hour""",
+      where time_data {_SHOWN}""",
     "panel_power_window": _AGG + _ALL_WINDOWS,
     "panel_power_window_1h": _windows("1 hour") + _ALL_WINDOWS,
     "fleet_power_window": _FLEET,
+    "fleet_power_in_range": _FLEET + f" where window_end {_SHOWN}",
     "fleet_power_from_wire": _FLEET,
     "fleet_energy_window": _AGG + """
       select window_end, round(total_power * 0.0083333333e0, 6) as energy_wh from fleet""",

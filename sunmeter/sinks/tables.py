@@ -94,10 +94,19 @@ def batch_folder(path: str, batch_id: int) -> str:
     return f"{path}/batch_id={batch_id}"
 
 
-def write_batches(path: str) -> Callable[[DataFrame, int], None]:
+def in_files(rows: DataFrame, files: int | None) -> DataFrame:
+    """Rows gathered into ``files`` files; None leaves one for each task.
+
+    A stateful stream has a task per state partition, whose output per batch is
+    small: the extra shuffle moves that output only, the state stays put.
+    """
+    return rows if files is None else rows.repartition(files)
+
+
+def write_batches(path: str, files: int | None = None) -> Callable[[DataFrame, int], None]:
     """A per-batch callback; a batch tried again replaces its own folder."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(batch_folder(path, batch_id))
+        in_files(batch, files).write.mode("overwrite").parquet(batch_folder(path, batch_id))
 
     return write
 

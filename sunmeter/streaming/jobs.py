@@ -20,7 +20,7 @@ from sunmeter.operators.fleet import latest_status
 from sunmeter.operators.quality import is_valid, to_raw
 from sunmeter.operators.windows import panel_power, with_lateness
 from sunmeter.schema import WATERMARK_DELAY, WINDOW_DURATION, WINDOW_START
-from sunmeter.sinks.tables import by_kind, with_day, write_batches
+from sunmeter.sinks.tables import by_kind, in_files, with_day, write_batches
 
 Trigger = dict[str, object]
 ALL_AVAILABLE: Trigger = {"availableNow": True}
@@ -64,11 +64,11 @@ def start_ingest(
 
 def start_panel_power_append(
     readings: DataFrame, path: str, checkpoint: str, delay: str = WATERMARK_DELAY,
-    duration: str = WINDOW_DURATION, trigger: Trigger | None = None,
+    duration: str = WINDOW_DURATION, trigger: Trigger | None = None, files: int | None = None,
 ) -> StreamingQuery:
     """Each window once, when the watermark has passed its end."""
     rows = with_day(panel_power(with_lateness(readings, delay), duration), WINDOW_START)
-    return (_writer(rows, checkpoint, "append", trigger)
+    return (_writer(in_files(rows, files), checkpoint, "append", trigger)
             .partitionBy("day").format("parquet").start(path))
 
 

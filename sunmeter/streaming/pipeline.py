@@ -17,17 +17,22 @@ from sunmeter.functions.wire import decode
 from sunmeter.operators.quality import is_valid
 from sunmeter.operators.windows import latest_emission
 from sunmeter.schema import TOPIC, WATERMARK_DELAY, WINDOW_END, WINDOW_SCHEMA
-from sunmeter.session import prepare
-from sunmeter.sinks.tables import read_batches, read_raw, read_rejects, read_windows
+from sunmeter.session import SHUFFLE_PARTITIONS, prepare
+from sunmeter.sinks.tables import (
+    read_batches, read_raw, read_rejects, read_windows, write_batches,
+)
 from sunmeter.sources.messages import read_topic, topic_options
 from sunmeter.streaming import jobs
 
 
 def starts(
     messages: DataFrame, root: str, delay: str = WATERMARK_DELAY,
-    trigger: jobs.Trigger | None = None,
+    trigger: jobs.Trigger | None = None, files: int | None = None,
 ) -> dict[str, Callable[[], StreamingQuery]]:
-    """How to start each query; every one has its table and checkpoint below ``root``."""
+    """How to start each query; every one has its table and checkpoint below ``root``.
+
+    ``files`` is the number of files a batch adds to each window table.
+    """
     readings = decode(messages).filter(is_valid())
 
     def places(name: str) -> tuple[str, str]:
@@ -36,9 +41,10 @@ def starts(
     return {
         "ingest": lambda: jobs.start_ingest(messages, *places("readings"), trigger),
         "update": lambda: jobs.start_panel_power_update(
-            readings, *places("windows_update"), delay, trigger=trigger),
+            readings, *places("windows_update"), delay, trigger=trigger,
+            write=write_batches(f"{root}/windows_update", files)),
         "append": lambda: jobs.start_panel_power_append(
-            readings, *places("windows_final"), delay, trigger=trigger),
+            readings, *places("windows_final"), delay, trigger=trigger, files=files),
     }
 
 
@@ -81,13 +87,17 @@ def main() -> None:
     options.add_argument("--delay", default=WATERMARK_DELAY)
     options.add_argument("--every", default="30 seconds")
     options.add_argument("--max-offsets", type=int, default=50_000_000)
+    options.add_argument("--files", type=int, help="files a batch adds to a window table")
+    options.add_argument("--state-partitions", type=int, help="fixed by the first start")
     given = options.parse_args()
     spark = prepare(SparkSession.builder.appName("sunmeter").getOrCreate())
+    if given.state_partitions:
+        spark.conf.set(SHUFFLE_PARTITIONS, str(given.state_partitions))
     source = topic_options(
         given.brokers.split(","), given.topic, maxOffsetsPerTrigger=given.max_offsets)
     every = {"processingTime": given.every}
     jobs.supervise(
-        spark, starts(read_topic(spark, source), given.root, given.delay, every))
+        spark, starts(read_topic(spark, source), given.root, given.delay, every, given.files))
 
 
 if __name__ == "__main__":

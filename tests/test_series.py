@@ -10,9 +10,9 @@ def brute(data, n):
     return sorted(sorted(data, key=lambda r: (r[0] is None, r[0] or "", r[1], r[2]))[:n], key=repr)
 
 
-def frame(spark, data):
+def frame(spark, data, kind="timestamp"):
     return spark.createDataFrame(data, "t string, p string, w double").withColumn(
-        "t", F.col("t").cast("timestamp")).repartition(5)
+        "t", F.col("t").cast(kind)).repartition(5)
 
 
 def spread(seed):
@@ -35,6 +35,13 @@ def test_first_rows_equal_sort_and_limit(spark, n, one_task):
     assert rows(got) == brute(data, n)
 
 
+def test_times_without_a_zone(spark):
+    data = spread(1)
+    got = series.first_rows(frame(spark, data, "timestamp_ntz"), 200, "t", "p", "w", one_task=0)
+    assert got.schema["t"].dataType.typeName() == "timestamp_ntz"
+    assert rows(got) == brute(data, 200)
+
+
 def test_all_rows_alike(spark):
     data = [("2024-01-15 12:00:00", "hot", 0.0)] * 50
     got = series.first_rows(frame(spark, data), 7, "t", "p", "w", one_task=0)

@@ -177,7 +177,7 @@ def test_raw_batches_in_stored_form(spark, site):
 
 def test_pipeline_feeds_all_tables(spark, site):
     def starts():
-        return pipeline.starts(site.stream(), site.out, trigger=NOW)
+        return pipeline.starts(site.stream(), site.out, trigger=NOW, files=1)
 
     for batch in ([at(0, power=10.0), "nope"], [at(0, 20, power=20.0), at(9, hour=14)]):
         site.batch(*batch).write.mode("append").parquet(site.landing)
@@ -188,6 +188,7 @@ def test_pipeline_feeds_all_tables(spark, site):
     assert rows(tables_of.current_windows(), "total_power", "window_end") == [
         (1.0, "2024-01-15 14:09:30"), (15.0, "2024-01-15 12:00:30")]
     assert rows(tables_of.final_windows(), "total_power") == [(15.0,)]
+    assert len(tables_of.final_windows().inputFiles()) == 1
 
 
 def test_current_windows_before_any_is_final(spark, site):
