@@ -51,12 +51,16 @@ def write_clustered(rows: DataFrame, path: str, time: str = EVENT_TIME) -> None:
     """Batch write by day, within a day in order of panel and time.
 
     Range partitioning cuts by size: a day or a panel that holds much of the
-    table is spread over many files, and small ones share a file.  Sorted by
-    panel, the row groups' minima and maxima let a lookup skip almost all.
+    table is spread over many files, and small ones share a file.  The input
+    partition is the last key, so that even copies of a single row are split.
+    Sorted by panel, the row groups' minima and maxima let a lookup skip almost
+    all.
     """
     order = ["day", PANEL, time]
     (with_day(rows, time)
-        .repartitionByRange(*order)
+        .withColumn("input_partition", F.spark_partition_id())
+        .repartitionByRange(*order, "input_partition")
+        .drop("input_partition")
         .sortWithinPartitions(*order)
         .write.partitionBy("day").mode("overwrite").parquet(path))
 

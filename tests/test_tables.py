@@ -41,6 +41,22 @@ def test_clustered_write_keeps_all_rows(spark, stored):
         (f"2024-01-{day}",) for day in range(15, 20)]
 
 
+def test_copies_of_one_row_are_spread(spark, tmp_path):
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    copies = spark.range(0, 20_000, 1, 8).select(
+        F.lit("hot").alias("Panel_id"), F.lit(0.0).alias("power_panel"),
+        F.lit(0).alias("current_status"),
+        F.lit("1970-01-01 00:00:00").cast("timestamp").alias("time_data"))
+    try:
+        spark.conf.set(coalesce, "false")
+        tables.write_clustered(to_raw(copies), str(tmp_path / "t"))
+    finally:
+        spark.conf.set(coalesce, "true")
+    per_file = spark.read.parquet(str(tmp_path / "t")).groupBy(F.input_file_name()).count()
+    sizes = [r["count"] for r in per_file.collect()]
+    assert sum(sizes) == 20_000 and len(sizes) == 4 and max(sizes) < 10_000
+
+
 def test_lookup_is_pushed_and_range_prunes_days(spark, stored):
     back = spark.read.parquet(stored[1])
     text = scans(lookup.panel_rows(back, "p007"))
