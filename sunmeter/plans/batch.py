@@ -196,10 +196,11 @@ QUERIES = {
     query.__name__: query
     for query in (
         decode_readings, wire_messages, wire_roundtrip, accepted_readings, rejected_readings,
-        shifted_readings, raw_readings, raw_readings_stored, panel_lookup, panel_lookup_json, panel_power_series,
-        panel_window_series, readings_in_range, panel_power_window, panel_power_window_1h,
-        fleet_power_window, fleet_power_in_range, fleet_power_from_wire, fleet_energy_window, fleet_energy_total,
-        latest_panel_status, latest_panel_status_of_topic, latest_fleet_power, panel_power_histogram, fleet_power_histogram,
-        panel_power_wide, expected_output, expected_output_day,
+        shifted_readings, raw_readings, raw_readings_stored, panel_lookup, panel_lookup_json,
+        panel_power_series, panel_window_series, readings_in_range, panel_power_window,
+        panel_power_window_1h, fleet_power_window, fleet_power_in_range, fleet_power_from_wire,
+        fleet_energy_window, fleet_energy_total, latest_panel_status,
+        latest_panel_status_of_topic, latest_fleet_power, panel_power_histogram,
+        fleet_power_histogram, panel_power_wide, expected_output, expected_output_day,
     )
 }

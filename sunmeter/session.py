@@ -34,8 +34,9 @@ def prepare(spark: SparkSession) -> SparkSession:
 
     Wire times carry no zone, so the session zone decides what they mean: UTC.
     State goes to RocksDB, which keeps it off the JVM heap when there are many
-    panels, and a batch saves its changes only, not whole snapshots.  The partition count is touched only on a local master that still
-    has Spark's default of 200.
+    panels, and a batch saves its changes only, not whole snapshots.  The
+    partition count is touched only on a local master that still has Spark's
+    default of 200.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set(STATE_STORE, ROCKSDB)
