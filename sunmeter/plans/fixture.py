@@ -7,28 +7,20 @@ from pyspark.sql import functions as F
 
 from sunmeter.functions.wire import encode
 from sunmeter.schema import EVENT_TIME, PANEL, POWER, STATUS, STATUS_ACTIVE, STATUS_OFFLINE, TOPIC
-from sunmeter.session import is_local, prepare, size_tasks
+from sunmeter.session import prepare
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events_session(spark: SparkSession, sf_dir: str) -> SparkSession:
-    """The session, set up for the size of the events where it runs on a cluster."""
-    prepare(spark)
-    if not is_local(spark):
-        size_tasks(spark, f"{sf_dir}/events.parquet")
-    return spark
-
-
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as readings: an error event is an offline panel.
 
     ``ingest_seq`` is the order of arrival.  The time stays without a zone, as
     the table has it, so ranges of it are compared on the stored column.
     """
-    return to_readings(table(events_session(spark, sf_dir), sf_dir, "events"))
+    return to_readings(table(prepare(spark), sf_dir, "events"))
 
 
 def to_readings(events: DataFrame) -> DataFrame:

@@ -16,13 +16,14 @@ from sunmeter.plans.batch import mixed_topic, plain
 from sunmeter.schema import (
     PANEL, RAW_SCHEMA, STATUS, STATUS_SCHEMA, WINDOW_POWER, WINDOW_SCHEMA,
 )
-from sunmeter.session import scratch
+from sunmeter.session import SHUFFLE_PARTITIONS, scratch
 from sunmeter.sinks.tables import read_batches, read_raw, read_rejects, read_windows
 from sunmeter.sources.messages import read_landing
 from sunmeter.streaming import jobs
 from sunmeter.streaming.replay import replay
 
 STEPS = 3
+STATE_PARTITIONS = 8
 LATE_STEPS = 6
 
 # job(stream of messages, output path, checkpoint) -> running query
@@ -32,14 +33,23 @@ Job = Callable[[DataFrame, str, str], StreamingQuery]
 def play(
     spark: SparkSession, name: str, slices: list[DataFrame], job: Job,
 ) -> tuple[str, list[StreamingQuery]]:
-    """Run ``job`` over the slices; its output path and the finished runs."""
+    """Run ``job`` over the slices; its output path and the finished runs.
+
+    A stateful query has ``STATE_PARTITIONS`` partitions of state, whatever the
+    batch setting is: the first start of a checkpoint fixes the number.
+    """
     root = scratch(spark, name)
     landing, out, checkpoint = f"{root}/landing", f"{root}/out", f"{root}/checkpoint"
 
     def start() -> StreamingQuery:
         return job(read_landing(spark, landing), out, checkpoint)
 
-    return out, replay(slices, landing, start)
+    batch = spark.conf.get(SHUFFLE_PARTITIONS)
+    spark.conf.set(SHUFFLE_PARTITIONS, STATE_PARTITIONS)
+    try:
+        return out, replay(slices, landing, start)
+    finally:
+        spark.conf.set(SHUFFLE_PARTITIONS, batch)
 
 
 def _ordered(spark: SparkSession, sf_dir: str, steps: int = STEPS) -> list[DataFrame]:

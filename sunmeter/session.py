@@ -2,91 +2,36 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
 
-SPLIT_BYTES = "spark.sql.files.maxPartitionBytes"
-
-MB = 1024 * 1024
-SHUFFLE_BYTES = 256 * MB  # input a shuffle partition stands for
-MAX_SHUFFLE_PARTITIONS = 40_000
-MAX_SCAN_TASKS = 200_000
-
-_local_scratch: str | None = None
-
-
-def is_local(spark: SparkSession) -> bool:
-    return spark.conf.get("spark.master", "").startswith("local")
-
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set what results depend on; leave sizing to the deployer.
+    """Set what results depend on; sizing is the deployer's and the adaptive planner's.
 
     Wire times carry no zone, so the session zone decides what they mean: UTC.
     State goes to RocksDB, which keeps it off the JVM heap when there are many
-    panels, and a batch saves its changes only, not whole snapshots.  The
-    partition count is touched only on a local master that still has Spark's
-    default of 200.
+    panels, and a batch saves its changes only, not whole snapshots.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set(STATE_STORE, ROCKSDB)
     spark.conf.set(CHANGELOG, "true")
-    if is_local(spark) and spark.conf.get(SHUFFLE_PARTITIONS) == "200":
-        spark.conf.set(SHUFFLE_PARTITIONS, str(spark.sparkContext.defaultParallelism))
     return spark
 
 
-def size_tasks(spark: SparkSession, *paths: str) -> None:
-    """Number of scan and shuffle tasks for aggregates over all of ``paths``.
-
-    Both only ever grow, and only from Spark's defaults: what the deployer has
-    chosen stays.  They are bounded, as every map task keeps track of every
-    shuffle partition.  Call it before the first start of a stream too, whose
-    checkpoint fixes the number.  The files are listed, not read.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
-    total = files.agg(F.sum("length")).first()[0] or 0
-    partitions, split = task_sizes(total)
-    if spark.conf.get(SHUFFLE_PARTITIONS) == "200":
-        spark.conf.set(SHUFFLE_PARTITIONS, str(partitions))
-    if spark.conf.get(SPLIT_BYTES) in ("128MB", "134217728", "134217728b"):
-        spark.conf.set(SPLIT_BYTES, f"{split}b")
-
-
-def task_sizes(total: int) -> tuple[int, int]:
-    """Shuffle partitions and bytes per scan task for ``total`` bytes of Parquet."""
-    partitions = min(max(200, -(-total // SHUFFLE_BYTES)), MAX_SHUFFLE_PARTITIONS)
-    return partitions, max(128 * MB, -(-total // MAX_SCAN_TASKS))
-
-
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``, the folder all executors share.
+    """A fresh path in the folder all executors share.
 
-    Only a local master may do without that setting (it then gets a temporary
-    folder of this process); on a cluster a machine-local folder would be lost
-    with its machine, so that is an error.
+    That is ``spark.checkpoint.dir``; a session without one, as in tests, uses its
+    warehouse, which is shared by the same rule.  Old runs are the deployer's to
+    remove, by the age of their folders.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not is_local(spark):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = _process_folder()
+    root = root or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
     return f"{root.rstrip('/')}/sunmeter/{name}-{uuid.uuid4().hex}"
-
-
-def _process_folder() -> str:
-    global _local_scratch
-    if _local_scratch is None:
-        _local_scratch = tempfile.mkdtemp(prefix="sunmeter-")
-        atexit.register(shutil.rmtree, _local_scratch, ignore_errors=True)
-    return _local_scratch

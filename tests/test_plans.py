@@ -7,11 +7,12 @@ import __spark_entry__ as entries
 from sunmeter.functions.wire import decode
 from sunmeter.operators.quality import split_valid
 from sunmeter.operators.windows import panel_power
+from sunmeter.plans import oracles
 from sunmeter.schema import MESSAGE_SCHEMA
 from sunmeter.sinks.tables import by_kind
 
 SF = "/root/testdata/sf0.001"
-LAZY = [name for name in entries.queries()
+LAZY = [name for name in oracles.ORACLES
         if name.startswith(("fleet", "panel_power_w", "panel_power_h", "latest"))]
 
 

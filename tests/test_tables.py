@@ -82,53 +82,11 @@ def test_scratch_follows_the_sessions_folder(spark):
     assert one.startswith(root + "/") and one != two
 
 
-class ClusterSession:
-    class conf:
-        @staticmethod
-        def get(name, default=None):
-            return {"spark.master": "yarn"}.get(name, default)
-
-
-def test_no_machine_local_scratch_on_a_cluster():
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        session.scratch(ClusterSession, "x")
-
-
-def test_task_sizes():
-    mb, tb = session.MB, 1024 ** 4
-    assert session.task_sizes(0) == (200, 128 * mb)
-    assert session.task_sizes(tb) == (4096, 128 * mb)
-    assert session.task_sizes(100 * tb) == (40_000, -(-100 * tb // 200_000))
-
-
-def test_sizes_set_by_the_deployer_stay(spark, stored):
-    was = spark.conf.get(session.SHUFFLE_PARTITIONS)
-    session.size_tasks(spark, stored[1])
-    assert spark.conf.get(session.SHUFFLE_PARTITIONS) == was
-    split = spark.conf.get(session.SPLIT_BYTES)
-    try:
-        spark.conf.set(session.SHUFFLE_PARTITIONS, "200")
-        spark.conf.set(session.SPLIT_BYTES, "1GB")
-        session.size_tasks(spark, stored[1])
-        assert spark.conf.get(session.SHUFFLE_PARTITIONS) == "200"
-        assert spark.conf.get(session.SPLIT_BYTES) == "1GB"
-    finally:
-        spark.conf.set(session.SHUFFLE_PARTITIONS, was)
-        spark.conf.set(session.SPLIT_BYTES, split)
-
-
-def test_defaults_grow_with_the_input(spark, stored, monkeypatch):
-    monkeypatch.setattr(session, "SHUFFLE_BYTES", 1000)
-    monkeypatch.setattr(session, "MAX_SCAN_TASKS", 1)
-    monkeypatch.setattr(session, "MB", 1)
-    was = spark.conf.get(session.SHUFFLE_PARTITIONS)
-    split = spark.conf.get(session.SPLIT_BYTES)
-    try:
-        spark.conf.set(session.SHUFFLE_PARTITIONS, "200")
-        session.size_tasks(spark, stored[1])
-        assert int(spark.conf.get(session.SHUFFLE_PARTITIONS)) > 200
-        assert spark.conf.get(session.SPLIT_BYTES) != split
-        assert spark.read.parquet(stored[1]).count() == 108_000
-    finally:
-        spark.conf.set(session.SHUFFLE_PARTITIONS, was)
-        spark.conf.set(session.SPLIT_BYTES, split)
+def test_scratch_without_a_checkpoint_folder_is_in_the_warehouse():
+    class Session:
+        class conf:
+            @staticmethod
+            def get(name, default=None):
+                return {"spark.sql.warehouse.dir": "hdfs://n/w"}.get(name, default)
+
+    assert session.scratch(Session, "x").startswith("hdfs://n/w/scratch/sunmeter/x-")
