@@ -24,18 +24,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches that fit in memory even where each text has megabytes.
+
+    Only Spark's own default is replaced; what the deployer has chosen stays.
+    """
+    if spark.conf.get(BATCH_ROWS) == DEFAULT_BATCH_ROWS:
+        spark.conf.set(BATCH_ROWS, TEXT_BATCH_ROWS)
+
+
 def flat_map_rows(
     rows: DataFrame, per_task: Callable[[], Callable[..., Iterable[tuple]]], ddl: str,
 ) -> DataFrame:
     """The tuples that a Python function makes of each row's columns, in any number.
 
     ``per_task`` makes the function once for each task, so what it compiles serves
-    all rows of the task.  Rows go to Python in batches that fit in memory even
-    where each text has megabytes; only Spark's own default size is replaced.
+    all rows of the task.
     """
-    spark = rows.sparkSession
-    if spark.conf.get(BATCH_ROWS) == DEFAULT_BATCH_ROWS:
-        spark.conf.set(BATCH_ROWS, TEXT_BATCH_ROWS)
+    small_batches(rows.sparkSession)
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from sunmeter.llm import licenses
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 QUALITY = rf"""
@@ -46,4 +48,52 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from judged
 """
 
-ORACLES = {"op4_quality_rules": QUALITY}
+
+
+def _pattern(parts: list[tuple]) -> str:
+    """A template as a pattern over words that each end in a space."""
+    out = ""
+    for part in parts:
+        if part[0] == "word":
+            out += part[1] + " "
+        elif part[0] == "optional":
+            out += f"(?:{_pattern(part[1])})?"
+        else:
+            out += f"(?:[^ ]+ ){{{part[1]},{part[2]}}}"
+    return out
+
+
+def _licenses() -> str:
+    places, base, own = [], [], []
+    for t in licenses.BASE_PHRASES:
+        words = [word for _, word in licenses.parse(t)]
+        places.append(" and ".join(
+            f"coalesce(w[i + {k}] = '{word}', false)" for k, word in enumerate(words)))
+    for templates, out in ((licenses.BASE_PHRASES, base), (licenses.LICENSE_TEMPLATES, own)):
+        for t in templates:
+            out.append(f"case when regexp_matches(padded, ' {_pattern(licenses.parse(t))}') "
+                       f"then '{t.label}' end")
+
+    def labels(cases: list[str]) -> str:
+        found = f"list_filter([{', '.join(cases)}], lambda x: x is not null)"
+        return f"array_to_string(list_sort(list_distinct({found})), ',')"
+
+    return rf"""
+with words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '{licenses.LICENSE_WORD}') as w
+  from documents),
+places as (
+  select doc_id, w, ' ' || array_to_string(w, ' ') || ' ' as padded,
+         list_filter(generate_series(1, len(w)), lambda i: {" or ".join(f"({x})" for x in places)})
+           as found
+  from words)
+select doc_id, len(w)::bigint as n_words, len(found)::bigint as n_base,
+       list_min(found)::bigint - 1 as first_word, list_max(found)::bigint - 1 as last_word,
+       {labels(base)} as base_labels, {labels(base + own)} as labels,
+       case when {labels(own)} <> '' then 1e0 when len(found) > 0 then 0.5e0 else 0e0 end as score
+from places
+"""
+
+
+ORACLES = {"op1_license_scan": _licenses(), "op4_quality_rules": QUALITY}

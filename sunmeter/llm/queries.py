@@ -2,12 +2,38 @@
 
 from __future__ import annotations
 
+import importlib
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sunmeter.llm import oracles, quality
+from sunmeter.llm import bpe, licenses, oracles, quality, secrets
 from sunmeter.llm.common import table
 
 
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizers lie; read by the driver only."""
+    return importlib.import_module("public_tokenizers").path(name)
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``score`` is 1 where a license's own wording was accepted, 0.5 for a base phrase only."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("matches", lambda m: m["base"])
+
+    def labels(matches):
+        return F.array_join(F.array_sort(F.array_distinct(
+            F.transform(matches, lambda m: m["label"]))), ",")
+
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda m: m["first"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda m: m["first"])).alias("last_word"),
+        labels(base).alias("base_labels"), labels(F.col("matches")).alias("labels"),
+        F.when(F.exists("matches", lambda m: ~m["base"]), 1.0)
+        .when(F.size("matches") > 0, 0.5).otherwise(0.0).alias("score"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents"))
     rows = quality.apply_policy(rows).withColumn("base_failed", quality.fails("base"))
@@ -16,5 +42,30 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept", "failed_bits")
 
 
-QUERIES = {query.__name__: query for query in (op4_quality_rules,)}
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
+    plain = F.transform("spans", lambda s: F.struct(s["kind"], s["start"], s["end"]))
+    return found.select(
+        "doc_id", *[count(kind).alias(f"n_{kind}") for kind in secrets.BASE_KINDS],
+        F.sha2(secrets.joined_text(base), 256).alias("base_sha256"),
+        secrets.joined_text(secrets.ordered(F.concat(plain, "live_spans"))).alias("spans"),
+        F.size("live_spans").cast("long").alias("n_live"))
+
+
+def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.load_vocabulary(vocabulary_path())
+    rows = bpe.encode(table(spark, sf_dir, "documents"), vocabulary)
+    return rows.select(
+        "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {query.__name__: query for query in (
+    op1_license_scan, op4_quality_rules, op8_secret_scan, op9_bpe_codec,
+)}
 ORACLES = oracles.ORACLES
