@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunmeter.llm import bpe, licenses, oracles, quality, secrets
+from sunmeter.llm import bpe, licenses, oracles, quality, secrets, simhash
 from sunmeter.llm.common import table
 
 
@@ -42,6 +42,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept", "failed_bits")
 
 
+def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
+        "component_id")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -66,6 +73,6 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {query.__name__: query for query in (
-    op1_license_scan, op4_quality_rules, op8_secret_scan, op9_bpe_codec,
+    op1_license_scan, op4_quality_rules, op5_simhash_groups, op8_secret_scan, op9_bpe_codec,
 )}
 ORACLES = oracles.ORACLES
