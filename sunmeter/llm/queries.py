@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunmeter.llm import bpe, licenses, oracles, quality, secrets, simhash
+from sunmeter.llm import bpe, licenses, mixing, oracles, quality, secrets, simhash
 from sunmeter.llm.common import table
 
 
@@ -49,6 +49,11 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         "component_id")
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.plan(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "copies", "n_blocks")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -73,6 +78,6 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {query.__name__: query for query in (
-    op1_license_scan, op4_quality_rules, op5_simhash_groups, op8_secret_scan, op9_bpe_codec,
+    op1_license_scan, op4_quality_rules, op5_simhash_groups, op7_source_mix, op8_secret_scan, op9_bpe_codec,
 )}
 ORACLES = oracles.ORACLES

@@ -1,0 +1,107 @@
+"""Quotas by a plain Sainte-Laguë, targets by a plain loop, and the words the mix has."""
+
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from sunmeter.llm import mixing
+
+DOCS = "doc_id long, text string, source string"
+
+
+def quotas(votes, seats):
+    won = Counter()
+    for _ in range(seats):
+        best = max(votes, key=lambda k: (votes[k] / (2 * won[k] + 1), [-x for x in [k]]))
+        won[best] += 1
+    return {k: won[k] for k in votes}
+
+
+@pytest.mark.parametrize("votes,seats", [
+    ([5, 3, 1], 7), ([10, 10, 10], 4), ([1, 0, 99], 50), ([7], 3), ([0, 0], 5), ([53, 24, 23], 100)])
+def test_apportion(spark, votes, seats):
+    parties = spark.createDataFrame(list(enumerate(votes)), "party long, votes long")
+    got = {r["party"]: r["quota"] for r in mixing.apportion(
+        parties, "votes", F.lit(seats), []).collect()}
+    want = quotas(dict(enumerate(votes)), seats) if any(votes) else dict.fromkeys(range(2), 0)
+    assert got == want
+
+
+def test_apportion_of_large_numbers_needs_few_quotients(spark):
+    parties = spark.createDataFrame([(1, 10**15), (2, 3 * 10**15)], "party long, votes long")
+    got = mixing.apportion(parties, "votes", F.lit(10**12), [])
+    assert {r["party"]: r["quota"] for r in got.collect()} == {1: 25 * 10**10, 2: 75 * 10**10}
+
+
+def plain_targets(sizes):
+    names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    weight = {n: (1, 2, 3)[i % 3] for i, n in enumerate(names)}
+    total, still, out = sum(sizes.values()), set(names), {}
+    while still:
+        rest = total - sum(out.values())
+        per = rest / sum(weight[n] for n in still)
+        over = [n for n in still if per * weight[n] > 3 * sizes[n] + 1e-9]
+        if not over:
+            return out | {n: per * weight[n] for n in still}
+        out |= {n: 3 * sizes[n] for n in over}
+        still -= set(over)
+    return out
+
+
+@pytest.mark.parametrize("sizes", [
+    {"a": 100, "b": 100, "c": 100}, {"a": 1000, "b": 1, "c": 2, None: 50},
+    {"a": 0, "b": 10}, {"é": 5, "z": 500, "A": 3}, {"a": 0}])
+def test_targets(spark, sizes):
+    rows = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.targets(rows).collect()}
+    assert got == pytest.approx(plain_targets(sizes))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(i % 37)), f"s{i % 5}") for i in range(400)]
+    rows += [(i, "some words \n here  too", "hot") for i in range(400, 800)]
+    rows += [(None, "a b c", None), (None, "a b c", None), (7, None, "s1"), (8, "  ", "s2")]
+    rows += [(900, "twice the same row", "s0")] * 2
+    return spark.createDataFrame(rows, DOCS)
+
+
+OPTIONS = {"block_words": 8, "shard_words": 500}
+
+
+def test_sources_come_near_their_targets_and_reruns_agree(docs):
+    plan = mixing.plan(docs, **OPTIONS)
+    rows = plan.collect()
+    assert len(rows) == docs.count()
+    taken, target = defaultdict(int), {}
+    for row in rows:
+        assert 0 <= row["taken"] <= 3 * row["size"]
+        taken[row["source"]] += row["taken"]
+        target[row["source"]] = row["target"]
+    assert all(abs(taken[s] - target[s]) <= max(20, 0.03 * target[s]) for s in target)
+    again = mixing.plan(docs.repartition(7), **OPTIONS).collect()
+    assert Counter(map(str, rows)) == Counter(map(str, again))
+
+
+def test_the_mix_has_the_words_that_the_plan_takes(docs):
+    named = docs.withColumn("lang", F.lit("en")).withColumn("taken", F.lit(1))
+    mix = mixing.mixed(named, **OPTIONS)
+    assert mix.columns == named.columns
+    marked = named.withColumn(mixing.DIGEST, F.xxhash64(*named.columns))
+    plan = mixing.plan(marked, "doc_id", "text", "source", mixing.DIGEST, **OPTIONS)
+    want = plan.groupBy("doc_id").agg(F.sum("taken").alias("n")).filter("n > 0")
+    got = mix.groupBy("doc_id").agg(F.sum(mixing.size_of(F.col("text"))).alias("n"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    originals = {r["text"] for r in docs.collect()}
+    whole = mix.filter(F.col("source") == "s1").collect()
+    assert any(r["text"] in originals for r in whole)
+    assert all(any(r["text"].split()[0] in (t or "") for t in originals) for r in whole)
+
+
+def test_nothing(spark):
+    none = spark.createDataFrame([], DOCS)
+    assert mixing.plan(none).count() == 0 and mixing.mixed(none).count() == 0
+    empty = spark.createDataFrame([(1, None, None), (2, "", "a")], DOCS)
+    assert [r["taken"] for r in mixing.plan(empty).collect()] == [0, 0]
+    assert mixing.mixed(empty).count() == 0
