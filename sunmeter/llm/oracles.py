@@ -49,6 +49,43 @@ from judged
 """
 
 
+LINES = rf"""
+with lines as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i,
+         len(string_split(coalesce(text, ''), chr(10))) as n
+  from documents),
+measured as (
+  select *, ('0x' || substr(md5(line), 1, 7))::bigint as h,
+         len(regexp_extract_all(line, '{WORD}')) as words
+  from lines),
+ended as (
+  select *, i = n or words > 50 or lead(words, 1, 0) over d > 50
+            or (h + 131 * lag(h, 1, 0) over d) % 2147483647 % 3 = 0 as ends
+  from measured window d as (partition by doc_id order by i)),
+numbered as (
+  select *, coalesce(sum(ends::int) over (partition by doc_id order by i
+    rows between unbounded preceding and 1 preceding), 0) as chunk
+  from ended),
+chunks as (
+  select doc_id, chunk, string_agg(line, chr(10) order by i) as passage, count(*) as lines,
+         count(*) filter (where words > 0) >= 2 or max(words) > 50 as removable
+  from numbered group by doc_id, chunk),
+ranked as (
+  select *, removable and row_number() over (partition by passage, removable
+    order by doc_id, chunk) > 1 as removed
+  from chunks),
+cleaned as (
+  select doc_id, count(*) filter (where removed) as n_removed_chunks,
+         coalesce(sum(lines) filter (where removed), 0)::bigint as n_removed_lines,
+         coalesce(string_agg(passage, chr(10) order by chunk) filter (where not removed), '')
+           as text
+  from ranked group by doc_id)
+select doc_id, n_removed_chunks, n_removed_lines,
+       case when documents.text is null then null else cleaned.text end as text
+from cleaned join documents using (doc_id)
+"""
+
 
 def _pattern(parts: list[tuple]) -> str:
     """A template as a pattern over words that each end in a space."""
@@ -96,4 +133,6 @@ from places
 """
 
 
-ORACLES = {"op1_license_scan": _licenses(), "op4_quality_rules": QUALITY}
+ORACLES = {
+    "op1_license_scan": _licenses(), "op3_line_dedup": LINES, "op4_quality_rules": QUALITY,
+}

@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunmeter.llm import bpe, licenses, mixing, oracles, quality, secrets, simhash
+from sunmeter.llm import bpe, licenses, line_dedup, mixing, oracles, quality, secrets, simhash
 from sunmeter.llm.common import table
 
 
@@ -34,6 +34,14 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.size("matches") > 0, 0.5).otherwise(0.0).alias("score"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup(table(spark, sf_dir, "documents"), report="removed")
+    lines = F.aggregate("removed", F.lit(0).cast("long"), lambda n, part: n + part["lines"])
+    return rows.select(
+        "doc_id", F.size("removed").cast("long").alias("n_removed_chunks"),
+        lines.alias("n_removed_lines"), "text")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents"))
     rows = quality.apply_policy(rows).withColumn("base_failed", quality.fails("base"))
@@ -78,6 +86,6 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {query.__name__: query for query in (
-    op1_license_scan, op4_quality_rules, op5_simhash_groups, op7_source_mix, op8_secret_scan, op9_bpe_codec,
+    op1_license_scan, op3_line_dedup, op4_quality_rules, op5_simhash_groups, op7_source_mix, op8_secret_scan, op9_bpe_codec,
 )}
 ORACLES = oracles.ORACLES
