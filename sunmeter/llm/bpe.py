@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import mmap
 import re
 import tempfile
 from array import array
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunmeter.llm.common import map_rows, small_batches
+from sunmeter.llm.common import map_rows
 
 # Unicode's white space, and the pattern that cuts a text into words.
 SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -27,9 +26,14 @@ WORDS = regex.compile(
 _SPACE_THEN_SPACE = re.compile(rf"\x20[{SPACE}]|\x20\Z")
 _LONE_SPACE = re.compile(rf"\x20(?=[^{SPACE}])")
 
-LEXICON_WORDS = 50_000
-MAX_CACHED_PIECES = 200_000
-MAX_COUNTED = 200_000
+LEXICON_WORDS = 200_000
+MAX_CACHED_PIECES = 500_000
+SCANNED_BYTES = 64
+MAX_PIECE = 40
+ENDS = frozenset(",.;:!?")
+ID_BITS = 24
+ID_MASK = (1 << ID_BITS) - 1
+NO_MERGE = 1 << 60
 
 
 @dataclass(frozen=True)
@@ -37,7 +41,7 @@ class Vocabulary:
     """A public byte-level BPE vocabulary: tokens as bytes, merges by rank, special tokens."""
 
     tokens: dict[int, bytes]
-    merges: dict[tuple[int, int], tuple[int, int]]  # pair of ids -> (rank, id)
+    merges: dict[tuple[int, int], int]  # pair of ids -> rank << ID_BITS | id of both together
     bytes_to_id: list[int]
     special: dict[str, int]
 
@@ -66,40 +70,56 @@ def load_vocabulary(path: str) -> Vocabulary:
     merges = {}
     for rank, pair in enumerate(stored["model"]["merges"]):
         left, right = pair.split(" ") if isinstance(pair, str) else pair
-        merges[ids[left], ids[right]] = (rank, ids[left + right])
+        merges[ids[left], ids[right]] = rank << ID_BITS | ids[left + right]
     singles = {byte: ids[char] for char, byte in byte_of.items()}
     return Vocabulary(tokens, merges, [singles[byte] for byte in range(256)], special)
 
 
 def merge(word: bytes, vocabulary: Vocabulary) -> list[int]:
-    """The ids of one word: always the pair of least rank is merged, the leftmost first.
-
-    A heap over linked places, so a word of n bytes takes n log n steps.
-    """
+    """The ids of one word: always the pair of least rank is merged, the leftmost first."""
+    if len(word) > SCANNED_BYTES:
+        return _merge_long(word, vocabulary)
+    get, ids = vocabulary.merges.get, [vocabulary.bytes_to_id[byte] for byte in word]
+    ranks = [get(pair, NO_MERGE) for pair in zip(ids, ids[1:])]
+    while ranks:
+        best = min(ranks)
+        if best == NO_MERGE:
+            break
+        at, new = ranks.index(best), best & ID_MASK
+        ids[at:at + 2] = [new]
+        del ranks[at]
+        if at:
+            ranks[at - 1] = get((ids[at - 1], new), NO_MERGE)
+        if at < len(ranks):
+            ranks[at] = get((new, ids[at + 1]), NO_MERGE)
+    return ids
+
+
+def _merge_long(word: bytes, vocabulary: Vocabulary) -> list[int]:
+    """The same with a heap over linked places: a word of n bytes takes n log n steps."""
     ids = [vocabulary.bytes_to_id[byte] for byte in word]
     merges = vocabulary.merges
     n = len(ids)
     after = list(range(1, n + 1))
     before = list(range(-1, n - 1))
-    heap = []
-    for at in range(n - 1):
-        if found := merges.get((ids[at], ids[at + 1])):
-            heap.append((found[0], at, found[1], ids[at], ids[at + 1]))
+    heap = [(found, at, ids[at], ids[at + 1]) for at in range(n - 1)
+            if (found := merges.get((ids[at], ids[at + 1])))]
     heapq.heapify(heap)
     while heap:
-        _, at, new, left, right = heapq.heappop(heap)
+        found, at, left, right = heapq.heappop(heap)
         follower = after[at]
         if ids[at] != left or follower >= n or ids[follower] != right:
             continue  # one of the two has been merged since
+        new = found & ID_MASK
         ids[at], ids[follower] = new, -1
         after[at] = after[follower]
         if after[at] < n:
             before[after[at]] = at
             if found := merges.get((new, ids[after[at]])):
-                heapq.heappush(heap, (found[0], at, found[1], new, ids[after[at]]))
+                heapq.heappush(heap, (found, at, new, ids[after[at]]))
         if (previous := before[at]) >= 0:
             if found := merges.get((ids[previous], new)):
-                heapq.heappush(heap, (found[0], previous, found[1], ids[previous], new))
+                heapq.heappush(heap, (found, previous, ids[previous], new))
     return [number for number in ids if number >= 0]
 
 
@@ -108,37 +128,34 @@ class Lexicon:
 
     Words that end alike share states.  Each edge adds a number, and the sum
     along a word's path is its rank among the words, which finds its ids.  The
-    image is five arrays of 32-bit integers behind a header of their lengths:
-    first edge and finality of each state, edges' bytes, targets and numbers;
-    then where each word's ids begin, and the ids.
+    image has the lengths of its parts, then parts of 32-bit integers: first edge
+    and finality of each state, targets and numbers of the edges, where each word's
+    ids begin, and the ids; then the edges' bytes.
     """
 
-    ARRAYS = 7
+    PARTS = 7
 
-    def __init__(self, image: bytes | mmap.mmap):
-        view = memoryview(image).cast("i")
-        lengths = view[:self.ARRAYS].tolist()
-        parts, at = [], self.ARRAYS
-        for length in lengths:
-            parts.append(view[at:at + length])
-            at += length
-        self.first, self.final, self.label, self.target, self.add, self.begin, self.ids = parts
+    def __init__(self, image: mmap.mmap):
+        lengths = memoryview(image)[:4 * self.PARTS].cast("i").tolist()
+        parts, at = [], 4 * self.PARTS
+        for length in lengths[:-1]:
+            parts.append(memoryview(image)[at:at + 4 * length].cast("i"))
+            at += 4 * length
+        self.image, self.labels = image, at
+        self.first, self.final, self.target, self.add, self.begin, self.ids = parts
 
     def get(self, word: bytes) -> list[int] | None:
         """The ids of ``word``, None where the lexicon doesn't have it."""
-        first, label, state, rank = self.first, self.label, 0, 0
-        for byte in word:
-            low, high = first[state], first[state + 1]
-            while low < high:
-                middle = (low + high) >> 1
-                if label[middle] < byte:
-                    low = middle + 1
-                else:
-                    high = middle
-            if low >= first[state + 1] or label[low] != byte:
+        first, target, add, labels, find = (
+            self.first, self.target, self.add, self.labels, self.image.find)
+        state = rank = 0
+        for place in range(len(word)):
+            edge = find(
+                word[place:place + 1], labels + first[state], labels + first[state + 1]) - labels
+            if edge < 0:
                 return None
-            rank += self.add[low]
-            state = self.target[low]
+            rank += add[edge]
+            state = target[edge]
         if not self.final[state]:
             return None
         return self.ids[self.begin[rank]:self.begin[rank + 1]].tolist()
@@ -177,7 +194,8 @@ def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
     for final, edges in states:
         below.append(final + sum(below[target] for _, target in edges))
     order = len(states) - 1  # the start becomes state 0
-    first, final, label, target, add = (array("i") for _ in range(5))
+    first, final, target, add = (array("i") for _ in range(4))
+    label = bytearray()
     for state in range(order, -1, -1):
         ends, edges = states[state]
         first.append(len(label))
@@ -193,8 +211,8 @@ def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
     for word in sorted(words):
         ids.extend(words[word])
         begin.append(len(ids))
-    parts = (first, final, label, target, add, begin, ids)
-    return b"".join(part.tobytes() for part in (array("i", map(len, parts)), *parts))
+    parts = (first, final, target, add, begin, ids, label)
+    return b"".join(map(bytes, (array("i", map(len, parts)), *parts)))
 
 
 def mapped(image: bytes) -> mmap.mmap:
@@ -230,13 +248,10 @@ class Codec:
         self.plain = _Pieces(self, "")
         self.spaced = _Pieces(self, " ")
 
-    def words(self, piece: str) -> list[int]:
-        out: list[int] = []
-        for word in WORDS.findall(piece):
-            data = word.encode("utf-8", "replace")
-            ids = self.lexicon.get(data)
-            out += merge(data, self.vocabulary) if ids is None else ids
-        return out
+    def ids_of(self, word: str) -> bytes:
+        data = word.encode("utf-8", "replace")
+        ids = self.lexicon.get(data)
+        return array("I", merge(data, self.vocabulary) if ids is None else ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         if self.special is None:
@@ -271,56 +286,34 @@ class _Pieces(dict):
         self.codec, self.prefix = codec, prefix
 
     def __missing__(self, piece: str) -> bytes:
-        ids = array("I", self.codec.words(self.prefix + piece)).tobytes()
+        if piece.isalpha():  # letters are one word
+            ids = self.codec.ids_of(self.prefix + piece)
+        elif piece[:-1].isalpha() and piece[-1] in ENDS:  # such a mark is one after letters
+            ids = self[piece[:-1]] + self.codec.ids_of(piece[-1])
+        else:
+            ids = b"".join(map(self.codec.ids_of, WORDS.findall(self.prefix + piece)))
         self[piece] = ids
         return ids
 
 
-def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """How often each word stands in all texts: ``word`` as bytes, ``count``.
-
-    A task sums up before it hands on, and hands on whenever it has met
-    ``MAX_COUNTED`` different pieces.
-    """
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted: Counter[str] = Counter()
-        for batch in batches:
-            for value in batch.column(0).to_pylist():
-                head, *rest = (value or "").split(" ")
-                counted[head] += 1
-                counted.update([" " + piece for piece in rest])
-            if len(counted) > MAX_COUNTED:
-                yield _counts(counted)
-                counted = Counter()
-        yield _counts(counted)
-
-    small_batches(docs.sparkSession)
-    rows = docs.select(text).mapInArrow(run, "word binary, count long")
-    return rows.groupBy("word").agg(F.sum("count").alias("count"))
-
-
-def _counts(counted: Counter[str]) -> pa.RecordBatch:
-    words: Counter[bytes] = Counter()
-    for piece, count in counted.items():
-        for word in WORDS.findall(piece):
-            words[word.encode("utf-8", "replace")] += count
-    return pa.RecordBatch.from_pydict(
-        {"word": list(words), "count": list(words.values())},
-        schema=pa.schema([("word", pa.binary()), ("count", pa.int64())]))
-
-
 def build_lexicon(
     docs: DataFrame, vocabulary: Vocabulary, size: int = LEXICON_WORDS, text: str = "text",
 ) -> bytes:
-    """The image of a lexicon of the ``size`` most frequent words, ties by their bytes.
+    """The image of a lexicon of the words in the ``size`` most frequent pieces, ties by bytes.
 
-    Words are counted over all texts.  Only the chosen ones reach the driver, and
-    what executors get is bounded by ``size``.
+    What stands between spaces is counted over all texts.  Only the chosen pieces
+    reach the driver, and what executors get of them is bounded by ``size``.
     """
-    chosen = count_words(docs, text).filter(F.length("word") <= 64).orderBy(
-        F.desc("count"), "word").limit(size)
-    return compile_lexicon({
-        bytes(row["word"]): merge(bytes(row["word"]), vocabulary) for row in chosen.collect()})
+    pieces = docs.select(F.explode(F.split(text, " ", -1)).alias("piece"))
+    chosen = pieces.groupBy("piece").count().filter(F.length("piece") <= MAX_PIECE).orderBy(
+        F.desc("count"), "piece").limit(size).select("piece")
+    words = {word.encode("utf-8", "replace") for row in chosen.collect()
+             for word in WORDS.findall(" " + row["piece"])}
+    return compile_lexicon({word: merge(word, vocabulary) for word in words})
+
+
+# The codec of a Python worker, by its lexicon: later tasks use the pieces met before.
+_CODECS: dict[str, Codec] = {}
 
 
 def encode(
@@ -335,11 +328,16 @@ def encode(
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)
-    image = spark.sparkContext.broadcast(build_lexicon(docs, vocabulary, size, text))
+    lexicon = build_lexicon(docs, vocabulary, size, text)
+    image = spark.sparkContext.broadcast(lexicon)
+    name = hashlib.sha256(lexicon).hexdigest()
     kind = docs.schema[id_column].dataType.simpleString()
 
     def per_task():
-        codec = Codec(shared.value, Lexicon(mapped(image.value)))
+        if name not in _CODECS:
+            _CODECS.clear()
+            _CODECS[name] = Codec(shared.value, Lexicon(mapped(image.value)))
+        codec = _CODECS[name]
 
         def of(key, value):
             ids = codec.encode(value or "")
