@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunmeter.llm.common import map_rows
+from sunmeter.llm.common import map_rows, settled
 
 # Unicode's white space, and the pattern that cuts a text into words.
 SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -30,6 +30,7 @@ LEXICON_WORDS = 200_000
 MAX_CACHED_PIECES = 500_000
 SCANNED_BYTES = 64
 MAX_PIECE = 40
+LEVELS = 8
 ENDS = frozenset(",.;:!?")
 ID_BITS = 24
 ID_MASK = (1 << ID_BITS) - 1
@@ -296,18 +297,40 @@ class _Pieces(dict):
         return ids
 
 
+def frequent_pieces(docs: DataFrame, size: int = LEXICON_WORDS, text: str = "text") -> DataFrame:
+    """The most frequent pieces between spaces over all texts, at most ``size``.
+
+    Pieces are counted in the JVM.  Counts are put on a scale of ``LEVELS`` steps
+    to a doubling, a few hundred at most, and pieces are taken from the top step
+    on while they are no more than ``size``: nothing is sorted, and the driver
+    sees the scale only.  Pieces that stand once are no gain and left out.
+    """
+    pieces = docs.select(F.explode(F.split(text, " ", -1)).alias("piece"))
+    level = F.floor(F.log2("count") * LEVELS).alias("level")
+    counted = settled(
+        pieces.groupBy("piece").count().filter(
+            (F.col("count") > 1) & (F.length("piece") <= MAX_PIECE)).select("piece", level),
+        "pieces")
+    sizes = {row["level"]: row["count"] for row in counted.groupBy("level").count().collect()}
+    least, total = LEVELS * 64, 0
+    for found in sorted(sizes, reverse=True):
+        total += sizes[found]
+        if total > size:
+            break
+        least = found
+    return counted.filter(F.col("level") >= least).select("piece")
+
+
 def build_lexicon(
     docs: DataFrame, vocabulary: Vocabulary, size: int = LEXICON_WORDS, text: str = "text",
 ) -> bytes:
-    """The image of a lexicon of the words in the ``size`` most frequent pieces, ties by bytes.
+    """The image of a lexicon of the words in the ``size`` most frequent pieces.
 
-    What stands between spaces is counted over all texts.  Only the chosen pieces
-    reach the driver, and what executors get of them is bounded by ``size``.
+    Only the chosen pieces reach the driver, and what executors get of them is
+    bounded by ``size`` too.
     """
-    pieces = docs.select(F.explode(F.split(text, " ", -1)).alias("piece"))
-    chosen = pieces.groupBy("piece").count().filter(F.length("piece") <= MAX_PIECE).orderBy(
-        F.desc("count"), "piece").limit(size).select("piece")
-    words = {word.encode("utf-8", "replace") for row in chosen.collect()
+    words = {word.encode("utf-8", "replace")
+             for row in frequent_pieces(docs, size, text).collect()
              for word in WORDS.findall(" " + row["piece"])}
     return compile_lexicon({word: merge(word, vocabulary) for word in words})
 
