@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunmeter.llm import bpe, licenses, line_dedup, mixing, oracles, quality, secrets, simhash
+from sunmeter.llm import bpe, embeddings, licenses, line_dedup, mixing, oracles, quality, secrets, simhash
 from sunmeter.llm.common import table
 
 
@@ -85,7 +85,13 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
 QUERIES = {query.__name__: query for query in (
     op1_license_scan, op3_line_dedup, op4_quality_rules, op5_simhash_groups, op7_source_mix, op8_secret_scan, op9_bpe_codec,
+    op10_embedding_groups,
 )}
 ORACLES = oracles.ORACLES
