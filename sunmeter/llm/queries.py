@@ -7,7 +7,9 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunmeter.llm import bpe, embeddings, licenses, line_dedup, mixing, oracles, quality, secrets, simhash
+from sunmeter.llm import (
+    bpe, embeddings, html_text, licenses, line_dedup, mixing, oracles, quality, secrets, simhash,
+)
 from sunmeter.llm.common import table
 
 
@@ -57,6 +59,11 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         "component_id")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html_text.extract(table(spark, sf_dir, "pages"), "page_id", "html", "url")
+    return rows.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.plan(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken", "copies", "n_blocks")
@@ -91,7 +98,7 @@ def op10_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {query.__name__: query for query in (
-    op1_license_scan, op3_line_dedup, op4_quality_rules, op5_simhash_groups, op7_source_mix, op8_secret_scan, op9_bpe_codec,
+    op1_license_scan, op3_line_dedup, op4_quality_rules, op5_simhash_groups, op6_html_text, op7_source_mix, op8_secret_scan, op9_bpe_codec,
     op10_embedding_groups,
 )}
 ORACLES = oracles.ORACLES
