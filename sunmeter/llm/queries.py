@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sunmeter.llm import (
     bpe, embeddings, html_text, licenses, line_dedup, mixing, oracles, quality, secrets, simhash,
+    toxicity,
 )
 from sunmeter.llm.common import table
 
@@ -36,6 +37,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.size("matches") > 0, 0.5).otherwise(0.0).alias("score"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.dedup(table(spark, sf_dir, "documents"), report="removed")
     lines = F.aggregate("removed", F.lit(0).cast("long"), lambda n, part: n + part["lines"])
@@ -98,7 +104,7 @@ def op10_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {query.__name__: query for query in (
-    op1_license_scan, op3_line_dedup, op4_quality_rules, op5_simhash_groups, op6_html_text, op7_source_mix, op8_secret_scan, op9_bpe_codec,
+    op1_license_scan, op2_toxicity, op3_line_dedup, op4_quality_rules, op5_simhash_groups, op6_html_text, op7_source_mix, op8_secret_scan, op9_bpe_codec,
     op10_embedding_groups,
 )}
 ORACLES = oracles.ORACLES
