@@ -1,4 +1,4 @@
-"""What the operators share: reading tables, rows through Python in small batches, cutting lineage."""
+"""What the operators share: tables, rows through Python in small batches, cutting lineage."""
 
 from __future__ import annotations
 
@@ -77,6 +77,16 @@ def settled(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def held(rows: DataFrame, *names: str, **computed: Column) -> DataFrame:
+    """Columns ``names`` of ``rows`` and further ones that are computed once.
+
+    Arrays that a lambda looks into must not be merged into it, where each
+    element would compute them again; Spark merges nothing across a generator.
+    """
+    values = F.struct(*[column.alias(name) for name, column in computed.items()])
+    return rows.select(*names, F.inline(F.array(values)))
+
+
 def fresh_key(key: str) -> Column:
     """A key equal exactly where ``key`` (a long) is, which Spark takes for a new column.
 

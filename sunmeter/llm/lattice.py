@@ -42,7 +42,7 @@ STEPS = shortest()
 
 
 def nearest_and_neighbours(x: np.ndarray, more: int) -> np.ndarray:
-    """For each row its lattice point and the ``more`` neighbours closest to it: n x (1 + more) x 8."""
+    """Each row's lattice point, then the ``more`` neighbours closest to it: n x (1 + more) x 8."""
     home = nearest(x)
     # |rest - step|^2 = |rest|^2 - 2 rest.step + 2, and the first and last are the same for all
     order = np.argpartition(-((x - home) @ STEPS.T), more - 1, axis=1)[:, :more]

@@ -5,25 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sunmeter.llm.common import WORD, fresh_key, settled
+from sunmeter.llm.common import WORD, fresh_key, held, settled
 
 WINDOW_BASE = 131
 WINDOW_MODULUS = 2_147_483_647
-CHUNK_LINES = 3  # lines of a chunk on average
+CHUNK_LINES = 2  # lines of a chunk on average
 LONG_WORDS = 50  # a line of more words is a chunk by itself
 
+SPAN = ("start", "lines", "begin")
 RANGE = "array<struct<start:int,lines:int>>"
-DIGEST = "line_dedup_digest"
-
-
-def _held(rows: DataFrame, *names: str, **computed: Column) -> DataFrame:
-    """Rows with further columns that are computed once.
-
-    Arrays that a lambda looks into must not be merged into it, where each
-    element would compute them again; Spark merges nothing across a generator.
-    """
-    values = F.struct(*[column.alias(name) for name, column in computed.items()])
-    return rows.select(*names, F.inline(F.array(values)))
+# Columns beside those of the documents, whose names must not clash.
+DIGEST, ID, ID_DIGEST, REMOVED, LINES = (
+    f"line_dedup_{name}" for name in ("digest", "id", "id_digest", "removed", "lines"))
 
 
 def _lines(text: Column) -> Column:
@@ -37,13 +30,15 @@ def chunks(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     chunk where it is divisible by ``CHUNK_LINES``.  So the ends depend on the lines
     around them only, and lines put in or left out elsewhere move nothing.  A
     line of over ``LONG_WORDS`` words is a chunk by itself: it would fill several
-    lines of a page.  Chunks that may be removed have such a line, or two lines
-    with words.
+    lines of a page.  What is compared of a chunk begins at its first line, or, where
+    the chunk is one other line, at that of the chunk before, so a passage is
+    followed line by line.  Chunks that may be removed have a long line, or two
+    lines with words in what is compared.
     """
-    rows = _held(
+    rows = held(
         docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")),
         "id", digest=F.xxhash64("text"), lines=_lines(F.coalesce("text", F.lit(""))))
-    rows = _held(
+    rows = held(
         rows, "id", "digest", "lines",
         words=F.transform("lines", lambda line: F.regexp_count(line, F.lit(WORD))),
         hashes=F.transform("lines", lambda line: F.conv(
@@ -58,7 +53,7 @@ def chunks(docs: DataFrame, id_column: str, text: str) -> DataFrame:
                 | (at("words", i) > LONG_WORDS)
                 | F.coalesce(at("words", i + 1) > LONG_WORDS, F.lit(False)))
 
-    rows = _held(
+    rows = held(
         rows, "id", "digest", "lines", "words",
         ends=F.filter(F.sequence(F.lit(1), F.size("lines")), is_end))
 
@@ -66,27 +61,40 @@ def chunks(docs: DataFrame, id_column: str, text: str) -> DataFrame:
         start = F.when(k > 1, at("ends", k - 1)).otherwise(0) + 1
         return F.struct(start.alias("start"), (at("ends", k) - start + 1).alias("lines"))
 
-    rows = _held(
+    rows = held(
         rows, "id", "digest", "lines", "words",
         spans=F.transform(F.sequence(F.lit(1), F.size("ends")), chunk))
 
+    def compared(span: Column, k: Column) -> Column:
+        before = F.get("spans", k - 1)["start"]
+        alone = (k > 0) & (span["lines"] == 1) & (at("words", span["start"]) <= LONG_WORDS)
+        return F.struct(
+            span["start"].alias("start"), span["lines"].alias("lines"),
+            F.when(alone, before).otherwise(span["start"]).alias("begin"))
+
+    rows = held(rows, "id", "digest", "lines", "words", spans=F.transform("spans", compared))
+
     def removable(span: Column) -> Column:
-        words = F.slice("words", span["start"], span["lines"])
+        words = F.slice("words", span["begin"], _length(span))
         return ((F.size(F.filter(words, lambda n: n > 0)) >= 2)
                 | (at("words", span["start"]) > LONG_WORDS))
 
     def keyed(span: Column) -> Column:
-        return F.struct(span["start"].alias("start"), span["lines"].alias("lines"),
-                        _text_of(span).alias("text"))
+        return F.struct(*[span[name].alias(name) for name in SPAN], _text_of(span).alias("text"))
 
-    rows = _held(
+    rows = held(
         rows, "id", "digest", texts=F.transform(F.filter("spans", removable), keyed))
     return rows.select("id", "digest", F.transform("texts", lambda c: F.struct(
-        c["start"].alias("start"), c["lines"].alias("lines"), *_key(c["text"]))).alias("chunks"))
+        *[c[name].alias(name) for name in SPAN], *_key(c["text"]))).alias("chunks"))
+
+
+def _length(span: Column) -> Column:
+    """Lines of what is compared of a chunk."""
+    return span["start"] + span["lines"] - span["begin"]
 
 
 def _text_of(span: Column) -> Column:
-    return F.array_join(F.slice("lines", span["start"], span["lines"]), "\n")
+    return F.array_join(F.slice("lines", span["begin"], _length(span)), "\n")
 
 
 def _key(text: Column) -> tuple[Column, ...]:
@@ -111,12 +119,12 @@ def removals(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     copies = settled(_joined(single, repeated), "copies")
 
     wanted = copies.groupBy("id", "digest").agg(
-        F.collect_list(F.struct("start", "lines")).alias("spans"))
+        F.collect_list(F.struct(*SPAN)).alias("spans"))
     texts = _with_lines(docs, id_column, text).join(
         wanted.select(F.col("id").alias("wanted_id"), F.col("digest").alias("wanted_digest"),
                       "spans").hint("shuffle_hash"),
         F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("digest") == F.col("wanted_digest")))
-    texts = _held(texts, "spans", lines=_lines(F.col("text"))).select(
+    texts = held(texts, "spans", lines=_lines(F.col("text"))).select(
         F.explode(F.transform("spans", _text_of)).alias("text"))
     keyed = texts.distinct().select(*_key(F.col("text")), "text")
     verified = keyed.groupBy("key", "check", "bytes").count().filter("count = 1")
@@ -154,28 +162,28 @@ def dedup(
     """
     names = docs.columns
     found = removals(docs, id_column, text).select(
-        F.col("id").alias("removed_id"), F.col("digest").alias("removed_digest"),
-        F.col("removed").alias("removed_ranges"))
+        F.col("id").alias(ID), F.col("digest").alias(ID_DIGEST),
+        F.col("removed").alias(REMOVED))
     marked = docs.withColumn(DIGEST, F.xxhash64(text))
-    same = (F.col(id_column).eqNullSafe(F.col("removed_id"))
-            & (F.col(DIGEST) == F.col("removed_digest")))
+    same = (F.col(id_column).eqNullSafe(F.col(ID))
+            & (F.col(DIGEST) == F.col(ID_DIGEST)))
     joined = marked.join(found.hint("shuffle_hash"), same, "left")
-    rows = _held(
-        joined, *names, "removed_ranges",
-        removed_lines=F.when(F.col("removed_ranges").isNotNull(), _lines(F.col(text))))
-    n = F.size("removed_ranges")
+    rows = held(
+        joined, *names, REMOVED,
+        **{LINES: F.when(F.col(REMOVED).isNotNull(), _lines(F.col(text)))})
+    n = F.size(REMOVED)
 
     def between(k: Column) -> Column:
         """The lines between a removed range and the next."""
-        last = F.get("removed_ranges", k - 1)
+        last = F.get(REMOVED, k - 1)
         begin = F.when(k > 0, last["start"] + last["lines"]).otherwise(1)
-        end = F.when(k < n, F.get("removed_ranges", k)["start"]).otherwise(
-            F.size("removed_lines") + 1)
-        return F.slice("removed_lines", begin, end - begin)
+        end = F.when(k < n, F.get(REMOVED, k)["start"]).otherwise(
+            F.size(LINES) + 1)
+        return F.slice(LINES, begin, end - begin)
 
     left = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), n), between)), "\n")
-    cleaned = F.when(F.col("removed_ranges").isNull(), F.col(text)).otherwise(left)
-    ranges = F.coalesce("removed_ranges", F.array().cast(RANGE))
+    cleaned = F.when(F.col(REMOVED).isNull(), F.col(text)).otherwise(left)
+    ranges = F.coalesce(REMOVED, F.array().cast(RANGE))
     more = [ranges.alias(report)] if report else []
     return rows.select(*[cleaned.alias(name) if name == text else F.col(name) for name in names],
                        *more)

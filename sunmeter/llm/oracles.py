@@ -61,7 +61,7 @@ measured as (
   from lines),
 ended as (
   select *, i = n or words > 50 or lead(words, 1, 0) over d > 50
-            or (h + 131 * lag(h, 1, 0) over d) % 2147483647 % 3 = 0 as ends
+            or (h + 131 * lag(h, 1, 0) over d) % 2147483647 % 2 = 0 as ends
   from measured window d as (partition by doc_id order by i)),
 numbered as (
   select *, coalesce(sum(ends::int) over (partition by doc_id order by i
@@ -69,12 +69,19 @@ numbered as (
   from ended),
 chunks as (
   select doc_id, chunk, string_agg(line, chr(10) order by i) as passage, count(*) as lines,
-         count(*) filter (where words > 0) >= 2 or max(words) > 50 as removable
+         count(*) filter (where words > 0) as filled, max(words) > 50 as long
   from numbered group by doc_id, chunk),
+compared as (
+  select doc_id, chunk, passage, lines,
+         case when alone then before || chr(10) || passage else passage end as region,
+         filled + case when alone then filled_before else 0 end >= 2 or long as removable
+  from (select *, lag(passage) over d as before, lag(filled) over d as filled_before,
+               lines = 1 and not long and lag(passage) over d is not null as alone
+        from chunks window d as (partition by doc_id order by chunk))),
 ranked as (
-  select *, removable and row_number() over (partition by passage, removable
+  select *, removable and row_number() over (partition by region, removable
     order by doc_id, chunk) > 1 as removed
-  from chunks),
+  from compared),
 cleaned as (
   select doc_id, count(*) filter (where removed) as n_removed_chunks,
          coalesce(sum(lines) filter (where removed), 0)::bigint as n_removed_lines,

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sunmeter.llm import (
-    bpe, embeddings, html_text, licenses, line_dedup, mixing, oracles, quality, secrets, simhash,
-    toxicity,
+    bpe, embeddings, html_text, licenses, line_dedup, mixing, oracles, quality, secrets,
+    simhash, toxicity,
 )
 from sunmeter.llm.common import table
 
@@ -104,7 +104,7 @@ def op10_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {query.__name__: query for query in (
-    op1_license_scan, op2_toxicity, op3_line_dedup, op4_quality_rules, op5_simhash_groups, op6_html_text, op7_source_mix, op8_secret_scan, op9_bpe_codec,
-    op10_embedding_groups,
+    op1_license_scan, op2_toxicity, op3_line_dedup, op4_quality_rules, op5_simhash_groups,
+    op6_html_text, op7_source_mix, op8_secret_scan, op9_bpe_codec, op10_embedding_groups,
 )}
 ORACLES = oracles.ORACLES

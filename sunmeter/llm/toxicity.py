@@ -106,7 +106,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     if not toxic or not other:
         return Model({}, (math.inf,))
     found = rows.filter("feature <> ''").groupBy("feature").agg(
-        F.count(F.when(F.col("toxic"), 1)).alias("a"), F.count(F.when(~F.col("toxic"), 1)).alias("b"))
+        F.count(F.when(F.col("toxic"), 1)).alias("a"),
+        F.count(F.when(~F.col("toxic"), 1)).alias("b"))
     odds = F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.col("b") + 0.5) / (other + 1))
     share = (F.col("a") + F.col("b")) / (toxic + other)
     z = (F.col("a") / toxic - F.col("b") / other) / F.sqrt(
@@ -120,8 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 
 
 def _counted(key, toxic, text) -> list[tuple]:
-    toxic = toxic > 0
-    return [(key, toxic, "", 0), *[(key, toxic, name, n) for name, n in features(words_of(text)).items()]]
+    toxic, counts = toxic > 0, features(words_of(text))
+    return [(key, toxic, "", 0), *[(key, toxic, name, n) for name, n in counts.items()]]
 
 
 def fit_counts(
@@ -229,6 +230,7 @@ def clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         severity = shared.value.severity
         for batch in batches:
             values = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            yield batch.filter(pa.array([severity(value)[1] < REJECT for value in values], pa.bool_()))
+            kept = [severity(value)[1] < REJECT for value in values]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,0 +1,91 @@
+"""Links and groups against all cosines; the lattice against all its points near by."""
+
+import itertools
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sunmeter.llm import embeddings, lattice
+
+
+def test_nearest_points():
+    rng = np.random.default_rng(1)
+    x = rng.uniform(-1, 1, (60, 8))
+    whole = [p for p in itertools.product((-1.0, 0.0, 1.0), repeat=8) if sum(p) % 2 == 0]
+    half = [p for p in itertools.product((-1.5, -0.5, 0.5, 1.5), repeat=8) if sum(p) % 2 == 0]
+    points = np.array(whole + half)
+    for row, point in zip(x, lattice.nearest(x)):
+        assert ((row - point) ** 2).sum() <= ((points - row) ** 2).sum(axis=1).min() + 1e-12
+    assert len(lattice.STEPS) == 240 and np.allclose((lattice.STEPS ** 2).sum(axis=1), 2)
+
+
+def test_neighbours_are_the_closest():
+    x = np.random.default_rng(2).uniform(-5, 5, (30, 8))
+    found = lattice.nearest_and_neighbours(x, 4)
+    for row, points in zip(x, found):
+        far = np.sort(((row - points[0] - lattice.STEPS) ** 2).sum(axis=1))[:4]
+        assert np.allclose(np.sort(((row - points[1:]) ** 2).sum(axis=1)), far)
+
+
+def plain(rows, cosine=embeddings.COSINE):
+    def unit(v):
+        if v is None or any(x is None or not np.isfinite(x) for x in v):
+            return None
+        norm = np.linalg.norm(np.array(v, float))
+        return np.array(v, float) / norm if norm else None
+
+    units = [unit(v) for _, v in rows]
+    n = len(rows)
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = [0] * n
+    for i in range(n):
+        for j in range(n):
+            a, b = units[i], units[j]
+            if i != j and a is not None and b is not None and len(a) == len(b) and a @ b >= cosine:
+                links[i] += 1
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    least = {}
+    for i, (key, _) in enumerate(rows):
+        ids = [k for k in (least.get(root(i)), key) if k is not None]
+        least[root(i)] = min(ids, default=None)
+    return sorted(((key, links[i], least[root(i)]) for i, (key, _) in enumerate(rows)), key=str)
+
+
+def vectors(rng):
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(60, 16)))]
+    for spread, n in ((0.02, 40), (0.08, 40), (0.13, 40)):
+        center = rng.normal(size=16)
+        center /= np.linalg.norm(center)
+        rows += [(len(rows) + k, center + rng.normal(scale=spread, size=16)) for k in range(n)]
+    rows = [(key, [float(np.float32(x)) for x in v]) for key, v in rows]
+    rows += [(500, rows[70][1]), (501, rows[70][1]), (502, [2 * x for x in rows[71][1]])]
+    odd = [None, [], [0.0] * 16, [1.0] + [None] * 15, [float("nan")] * 16, [float("inf")] * 16,
+           [1.0] * 8, [1.0] * 8, [1e-40] * 16, [1e38] * 16]
+    rows += [(600 + k, v) for k, v in enumerate(odd)]
+    return rows + [(None, rows[65][1]), (None, None), (3, rows[3][1])]
+
+
+@pytest.mark.parametrize("options", [{}, {"tables": 16, "neighbours": 2, "seed": 3}])
+def test_as_all_cosines_say(spark, options):
+    rows = vectors(np.random.default_rng(5))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select(
+        "vec_id", F.col("embedding").cast("array<float>").alias("embedding"),
+        F.lit(1).alias("n_links"), F.lit(2).alias("uid"))
+    stored = [(r["vec_id"], r["embedding"]) for r in table.collect()]
+    got = sorted(map(tuple, embeddings.near_duplicates(table, **options).collect()), key=str)
+    want = plain(stored)
+    exact = sum(g == w for g, w in zip(got, want)) / len(want)
+    found = sum(g[1] for g in got) / sum(w[1] for w in want)
+    assert len(got) == len(want) and exact >= 0.97 and 0.99 <= found <= 1
+
+
+def test_nothing(spark):
+    empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert embeddings.near_duplicates(empty).count() == 0
