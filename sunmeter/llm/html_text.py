@@ -16,7 +16,7 @@ from sunmeter.llm.common import flat_map_rows, map_rows
 LABELLED_PAGES = 2_000  # pages the weights are learnt from, at most
 SEED = 6
 LEAST, MOST = 0.1, 5.0  # bounds of a weight's size
-UNKNOWN_TAG = -0.5
+UNKNOWN_TAG = -0.2
 WORD = "word"
 INSIDE, OUTSIDE, LEFT_OUT = "inside", "outside", "left out"
 

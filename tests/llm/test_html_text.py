@@ -1,0 +1,80 @@
+"""Main texts of pages of several makes."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from sunmeter.llm import html_text
+
+P1 = "First words of the story which go on for a while, until they end."
+P2 = "A second part &amp; some more&nbsp;words\n  in it, and a <b>bold</b> one."
+WANT2 = "A second part & some more words in it, and a bold one."
+PAGE = f"""<!DOCTYPE html><html><head><title>T t</title><style>p{{margin:0}}</style>
+<script>var t="</p><article>no</article>";</script></head><body><nav><ul><li><a href="/a">Home page</a></li>
+<li><a href="/b">News</a></li></ul></nav><!-- ad <p>x</p> --><div class="ad">Buy this very nice thing now</div>
+<article><h1>Head line</h1><p>{P1}<p>{P2}</p></article><footer>&copy; all rights reserved by us</footer></body></html>"""
+WANT = "\n".join(["Head line", P1, WANT2])
+
+
+@pytest.fixture(scope="module")
+def weights(spark):
+    pages = spark.createDataFrame([(i, PAGE) for i in range(30)], "page_id long, html string")
+    return html_text.learn_weights(pages)
+
+
+def test_weights_are_positive_for_words_only(weights):
+    assert weights[html_text.WORD] > 0
+    assert all(w < 0 for name, w in weights.items() if name != html_text.WORD)
+    assert weights["a"] < weights["p"] and weights["article"] < weights["h1"]
+
+
+def test_the_article_is_found(weights):
+    assert html_text.main_text(PAGE, weights) == WANT
+
+
+@pytest.mark.parametrize("change", [
+    lambda s: s.replace("</body></html>", ""),
+    lambda s: s.replace("<article>", '<div id="content">').replace("</article>", "</div>"),
+    lambda s: s.replace("<article>", "<MAIN>").replace("</article>", "</MAIN>"),
+    lambda s: s.replace("</nav>", ""),
+    lambda s: s.replace("<nav>", "").replace("</nav>", ""),
+    lambda s: s.replace("</article>", '<form><p>Your name</p><input name="a>b"></form></article>'),
+    lambda s: s.replace("</article>", '</article><section id="comments"><p>I liked this a lot and '
+                        "so on and on</p></section>"),
+    lambda s: s.replace("<h1>", '<aside><p>See also here</p></aside><h1>'),
+    lambda s: s.replace("<p>" + P1, '<div class="cookie-notice">We use cookies</div><p>' + P1),
+    lambda s: s.replace("<body>", '<body class="page has-sidebar">'),
+    lambda s: s.replace("<footer>", "<footer><p>" + "more words below " * 5 + "</p>"),
+    lambda s: s.replace("<p>" + P1, "<noscript>Turn on scripts</noscript><p title='>'>" + P1),
+    lambda s: s + "<div class='ad'",
+])
+def test_pages_of_other_makes(weights, change):
+    assert html_text.main_text(change(PAGE), weights) == WANT
+
+
+def test_blocks_and_white_space(weights):
+    page = "<article><p>a<br>b</p><ul><li>one</li><li> two </li></ul>tail&#33; 1 &lt; 2 < 3</article>"
+    assert html_text.main_text(page, dict(weights, li=-0.1, ul=-0.1)) == "a b\none\ntwo\ntail! 1 < 2 < 3"
+
+
+def test_odd_pages(weights):
+    for page in (None, "", "   ", "<p></p>", "<nav>x</nav>", "<script>x"):
+        assert html_text.main_text(page, weights) == ""
+    assert html_text.main_text("just words", weights) == "just words"
+    assert html_text.main_text("<p " + '"' * 50_000, weights) == ""
+    long = "<article>" + "<p>word word</p>" * 20_000 + "</article>"
+    assert html_text.main_text(long, weights).count("\n") == 19_999
+    deep = "<div>" * 30_000 + "x " * 200_000
+    assert html_text.main_text(deep, weights).startswith("x x")
+
+
+def test_extract(spark):
+    rows = [(1, "u", PAGE), (2, "v", None), (2, "v", None), (3, None, ""), (None, "w", PAGE)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn(
+        "text", F.lit("x")).withColumn("kind", F.lit("y"))
+    got = html_text.extract(pages, "page_id", "html", "url")
+    assert got.columns == ["page_id", "url", "text"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(
+        [(1, "u", WANT), (2, "v", ""), (2, "v", ""), (3, None, ""), (None, "w", WANT)], key=str)
+    assert html_text.extract(pages.limit(0)).count() == 0
+    unmarked = html_text.learn_weights(spark.createDataFrame([(1, "<p>x")], "page_id long, html string"))
+    assert unmarked == {html_text.WORD: 1.0}
