@@ -29,9 +29,10 @@ def stored_power(power: Column) -> Column:
     return power.try_cast(POWER_STORED)
 
 
-def window_energy(power: Column, hours: float = WINDOW_HOURS) -> Column:
-    """Wh of a mean power held over one window."""
-    return power * F.lit(hours)
+def window_hours(start: Column, end: Column) -> Column:
+    """A window's length in hours; 30 s has the fixed ten-digit figure."""
+    seconds = (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1e6
+    return F.when(seconds == 30, F.lit(WINDOW_HOURS)).otherwise(seconds / 3600)
 
 
 def bucket_start(value: Column, width: float, offset: float = HISTOGRAM_OFFSET) -> Column:
@@ -42,14 +43,15 @@ def bucket_start(value: Column, width: float, offset: float = HISTOGRAM_OFFSET)
 def expected_power(
     time: Column,
     peak: Column | float = 400.0,
-    start_hour: int = 12,
-    start_minute: int = 0,
+    start_hour: Column | int = 12,
+    start_minute: Column | int = 0,
     hours: float = 1,
     minutes: float = 0,
     exponent: float = 30,
 ) -> Column:
     """Modelled output at ``time`` of a panel that starts at the given clock time.
 
+    Peak and start may be columns, as each panel has its own.
     The curve is peak * sech(x)^exponent; x runs from -hours/2 at the start to
     +hours/2 at ``hours`` hours later when ``minutes`` is 0.  Far from the peak
     the power of cosh overflows to infinity and the output is 0, not an error.

@@ -7,9 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunmeter.functions.columns import bucket_start, window_energy
+from sunmeter.functions.columns import bucket_start, window_hours
+from sunmeter.operators.lookup import around
+from sunmeter.operators.windows import panel_power
 from sunmeter.schema import (
-    HISTOGRAM_OFFSET, PANEL, STATUS, WINDOW_END, WINDOW_HOURS, WINDOW_POWER,
+    EVENT_TIME, HISTOGRAM_OFFSET, PANEL, STATUS, WINDOW_DURATION, WINDOW_END, WINDOW_POWER,
+    WINDOW_START,
 )
 
 
@@ -18,28 +21,48 @@ def fleet_power(windows: DataFrame) -> DataFrame:
     return windows.groupBy(WINDOW_END).agg(F.sum(WINDOW_POWER).alias(WINDOW_POWER))
 
 
-def fleet_energy(windows: DataFrame, hours: float = WINDOW_HOURS) -> DataFrame:
-    """A3: Wh of the fleet per window of ``hours`` hours."""
-    return fleet_power(windows).select(
-        WINDOW_END, window_energy(F.col(WINDOW_POWER), hours).alias("energy_wh"),
-    )
+def fleet_energy(windows: DataFrame) -> DataFrame:
+    """A3: Wh of the fleet per window, by the window's own length."""
+    hours = window_hours(F.min(WINDOW_START), F.col(WINDOW_END))
+    return windows.groupBy(WINDOW_END).agg(
+        (F.sum(WINDOW_POWER) * hours).alias("energy_wh"))
 
 
-def total_energy(windows: DataFrame, hours: float = WINDOW_HOURS) -> DataFrame:
+def total_energy(windows: DataFrame) -> DataFrame:
     """A4: Wh over all panels and windows.
 
     The sum over time of the per-window sums is the sum over all rows, so no
     shuffle by window is needed: one partial sum per task.
     """
-    return windows.agg(window_energy(F.sum(WINDOW_POWER), hours).alias("energy_wh"))
+    hours = window_hours(F.col(WINDOW_START), F.col(WINDOW_END))
+    return windows.agg(F.sum(F.col(WINDOW_POWER) * hours).alias("energy_wh"))
 
 
-def latest_fleet_power(windows: DataFrame) -> DataFrame:
-    """The fleet power of the last window."""
-    return fleet_power(windows).agg(
-        F.max(WINDOW_END).alias(WINDOW_END),
-        F.max_by(WINDOW_POWER, WINDOW_END).alias(WINDOW_POWER),
-    )
+def fleet_power_around(
+    readings: DataFrame, as_of: str, back: str = "4 hours", ahead: str = "1 hour",
+    duration: str = WINDOW_DURATION,
+) -> DataFrame:
+    """F3 on A2: the fleet power of the windows that end in a range of time.
+
+    The readings are filtered too, by the range and one window before it, so the
+    scan skips what lies outside.
+    """
+    near = around(readings, as_of, f"{back} {duration}", ahead)
+    return fleet_power(around(panel_power(near, duration), as_of, back, ahead, WINDOW_END))
+
+
+def latest_fleet_power(readings: DataFrame, duration: str = WINDOW_DURATION) -> DataFrame:
+    """The fleet power of the last window; no row without timed readings.
+
+    The last time, one value of each task, tells the window, and only readings
+    from its start on are summed up: all others are skipped by the scan.
+    """
+    start = readings.agg(F.max(F.window(EVENT_TIME, duration)["start"]).cast(
+        readings.schema[EVENT_TIME].dataType).cast("string")).first()[0]
+    if start is None:
+        return fleet_power(panel_power(readings.limit(0), duration))
+    first = F.lit(start).cast(readings.schema[EVENT_TIME].dataType)
+    return fleet_power(panel_power(readings.filter(F.col(EVENT_TIME) >= first), duration))
 
 
 def latest_status(readings: DataFrame, order: str) -> DataFrame:
@@ -54,23 +77,38 @@ def latest_status(readings: DataFrame, order: str) -> DataFrame:
     )
 
 
-def latest_status_of_topic(readings: DataFrame) -> DataFrame:
-    """A5 in the order of a topic: broker time, partition, offset.
+def latest_per_partition(readings: DataFrame) -> DataFrame:
+    """A5, first step: the last status of each panel in each partition of the topic.
 
-    Offsets order a partition, so the rows are reduced per panel and partition
-    with plain numbers; only the last ones of a panel that moved between
-    partitions are compared by all three.  A max over structs of all rows would
-    have to sort them.
+    Offsets order a partition, so plain numbers are compared.  As a stream this is
+    the state to keep: one row per panel and partition.
     """
-    last = readings.filter(F.col(STATUS).isNotNull()).groupBy(PANEL, "partition").agg(
+    return readings.filter(F.col(STATUS).isNotNull()).groupBy(PANEL, "partition").agg(
         F.max_by(STATUS, "offset").alias(STATUS),
         F.max_by("timestamp", "offset").alias("timestamp"),
         F.max("offset").alias("offset"),
     )
+
+
+def latest_of_partitions(last: DataFrame) -> DataFrame:
+    """A5, second step: of a panel's partitions the one with the newest broker time.
+
+    Offsets don't compare across partitions: the order is broker time, partition,
+    offset (D4).
+    """
     ingest_order = F.struct("timestamp", "partition", "offset")
     return last.groupBy(PANEL).agg(F.max_by(STATUS, ingest_order).alias(STATUS))
 
 
+def latest_status_of_topic(readings: DataFrame) -> DataFrame:
+    """A5 in the order of a topic: broker time, partition, offset.
+
+    Only the last rows of a panel per partition are compared by all three; a max
+    over structs of all rows would have to sort them.
+    """
+    return latest_of_partitions(latest_per_partition(readings))
+
+
 def power_histogram(
     windows: DataFrame,
     width: float = 20.0,

@@ -7,17 +7,32 @@ from pyspark.sql import functions as F
 
 from sunmeter.functions.columns import stored_power
 from sunmeter.schema import (
-    EVENT_TIME, PANEL, PANEL_LENGTH, POWER, POWER_PRECISION, POWER_SCALE, STATUS,
+    CLOCK_AHEAD, EVENT_TIME, PANEL, PANEL_LENGTH, POWER, POWER_PRECISION, POWER_SCALE, STATUS,
 )
 
 POWER_BOUND = float(10 ** (POWER_PRECISION - POWER_SCALE))
 
 
+def is_timed() -> Column:
+    """A reading that windows can take: panel and time known."""
+    return F.col(PANEL).isNotNull() & F.col(EVENT_TIME).isNotNull()
+
+
 def is_valid() -> Column:
-    """A reading the raw table can hold: panel and time known, id and power in range."""
-    panel, power = F.col(PANEL), F.col(POWER)
-    storable = (F.length(panel) <= PANEL_LENGTH) & (F.abs(power) < F.lit(POWER_BOUND))
-    return panel.isNotNull() & F.col(EVENT_TIME).isNotNull() & storable
+    """A reading the raw table can hold: timed, id and power in range."""
+    storable = (F.length(PANEL) <= PANEL_LENGTH) & (F.abs(POWER) < F.lit(POWER_BOUND))
+    return is_timed() & storable
+
+
+def is_ahead(ahead: str = CLOCK_AHEAD, arrival: str = "timestamp") -> Column:
+    """A reading stamped further ahead of its arrival at the broker than clocks run.
+
+    One such stamp would move the watermark of all panels, for good; so these rows
+    are rejects, kept with their text, and reach no stream that has a watermark.
+    A row without a stamp or an arrival is not ahead.
+    """
+    limit = F.col(arrival) + F.expr(f"INTERVAL '{ahead}'")
+    return F.coalesce(F.col(EVENT_TIME) > limit, F.lit(False))
 
 
 def is_reject() -> Column:

@@ -1,68 +1,73 @@
-"""Ordered, limited time series."""
+"""Ordered time series, whole or limited."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sunmeter.schema import (
-    EVENT_TIME, PANEL, POWER, SERIES_LIMIT_RAW, SERIES_LIMIT_WINDOW, WINDOW_END, WINDOW_POWER,
-)
+from sunmeter.schema import EVENT_TIME, PANEL, POWER, WINDOW_END, WINDOW_POWER
+from sunmeter.session import scratch
+
+PLACE, INPUT = "series_place", "series_input"
+PARTITION_BITS = 33  # of a row's number within its partition
 
-# Rows one task may sort at the end of a limited series.
-ONE_TASK_ROWS = 1_000_000
 
+def panel_series(raw: DataFrame, limit: int | None = None) -> DataFrame:
+    """Power over time, long form: the panel id tells the series apart.
 
-def panel_series(raw: DataFrame, limit: int = SERIES_LIMIT_RAW) -> DataFrame:
-    """Power over time, long form: the panel id tells the series apart."""
+    With ``limit`` the first rows only, by time, panel and power.
+    """
     rows = raw.select(EVENT_TIME, POWER, PANEL)
-    return first_rows(rows, limit, EVENT_TIME, PANEL, POWER)
+    return rows if limit is None else first_rows(rows, limit, EVENT_TIME, PANEL, POWER)
 
 
-def window_series(windows: DataFrame, limit: int = SERIES_LIMIT_WINDOW) -> DataFrame:
-    """Window power over time, long form."""
+def window_series(windows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Window power over time, long form; with ``limit`` the first rows only."""
     rows = windows.select(WINDOW_END, WINDOW_POWER, PANEL)
-    return first_rows(rows, limit, WINDOW_END, PANEL, WINDOW_POWER)
+    return rows if limit is None else first_rows(rows, limit, WINDOW_END, PANEL, WINDOW_POWER)
 
 
-def first_rows(
-    rows: DataFrame, limit: int, time: str, *ties: str, one_task: int = ONE_TASK_ROWS,
-) -> DataFrame:
+def first_rows(rows: DataFrame, limit: int, time: str, *ties: str) -> DataFrame:
     """L1: the first ``limit`` rows by ``(time, *ties)``, as a set; NULL times last.
 
     ``orderBy().limit(n)`` sends up to n rows of every task to a single one,
     which a limit of millions over a large table does not survive.  Here the
     rows are counted per hour, and everything before the hour the limit falls
-    in is kept by a filter, without sort or shuffle.  Only if that hour is too
-    large for one task is it counted again by second, by instant and by each
-    tie column.  Each step reads one row (the cut) back to the driver.
-    ``time`` and ``ties`` must name all columns of ``rows``, so rows still equal
-    in the end are copies of each other.
+    in is kept by a filter, without sort or shuffle.  That hour is dealt out in
+    order, each part numbered on its own and stored; the parts' sizes, one number
+    each, tell which parts are kept whole and how much of the next.  Copies of a
+    row are told apart by the task they came from, so even they are divided.
+    ``time`` and ``ties`` must name all columns of ``rows``.
     """
     if set(rows.columns) != {time, *ties}:
         raise ValueError("time and ties must name all columns")
-    steps = [
-        (F.date_trunc("hour", time), "1 hour"),
-        (F.date_trunc("second", time), "1 second"),
-        *((F.col(name), None) for name in (time, *ties)),
-    ]
-    in_order = [F.asc_nulls_last(name) for name in (time, *ties)]
-    kept, rest, left = [], rows, limit
-    for key, span in steps:
-        cut = _cut(rest, key, left)
-        if cut is None:  # the limit takes all that is left
-            return _union([*kept, rest])
-        before, rest = _divide(rest, key, time, span, cut["bucket"])
-        kept.append(before)
-        left -= cut["before"]
-        if left == 0:
-            return _union(kept)
-        if cut["rows"] <= one_task:
-            return _union([*kept, rest.orderBy(*in_order).limit(left)])
-    copies = rest.limit(1).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(left))))
-    return _union([*kept, copies.drop("copy")])
+    hour = F.date_trunc("hour", time)
+    cut = _cut(rows, hour, limit)
+    if cut is None:  # the limit takes all
+        return rows
+    before, rest = _divide(rows, hour, time, cut["bucket"])
+    return before.unionAll(_first_of(rest, limit - cut["before"], time, *ties))
+
+
+def _first_of(rows: DataFrame, limit: int, time: str, *ties: str) -> DataFrame:
+    """The first ``limit`` of ``rows``, which are more."""
+    spark = rows.sparkSession
+    order = [F.asc_nulls_last(name) for name in (time, *ties)]
+    dealt = rows.withColumn(INPUT, F.spark_partition_id())
+    numbered = dealt.repartitionByRange(*order, INPUT).sortWithinPartitions(
+        *order, INPUT).withColumn(PLACE, F.monotonically_increasing_id())
+    path = scratch(spark, "first-rows")
+    numbered.write.parquet(path)
+    stored = spark.read.schema(numbered.schema).parquet(path)
+    part = F.shiftright(PLACE, PARTITION_BITS)
+    sizes = {r["part"]: r["count"] for r in stored.groupBy(part.alias("part")).count().collect()}
+    end = 0
+    for number in sorted(sizes):
+        end = (number << PARTITION_BITS) + min(limit, sizes[number])
+        limit -= min(limit, sizes[number])
+        if not limit:
+            break
+    return stored.filter(F.col(PLACE) < end).select(*rows.columns)
 
 
 def _cut(rows: DataFrame, key: Column, limit: int):
@@ -88,23 +93,12 @@ def _cut(rows: DataFrame, key: Column, limit: int):
 
 
 def _divide(
-    rows: DataFrame, key: Column, time: str, span: str | None, bucket: str | None,
+    rows: DataFrame, key: Column, time: str, bucket: str | None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows before the cut bucket and rows in it.
-
-    For a time bucket both are ranges of the time column itself, so the scan
-    can skip what lies outside.
-    """
+    """Rows before the cut hour and rows in it, as ranges of the time column itself."""
     if bucket is None:
         return rows.filter(key.isNotNull()), rows.filter(key.isNull())
-    if span is None:
-        edge = F.lit(bucket).cast(rows.select(key.alias("k")).schema["k"].dataType)
-        return rows.filter(key < edge), rows.filter(key == edge)
     edge = F.lit(bucket).cast(rows.schema[time].dataType)
-    past = edge + F.expr(f"INTERVAL '{span}'")
+    past = edge + F.expr("INTERVAL '1' HOUR")
     column = F.col(time)
     return rows.filter(column < edge), rows.filter((column >= edge) & (column < past))
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionAll, parts)

@@ -38,8 +38,12 @@ def with_lateness(readings: DataFrame, delay: str = WATERMARK_DELAY) -> DataFram
     return readings.withWatermark(EVENT_TIME, delay)
 
 
-def latest_emission(updates: DataFrame) -> DataFrame:
-    """D3: the newest value of each window among all that update mode emitted."""
-    return updates.groupBy(PANEL, WINDOW_START, WINDOW_END).agg(
-        F.max_by(WINDOW_POWER, "batch_id").alias(WINDOW_POWER)
-    ).select(PANEL, WINDOW_POWER, WINDOW_START, WINDOW_END)
+def latest_emission(updates: DataFrame, order: str = "batch_id", keep: bool = False) -> DataFrame:
+    """D3: the newest value of each window among all that update mode emitted.
+
+    With ``keep`` the rows still carry ``order``, so they can be merged again.
+    """
+    newest = updates.groupBy(PANEL, WINDOW_START, WINDOW_END).agg(
+        F.max_by(WINDOW_POWER, order).alias(WINDOW_POWER), F.max(order).alias(order))
+    columns = [PANEL, WINDOW_POWER, WINDOW_START, WINDOW_END]
+    return newest.select(*columns, order) if keep else newest.select(*columns)

@@ -34,19 +34,41 @@ def to_readings(events: DataFrame) -> DataFrame:
     )
 
 
-def messages(rows: DataFrame, arrival: Column | None = None) -> DataFrame:
+def panel_readings(spark: SparkSession, sf_dir: str, panel: str) -> DataFrame:
+    """The readings of one panel, compared in the type the id is stored in."""
+    events = table(prepare(spark), sf_dir, "events")
+    return to_readings(events.filter(
+        F.col("user_id") == F.lit(panel).cast(events.schema["user_id"].dataType)))
+
+
+def messages(
+    rows: DataFrame, arrival: Column | None = None, partition: Column | None = None,
+    offset: Column | None = None,
+) -> DataFrame:
     """Readings as the topic would hand them over, offline ones as heartbeats."""
     arrival = F.col(EVENT_TIME) if arrival is None else arrival
     meta = rows.withColumns({
-        EVENT_TIME: F.col(EVENT_TIME).cast("timestamp"),
-        "topic": F.lit(TOPIC),
-        "partition": F.lit(0),
-        "offset": F.col("ingest_seq"),
         "timestamp": arrival.cast("timestamp"),
-    })
+        "topic": F.lit(TOPIC),
+        "partition": (F.lit(0) if partition is None else partition).cast("int"),
+        "offset": F.col("ingest_seq") if offset is None else offset,
+    }).withColumn(EVENT_TIME, F.col(EVENT_TIME).cast("timestamp"))
     return encode(meta, True, "topic", "partition", "offset", "timestamp")
 
 
+BLOCK = 100
+
+
+def moving_partition() -> dict[str, Column]:
+    """Partition and offset where blocks of readings take turns on two partitions.
+
+    So panels move between them, and offsets don't compare across partitions.
+    """
+    seq = F.col("ingest_seq")
+    block = F.floor(seq / BLOCK)
+    return {"partition": block % 2, "offset": F.floor(block / 2) * BLOCK + seq % BLOCK}
+
+
 def skewed_arrival() -> Column:
     """Active panels stamp readings one hour ahead; heartbeats are on time."""
     time = F.col(EVENT_TIME)
@@ -54,14 +76,17 @@ def skewed_arrival() -> Column:
     return F.when(F.col(STATUS) == STATUS_ACTIVE, ahead).otherwise(time)
 
 
+def days_late() -> Column:
+    """Arrival up to nine days behind the stamp."""
+    return F.col(EVENT_TIME) + F.make_dt_interval(days=(F.col("ingest_seq") * 37 % 10).cast("int"))
+
+
 def slices(
-    rows: DataFrame, count: int, arrival: Column | None = None,
+    rows: DataFrame, count: int, arrival: Column | None = None, **meta: Column,
 ) -> list[DataFrame]:
     """All readings as ``count`` message sets of equal time spans, in order of arrival.
 
-    The span of the table is one row of minimum and maximum.  Next to the
-    arrival each slice filters the stored time, widened by the skew, so a scan
-    of a time-ordered table reads only the slice.
+    The span of the table is one row of minimum and maximum.
     """
     arrival = F.col(EVENT_TIME) if arrival is None else arrival
     span = rows.select(
@@ -69,17 +94,16 @@ def slices(
         F.unix_micros(F.max(arrival).cast("timestamp")).alias("last"),
     ).first()
     if span["first"] is None:
-        return [messages(rows, arrival)]
+        return [messages(rows, arrival, **meta)]
     width = (span["last"] - span["first"]) // count + 1
     out = []
     for i in range(count):
         low = _time_at(span["first"] + i * width, rows)
         high = _time_at(span["first"] + (i + 1) * width, rows)
-        near = F.col(EVENT_TIME).between(low, high + F.expr("INTERVAL '1' HOUR"))
-        inside = near & (arrival >= low) & (arrival < high)
+        inside = (arrival >= low) & (arrival < high)
         if i == count - 1:
             inside = inside | arrival.isNull()
-        out.append(messages(rows.filter(inside), arrival))
+        out.append(messages(rows.filter(inside), arrival, **meta))
     return out
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sunmeter.plans.batch import AS_OF, LOOKUP_PANEL, WIDE_PANELS
+from sunmeter.plans.batch import AS_OF, FIRST_ROWS, FIRST_WINDOWS, LOOKUP_PANEL, WIDE_PANELS
 
 READINGS = """
 with readings as (
@@ -14,22 +14,22 @@ with readings as (
 """
 
 
-def _windows(duration: str = "30 seconds") -> str:
+def _windows(duration: str = "30 seconds", where: str = "true") -> str:
     return READINGS.rstrip() + f""",
 agg as (
   select Panel_id, avg(power_panel) as total_power,
          time_bucket(interval '{duration}', time_data) as window_start,
          time_bucket(interval '{duration}', time_data) + interval '{duration}' as window_end
-  from readings group by Panel_id, 3, 4),
+  from readings where {where} group by Panel_id, 3, 4),
 fleet as (
   select window_end, sum(total_power) as total_power from agg group by window_end)
 """
 
 
-def _curve(start: int, hours: int, exponent: int) -> str:
+def _curve(start: str, hours: int, exponent: int) -> str:
     second = "(hour(time_data) * 3600 + minute(time_data) * 60 + second(time_data))"
     slope = f"({hours} * 0.5e0 / ({hours} * 3600 / 2e0))"
-    x = f"({second} - {start * 3600}) * {slope} - {hours} * 0.5e0"
+    x = f"({second} - ({start})) * {slope} - {hours} * 0.5e0"
     return READINGS + f"""
       select Panel_id, time_data,
              round(400e0 / pow(cosh({x}), {exponent}), 6) as expected_power
@@ -38,7 +38,7 @@ def _curve(start: int, hours: int, exponent: int) -> str:
 
 _AGG = _windows()
 _STORED = "cast(power_panel as decimal(20,3))"
-_STORED_VALUE = f"cast({_STORED} as double)"
+_STORED_VALUE = f"cast({_STORED} as varchar)"
 _SECONDS = "strftime(time_data, '%Y-%m-%d %H:%M:%S')"
 
 _SHOWN = f"""between timestamp '{AS_OF}' - interval 4 hour
@@ -47,13 +47,28 @@ _SHOWN = f"""between timestamp '{AS_OF}' - interval 4 hour
 _ALL_READINGS = READINGS + "select Panel_id, power_panel, current_status, time_data from readings"
 _ALL_RAW = READINGS + f"""
   select Panel_id, {_STORED_VALUE} as power_panel, current_status, time_data from readings"""
+_RAW_SERIES = READINGS + f"""
+  select time_data, {_STORED_VALUE} as power_panel, Panel_id from readings"""
+_WINDOW_SERIES = """
+  select window_end, round(total_power, 6) as total_power, Panel_id from agg"""
+_LOOKUP = READINGS + f"""
+  select Panel_id, {_STORED_VALUE} as power_panel, current_status, {_SECONDS} as time_data
+  from readings where Panel_id = '{LOOKUP_PANEL}'"""
 _ALL_WINDOWS = """
   select Panel_id, round(total_power, 6) as total_power, window_start, window_end from agg"""
 _FLEET = _AGG + "select window_end, round(total_power, 6) as total_power from fleet"
 _REJECTS = """
   select cast(1 as integer) as partition, props as raw_value from events
   union all
-  select cast(2 as integer), text from conversations"""
+  select cast(2 as integer), text from conversations
+  union all
+  select cast(3 as integer), '{' || case event_id % 4 when 1 then ''
+           when 2 then '"Panel_id":"' || repeat('x', 251) || '",' else '"Panel_id":"8",' end
+         || '"power_panel":'
+         || case event_id % 4 when 3 then '123456789012345678.0' else '1.5' end
+         || ',"current_status":1,"time_data":"'
+         || case event_id % 4 when 0 then 'not a time ' || event_id else '2024-01-15 12:00:00' end
+         || '"}' from events"""
 _LATEST = READINGS + """
   select Panel_id, arg_max(current_status, ingest_seq) as current_status
   from readings group by Panel_id"""
@@ -87,30 +102,34 @@ ORACLES = {
       from readings""",
     "raw_readings": _ALL_RAW,
     "raw_readings_stored": _ALL_RAW,
-    "panel_lookup": READINGS + f"""
-      select Panel_id, {_STORED_VALUE} as power_panel, current_status, {_SECONDS} as time_data
-      from readings where Panel_id = '{LOOKUP_PANEL}'""",
+    "raw_table_created": _ALL_RAW,
+    "compacted_readings": _ALL_RAW,
+    "panel_lookup": _LOOKUP,
+    "panel_lookup_stored": _LOOKUP,
     "panel_lookup_json": READINGS + f"""
       select '{{"Panel_id":"' || Panel_id || '","current_status":' || current_status
              || ',"power_panel":"' || {_STORED} || '","time_data":"' || {_SECONDS}
              || '"}}' as reading
       from readings where Panel_id = '{LOOKUP_PANEL}'""",
-    "panel_power_series": READINGS + f"""
-      select time_data, {_STORED_VALUE} as power_panel, Panel_id from readings
-      order by time_data, Panel_id, power_panel limit 5000000""",
-    "panel_window_series": _AGG + """
-      select window_end, round(total_power, 6) as total_power, Panel_id from agg
-      order by window_end, Panel_id, total_power limit 500000""",
+    "panel_power_series": _RAW_SERIES,
+    "panel_power_first": _RAW_SERIES + f"""
+      order by time_data, Panel_id, {_STORED} limit {FIRST_ROWS}""",
+    "panel_window_series": _AGG + _WINDOW_SERIES,
+    "panel_window_first": _windows("1 hour") + _WINDOW_SERIES + f"""
+      order by window_end, Panel_id, agg.total_power limit {FIRST_WINDOWS}""",
     "readings_in_range": READINGS + f"""
       select Panel_id, power_panel, current_status, time_data from readings
       where time_data {_SHOWN}""",
     "panel_power_window": _AGG + _ALL_WINDOWS,
     "panel_power_window_1h": _windows("1 hour") + _ALL_WINDOWS,
+    "panel_power_of_timed": _windows(where="ingest_seq % 7 <> 0") + _ALL_WINDOWS,
     "fleet_power_window": _FLEET,
     "fleet_power_in_range": _FLEET + f" where window_end {_SHOWN}",
     "fleet_power_from_wire": _FLEET,
     "fleet_energy_window": _AGG + """
       select window_end, round(total_power * 0.0083333333e0, 6) as energy_wh from fleet""",
+    "fleet_energy_window_1h": _windows("1 hour") + """
+      select window_end, round(total_power * 1e0, 6) as energy_wh from fleet""",
     "fleet_energy_total": _AGG + """
       select round(sum(total_power * 0.0083333333e0), 6) as energy_wh from fleet""",
     "latest_panel_status": _LATEST,
@@ -129,14 +148,18 @@ ORACLES = {
              round(sum(total_power) filter (where Panel_id not in ({_WIDE_NAMES})), 6)
                as other_panels
       from agg group by window_end""",
-    "expected_output": _curve(12, 1, 30),
-    "expected_output_day": _curve(9, 6, 1),
+    "expected_output": _curve(
+        "(6 + Panel_id::bigint % 12) * 3600 + (Panel_id::bigint % 60) * 60", 1, 30),
+    "expected_output_day": _curve("9 * 3600", 6, 1),
     "stream_raw_readings": _ALL_RAW,
     "stream_restart_exactly_once": _ALL_RAW,
     "stream_rejected_readings": _REJECTS,
     "stream_panel_power_append": _AGG + _ALL_WINDOWS + """
       where window_end <= (select max(ts) from events) - interval 3630 second""",
     "stream_panel_power_update": _AGG + _ALL_WINDOWS,
+    "stream_current_windows": _AGG + _ALL_WINDOWS,
+    "stream_bad_clock": _windows(where="ingest_seq % 1000 <> 0") + _ALL_WINDOWS,
     "late_readings_kept": _AGG + _ALL_WINDOWS,
+    "late_readings_repaired": _AGG + _ALL_WINDOWS,
     "stream_latest_panel_status": _LATEST,
 }

@@ -10,120 +10,173 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sunmeter.functions.wire import decode
-from sunmeter.operators.windows import latest_emission
+from sunmeter.operators.fleet import latest_of_partitions
 from sunmeter.plans import fixture
 from sunmeter.plans.batch import mixed_topic, plain
-from sunmeter.schema import (
-    PANEL, RAW_SCHEMA, STATUS, STATUS_SCHEMA, WINDOW_POWER, WINDOW_SCHEMA,
-)
+from sunmeter.plans.replay import replay
+from sunmeter.schema import EVENT_TIME, RAW_SCHEMA, WATERMARK_DELAY, WINDOW_POWER
 from sunmeter.session import SHUFFLE_PARTITIONS, scratch
-from sunmeter.sinks.tables import read_batches, read_raw, read_rejects, read_windows
+from sunmeter.sinks.tables import FINAL_SCHEMA, read_rejects, status_table
 from sunmeter.sources.messages import read_landing
-from sunmeter.streaming import jobs
-from sunmeter.streaming.replay import replay
+from sunmeter.streaming import jobs, pipeline
 
 STEPS = 3
-STATE_PARTITIONS = 8
 LATE_STEPS = 6
+STATE_PARTITIONS = 8
+NEVER_LATE = "11 days"
+BROKEN_STAMP = "2999-01-01 00:00:00"
 
-# job(stream of messages, output path, checkpoint) -> running query
-Job = Callable[[DataFrame, str, str], StreamingQuery]
+# job(stream of messages, its folder) -> running queries
+Job = Callable[[DataFrame, str], list[StreamingQuery]]
 
 
-def play(
-    spark: SparkSession, name: str, slices: list[DataFrame], job: Job,
-) -> tuple[str, list[StreamingQuery]]:
-    """Run ``job`` over the slices; its output path and the finished runs.
+def play(spark: SparkSession, name: str, slices: list[DataFrame], job: Job) -> str:
+    """Run ``job`` over the slices; its folder.
 
     A stateful query has ``STATE_PARTITIONS`` partitions of state, whatever the
     batch setting is: the first start of a checkpoint fixes the number.
     """
     root = scratch(spark, name)
-    landing, out, checkpoint = f"{root}/landing", f"{root}/out", f"{root}/checkpoint"
-
-    def start() -> StreamingQuery:
-        return job(read_landing(spark, landing), out, checkpoint)
-
     batch = spark.conf.get(SHUFFLE_PARTITIONS)
     spark.conf.set(SHUFFLE_PARTITIONS, STATE_PARTITIONS)
     try:
-        return out, replay(slices, landing, start)
+        replay(slices, f"{root}/landing", lambda: job(read_landing(spark, f"{root}/landing"), root))
     finally:
         spark.conf.set(SHUFFLE_PARTITIONS, batch)
+    return root
 
 
-def _ordered(spark: SparkSession, sf_dir: str, steps: int = STEPS) -> list[DataFrame]:
-    return fixture.slices(fixture.readings(spark, sf_dir), steps)
-
+def _pipeline(*names: str, delay: str = WATERMARK_DELAY) -> Job:
+    """The pipeline's queries of these names."""
+    def job(messages: DataFrame, root: str) -> list[StreamingQuery]:
+        starts = pipeline.starts(messages, root, delay, jobs.ALL_AVAILABLE, files=1)
+        return [starts[name]() for name in names]
 
-def _raw_job(messages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    return jobs.start_raw(decode(messages), out, checkpoint, jobs.ALL_AVAILABLE)
+    return job
 
 
-def _ingest_job(messages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    return jobs.start_ingest(messages, out, checkpoint, jobs.ALL_AVAILABLE)
+def _raw_job(messages: DataFrame, root: str) -> list[StreamingQuery]:
+    return [jobs.start_raw(
+        decode(messages), f"{root}/raw", f"{root}/checkpoint", jobs.ALL_AVAILABLE, files=1)]
 
 
-def _append_job(messages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    return jobs.start_panel_power_append(
-        decode(messages), out, checkpoint, trigger=jobs.ALL_AVAILABLE)
+def _append_job(messages: DataFrame, root: str) -> list[StreamingQuery]:
+    return [jobs.start_panel_power_append(
+        decode(messages), f"{root}/windows", f"{root}/checkpoint", trigger=jobs.ALL_AVAILABLE)]
 
 
-def _update_job(messages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    return jobs.start_panel_power_update(
-        decode(messages), out, checkpoint, trigger=jobs.ALL_AVAILABLE)
+def _status_job(messages: DataFrame, root: str) -> list[StreamingQuery]:
+    readings = decode(messages, "partition", "offset", "timestamp")
+    return [jobs.start_latest_status(
+        readings, status_table(messages.sparkSession, f"{root}/status"), f"{root}/checkpoint",
+        jobs.ALL_AVAILABLE, files=1)]
 
 
-def _status_job(messages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    return jobs.start_latest_status(
-        decode(messages, "offset"), out, checkpoint, "offset", trigger=jobs.ALL_AVAILABLE)
+def _ordered(spark: SparkSession, sf_dir: str, steps: int = STEPS) -> list[DataFrame]:
+    return fixture.slices(fixture.readings(spark, sf_dir), steps)
 
 
 def stream_raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, _ = play(spark, "raw", _ordered(spark, sf_dir), _raw_job)
-    return plain(spark.read.schema(RAW_SCHEMA).parquet(out).drop("day"))
+    root = play(spark, "raw", _ordered(spark, sf_dir), _raw_job)
+    return plain(spark.read.schema(RAW_SCHEMA).parquet(f"{root}/raw").drop("day"))
 
 
 def stream_restart_exactly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half the messages, a stop, the other half from the same checkpoint."""
-    out, _ = play(spark, "restart", _ordered(spark, sf_dir, 2), _ingest_job)
-    return plain(read_raw(spark, out).drop("day"))
+    root = play(spark, "restart", _ordered(spark, sf_dir, 2), _pipeline("ingest"))
+    return plain(pipeline.Tables(spark, root).raw().drop("day"))
+
+
+def compacted_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All raw rows, after all but the newest batch was folded by day and removed."""
+    root = play(spark, "compact", _ordered(spark, sf_dir), _pipeline("ingest"))
+    tables = pipeline.Tables(spark, root)
+    tables.readings.fold()
+    tables.readings.clean()
+    return plain(tables.raw().drop("day"))
 
 
 def stream_rejected_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, _ = play(spark, "rejects", [mixed_topic(spark, sf_dir)], _ingest_job)
-    return read_rejects(spark, out).select("partition", "raw_value")
+    topic = mixed_topic(spark, sf_dir, broken=True)
+    root = play(spark, "rejects", [topic], _pipeline("ingest"))
+    return read_rejects(pipeline.Tables(spark, root).readings).select("partition", "raw_value")
 
 
 def stream_panel_power_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, _ = play(spark, "append", _ordered(spark, sf_dir), _append_job)
-    return plain(read_windows(spark, out).drop("day"), WINDOW_POWER)
+    root = play(spark, "append", _ordered(spark, sf_dir), _append_job)
+    stored = spark.read.schema(FINAL_SCHEMA).parquet(f"{root}/windows")
+    return plain(stored.drop("day"), WINDOW_POWER)
 
 
 def stream_panel_power_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, _ = play(spark, "update", _ordered(spark, sf_dir), _update_job)
-    return plain(latest_emission(read_batches(spark, out, WINDOW_SCHEMA)), WINDOW_POWER)
+    root = play(spark, "update", _ordered(spark, sf_dir), _pipeline("windows"))
+    return plain(pipeline.Tables(spark, root).current_windows(), WINDOW_POWER)
+
+
+def stream_current_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All windows from the pipeline's one state, after its upkeep."""
+    root = play(spark, "current", _ordered(spark, sf_dir), _pipeline("ingest", "windows"))
+    tables = pipeline.Tables(spark, root)
+    tables.upkeep()
+    return plain(tables.current_windows(), WINDOW_POWER)
+
+
+def stream_bad_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every thousandth stamp is centuries ahead; no other window is lost for it."""
+    broken = F.col("ingest_seq") % 1000 == 0
+    rows = fixture.readings(spark, sf_dir).withColumn("sent", F.col(EVENT_TIME))
+    kind = rows.schema[EVENT_TIME].dataType
+    rows = rows.withColumn(EVENT_TIME, F.when(broken, F.lit(BROKEN_STAMP).cast(kind)).otherwise(
+        F.col(EVENT_TIME)))
+    late = fixture.slices(rows, STEPS, F.col("sent"))
+    root = play(spark, "clock", late, _pipeline("windows"))
+    return plain(pipeline.Tables(spark, root).current_windows(), WINDOW_POWER)
+
+
+def _late(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return fixture.slices(fixture.readings(spark, sf_dir), LATE_STEPS, fixture.days_late())
 
 
 def late_readings_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages in order of arrival, one hour behind the event time of active panels."""
-    rows = fixture.readings(spark, sf_dir)
-    late = fixture.slices(rows, LATE_STEPS, fixture.skewed_arrival())
-    out, _ = play(spark, "late", late, _update_job)
-    return plain(latest_emission(read_batches(spark, out, WINDOW_SCHEMA)), WINDOW_POWER)
+    """Messages up to nine days behind their stamps, and a watermark that waits longer."""
+    root = play(spark, "late", _late(spark, sf_dir), _pipeline("windows", delay=NEVER_LATE))
+    return plain(pipeline.Tables(spark, root).current_windows(), WINDOW_POWER)
+
+
+def late_readings_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same messages, a watermark that drops most of them, and a repair from the raw rows."""
+    delay = "30 seconds"
+    drops = jobs.DropCounter()
+    spark.streams.addListener(drops)
+    try:
+        root = play(spark, "repair", _late(spark, sf_dir),
+                    _pipeline("ingest", "windows", delay=delay))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(drops)
+    if not drops.dropped:
+        raise AssertionError("no row was late")
+    tables = pipeline.Tables(spark, root)
+    tables.upkeep(delay)
+    return plain(tables.current_windows(), WINDOW_POWER)
 
 
 def stream_latest_panel_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, _ = play(spark, "status", _ordered(spark, sf_dir), _status_job)
-    newest = F.max_by(STATUS, "batch_id").alias(STATUS)
-    return read_batches(spark, out, STATUS_SCHEMA).groupBy(PANEL).agg(newest)
+    """Panels that move between two partitions, whose offsets don't compare."""
+    rows = fixture.readings(spark, sf_dir)
+    slices = fixture.slices(rows, STEPS, **fixture.moving_partition())
+    root = play(spark, "status", slices, _status_job)
+    status = status_table(spark, f"{root}/status")
+    status.fold()
+    return latest_of_partitions(status.read())
 
 
 QUERIES = {
     query.__name__: query
     for query in (
-        stream_raw_readings, stream_restart_exactly_once, stream_rejected_readings,
-        stream_panel_power_append, stream_panel_power_update, late_readings_kept,
+        stream_raw_readings, stream_restart_exactly_once, compacted_readings,
+        stream_rejected_readings, stream_panel_power_append, stream_panel_power_update,
+        stream_current_windows, stream_bad_clock, late_readings_kept, late_readings_repaired,
         stream_latest_panel_status,
     )
 }

@@ -23,8 +23,6 @@ STATUS_ACTIVE = 1
 STATUS_OFFLINE = 0
 POWER_PRECISION, POWER_SCALE = 20, 3
 PANEL_LENGTH = 250
-SERIES_LIMIT_RAW = 5_000_000
-SERIES_LIMIT_WINDOW = 500_000
 
 READING_SCHEMA = T.StructType([
     T.StructField(PANEL, T.StringType()),
@@ -51,9 +49,13 @@ WINDOW_SCHEMA = T.StructType([
     T.StructField(WINDOW_END, T.TimestampType()),
 ])
 
+# The last status of a panel in each partition of the topic.
 STATUS_SCHEMA = T.StructType([
     T.StructField(PANEL, T.StringType()),
+    T.StructField("partition", T.IntegerType()),
     T.StructField(STATUS, T.IntegerType()),
+    T.StructField("timestamp", T.TimestampType()),
+    T.StructField("offset", T.LongType()),
 ])
 
 # What the message broker's source hands over.
@@ -67,6 +69,10 @@ MESSAGE_SCHEMA = T.StructType([
 ])
 
 # Panels stamp their readings up to one hour ahead of the offline heartbeats
-# (clock skew), and 30 s is the lateness the pipeline declares.  With both, no
-# reading of a live fleet is dropped while state still stays bounded.
+# (clock skew), and 30 s is the lateness the pipeline declares (D1, D2).  The
+# watermark drops what comes later than that; such rows stay in the raw table,
+# from which their windows are repaired.
 WATERMARK_DELAY = "1 hour 30 seconds"
+
+# A stamp further ahead of the broker's time than this is a broken clock.
+CLOCK_AHEAD = "2 hours"

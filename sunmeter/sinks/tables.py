@@ -1,37 +1,40 @@
-"""Parquet tables for raw readings and window power, written and read back."""
+"""Tables of raw readings, window power and status, written and read back."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sunmeter.functions.columns import stored_power
-from sunmeter.operators.quality import is_reject
+from sunmeter.operators.quality import is_ahead, is_reject
+from sunmeter.operators.windows import latest_emission
 from sunmeter.schema import (
-    EVENT_TIME, PANEL, PANEL_LENGTH, POWER, POWER_PRECISION, POWER_SCALE, RAW_SCHEMA, RAW_TABLE,
-    STATUS, WINDOW_SCHEMA,
+    CLOCK_AHEAD, EVENT_TIME, PANEL, PANEL_LENGTH, POWER, POWER_PRECISION, POWER_SCALE, RAW_SCHEMA,
+    RAW_TABLE, STATUS, STATUS_SCHEMA, WINDOW_SCHEMA, WINDOW_START,
 )
+from sunmeter.sinks.folded import BATCH, Folded
 
 VALID, REJECT = "valid", "reject"
+NO_DAY = "1970-01-01"
 
 BY_KIND_SCHEMA = T.StructType([
+    T.StructField("kind", T.StringType()),
     *RAW_SCHEMA.fields[:4],
     T.StructField("topic", T.StringType()),
     T.StructField("partition", T.IntegerType()),
     T.StructField("offset", T.LongType()),
+    T.StructField("timestamp", T.TimestampType()),
     T.StructField("raw_value", T.StringType()),
-    T.StructField("kind", T.StringType()),
-    T.StructField("day", T.DateType()),
 ])
 
+
 FINAL_SCHEMA = T.StructType([*WINDOW_SCHEMA.fields, T.StructField("day", T.DateType())])
 
 
-def create_raw_table(spark: SparkSession, name: str = RAW_TABLE) -> None:
-    """K7: create the raw table if it is absent, by day."""
+def create_raw_table(spark: SparkSession, name: str = RAW_TABLE, path: str | None = None) -> None:
+    """K7: create the raw table if it is absent, by day; at ``path``, if given."""
+    place = f"LOCATION '{path}'" if path else ""
     spark.sql(f"""
         CREATE TABLE IF NOT EXISTS {name} (
             Panel_id VARCHAR({PANEL_LENGTH}) NOT NULL,
@@ -39,7 +42,7 @@ def create_raw_table(spark: SparkSession, name: str = RAW_TABLE) -> None:
             current_status INT NOT NULL,
             time_data TIMESTAMP,
             day DATE
-        ) USING parquet PARTITIONED BY (day)
+        ) USING parquet PARTITIONED BY (day) {place}
     """)
 
 
@@ -48,13 +51,13 @@ def with_day(rows: DataFrame, time: str = EVENT_TIME) -> DataFrame:
 
 
 def write_clustered(rows: DataFrame, path: str, time: str = EVENT_TIME) -> None:
-    """Batch write by day, within a day in order of panel and time.
+    """A new table by day, within a day in order of panel and time; refuses a path in use.
 
     Range partitioning cuts by size: a day or a panel that holds much of the
     table is spread over many files, and small ones share a file.  The input
     partition is the last key, so that even copies of a single row are split.
     Sorted by panel, the row groups' minima and maxima let a lookup skip almost
-    all.
+    all.  The input is evaluated twice, once for the sample the ranges come from.
     """
     order = ["day", PANEL, time]
     (with_day(rows, time)
@@ -62,40 +65,60 @@ def write_clustered(rows: DataFrame, path: str, time: str = EVENT_TIME) -> None:
         .repartitionByRange(*order, "input_partition")
         .drop("input_partition")
         .sortWithinPartitions(*order)
-        .write.partitionBy("day").mode("overwrite").parquet(path))
+        .write.partitionBy("day").mode("errorifexists").parquet(path))
 
 
-def by_kind(decoded: DataFrame) -> DataFrame:
+def by_kind(decoded: DataFrame, ahead: str = CLOCK_AHEAD) -> DataFrame:
     """Raw rows and rejects as one table: ``kind`` tells them apart, rejects keep their text."""
-    kind = F.when(is_reject(), REJECT).otherwise(VALID)
+    kind = F.when(is_reject() | is_ahead(ahead), REJECT).otherwise(VALID)
     text = F.when(F.col("kind") == REJECT, F.col("raw_value"))
-    return with_day(decoded.withColumn("kind", kind)).select(
-        PANEL, stored_power(F.col(POWER)).alias(POWER), STATUS, EVENT_TIME,
-        "topic", "partition", "offset", text.alias("raw_value"), "kind", "day",
-    )
+    return decoded.withColumn("kind", kind).select(
+        "kind", PANEL, stored_power(F.col(POWER)).alias(POWER), STATUS, EVENT_TIME,
+        "topic", "partition", "offset", "timestamp", text.alias("raw_value"))
+
+
+def _day_of(time: Column) -> Column:
+    return F.coalesce(F.to_date(time), F.lit(NO_DAY).cast("date"))
+
+
+def readings_table(spark: SparkSession, path: str) -> Folded:
+    """K1: raw rows by the day of their stamp, rejects by that of their arrival."""
+    time = F.when(F.col("kind") == VALID, F.col(EVENT_TIME)).otherwise(F.col("timestamp"))
+    return Folded(spark, path, BY_KIND_SCHEMA, _day_of(time), order=("kind", PANEL, EVENT_TIME))
 
 
-def read_by_kind(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    return spark.read.schema(BY_KIND_SCHEMA).parquet(path).filter(F.col("kind") == kind)
+def read_kind(rows: Folded, kind: str) -> DataFrame:
+    return rows.read().filter(F.col("kind") == kind)
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """The raw readings of a table written by kind."""
-    return read_by_kind(spark, path, VALID).select(*RAW_SCHEMA.names)
+def read_raw(rows: Folded) -> DataFrame:
+    """The raw readings of a readings table."""
+    return with_day(read_kind(rows, VALID).select(*RAW_SCHEMA.names[:4]))
 
 
-def read_rejects(spark: SparkSession, path: str) -> DataFrame:
-    """The rejects of a table written by kind, with where they came from."""
-    return read_by_kind(spark, path, REJECT).select("topic", "partition", "offset", "raw_value")
+def read_rejects(rows: Folded) -> DataFrame:
+    """The rejects of a readings table, with where they came from."""
+    return read_kind(rows, REJECT).select("topic", "partition", "offset", "raw_value")
 
 
-def read_windows(spark: SparkSession, path: str) -> DataFrame:
-    """Final windows, each once."""
-    return spark.read.schema(FINAL_SCHEMA).parquet(path)
+def windows_table(spark: SparkSession, path: str) -> Folded:
+    """K2: window power by the day a window starts, the newest value of each window."""
+    def merge(rows: DataFrame) -> DataFrame:
+        return latest_emission(rows, BATCH, keep=True)
 
+    return Folded(spark, path, WINDOW_SCHEMA, _day_of(F.col(WINDOW_START)), merge,
+                  (PANEL, WINDOW_START))
 
-def batch_folder(path: str, batch_id: int) -> str:
-    return f"{path}/batch_id={batch_id}"
+
+def _newest_status(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(PANEL, "partition").agg(
+        *[F.max_by(name, BATCH).alias(name) for name in (STATUS, "timestamp", "offset")],
+        F.max(BATCH).alias(BATCH))
+
+
+def status_table(spark: SparkSession, path: str) -> Folded:
+    """A5: the last status of each panel per partition, all as one day."""
+    return Folded(spark, path, STATUS_SCHEMA, F.lit(NO_DAY).cast("date"), _newest_status, (PANEL,))
 
 
 def in_files(rows: DataFrame, files: int | None) -> DataFrame:
@@ -105,17 +128,3 @@ def in_files(rows: DataFrame, files: int | None) -> DataFrame:
     small: the extra shuffle moves that output only, the state stays put.
     """
     return rows if files is None else rows.repartition(files)
-
-
-def write_batches(path: str, files: int | None = None) -> Callable[[DataFrame, int], None]:
-    """A per-batch callback; a batch tried again replaces its own folder."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        in_files(batch, files).write.mode("overwrite").parquet(batch_folder(path, batch_id))
-
-    return write
-
-
-def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All batches so far, each row with its ``batch_id``."""
-    fields = [*schema.fields, T.StructField("batch_id", T.LongType())]
-    return spark.read.schema(T.StructType(fields)).parquet(path)

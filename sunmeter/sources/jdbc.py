@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunmeter.schema import PANEL_LENGTH, POWER_PRECISION, POWER_SCALE
+from sunmeter.schema import PANEL_LENGTH, POWER_PRECISION, POWER_SCALE, RAW_TABLE
 
 # K7: column types of the raw table where the writer creates it.
 RAW_COLUMN_TYPES = (
@@ -42,16 +42,24 @@ def read_table(spark: SparkSession, options: dict[str, str]) -> DataFrame:
     return spark.read.format("jdbc").options(**options).load()
 
 
-def append_batches(options: dict[str, str]) -> Callable[[DataFrame, int], None]:
-    """A per-batch callback that appends to a table.
+def raw_table_options(url: str, table: str = RAW_TABLE, **more: str | int) -> dict[str, str]:
+    """K7: writer options for the raw table; where it is absent it is made with its types."""
+    return table_options(url, table, **more) | {"createTableColumnTypes": RAW_COLUMN_TYPES}
+
+
+def append_batches(
+    options: dict[str, str], batch_column: str | None = None,
+) -> Callable[[DataFrame, int], None]:
+    """A per-batch callback that appends to a table, with its columns only.
 
     JDBC appends are at least once: a batch that is tried again is appended
-    again.  Each row therefore carries its ``batch_id``; for window updates
-    ``latest_emission`` makes the repeat harmless, as it holds the same value
-    under the same id.
+    again.  A table that has a column for it can keep the batch's number in
+    ``batch_column``, by which readers tell repeats; for window updates the newest
+    value of a window is then the same whether or not it was appended twice.
     """
     def append(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
-        rows.write.format("jdbc").options(**options).mode("append").save()
+        if batch_column:
+            batch = batch.withColumn(batch_column, F.lit(batch_id).cast("long"))
+        batch.write.format("jdbc").options(**options).mode("append").save()
 
     return append

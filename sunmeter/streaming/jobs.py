@@ -1,4 +1,4 @@
-"""Streaming jobs: raw ingest, window power, latest status, console.
+"""Streaming jobs: raw ingest, window power, latest status.
 
 Each takes a stream and starts one query.  A checkpoint is always required, so
 a restart goes on where the query stopped instead of replaying the topic (D5).
@@ -8,22 +8,26 @@ start of a checkpoint and cannot change afterwards.
 
 from __future__ import annotations
 
+import logging
 import time
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 from sunmeter.functions.wire import decode
-from sunmeter.operators.fleet import latest_status
-from sunmeter.operators.quality import is_valid, to_raw
+from sunmeter.operators.fleet import latest_per_partition
+from sunmeter.operators.quality import is_ahead, is_timed, is_valid, to_raw
 from sunmeter.operators.windows import panel_power, with_lateness
-from sunmeter.schema import WATERMARK_DELAY, WINDOW_DURATION, WINDOW_START
-from sunmeter.sinks.tables import by_kind, in_files, with_day, write_batches
+from sunmeter.schema import CLOCK_AHEAD, WATERMARK_DELAY, WINDOW_DURATION, WINDOW_START
+from sunmeter.sinks.folded import Folded
+from sunmeter.sinks.tables import by_kind, in_files, with_day
 
 Trigger = dict[str, object]
 ALL_AVAILABLE: Trigger = {"availableNow": True}
+log = logging.getLogger(__name__)
 
 
 def _writer(rows: DataFrame, checkpoint: str, mode: str, trigger: Trigger | None) -> DataStreamWriter:
@@ -33,10 +37,11 @@ def _writer(rows: DataFrame, checkpoint: str, mode: str, trigger: Trigger | None
 
 def start_raw(
     readings: DataFrame, path: str, checkpoint: str, trigger: Trigger | None = None,
+    files: int | None = None,
 ) -> StreamingQuery:
     """Append valid readings to the raw table, each exactly once, by day."""
     rows = with_day(to_raw(readings.filter(is_valid())))
-    return (_writer(rows, checkpoint, "append", trigger)
+    return (_writer(in_files(rows, files), checkpoint, "append", trigger)
             .partitionBy("day").format("parquet").start(path))
 
 
@@ -50,16 +55,22 @@ def start_raw_batches(
 
 
 def start_ingest(
-    messages: DataFrame, path: str, checkpoint: str, trigger: Trigger | None = None,
+    messages: DataFrame, table: Folded, checkpoint: str, trigger: Trigger | None = None,
+    files: int | None = None, ahead: str = CLOCK_AHEAD,
 ) -> StreamingQuery:
     """One pass over the topic that stores the raw readings and the rejects.
 
     Two queries would read and parse the topic twice.  Both kinds of row go to
-    one table by kind and day, so a batch commits them together.
+    one table, so a batch commits them together.
     """
-    decoded = decode(messages, "topic", "partition", "offset", raw=True)
-    return (_writer(by_kind(decoded), checkpoint, "append", trigger)
-            .partitionBy("kind", "day").format("parquet").start(path))
+    decoded = decode(messages, "topic", "partition", "offset", "timestamp", raw=True)
+    return (_writer(by_kind(decoded, ahead), checkpoint, "append", trigger)
+            .foreachBatch(table.write(files)).start())
+
+
+def timed_readings(messages: DataFrame, ahead: str = CLOCK_AHEAD) -> DataFrame:
+    """Readings that a watermark may see: panel and time known, the clock not far ahead."""
+    return decode(messages, "timestamp").filter(is_timed() & ~is_ahead(ahead))
 
 
 def start_panel_power_append(
@@ -73,45 +84,40 @@ def start_panel_power_append(
 
 
 def start_panel_power_update(
-    readings: DataFrame, path: str, checkpoint: str, delay: str = WATERMARK_DELAY,
-    duration: str = WINDOW_DURATION, trigger: Trigger | None = None,
-    write: Callable[[DataFrame, int], None] | None = None,
+    readings: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str,
+    delay: str = WATERMARK_DELAY, duration: str = WINDOW_DURATION, trigger: Trigger | None = None,
 ) -> StreamingQuery:
-    """Every window a batch touched, at once; read by ``latest_emission``."""
+    """Every window a batch touched, at once, to a per-batch callback."""
     rows = panel_power(with_lateness(readings, delay), duration)
-    return (_writer(rows, checkpoint, "update", trigger)
-            .foreachBatch(write or write_batches(path)).start())
+    return _writer(rows, checkpoint, "update", trigger).foreachBatch(write).start()
 
 
 def start_latest_status(
-    readings: DataFrame, path: str, checkpoint: str, order: str,
-    trigger: Trigger | None = None,
+    readings: DataFrame, table: Folded, checkpoint: str, trigger: Trigger | None = None,
+    files: int | None = None,
 ) -> StreamingQuery:
-    """A5 as a stream: the panels whose status a batch touched; one state row per panel."""
-    rows = latest_status(readings, order)
-    return (_writer(rows, checkpoint, "update", trigger)
-            .foreachBatch(write_batches(path)).start())
-
+    """A5 as a stream: the panels whose status a batch touched, per partition of the topic.
 
-def start_console(
-    rows: DataFrame, checkpoint: str, mode: str = "append", truncate: bool = True,
-    trigger: Trigger | None = None,
-) -> StreamingQuery:
-    """K3, K4: rows to the console, for watching a job."""
-    return (_writer(rows, checkpoint, mode, trigger)
-            .format("console").option("truncate", str(truncate).lower()).start())
+    ``readings`` carry the messages' partition, offset and timestamp.
+    """
+    rows = latest_per_partition(readings)
+    return _writer(rows, checkpoint, "update", trigger).foreachBatch(table.write(files)).start()
 
 
 def supervise(
     spark: SparkSession, starts: dict[str, Callable[[], StreamingQuery]],
-    restarts: int = 5, pause: float = 2.0,
+    restarts: int = 5, pause: float = 2.0, longest: float = 300.0, quiet: float = 600.0,
 ) -> None:
-    """Run all queries; start a failed one again from its checkpoint.
+    """Run all queries; start a failed one again from its checkpoint, without end.
 
-    Any failure is seen, whichever query it hits.  When the restarts are used
-    up, the other queries are stopped and the failure is raised.
+    The pause before a restart doubles with each failure in a row, up to
+    ``longest`` seconds; a query that ran for ``quiet`` seconds begins anew.  Only
+    after ``restarts`` failures in a row are the other queries stopped and the
+    failure raised, as then something is wrong that does not pass.
     """
     running = {name: start() for name, start in starts.items()}
+    began = dict.fromkeys(running, time.monotonic())
+    failed: Counter[str] = Counter()
     while running:
         try:
             spark.streams.awaitAnyTermination()
@@ -124,24 +130,41 @@ def supervise(
             failure = query.exception()
             if failure is None:
                 del running[name]
-            elif restarts == 0:
+                continue
+            if time.monotonic() - began[name] >= quiet:
+                failed[name] = 0
+            failed[name] += 1
+            if failed[name] > restarts:
                 for other in running.values():
                     other.stop()
                 raise failure
-            else:
-                restarts -= 1
-                time.sleep(pause)
-                running[name] = starts[name]()
+            log.warning("%s failed, restart %d: %s", name, failed[name], failure)
+            time.sleep(min(longest, pause * 2 ** (failed[name] - 1)))
+            running[name] = starts[name]()
+            began[name] = time.monotonic()
 
 
-def late_rows_dropped(query: StreamingQuery) -> int:
-    """Rows the watermark dropped, over the progress reports the query still holds.
+class DropCounter(StreamingQueryListener):
+    """Rows the watermark dropped, over the whole life of each query, by its id.
 
-    Counted after the partial aggregate: rows of one panel, window and task are one.
+    Counted after the partial aggregate: rows of one panel, window and task are
+    one.  Register it with ``spark.streams.addListener`` before the start; each
+    report with drops is logged.  The rows are in the raw table all the same.
     """
-    return sum(
-        state.numRowsDroppedByWatermark
-        for progress in query.recentProgress
-        for state in progress.stateOperators
-    )
 
+    def __init__(self):
+        self.dropped: Counter[str] = Counter()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        dropped = sum(state.numRowsDroppedByWatermark for state in progress.stateOperators)
+        if dropped:
+            self.dropped[str(progress.id)] += dropped
+            log.warning("%s: %d rows too late for their windows in batch %d",
+                        progress.name or progress.id, dropped, progress.batchId)
+
+    def onQueryTerminated(self, event) -> None:
+        pass

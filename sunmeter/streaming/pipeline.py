@@ -2,81 +2,112 @@
 
     spark-submit --packages <topic connector> --py-files sunmeter.zip \\
         sunmeter/streaming/pipeline.py --brokers host1:9092,host2:9092 --root <shared folder>
+
+Upkeep, once a day or so: ``Tables(spark, root).upkeep(delay)``.
 """
 
 from __future__ import annotations
 
 import argparse
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sunmeter.functions.wire import decode
-from sunmeter.operators.quality import is_valid
-from sunmeter.operators.windows import latest_emission
-from sunmeter.schema import TOPIC, WATERMARK_DELAY, WINDOW_END, WINDOW_SCHEMA
+from sunmeter.operators.windows import panel_power
+from sunmeter.schema import (
+    CLOCK_AHEAD, EVENT_TIME, TOPIC, WATERMARK_DELAY, WINDOW_DURATION, WINDOW_END, WINDOW_SCHEMA,
+    WINDOW_START,
+)
 from sunmeter.session import SHUFFLE_PARTITIONS, prepare
 from sunmeter.sinks.tables import (
-    read_batches, read_raw, read_rejects, read_windows, write_batches,
+    VALID, read_kind, read_raw, read_rejects, readings_table, windows_table,
 )
 from sunmeter.sources.messages import read_topic, topic_options
 from sunmeter.streaming import jobs
 
 
-def starts(
-    messages: DataFrame, root: str, delay: str = WATERMARK_DELAY,
-    trigger: jobs.Trigger | None = None, files: int | None = None,
-) -> dict[str, Callable[[], StreamingQuery]]:
-    """How to start each query; every one has its table and checkpoint below ``root``.
-
-    ``files`` is the number of files a batch adds to each window table.
-    """
-    readings = decode(messages).filter(is_valid())
-
-    def places(name: str) -> tuple[str, str]:
-        return f"{root}/{name}", f"{root}/checkpoints/{name}"
-
-    return {
-        "ingest": lambda: jobs.start_ingest(messages, *places("readings"), trigger),
-        "update": lambda: jobs.start_panel_power_update(
-            readings, *places("windows_update"), delay, trigger=trigger,
-            write=write_batches(f"{root}/windows_update", files)),
-        "append": lambda: jobs.start_panel_power_append(
-            readings, *places("windows_final"), delay, trigger=trigger, files=files),
-    }
-
-
 class Tables:
-    """What the pipeline has written below ``root``."""
+    """What the pipeline writes below ``root``."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+        self.readings = readings_table(spark, f"{root}/readings")
+        self.windows = windows_table(spark, f"{root}/windows")
 
     def raw(self) -> DataFrame:
-        return read_raw(self.spark, f"{self.root}/readings")
+        return read_raw(self.readings)
 
     def rejects(self) -> DataFrame:
-        return read_rejects(self.spark, f"{self.root}/readings")
-
-    def final_windows(self) -> DataFrame:
-        """Closed windows."""
-        return read_windows(self.spark, f"{self.root}/windows_final")
+        return read_rejects(self.readings)
 
     def current_windows(self) -> DataFrame:
-        """All windows with their newest value, open ones too.
-
-        Up to the last final window nothing can change any more, so only what
-        ends later is taken from the updates: the scan skips older batches,
-        and their folders may be deleted.
+        """All windows with their newest value, open ones too."""
+        return self.windows.read()
+
+    def final_windows(
+        self, delay: str = WATERMARK_DELAY, duration: str = WINDOW_DURATION,
+    ) -> DataFrame:
+        """Windows that have ended at least ``delay`` before the newest one began."""
+        current = self.current_windows()
+        newest = current.agg(F.max(WINDOW_END).cast("string")).first()[0]
+        last = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL '{delay}'") - F.expr(
+            f"INTERVAL '{duration}'")
+        return current.filter(F.col(WINDOW_END) <= last)
+
+    def late_days(
+        self, delay: str = WATERMARK_DELAY, duration: str = WINDOW_DURATION,
+    ) -> list[date]:
+        """Days with windows that rows may have missed: they arrived over ``delay`` late."""
+        late = read_kind(self.readings, VALID).filter(
+            F.col("timestamp") > F.col(EVENT_TIME) + F.expr(f"INTERVAL '{delay}'"))
+        day = F.to_date(F.window(EVENT_TIME, duration)["start"])
+        return sorted(row["day"] for row in late.select(day.alias("day")).distinct().collect())
+
+    def repair(self, days: Iterable[date], duration: str = WINDOW_DURATION) -> None:
+        """The windows of these days anew from the raw rows, in place of what is there.
+
+        Settled batches are folded first, so what the stream says later still
+        counts: those windows are open and miss nothing.
         """
-        final = self.final_windows().select(*WINDOW_SCHEMA.names)
-        settled = final.agg(F.max(WINDOW_END)).scalar()
-        updates = read_batches(self.spark, f"{self.root}/windows_update", WINDOW_SCHEMA)
-        still_open = updates.filter(
-            F.col(WINDOW_END) > F.coalesce(settled, F.lit("0001-01-01").cast("timestamp")))
-        return final.unionByName(latest_emission(still_open))
+        days = set(days)
+        if not days:
+            return
+        self.windows.fold()
+        near = {day + timedelta(days=shift) for day in days for shift in (-1, 0, 1)}
+        rows = panel_power(self.raw().filter(F.col("day").isin(*near)), duration)
+        rows = rows.filter(F.to_date(WINDOW_START).isin(*days)).select(*WINDOW_SCHEMA.names)
+        self.windows.replace_days(rows, days)
+
+    def upkeep(self, delay: str = WATERMARK_DELAY, duration: str = WINDOW_DURATION) -> None:
+        """Fold settled batches, repair the windows of late rows, remove what is folded."""
+        late = self.late_days(delay, duration)
+        self.readings.fold()
+        self.windows.fold()
+        self.repair(late, duration)
+        self.readings.clean()
+        self.windows.clean()
+
+
+def starts(
+    messages: DataFrame, root: str, delay: str = WATERMARK_DELAY,
+    trigger: jobs.Trigger | None = None, files: int | None = None, ahead: str = CLOCK_AHEAD,
+) -> dict[str, Callable[[], StreamingQuery]]:
+    """How to start both queries; each has its checkpoint below ``root``.
+
+    One stores what the topic says, one keeps the state of the windows; final
+    windows are read from the table of the latter.  ``files`` is the number of
+    files a batch adds to a table.
+    """
+    tables = Tables(messages.sparkSession, root)
+    return {
+        "ingest": lambda: jobs.start_ingest(
+            messages, tables.readings, f"{root}/checkpoints/ingest", trigger, files, ahead),
+        "windows": lambda: jobs.start_panel_power_update(
+            jobs.timed_readings(messages, ahead), tables.windows.write(files),
+            f"{root}/checkpoints/windows", delay, trigger=trigger),
+    }
 
 
 def main() -> None:
@@ -85,9 +116,10 @@ def main() -> None:
     options.add_argument("--topic", default=TOPIC)
     options.add_argument("--root", required=True)
     options.add_argument("--delay", default=WATERMARK_DELAY)
+    options.add_argument("--ahead", default=CLOCK_AHEAD)
     options.add_argument("--every", default="30 seconds")
     options.add_argument("--max-offsets", type=int, default=50_000_000)
-    options.add_argument("--files", type=int, help="files a batch adds to a window table")
+    options.add_argument("--files", type=int, help="files a batch adds to a table")
     options.add_argument("--state-partitions", type=int, help="fixed by the first start")
     given = options.parse_args()
     spark = prepare(SparkSession.builder.appName("sunmeter").getOrCreate())
@@ -96,8 +128,9 @@ def main() -> None:
     source = topic_options(
         given.brokers.split(","), given.topic, maxOffsetsPerTrigger=given.max_offsets)
     every = {"processingTime": given.every}
-    jobs.supervise(
-        spark, starts(read_topic(spark, source), given.root, given.delay, every, given.files))
+    spark.streams.addListener(jobs.DropCounter())
+    jobs.supervise(spark, starts(
+        read_topic(spark, source), given.root, given.delay, every, given.files, given.ahead))
 
 
 if __name__ == "__main__":

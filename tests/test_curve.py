@@ -36,6 +36,13 @@ def test_fraction_of_second_is_ignored_and_peak_may_be_a_column(spark):
     assert df.select(expected_power(F.col("time_data"), F.col("power_panel"))).first()[0] == 123.0
 
 
+def test_each_panel_has_its_start(spark):
+    df = readings(spark, [("6", 0.0, 1, "2024-01-15 07:00:00"), ("9", 0.0, 1, "2024-01-15 10:00:00")])
+    hour = F.col("Panel_id").cast("int")
+    got = df.select(expected_power(F.col("time_data"), start_hour=hour, start_minute=hour * 0 + 30))
+    assert [r[0] for r in got.collect()] == pytest.approx([400.0, 400.0])
+
+
 def test_empty_span_is_an_error():
     with pytest.raises(ValueError):
         expected_power(None, hours=0, minutes=0)

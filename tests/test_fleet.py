@@ -1,6 +1,9 @@
 import pytest
-from helpers import plan, rows, windows
+from helpers import plan, readings, rows, scans, windows
+from pyspark.sql import functions as F
 from sunmeter.operators import fleet
+from sunmeter.operators.lookup import around
+from sunmeter.operators.windows import panel_power
 
 T0, T1 = "2024-01-15 12:00:00", "2024-01-15 12:00:30"
 
@@ -23,8 +26,39 @@ def test_total_energy_is_the_sum_of_window_energies(agg):
     assert fleet.total_energy(agg.limit(0)).first().energy_wh is None
 
 
-def test_latest_fleet_power(agg):
-    assert rows(fleet.latest_fleet_power(agg)) == [("2024-01-15 12:01:00", 300.0)]
+def test_energy_follows_the_length_of_the_window(spark):
+    hour = windows(spark, [("a", 100.0, T0), ("b", 50.0, T0)]).withColumn(
+        "window_end", F.expr("window_start + INTERVAL 1 HOUR"))
+    assert rows(fleet.fleet_energy(hour), "energy_wh") == [(150.0,)]
+    assert rows(fleet.total_energy(hour)) == [(150.0,)]
+    half_minute = windows(spark, [("a", 100.0, T0)])
+    assert rows(fleet.total_energy(half_minute)) == [(100 * 0.0083333333,)]
+
+
+@pytest.fixture
+def stored(spark, tmp_path):
+    spark.range(5000).select(
+        F.concat(F.lit("p"), F.col("id") % 7).alias("Panel_id"), F.lit(1).alias("current_status"),
+        (F.col("id") % 11).cast("double").alias("power_panel"),
+        F.timestamp_seconds(F.lit(1705276800) + F.col("id") * 10).alias("time_data"),
+    ).write.parquet(str(tmp_path / "r"))
+    return spark.read.parquet(str(tmp_path / "r"))
+
+
+def test_latest_fleet_power_reads_the_last_window_only(spark, stored):
+    got = fleet.latest_fleet_power(stored)
+    whole = fleet.fleet_power(panel_power(stored))
+    assert rows(got) == rows(whole)[-1:]
+    assert "GreaterThanOrEqual(time_data,2024-01-15" in scans(got)
+    assert rows(fleet.latest_fleet_power(readings(spark, []))) == []
+
+
+def test_fleet_power_in_a_range_reads_the_range_only(stored):
+    now = "2024-01-15 05:00:10"
+    got = fleet.fleet_power_around(stored, now)
+    whole = fleet.fleet_power(panel_power(stored))
+    assert rows(got) == rows(around(whole, now, time="window_end")) and got.count() == 600
+    assert "GreaterThanOrEqual(time_data,2024-01-15" in scans(got)
 
 
 def test_histogram_counts_are_the_rows(agg):

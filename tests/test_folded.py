@@ -1,0 +1,120 @@
+"""Batches folded by day: nothing is lost, other days stay, reads stay small."""
+
+from datetime import date
+
+import pytest
+from helpers import rows, scans, windows
+from pyspark.sql import functions as F
+
+from sunmeter.sinks import tables
+from sunmeter.sinks.files import exists, names
+
+
+def batch(spark, *data):
+    return windows(spark, [(p, w, f"2024-01-{t}") for p, w, t in data])
+
+
+@pytest.fixture
+def table(spark, tmp_path):
+    return tables.windows_table(spark, str(tmp_path / "windows"))
+
+
+def power(table):
+    return rows(table.read(), "Panel_id", "total_power", "window_start")
+
+
+def test_nothing_written(table):
+    assert table.read().count() == 0 and table.fold() == 0
+    table.clean()
+
+
+def test_reads_are_the_same_before_and_after_folding(spark, table):
+    write = table.write(1)
+    write(batch(spark, ("a", 1.0, "15 12:00:00"), ("b", 2.0, "16 12:00:00")), 0)
+    write(batch(spark, ("a", 5.0, "15 12:00:00"), ("c", 3.0, "15 12:00:30")), 1)
+    write(batch(spark, ("b", 7.0, "16 12:00:00")), 2)
+    want = [("a", 5.0, "2024-01-15 12:00:00"), ("b", 7.0, "2024-01-16 12:00:00"),
+            ("c", 3.0, "2024-01-15 12:00:30")]
+    assert power(table) == want
+    assert table.fold() == 2 and power(table) == want  # the newest batch stays out
+    table.clean()
+    assert power(table) == want
+    assert names(spark, f"{table.path}/batches") == ["batch_id=2"]
+    assert table.fold() == 0 and table.fold(newest=True) == 1
+    table.clean()
+    assert power(table) == want and names(spark, f"{table.path}/batches") == []
+
+
+def test_only_touched_days_are_written_again(spark, table):
+    write = table.write(1)
+    write(batch(spark, ("a", 1.0, "15 12:00:00"), ("b", 2.0, "16 12:00:00")), 0)
+    table.fold(newest=True)
+    write(batch(spark, ("b", 9.0, "16 12:00:00")), 1)
+    table.fold(newest=True)
+    assert not exists(spark, f"{table.path}/data/version=1/day=2024-01-15")
+    assert power(table) == [("a", 1.0, "2024-01-15 12:00:00"), ("b", 9.0, "2024-01-16 12:00:00")]
+    table.clean()
+    assert not exists(spark, f"{table.path}/data/version=0/day=2024-01-16")
+    assert len(power(table)) == 2
+
+
+def test_a_batch_tried_again_after_a_fold_replaces_itself(spark, table):
+    write = table.write(1)
+    write(batch(spark, ("a", 1.0, "15 12:00:00")), 0)
+    write(batch(spark, ("a", 2.0, "15 12:00:00")), 1)
+    table.fold()
+    write(batch(spark, ("a", 3.0, "15 12:00:00")), 1)
+    assert power(table) == [("a", 3.0, "2024-01-15 12:00:00")]
+
+
+def test_a_fold_that_broke_off_is_not_seen(spark, table):
+    table.write(1)(batch(spark, ("a", 1.0, "15 12:00:00")), 0)
+    left = batch(spark, ("z", 0.0, "15 12:00:00")).withColumn("batch_id", F.lit(0))
+    left.write.parquet(f"{table.path}/data/version=0/day=2024-01-15")  # no word of it anywhere
+    assert power(table) == [("a", 1.0, "2024-01-15 12:00:00")]
+    assert table.fold(newest=True) == 1
+    assert power(table) == [("a", 1.0, "2024-01-15 12:00:00")]
+
+
+def test_days_are_replaced_alone(spark, table):
+    write = table.write(1)
+    write(batch(spark, ("a", 1.0, "15 12:00:00"), ("b", 2.0, "16 12:00:00")), 0)
+    table.fold(newest=True)
+    day = date(2024, 1, 15)
+    table.replace_days(batch(spark, ("a", 4.0, "15 12:00:00"), ("d", 5.0, "15 13:00:00")), [day])
+    assert power(table) == [("a", 4.0, "2024-01-15 12:00:00"), ("b", 2.0, "2024-01-16 12:00:00"),
+                            ("d", 5.0, "2024-01-15 13:00:00")]
+    with pytest.raises(ValueError):
+        table.replace_days(batch(spark, ("b", 0.0, "16 12:00:00")), [day])
+    write(batch(spark, ("a", 6.0, "15 12:00:00")), 1)
+    assert power(table)[0][1] == 6.0  # what the stream says later still counts
+    table.replace_days(batch(spark).limit(0), [date(2024, 1, 16)])
+    assert [p for p, *_ in power(table)] == ["a", "d"]
+
+
+def test_reads_skip_folded_batches(spark, table):
+    write = table.write(1)
+    for number in range(6):
+        write(batch(spark, ("a", float(number), "15 12:00:00")), number)
+    table.fold()
+    text = scans(table.read())
+    assert "(batch_id" in text and "> 4)" in text
+    assert rows(table.read(), "total_power") == [(5.0,)]
+
+
+def test_files_of_a_batch_and_a_day_are_bounded(spark, tmp_path):
+    table = tables.readings_table(spark, str(tmp_path / "r"))
+    rows_of = spark.range(0, 4000, 1, 16).select(
+        F.lit("valid").alias("kind"), F.concat(F.lit("p"), F.col("id") % 50).alias("Panel_id"),
+        F.lit(1).cast("decimal(20,3)").alias("power_panel"), F.lit(1).alias("current_status"),
+        F.timestamp_seconds(F.lit(1705276800) + F.col("id") * 60).alias("time_data"),
+        F.lit("t").alias("topic"), F.lit(0).alias("partition"), F.col("id").alias("offset"),
+        F.lit(None).cast("timestamp").alias("timestamp"), F.lit(None).cast("string").alias("raw_value"))
+    table.write(2)(rows_of, 0)
+    assert len([n for n in names(spark, f"{table.path}/batches/batch_id=0") if n.startswith("part")]) == 2
+    table.fold(newest=True)
+    for day in names(spark, f"{table.path}/data/version=0"):
+        if day.startswith("day="):
+            files = names(spark, f"{table.path}/data/version=0/{day}")
+            assert len([n for n in files if n.startswith("part")]) <= 4
+    assert table.read().count() == 4000

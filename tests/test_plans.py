@@ -26,7 +26,7 @@ def topic(spark, tmp_path_factory):
 def test_valid_rows_and_windows_parse_once(topic):
     valid, rejects = split_valid(decode(topic, raw=True))
     for df in (valid, rejects, panel_power(valid), by_kind(decode(
-            topic, "topic", "partition", "offset", raw=True))):
+            topic, "topic", "partition", "offset", "timestamp", raw=True))):
         assert plan(df).count("from_json") == 1
 
 
@@ -59,6 +59,18 @@ def test_range_is_pushed_to_the_stored_time(spark):
     assert "GreaterThanOrEqual(ts,2024-01-15T08:00)" in text
 
 
+def test_lookups_are_pushed_in_the_stored_type(spark):
+    for name in ("panel_lookup", "panel_lookup_json"):
+        assert "EqualTo(user_id,8)" in scans(entries.queries()[name](spark, SF))
+    assert "EqualTo(Panel_id,8)" in scans(entries.queries()["panel_lookup_stored"](spark, SF))
+
+
+def test_ranges_and_the_last_window_are_pushed(spark):
+    text = scans(entries.queries()["fleet_power_in_range"](spark, SF))
+    assert "GreaterThanOrEqual(ts,2024-01-15T07:59:30)" in text and "LessThanOrEqual(ts" in text
+    assert "GreaterThanOrEqual(ts,20" in scans(entries.queries()["latest_fleet_power"](spark, SF))
+
+
 def test_status_per_partition_is_hashed(spark):
     text = plan(entries.queries()["latest_panel_status_of_topic"](spark, SF))
     first = text[text.rindex("Exchange"):]

@@ -4,8 +4,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from helpers import messages, readings, rows, wire
+from pyspark.sql import functions as F
 from sunmeter.functions.wire import decode
-from sunmeter.operators.quality import split_valid, to_raw
+from sunmeter.operators.quality import is_ahead, is_timed, split_valid, to_raw
 
 TIME = "2024-01-15 12:00:00"
 
@@ -35,6 +36,20 @@ def test_what_the_table_cannot_hold_is_a_reject(spark):
     assert to_raw(valid).filter("power_panel is null").count() == 0
 
 
+def test_windows_take_what_only_the_raw_table_cannot(spark):
+    texts = [wire("x" * 251, 1.0, TIME), wire("a", 1e30, TIME), wire("a", 1.0, "never"), "{}"]
+    timed = decode(messages(spark, texts), "offset").filter(is_timed())
+    assert [r.offset for r in timed.orderBy("offset").collect()] == [0, 1]
+
+
+def test_clocks_far_ahead_of_the_broker(spark):
+    df = readings(spark, [("a", 1.0, 1, f"2024-01-15 {t}") for t in ("11:00:00", "14:00:00", "14:00:01")]
+                  + [("b", 1.0, 1, None)]).withColumn("timestamp", F.lit(TIME).cast("timestamp"))
+    ahead = df.filter(is_ahead("2 hours"))
+    assert rows(ahead, "time_data") == [("2024-01-15 14:00:01",)]
+    assert df.withColumn("timestamp", F.lit(None).cast("timestamp")).filter(is_ahead()).count() == 0
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.one_of(st.none(), st.text(max_size=20), st.just(wire("a", 1.0, TIME))), min_size=1))
 def test_valid_and_rejects_are_all_rows(spark, texts):

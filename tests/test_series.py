@@ -28,26 +28,39 @@ def spread(seed):
 
 
 @pytest.mark.parametrize("n", [0, 1, 57, 130, 199, 280, 399, 400, 1000])
-@pytest.mark.parametrize("one_task", [0, 20, 10_000])
-def test_first_rows_equal_sort_and_limit(spark, n, one_task):
+def test_first_rows_equal_sort_and_limit(spark, n):
     data = spread(n)
-    got = series.first_rows(frame(spark, data), n, "t", "p", "w", one_task=one_task)
+    got = series.first_rows(frame(spark, data), n, "t", "p", "w")
     assert rows(got) == brute(data, n)
 
 
 def test_times_without_a_zone(spark):
     data = spread(1)
-    got = series.first_rows(frame(spark, data, "timestamp_ntz"), 200, "t", "p", "w", one_task=0)
+    got = series.first_rows(frame(spark, data, "timestamp_ntz"), 200, "t", "p", "w")
     assert got.schema["t"].dataType.typeName() == "timestamp_ntz"
     assert rows(got) == brute(data, 200)
 
 
 def test_all_rows_alike(spark):
     data = [("2024-01-15 12:00:00", "hot", 0.0)] * 50
-    got = series.first_rows(frame(spark, data), 7, "t", "p", "w", one_task=0)
+    got = series.first_rows(frame(spark, data), 7, "t", "p", "w")
     assert rows(got) == data[:7]
 
 
+def test_no_task_takes_the_whole_hour(spark):
+    """The cut hour is dealt out, copies of one row too."""
+    rows_of = frame(spark, [("2024-01-15 12:00:00", "hot", 0.0)] * 400).repartition(4)
+    got = series.first_rows(rows_of, 100, "t", "p", "w")
+    assert got.count() == 100
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in text and "TakeOrdered" not in text
+
+
+def test_without_a_limit_the_series_is_whole(spark):
+    raw = spark.createDataFrame([("a", 1.0, None)], "Panel_id string, power_panel double, time_data timestamp")
+    assert series.panel_series(raw.union(raw)).count() == 2
+
+
 def test_empty(spark):
     assert rows(series.first_rows(frame(spark, []), 5, "t", "p", "w")) == []
 

@@ -3,6 +3,7 @@
 import pytest
 from helpers import readings
 from pyspark.errors import AnalysisException
+from sunmeter.operators.quality import to_raw
 from sunmeter.sinks import topics
 from sunmeter.sources import jdbc
 from sunmeter.sources import messages as source
@@ -56,9 +57,24 @@ class Recorder:
         return call
 
 
-def test_jdbc_batches_carry_their_id(spark):
+def test_jdbc_appends_the_columns_of_the_declared_table(spark):
+    raw = to_raw(readings(spark, [("a", 1.0, 1, "2024-01-15 12:00:00")]))
+    declared = [part.split(" ") for part in jdbc.RAW_COLUMN_TYPES.split(", ")]
+    assert raw.columns == [name for name, _ in declared]
+    assert [kind for _, kind in raw.dtypes] == ["string", "decimal(20,3)", "int", "timestamp"]
+    options = jdbc.raw_table_options("jdbc:x:y", user="u")
+    assert options["createTableColumnTypes"] == jdbc.RAW_COLUMN_TYPES
+    assert options["dbtable"] == "panelData" and options["user"] == "u"
     batch = Recorder()
-    jdbc.append_batches({"url": "jdbc:x:y", "dbtable": "t"})(batch, 7)
+    jdbc.append_batches(options)(batch, 7)
+    assert batch.calls == [
+        ("format", ("jdbc",), {}), ("options", (), options), ("mode", ("append",), {}),
+        ("save", (), {})]
+
+
+def test_jdbc_batches_may_carry_their_number(spark):
+    batch = Recorder()
+    jdbc.append_batches({"url": "jdbc:x:y", "dbtable": "t"}, "batch_id")(batch, 7)
     assert batch.calls == [
         ("withColumn", ("batch_id",), {}), ("format", ("jdbc",), {}),
         ("options", (), {"url": "jdbc:x:y", "dbtable": "t"}), ("mode", ("append",), {}),

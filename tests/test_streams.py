@@ -1,17 +1,21 @@
+from datetime import date
+
 import pytest
 from helpers import messages, rows, wire
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from sunmeter.functions.wire import decode
-from sunmeter.operators.windows import latest_emission, panel_power
-from sunmeter.schema import RAW_SCHEMA, STATUS_SCHEMA, WINDOW_SCHEMA
+from sunmeter.operators.fleet import latest_of_partitions
+from sunmeter.operators.windows import panel_power
+from sunmeter.plans.replay import replay
+from sunmeter.schema import RAW_SCHEMA
 from sunmeter.sinks import tables
 from sunmeter.sources.messages import read_landing
 from sunmeter.streaming import jobs, pipeline
-from sunmeter.streaming.replay import replay
 
 NOW = jobs.ALL_AVAILABLE
+EVER = "30000 days"  # messages() counts broker time from 1970
 
 
 class Site:
@@ -46,10 +50,10 @@ def at(minute, second=0, hour=12, panel="a", power=1.0):
 
 def test_raw_rows_once_across_restarts(spark, site):
     def start():
-        return jobs.start_raw(decode(site.stream()), site.out, site.checkpoint, NOW)
+        return [jobs.start_raw(decode(site.stream()), site.out, site.checkpoint, NOW, files=1)]
 
     site.play([[at(0), "nope"], [at(1), at(2, panel="b")]], start)
-    start().awaitTermination()  # nothing new
+    start()[0].awaitTermination()  # nothing new
     got = spark.read.parquet(site.out)
     assert rows(got, "Panel_id", "time_data") == [
         ("a", "2024-01-15 12:00:00"), ("a", "2024-01-15 12:01:00"), ("b", "2024-01-15 12:02:00")]
@@ -57,25 +61,35 @@ def test_raw_rows_once_across_restarts(spark, site):
 
 
 def test_ingest_splits_in_one_pass(spark, site):
+    table = tables.readings_table(spark, site.out)
+
     def start():
-        return jobs.start_ingest(site.stream(), site.out, site.checkpoint, NOW)
+        return [jobs.start_ingest(
+            site.stream(), table, site.checkpoint, NOW, files=1, ahead=EVER)]
 
     site.play([[at(0, power=390.25), "nope", None], ["{}", at(1)]], start)
-    raw, rejects = tables.read_raw(spark, site.out), tables.read_rejects(spark, site.out)
-    assert [str(p) for p, in rows(raw, "power_panel")] == ["1.000", "390.250"]
-    assert rows(rejects, "offset", "raw_value") == [(1, "nope"), (2, None), (3, "{}")]
-    assert spark.read.parquet(site.out).filter("kind = 'valid' and raw_value is not null").count() == 0
+    assert [str(p) for p, in rows(tables.read_raw(table), "power_panel")] == ["1.000", "390.250"]
+    assert rows(tables.read_rejects(table), "offset", "raw_value") == [
+        (1, "nope"), (2, None), (3, "{}")]
+    assert table.read().filter("kind = 'valid' and raw_value is not null").count() == 0
 
 
-def test_update_emits_again_and_the_latest_wins(spark, site):
+def windows_job(site, **options):
+    table = tables.windows_table(site.spark, site.out)
+
     def start():
-        return jobs.start_panel_power_update(
-            decode(site.stream()), site.out, site.checkpoint, trigger=NOW)
+        return [jobs.start_panel_power_update(
+            decode(site.stream()), table.write(1), site.checkpoint, trigger=NOW, **options)]
+
+    return table, start
 
+
+def test_update_emits_again_and_the_latest_wins(spark, site):
+    table, start = windows_job(site)
     site.play([[at(0, 0, power=100), at(0, 10, power=200)], [at(0, 20, power=300)]], start)
-    emitted = tables.read_batches(spark, site.out, WINDOW_SCHEMA)
+    emitted = spark.read.parquet(f"{site.out}/batches")
     assert rows(emitted, "total_power") == [(150.0,), (200.0,)]
-    assert rows(latest_emission(emitted), "Panel_id", "total_power") == [("a", 200.0)]
+    assert rows(table.read(), "Panel_id", "total_power") == [("a", 200.0)]
 
 
 def skewed():
@@ -83,35 +97,40 @@ def skewed():
     return [[at(2 * i, hour=13, panel="on"), at(2 * i, panel="off", power=0.0)] for i in range(4)]
 
 
-def test_heartbeats_one_hour_behind_are_kept(spark, site):
-    def start():
-        return jobs.start_panel_power_update(
-            decode(site.stream()), site.out, site.checkpoint, trigger=NOW)
+@pytest.fixture
+def drops(spark):
+    counter = jobs.DropCounter()
+    spark.streams.addListener(counter)
+    yield counter
+    spark.streams.removeListener(counter)
 
-    runs = site.play(skewed(), start)
-    got = latest_emission(tables.read_batches(spark, site.out, WINDOW_SCHEMA))
-    assert got.count() == 8
-    assert sum(map(jobs.late_rows_dropped, runs)) == 0
-    batch = panel_power(decode(spark.read.parquet(site.landing)))
-    assert rows(got) == rows(batch)
 
+def total(spark, drops):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(drops.dropped.values())
 
-def test_a_short_delay_drops_them_and_tells(spark, site):
-    def start():
-        return jobs.start_panel_power_update(
-            decode(site.stream()), site.out, site.checkpoint, delay="30 seconds", trigger=NOW)
 
-    runs = site.play(skewed(), start)
-    got = latest_emission(tables.read_batches(spark, site.out, WINDOW_SCHEMA))
+def test_heartbeats_one_hour_behind_are_kept(spark, site, drops):
+    table, start = windows_job(site)
+    site.play(skewed(), start)
+    assert total(spark, drops) == 0
+    batch = panel_power(decode(spark.read.parquet(site.landing)))
+    assert rows(table.read()) == rows(batch) and table.read().count() == 8
+
+
+def test_a_short_delay_drops_them_and_tells(spark, site, drops):
+    table, start = windows_job(site, delay="30 seconds")
+    site.play(skewed(), start)
+    got = table.read()
     assert got.filter("Panel_id = 'off'").count() == 1
     assert got.filter("Panel_id = 'on'").count() == 4
-    assert sum(map(jobs.late_rows_dropped, runs)) == 3
+    assert total(spark, drops) == 3  # over all four runs of the query
 
 
 def test_append_gives_each_closed_window_once(spark, site):
     def start():
-        return jobs.start_panel_power_append(
-            decode(site.stream()), site.out, site.checkpoint, delay="1 minute", trigger=NOW)
+        return [jobs.start_panel_power_append(
+            decode(site.stream()), site.out, site.checkpoint, delay="1 minute", trigger=NOW)]
 
     site.play([[at(0, power=10), at(0, 20, power=20)], [at(5, power=7)], [at(9)]], start)
     got = spark.read.parquet(site.out)
@@ -120,91 +139,137 @@ def test_append_gives_each_closed_window_once(spark, site):
 
 
 def test_latest_status_stream(spark, site):
+    table = tables.status_table(spark, site.out)
+
     def start():
-        return jobs.start_latest_status(
-            decode(site.stream(), "offset"), site.out, site.checkpoint, "offset", trigger=NOW)
+        readings = decode(site.stream(), "partition", "offset", "timestamp")
+        return [jobs.start_latest_status(readings, table, site.checkpoint, NOW)]
 
-    off = wire("a", 0.0, "2024-01-15 11:00:00", status=0)  # later by arrival, earlier by clock
-    site.play([[at(0), at(0, panel="b")], [off]], start)
-    emitted = tables.read_batches(spark, site.out, STATUS_SCHEMA)
-    newest = emitted.groupBy("Panel_id").agg(F.max_by("current_status", "batch_id"))
-    assert rows(newest) == [("a", 0), ("b", 1)]
+    def sent(partition, offset, second, status, panel="a"):
+        text = wire(panel, 0.0, "2024-01-15 11:00:00", status=status)
+        return messages(spark, [text], offset).withColumn("partition", F.lit(partition)).withColumn(
+            "timestamp", F.timestamp_seconds(F.lit(second)))
+
+    moved = [sent(0, 100, 10, 1), sent(1, 0, 20, 0), sent(1, 1, 15, 1, "b")]
+    replay(moved, site.landing, start)  # a smaller offset, on another partition, later
+    assert rows(latest_of_partitions(table.read())) == [("a", 0), ("b", 1)]
+    table.fold()
+    table.clean()
+    assert rows(latest_of_partitions(table.read())) == [("a", 0), ("b", 1)]
+    replay([sent(0, 101, 30, 1)], site.landing, start)
+    assert rows(latest_of_partitions(table.read())) == [("a", 1), ("b", 1)]
 
 
 def test_a_failed_batch_is_replaced_not_repeated(spark, site):
-    write = tables.write_batches(site.out)
+    table = tables.windows_table(spark, site.out)
     failures = ["first try"]
 
     def write_then_fail(batch, batch_id):
-        write(batch, batch_id)
+        table.write(1)(batch, batch_id)
         if failures:
             raise RuntimeError(failures.pop())
 
     def start():
         return jobs.start_panel_power_update(
-            decode(site.stream()), site.out, site.checkpoint, trigger=NOW, write=write_then_fail)
+            decode(site.stream()), write_then_fail, site.checkpoint, trigger=NOW)
 
     site.batch(at(0, power=5.0)).write.parquet(site.landing)
     jobs.supervise(spark, {"power": start}, restarts=1, pause=0)
     assert not failures
-    assert rows(tables.read_batches(spark, site.out, WINDOW_SCHEMA), "total_power", "batch_id") == [(5.0, 0)]
+    assert rows(spark.read.parquet(f"{site.out}/batches"), "total_power", "batch_id") == [(5.0, 0)]
+
 
+def failing(site, times):
+    left = [None] * times
 
-def test_restarts_are_bounded(spark, site):
     def fail(batch, batch_id):
-        raise RuntimeError("always")
+        if left:
+            left.pop()
+            raise RuntimeError("again")
 
     def start():
         return jobs.start_panel_power_update(
-            decode(site.stream()), site.out, site.checkpoint, trigger=NOW, write=fail)
+            decode(site.stream()), fail, site.checkpoint, trigger=NOW)
 
+    return start, left
+
+
+def test_failures_in_a_row_are_bounded(spark, site):
+    start, _ = failing(site, 99)
     site.batch(at(0)).write.parquet(site.landing)
     with pytest.raises(StreamingQueryException):
         jobs.supervise(spark, {"power": start}, restarts=1, pause=0)
 
 
+def test_failures_with_quiet_between_them_are_not(spark, site):
+    start, left = failing(site, 4)
+    site.batch(at(0)).write.parquet(site.landing)
+    jobs.supervise(spark, {"power": start}, restarts=1, pause=0, quiet=0)
+    assert not left
+
+
 def test_raw_batches_in_stored_form(spark, site):
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{site.out}/batch_id={batch_id}")
+
     def start():
-        return jobs.start_raw_batches(
-            decode(site.stream()), tables.write_batches(site.out), site.checkpoint, NOW)
+        return [jobs.start_raw_batches(decode(site.stream()), write, site.checkpoint, NOW)]
 
     site.play([[at(0, power=0.0005), "nope"], [at(1)]], start)
-    stored = T.StructType(RAW_SCHEMA.fields[:4])
-    got = tables.read_batches(spark, site.out, stored)
+    got = spark.read.schema(T.StructType([*RAW_SCHEMA.fields[:4], T.StructField(
+        "batch_id", T.LongType())])).parquet(site.out)
     assert [(str(p), b) for p, b in rows(got, "power_panel", "batch_id")] == [
         ("0.001", 0), ("1.000", 1)]
 
 
-def test_pipeline_feeds_all_tables(spark, site):
-    def starts():
-        return pipeline.starts(site.stream(), site.out, trigger=NOW, files=1)
-
-    for batch in ([at(0, power=10.0), "nope"], [at(0, 20, power=20.0), at(9, hour=14)]):
+def run_pipeline(spark, site, *batches, **options):
+    for batch in batches:
         site.batch(*batch).write.mode("append").parquet(site.landing)
-        jobs.supervise(spark, starts(), restarts=0)
-    tables_of = pipeline.Tables(spark, site.out)
-    assert tables_of.raw().count() == 3
-    assert rows(tables_of.rejects(), "raw_value") == [("nope",)]
-    assert rows(tables_of.current_windows(), "total_power", "window_end") == [
-        (1.0, "2024-01-15 14:09:30"), (15.0, "2024-01-15 12:00:30")]
-    assert rows(tables_of.final_windows(), "total_power") == [(15.0,)]
-    assert len(tables_of.final_windows().inputFiles()) == 1
+        jobs.supervise(spark, pipeline.starts(
+            site.stream(), site.out, trigger=NOW, files=1, ahead=EVER, **options), restarts=0)
+    return pipeline.Tables(spark, site.out)
 
 
-def test_current_windows_before_any_is_final(spark, site):
-    site.batch(at(0, power=10.0)).write.parquet(site.landing)
-    jobs.supervise(spark, pipeline.starts(site.stream(), site.out, trigger=NOW), restarts=0)
-    tables_of = pipeline.Tables(spark, site.out)
-    assert tables_of.final_windows().count() == 0
-    assert rows(tables_of.current_windows(), "total_power") == [(10.0,)]
+def test_pipeline_feeds_all_tables(spark, site):
+    found = run_pipeline(
+        spark, site, [at(0, power=10.0), "nope"], [at(0, 20, power=20.0), at(9, hour=14)])
+    want = [(1.0, "2024-01-15 14:09:30"), (15.0, "2024-01-15 12:00:30")]
+    for _ in range(2):
+        assert found.raw().count() == 3
+        assert rows(found.rejects(), "raw_value") == [("nope",)]
+        assert rows(found.current_windows(), "total_power", "window_end") == want
+        assert rows(found.final_windows(), "total_power") == [(15.0,)]
+        found.upkeep()
+
+
+def test_nothing_has_come_yet(spark, site):
+    found = pipeline.Tables(spark, site.out)
+    found.upkeep()
+    assert found.raw().count() == found.current_windows().count() == 0
+    assert found.final_windows().count() == 0
+
+
+def test_late_rows_are_repaired_from_the_raw_table(spark, site):
+    found = run_pipeline(
+        spark, site, [at(0, power=10.0), at(30, hour=13)], [at(0, 20, power=20.0), at(40, hour=13)],
+        delay="1 minute")
+    missed = found.current_windows().filter("window_start < '2024-01-15 13:00:00'")
+    assert rows(missed, "total_power") == [(10.0,)]
+    found.repair([date(2024, 1, 15)])
+    assert rows(found.current_windows(), "total_power", "window_start") == [
+        (1.0, "2024-01-15 13:30:00"), (1.0, "2024-01-15 13:40:00"), (15.0, "2024-01-15 12:00:00")]
+
+
+def test_a_broken_clock_is_a_reject_and_stops_no_window(spark, site):
+    sent = messages(spark, [wire("b", 1.0, "2999-01-01 00:00:00"), at(0)])
+    noon = F.lit("2024-01-15 12:00:00").cast("timestamp")
+    batches = [sent, messages(spark, [at(1)], 2), messages(spark, [at(2)], 3)]
 
+    def start():
+        return [start() for start in pipeline.starts(
+            site.stream(), site.out, trigger=NOW, files=1).values()]
 
-def test_console(spark, site):
-    site.batch(at(0)).write.parquet(site.landing)
-    raw = jobs.start_console(decode(site.stream()), site.checkpoint, trigger=NOW)
-    windows = panel_power(decode(site.stream()))
-    power = jobs.start_console(windows, site.checkpoint + "2", "update", False, NOW)
-    for query in (raw, power):
-        query.awaitTermination()
-        progress = query.recentProgress[0]
-        assert progress.numInputRows == 1 and "console" in progress.sink.description.lower()
+    replay([batch.withColumn("timestamp", noon) for batch in batches], site.landing, start)
+    found = pipeline.Tables(spark, site.out)
+    assert found.current_windows().count() == found.raw().count() == 3
+    assert rows(found.rejects(), "offset") == [(0,)]

@@ -76,6 +76,12 @@ def test_window_range_keeps_the_window_that_ends_at_midnight(spark, tmp_path):
     assert rows(near, "total_power") == [(1.0,), (2.0,)]
 
 
+def test_a_stored_table_is_not_written_over(spark, stored):
+    with pytest.raises(Exception, match="(?i)already exists"):
+        tables.write_clustered(to_raw(stored[0].limit(1)), stored[1])
+    assert spark.read.parquet(stored[1]).count() == 108_000
+
+
 def test_scratch_follows_the_sessions_folder(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     one, two = session.scratch(spark, "x"), session.scratch(spark, "x")
