@@ -290,7 +290,7 @@ class _Pieces(dict):
         if piece.isalpha():  # letters are one word
             ids = self.codec.ids_of(self.prefix + piece)
         elif piece[:-1].isalpha() and piece[-1] in ENDS:  # such a mark is one after letters
-            ids = self[piece[:-1]] + self.codec.ids_of(piece[-1])
+            ids = self[piece[:-1]] + self.codec.plain[piece[-1]]
         else:
             ids = b"".join(map(self.codec.ids_of, WORDS.findall(self.prefix + piece)))
         self[piece] = ids
