@@ -93,6 +93,28 @@ select doc_id, n_removed_chunks, n_removed_lines,
 from cleaned join documents using (doc_id)
 """
 
+VECTORS = """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as x, b.vec_id as y from v a join v b
+    on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.95),
+reached as (
+  select x, y from links
+  union
+  select reached.x, links.y from reached join links on reached.y = links.x),
+smallest as (select x, min(y) as y from reached group by x),
+counts as (select x, count(*) as n from links group by x)
+select vec_id, coalesce(n, 0)::bigint as n_links,
+       least(vec_id, coalesce(smallest.y, vec_id)) as component_id,
+       vec_id = least(vec_id, coalesce(smallest.y, vec_id)) as kept
+from embeddings left join smallest on smallest.x = vec_id left join counts on counts.x = vec_id
+"""
+
 
 def _pattern(parts: list[tuple]) -> str:
     """A template as a pattern over words that each end in a space."""
@@ -142,4 +164,5 @@ from places
 
 ORACLES = {
     "op1_license_scan": _licenses(), "op3_line_dedup": LINES, "op4_quality_rules": QUALITY,
+    "op10_embedding_groups": VECTORS,
 }
