@@ -22,6 +22,7 @@ NEIGHBOURS = 3  # cells asked beside the home cell, for each block
 CLUSTER_TABLES = 2  # tables whose cells together make a cluster's cell
 PASSES = 2
 SEED = 8
+VECTORS_AT_ONCE = 512
 SAFE = 1e-6  # radians that bounds keep off the threshold
 STEPS = 64  # classes of the angle between members and their leader
 
@@ -60,14 +61,17 @@ def cells(vectors: DataFrame, tables: int, blocks: int, scale: float, neighbours
             for dimension in np.unique(lengths):
                 if dimension not in made:
                     made[dimension] = Tables(int(dimension), tables, blocks, scale, seed)
-                rows = np.flatnonzero(lengths == dimension)
-                places = (ends[rows] - dimension)[:, None] + np.arange(dimension)
-                home, asks = made[dimension].keys(values[places], neighbours)
-                with np.errstate(over="ignore"):
-                    cell = (home[:, :CLUSTER_TABLES] * np.arange(1, CLUSTER_TABLES + 1)).sum(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(uids[rows]), _lists(home), _lists(asks.reshape(len(rows), -1)),
-                     pa.array(cell)], schema=schema)
+                alike = np.flatnonzero(lengths == dimension)
+                for at in range(0, len(alike), VECTORS_AT_ONCE):
+                    rows = alike[at:at + VECTORS_AT_ONCE]
+                    places = (ends[rows] - dimension)[:, None] + np.arange(dimension)
+                    home, asks = made[dimension].keys(values[places], neighbours)
+                    with np.errstate(over="ignore"):
+                        cell = (home[:, :CLUSTER_TABLES] * np.arange(1, CLUSTER_TABLES + 1)).sum(
+                            axis=1)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(uids[rows]), _lists(home), _lists(asks.reshape(len(rows), -1)),
+                         pa.array(cell)], schema=schema)
 
     return vectors.select("uid", "unit").mapInArrow(
         run, "uid long, home array<long>, asks array<long>, cell long")
