@@ -77,6 +77,19 @@ def settled(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def drawn(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """At most ``n`` rows, those of the smallest seeded hashes of ``key``, which is unique.
+
+    Rows whose hash is far above the n-th of as many uniform ones are left out
+    first, so the tasks together hand on about twice ``n`` rows, however many
+    tasks there are.
+    """
+    order = F.xxhash64(F.lit(seed), key)
+    share = min(1.0, 2 * n / max(1, rows.count()))
+    highest = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+    return rows.filter(order <= highest).orderBy(order, key).limit(n)
+
+
 def held(rows: DataFrame, *names: str, **computed: Column) -> DataFrame:
     """Columns ``names`` of ``rows`` and further ones that are computed once.
 

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunmeter.llm.common import flat_map_rows, map_rows
+from sunmeter.llm.common import drawn, flat_map_rows, map_rows
 
 LABELLED_PAGES = 2_000  # pages the weights are learnt from, at most
 SEED = 6
@@ -132,15 +132,13 @@ def learn_weights(
 ) -> dict[str, float]:
     """Weights of words and of tags by name, from pages that mark their article.
 
-    Of the pages, ``most_pages`` at most are read, by a seeded hash of their id.
+    Of the pages, those of ``most_pages`` ids at most are read, drawn by a seeded hash.
     A weight is the log of how often a kind stands within articles against
     outside; words score above zero, tags below, within bounds.  Without any
     marked page, words count 1 and tags as unknown.
     """
-    some = pages.select(id_column).orderBy(
-        F.xxhash64(F.lit(SEED), id_column), id_column).limit(most_pages)
-    chosen = pages.select(id_column, page).join(
-        F.broadcast(some.distinct()), id_column, "left_semi")
+    some = drawn(pages.select(id_column).dropna().distinct(), id_column, most_pages, SEED)
+    chosen = pages.select(id_column, page).join(F.broadcast(some), id_column, "left_semi")
     counted = flat_map_rows(
         chosen.select(page), lambda: count_labels, "kind string, inside long, outside long")
     totals = counted.groupBy("kind").agg(

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunmeter.llm.common import flat_map_rows, map_rows, settled, small_batches
+from sunmeter.llm.common import drawn, flat_map_rows, map_rows, settled, small_batches
 
 PER_CLASS = 4_000  # labelled documents of each kind the model is fitted on, at most
 MAX_FEATURES = 20_000
@@ -78,10 +78,9 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Da
     """
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(
         "doc_id").agg(F.max("toxic").alias("toxic"))
-    drawn = [
-        marked.filter(kind).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(per_class)
-        for kind in (F.col("toxic") > 0, F.col("toxic") <= 0)]
-    chosen = drawn[0].union(drawn[1])  # no more than 2 * per_class rows
+    toxic, other = (drawn(marked.filter(kind), "doc_id", per_class, SEED)
+                    for kind in (F.col("toxic") > 0, F.col("toxic") <= 0))
+    chosen = toxic.union(other)  # no more than 2 * per_class rows
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy(
         "doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
 
