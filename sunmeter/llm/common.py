@@ -85,7 +85,7 @@ def drawn(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     tasks there are.
     """
     order = F.xxhash64(F.lit(seed), key)
-    share = min(1.0, 2 * n / max(1, rows.count()))
+    share = min(1.0, (2 * n + 50) / max(1, rows.count()))
     highest = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
     return rows.filter(order <= highest).orderBy(order, key).limit(n)
 

@@ -196,7 +196,9 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -700, 700)))
 
 
-def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def score(
+    docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text",
+) -> DataFrame:
     """One row per document: ``severity``, ``p_toxic``, ``grade`` and ``rejected``.
 
     Severity is the expected grade; a document is rejected where grade 1 or more
