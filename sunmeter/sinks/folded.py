@@ -51,6 +51,10 @@ class Folded:
         rows = self._data(days).unionByName(self._batches(through))
         return self.merge(rows).drop(BATCH)
 
+    def unfolded(self) -> DataFrame:
+        """Rows of the batches since the last fold, as they came."""
+        return self._batches(self._current()[1]).drop(BATCH)
+
     def fold(self, newest: bool = False) -> int:
         """Fold batches that are settled; how many.
 

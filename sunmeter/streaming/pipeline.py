@@ -23,7 +23,7 @@ from sunmeter.schema import (
 )
 from sunmeter.session import SHUFFLE_PARTITIONS, prepare
 from sunmeter.sinks.tables import (
-    VALID, read_kind, read_raw, read_rejects, readings_table, windows_table,
+    VALID, read_raw, read_rejects, readings_table, windows_table,
 )
 from sunmeter.sources.messages import read_topic, topic_options
 from sunmeter.streaming import jobs
@@ -58,10 +58,18 @@ class Tables:
 
     def late_days(
         self, delay: str = WATERMARK_DELAY, duration: str = WINDOW_DURATION,
+        ahead: str = CLOCK_AHEAD,
     ) -> list[date]:
-        """Days with windows that rows may have missed: they arrived over ``delay`` late."""
-        late = read_kind(self.readings, VALID).filter(
-            F.col("timestamp") > F.col(EVENT_TIME) + F.expr(f"INTERVAL '{delay}'"))
+        """Days with windows that rows since the last fold may have missed.
+
+        The watermark is ``delay`` behind the latest stamp, which is ``ahead`` of its
+        arrival at most; so only rows that arrive later than the difference can
+        have been dropped.
+        """
+        earliest = F.col("timestamp") + F.expr(f"INTERVAL '{ahead}'") - F.expr(
+            f"INTERVAL '{delay}'")
+        late = self.readings.unfolded().filter(
+            (F.col("kind") == VALID) & (F.col(EVENT_TIME) < earliest))
         day = F.to_date(F.window(EVENT_TIME, duration)["start"])
         return sorted(row["day"] for row in late.select(day.alias("day")).distinct().collect())
 
@@ -80,9 +88,15 @@ class Tables:
         rows = rows.filter(F.to_date(WINDOW_START).isin(*days)).select(*WINDOW_SCHEMA.names)
         self.windows.replace_days(rows, days)
 
-    def upkeep(self, delay: str = WATERMARK_DELAY, duration: str = WINDOW_DURATION) -> None:
-        """Fold settled batches, repair the windows of late rows, remove what is folded."""
-        late = self.late_days(delay, duration)
+    def upkeep(
+        self, delay: str = WATERMARK_DELAY, duration: str = WINDOW_DURATION,
+        ahead: str = CLOCK_AHEAD,
+    ) -> None:
+        """Fold settled batches, repair the windows of late rows, remove what is folded.
+
+        The cost follows the batches since the last upkeep and the days they touch.
+        """
+        late = self.late_days(delay, duration, ahead)
         self.readings.fold()
         self.windows.fold()
         self.repair(late, duration)

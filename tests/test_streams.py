@@ -260,6 +260,23 @@ def test_late_rows_are_repaired_from_the_raw_table(spark, site):
         (1.0, "2024-01-15 13:30:00"), (1.0, "2024-01-15 13:40:00"), (15.0, "2024-01-15 12:00:00")]
 
 
+def test_only_days_of_rows_that_could_be_dropped_are_repaired(spark, site):
+    def sent(offset, day, arrived):
+        rows_of = messages(spark, [wire("a", 1.0, f"2024-01-{day} 12:00:00")], offset)
+        return rows_of.withColumn("timestamp", F.lit(f"2024-01-{arrived}").cast("timestamp"))
+
+    def start():
+        return [jobs.start_ingest(site.stream(), found.readings, site.checkpoint, NOW, files=1)]
+
+    found = pipeline.Tables(spark, site.out)
+    replay([sent(0, 15, "15 12:00:10"), sent(1, 16, "16 12:00:16"), sent(2, 17, "20 00:00:00"),
+            sent(3, 18, "18 11:00:00")], site.landing, start)
+    assert found.late_days() == [date(2024, 1, 16), date(2024, 1, 17)]
+    assert found.late_days(ahead="1 hour 30 seconds")[0] == date(2024, 1, 15)
+    found.readings.fold(newest=True)
+    assert found.late_days() == []
+
+
 def test_a_broken_clock_is_a_reject_and_stops_no_window(spark, site):
     sent = messages(spark, [wire("b", 1.0, "2999-01-01 00:00:00"), at(0)])
     noon = F.lit("2024-01-15 12:00:00").cast("timestamp")
