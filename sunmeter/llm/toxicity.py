@@ -19,8 +19,7 @@ from sunmeter.llm.common import drawn, flat_map_rows, map_rows, settled, small_b
 PER_CLASS = 4_000  # labelled documents of each kind the model is fitted on, at most
 MAX_FEATURES = 20_000
 PREFIXES = (3, 4, 5)
-LEAST_ODDS = 3.0  # log odds of a feature in toxic against other documents
-LEAST_Z = 5.0  # and how far that is from chance, in standard errors
+LEAST_Z = 5.0  # how far above chance a feature's share of toxic documents is, in standard errors
 GRADE_WORDS = (1, 3, 6)  # telling words from which toxic documents get grade 1, 2, 3
 REJECT = 0.5
 SEED = 2
@@ -89,7 +88,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     """A model fitted on a bounded sample of the labelled documents.
 
     Labels only say toxic or not, so severity is graded first: features are telling
-    that stand far more often in toxic documents than chance allows, and a toxic
+    that stand more often in toxic documents than chance allows, however many other
+    documents have them too (the regression weighs them), and a toxic
     document has the grade that its number of telling words reaches in
     ``GRADE_WORDS``; one without any has grade 1, other documents 0.  The driver
     gets the telling features of the sample, which its bounds limit.  Without
@@ -107,12 +107,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     found = rows.filter("feature <> ''").groupBy("feature").agg(
         F.count(F.when(F.col("toxic"), 1)).alias("a"),
         F.count(F.when(~F.col("toxic"), 1)).alias("b"))
-    odds = F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.col("b") + 0.5) / (other + 1))
     share = (F.col("a") + F.col("b")) / (toxic + other)
     z = (F.col("a") / toxic - F.col("b") / other) / F.sqrt(
         share * (1 - share) * (1 / toxic + 1 / other) + 1e-12)
     telling = settled(
-        found.filter((odds >= LEAST_ODDS) & (z >= LEAST_Z))
+        found.filter(z >= LEAST_Z)
         .orderBy(z.desc(), "feature").limit(MAX_FEATURES).select("feature"), "telling")
     kept = rows.join(F.broadcast(telling), "feature").select(
         "doc_id", "toxic", "feature", "n").collect()

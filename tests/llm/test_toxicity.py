@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sunmeter.llm import toxicity
+from sunmeter.llm.common import table
 
 BAD = ["vilewort", "nastyish", "grimbold"]
 
@@ -88,3 +89,19 @@ def test_without_labels_of_both_kinds_nothing_is_rejected(spark):
     for rows in ([], [(1, 1)], [(1, 0), (2, 0)], [(1, 1), (2, 0)]):
         model = toxicity.fit(docs, spark.createDataFrame(rows, "doc_id long, toxic int"))
         assert toxicity.clean(docs, model).count() == 2
+
+
+def test_held_out_labels_are_met_in_every_language(spark):
+    """Marks that clean documents have now and then are weighed too, not only near-exclusive ones."""
+    docs, labels = (table(spark, "/root/testdata/sf0.1", name) for name in ("documents", "labels"))
+    model = toxicity.fit(docs, labels.filter("doc_id % 2 = 0"))
+    held_out = labels.filter("doc_id % 2 = 1 and toxic is not null").groupBy("doc_id").agg(
+        F.max("toxic").alias("toxic"))
+    marked = docs.select("doc_id", "text", "lang").join(held_out, "doc_id")
+    rows = toxicity.score(marked, model).join(marked.select("doc_id", "lang", "toxic"), "doc_id")
+    seen = {(r["lang"], r["toxic"] > 0): (r["rejected"], r["n"]) for r in rows.groupBy(
+        "lang", "toxic").agg(F.sum(F.col("rejected").cast("int")).alias("rejected"),
+                             F.count("*").alias("n")).collect()}
+    for (lang, toxic), (rejected, n) in seen.items():
+        assert rejected >= 0.85 * n if toxic else rejected <= 0.02 * n, (lang, toxic, rejected, n)
+    assert len(seen) == 8
