@@ -88,6 +88,42 @@ def chunks(docs: DataFrame, id_column: str, text: str) -> DataFrame:
         *[c[name].alias(name) for name in SPAN], *_key(c["text"]))).alias("chunks"))
 
 
+def windows(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """Like ``chunks``, for whole passages: each line with words and the next such line.
+
+    What lies between the two belongs to them.  Such a window depends on no line
+    around it, so all lines of a passage of two lines or more lie in windows that
+    are repeated as often as the passage.  A line of over ``LONG_WORDS`` words is
+    a window by itself as well.
+    """
+    rows = held(
+        docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")),
+        "id", digest=F.xxhash64("text"), lines=_lines(F.coalesce("text", F.lit(""))))
+    rows = held(
+        rows, "id", "digest", "lines",
+        words=F.transform("lines", lambda line: F.regexp_count(line, F.lit(WORD))))
+
+    def with_words(least: int) -> Column:
+        return F.filter(F.sequence(F.lit(1), F.size("lines")),
+                        lambda i: F.get("words", i - 1) >= least)
+
+    rows = held(
+        rows, "id", "digest", "lines", filled=with_words(1), long=with_words(LONG_WORDS + 1))
+
+    def span(start: Column, lines: Column) -> Column:
+        return F.struct(start.alias("start"), lines.alias("lines"), start.alias("begin"))
+
+    pairs = F.filter(
+        F.transform("filled", lambda i, k: span(i, F.get("filled", k + 1) - i + 1)),
+        lambda pair: pair["lines"].isNotNull())
+    alone = F.transform("long", lambda i: span(i, F.lit(1)))
+    rows = held(rows, "id", "digest", "lines", spans=F.concat(pairs, alone))
+    rows = held(rows, "id", "digest", texts=F.transform("spans", lambda s: F.struct(
+        *[s[name].alias(name) for name in SPAN], _text_of(s).alias("text"))))
+    return rows.select("id", "digest", F.transform("texts", lambda c: F.struct(
+        *[c[name].alias(name) for name in SPAN], *_key(c["text"]))).alias("chunks"))
+
+
 def _length(span: Column) -> Column:
     """Lines of what is compared of a chunk."""
     return span["start"] + span["lines"] - span["begin"]
@@ -102,7 +138,9 @@ def _key(text: Column) -> tuple[Column, ...]:
             F.octet_length(text).alias("bytes"))
 
 
-def removals(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def removals(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", whole: bool = False,
+) -> DataFrame:
     """id, digest of the text, and the ``removed`` ranges of its lines, where there are any.
 
     Chunks are counted by hashes first; only texts of chunks that may be repeated
@@ -110,11 +148,16 @@ def removals(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     that stand for several texts remove nothing.  Of equal chunks the one of the
     smallest id, then digest, then line stays.  All counts are aggregated before the
     shuffle; hot chunks are joined by keys that adaptive execution can split.
+
+    With ``whole`` these are ``windows``, whose ranges may overlap; a copy that
+    overlaps the first one leaves it its lines.  Of a line that is removed a copy
+    stays: it lies in an earlier window, and so on to the first that stays.
     """
-    found = settled(chunks(docs, id_column, text), "chunks")
+    found = settled((windows if whole else chunks)(docs, id_column, text), "chunks")
     single = found.select("id", "digest", F.inline("chunks"))
     classes = single.groupBy("key", "check", "bytes").agg(
-        F.count("*").alias("n"), F.min(F.struct("id", "digest", "start")).alias("first"))
+        F.count("*").alias("n"),
+        F.min(F.struct("id", "digest", "start", *["lines"] * whole)).alias("first"))
     repeated = settled(classes.filter("n > 1"), "repeated")
     copies = settled(_joined(single, repeated), "copies")
 
@@ -129,7 +172,14 @@ def removals(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     keyed = texts.distinct().select(*_key(F.col("text")), "text")
     verified = keyed.groupBy("key", "check", "bytes").count().filter("count = 1")
     removed = _joined(copies, settled(verified.select("key", "check", "bytes"), "verified")).filter(
-        ~F.struct("id", "digest", "start").eqNullSafe(F.col("first")))
+        ~F.struct("id", "digest", "start", *["lines"] * whole).eqNullSafe(F.col("first")))
+    if whole:
+        own = (F.col("id").eqNullSafe(F.col("first.id"))
+               & (F.col("digest") == F.col("first.digest")))
+        begin = F.when(own, F.greatest("start", F.col("first.start") + F.col("first.lines")))
+        removed = removed.withColumn("rest", F.coalesce(begin, "start")).select(
+            "id", "digest", F.col("rest").alias("start"),
+            (F.col("start") + F.col("lines") - F.col("rest")).alias("lines")).filter("lines > 0")
     return removed.groupBy("id", "digest").agg(
         F.array_sort(F.collect_set(F.struct("start", "lines"))).alias("removed"))
 
@@ -152,16 +202,20 @@ def _with_lines(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 
 def dedup(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", report: str | None = None,
+    whole: bool = False,
 ) -> DataFrame:
     """``docs`` without the repeated chunks of lines in ``text``; all rows and columns stay.
 
+    With ``whole``, passages are followed by ``windows`` of two lines instead of chunks,
+    so they go wholly wherever they stand, short ones too; reported ranges may overlap.
+
     ``report`` names a further column for what was removed, ranges of ``start`` and
     ``lines``, lines counted from 1.  A text of which nothing is left is empty, null
     stays null; rows equal in id and text are one document and keep the same
     lines; null ids come first in order; an empty table stays empty.
     """
     names = docs.columns
-    found = removals(docs, id_column, text).select(
+    found = removals(docs, id_column, text, whole).select(
         F.col("id").alias(ID), F.col("digest").alias(ID_DIGEST),
         F.col("removed").alias(REMOVED))
     marked = docs.withColumn(DIGEST, F.xxhash64(text))
@@ -179,7 +233,8 @@ def dedup(
         begin = F.when(k > 0, last["start"] + last["lines"]).otherwise(1)
         end = F.when(k < n, F.get(REMOVED, k)["start"]).otherwise(
             F.size(LINES) + 1)
-        return F.slice(LINES, begin, end - begin)
+        length = end - begin
+        return F.slice(LINES, begin, F.greatest(F.lit(0), length) if whole else length)
 
     left = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), n), between)), "\n")
     cleaned = F.when(F.col(REMOVED).isNull(), F.col(text)).otherwise(left)

@@ -118,3 +118,46 @@ def test_only_sql_functions(spark, rows):
     docs = spark.createDataFrame(rows[:20], "doc_id long, text string")
     text = plan(line_dedup.chunks(docs, "doc_id", "text")) + plan(line_dedup.dedup(docs))
     assert not re.search("Python|Pandas|Arrow", text)
+
+
+def test_short_passages_go_wholly(spark):
+    """Passages of 2 to 6 short lines between foreign lines, blank lines in some of them."""
+    docs, want = [], {}
+    for i in range(60):
+        passage = [f"line {i} {j} of it" for j in range(2 + i % 5)]
+        if i % 3 == 0:
+            passage.insert(1, "")
+        for copy in range(2):
+            around = [[f"own {i} {copy} {side} {j}" for j in range(3)] for side in "ab"]
+            docs.append((2 * i + copy, "\n".join([*around[0], *passage, *around[1]])))
+            want[2 * i + copy] = "\n".join(
+                [*around[0], *(passage if copy == 0 else []), *around[1]])
+    got = line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string"), whole=True)
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == want
+    assert not re.search("Python|Pandas|Arrow", plan(got))
+
+
+def test_whole_passages_against_plain_python(spark, rows):
+    def spans(text):
+        lines = (text or "").split("\n")
+        filled = [i for i, line in enumerate(lines) if words(line)]
+        out = [(i, j + 1) for i, j in zip(filled, filled[1:])]
+        return lines, out + [(i, i + 1) for i in filled if words(lines[i]) > 50]
+
+    first = {}
+    for key, text in sorted(rows, key=lambda r: r[0]):
+        lines, found = spans(text)
+        for i, j in sorted(found):
+            first.setdefault("\n".join(lines[i:j]), (key, i, j))
+    want = {}
+    for key, text in rows:
+        lines, found = spans(text)
+        gone = set()
+        for i, j in found:
+            at, begin, end = first["\n".join(lines[i:j])]
+            if (at, begin) != (key, i):
+                gone |= set(range(max(i, end) if at == key else i, j))
+        want[key] = None if text is None else "\n".join(
+            line for i, line in enumerate(lines) if i not in gone)
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), whole=True)
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == want
