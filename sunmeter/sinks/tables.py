@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sunmeter.functions.columns import stored_power
-from sunmeter.operators.quality import is_ahead, is_reject
+from sunmeter.operators.quality import is_ahead, is_reject, is_timed
 from sunmeter.operators.windows import latest_emission
 from sunmeter.schema import (
     CLOCK_AHEAD, EVENT_TIME, PANEL, PANEL_LENGTH, POWER, POWER_PRECISION, POWER_SCALE, RAW_SCHEMA,
@@ -16,6 +16,7 @@ from sunmeter.schema import (
 from sunmeter.sinks.folded import BATCH, Folded
 
 VALID, REJECT = "valid", "reject"
+MEASURED = "measured_power"  # the power as it was sent; the raw table's is rounded and bounded
 NO_DAY = "1970-01-01"
 
 BY_KIND_SCHEMA = T.StructType([
@@ -26,6 +27,7 @@ BY_KIND_SCHEMA = T.StructType([
     T.StructField("offset", T.LongType()),
     T.StructField("timestamp", T.TimestampType()),
     T.StructField("raw_value", T.StringType()),
+    T.StructField(MEASURED, T.DoubleType()),
 ])
 
 
@@ -73,8 +75,8 @@ def by_kind(decoded: DataFrame, ahead: str = CLOCK_AHEAD) -> DataFrame:
     kind = F.when(is_reject() | is_ahead(ahead), REJECT).otherwise(VALID)
     text = F.when(F.col("kind") == REJECT, F.col("raw_value"))
     return decoded.withColumn("kind", kind).select(
-        "kind", PANEL, stored_power(F.col(POWER)).alias(POWER), STATUS, EVENT_TIME,
-        "topic", "partition", "offset", "timestamp", text.alias("raw_value"))
+        "kind", PANEL, stored_power(F.col(POWER)).alias(POWER), STATUS, EVENT_TIME, "topic",
+        "partition", "offset", "timestamp", text.alias("raw_value"), F.col(POWER).alias(MEASURED))
 
 
 def _day_of(time: Column) -> Column:
@@ -101,6 +103,21 @@ def read_rejects(rows: Folded) -> DataFrame:
     return read_kind(rows, REJECT).select("topic", "partition", "offset", "raw_value")
 
 
+def is_windowed(ahead: str = CLOCK_AHEAD) -> Column:
+    """A row of a readings table that the windows take, whether the raw table can hold it or not."""
+    return (F.col("kind") == VALID) | (is_timed() & ~is_ahead(ahead))
+
+
+def read_timed(rows: Folded, ahead: str = CLOCK_AHEAD) -> DataFrame:
+    """The readings that the windows take, with the power as it was sent.
+
+    Rows that were stored before that was kept have the raw table's power.
+    """
+    power = F.coalesce(MEASURED, F.col(POWER).cast("double"))
+    return with_day(rows.read().filter(is_windowed(ahead)).select(
+        PANEL, power.alias(POWER), EVENT_TIME))
+
+
 def windows_table(spark: SparkSession, path: str) -> Folded:
     """K2: window power by the day a window starts, the newest value of each window."""
     def merge(rows: DataFrame) -> DataFrame:

@@ -22,17 +22,22 @@ from sunmeter.schema import (
     WINDOW_START,
 )
 from sunmeter.session import SHUFFLE_PARTITIONS, prepare
+from sunmeter.sinks.files import exists
 from sunmeter.sinks.tables import (
-    VALID, read_raw, read_rejects, readings_table, windows_table,
+    is_windowed, read_raw, read_rejects, read_timed, readings_table, windows_table,
 )
 from sunmeter.sources.messages import read_topic, topic_options
 from sunmeter.streaming import jobs
 
 
+REPAIRS_SCHEMA = "day date, number long, repaired boolean"
+
+
 class Tables:
     """What the pipeline writes below ``root``."""
 
     def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.repairs = spark, f"{root}/repairs"
         self.readings = readings_table(spark, f"{root}/readings")
         self.windows = windows_table(spark, f"{root}/windows")
 
@@ -69,22 +74,61 @@ class Tables:
         earliest = F.col("timestamp") + F.expr(f"INTERVAL '{ahead}'") - F.expr(
             f"INTERVAL '{delay}'")
         late = self.readings.unfolded().filter(
-            (F.col("kind") == VALID) & (F.col(EVENT_TIME) < earliest))
+            is_windowed(ahead) & (F.col(EVENT_TIME) < earliest))
         day = F.to_date(F.window(EVENT_TIME, duration)["start"])
         return sorted(row["day"] for row in late.select(day.alias("day")).distinct().collect())
 
-    def repair(self, days: Iterable[date], duration: str = WINDOW_DURATION) -> None:
-        """The windows of these days anew from the raw rows, in place of what is there.
+    def due_days(
+        self, duration: str = WINDOW_DURATION, ahead: str = CLOCK_AHEAD,
+    ) -> list[date]:
+        """Days marked late before whose repair broke off, or that batches since have touched.
+
+        The two queries need not be equally far.  A windows query that lags may say
+        a repaired window again without the late row, which it drops only later;
+        and an ingest query that lags may not have had all rows of the day.
+        """
+        known = self._repairs().groupBy("day").agg(
+            F.max_by("repaired", F.struct("number", "repaired")).alias("repaired")).collect()
+        done = {row["day"] for row in known if row["repaired"]}
+        due = {row["day"] for row in known} - done
+        if done:
+            stamped = self.readings.unfolded().filter(is_windowed(ahead)).select(
+                F.window(EVENT_TIME, duration)["start"].alias(WINDOW_START))
+            touched = stamped.union(self.windows.unfolded().select(WINDOW_START)).select(
+                F.to_date(WINDOW_START).alias("day"))
+            due |= {row["day"] for row in touched.filter(
+                F.col("day").isin(*done)).distinct().collect()}
+        return sorted(due)
+
+    def _repairs(self) -> DataFrame:
+        """One small row for each time a day was marked or repaired."""
+        if not exists(self.spark, self.repairs):
+            return self.spark.createDataFrame([], REPAIRS_SCHEMA)
+        return self.spark.read.schema(REPAIRS_SCHEMA).parquet(self.repairs)
+
+    def _mark(self, days: Iterable[date], repaired: bool) -> None:
+        number = (self._repairs().agg(F.max("number")).first()[0] or 0) + 1
+        rows = [(day, number, repaired) for day in days]
+        if rows:
+            self.spark.createDataFrame(rows, REPAIRS_SCHEMA).coalesce(1).write.mode(
+                "append").parquet(self.repairs)
+
+    def repair(
+        self, days: Iterable[date], duration: str = WINDOW_DURATION, ahead: str = CLOCK_AHEAD,
+    ) -> None:
+        """The windows of these days anew from all timed readings, in place of what is there.
 
-        Settled batches are folded first, so what the stream says later still
-        counts: those windows are open and miss nothing.
+        They have the power as it was sent, and rows that the raw table can't hold
+        too, as in the stream.  Settled batches are folded first, so what the
+        stream says later still counts, and ``due_days`` looks at it.
         """
         days = set(days)
         if not days:
             return
         self.windows.fold()
         near = {day + timedelta(days=shift) for day in days for shift in (-1, 0, 1)}
-        rows = panel_power(self.raw().filter(F.col("day").isin(*near)), duration)
+        timed = read_timed(self.readings, ahead)
+        rows = panel_power(timed.filter(F.col("day").isin(*near)), duration)
         rows = rows.filter(F.to_date(WINDOW_START).isin(*days)).select(*WINDOW_SCHEMA.names)
         self.windows.replace_days(rows, days)
 
@@ -95,11 +139,14 @@ class Tables:
         """Fold settled batches, repair the windows of late rows, remove what is folded.
 
         The cost follows the batches since the last upkeep and the days they touch.
+        Days are marked before the fold, so none is forgotten if it breaks off.
         """
-        late = self.late_days(delay, duration, ahead)
+        late = {*self.late_days(delay, duration, ahead), *self.due_days(duration, ahead)}
+        self._mark(late, False)
         self.readings.fold()
         self.windows.fold()
-        self.repair(late, duration)
+        self.repair(late, duration, ahead)
+        self._mark(late, True)
         self.readings.clean()
         self.windows.clean()
 

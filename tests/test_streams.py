@@ -290,3 +290,56 @@ def test_a_broken_clock_is_a_reject_and_stops_no_window(spark, site):
     found = pipeline.Tables(spark, site.out)
     assert found.current_windows().count() == found.raw().count() == 3
     assert rows(found.rejects(), "offset") == [(0,)]
+
+
+def test_repaired_days_keep_what_the_raw_table_cannot_hold(spark, site):
+    long, huge = "p" * 251, 1e18
+    found = run_pipeline(
+        spark, site, [at(0, power=10.0), at(0, power=huge, panel="b"), at(0, panel=long, power=2.0),
+                      at(1, power=0.0004), at(30, hour=13)],
+        [at(0, 20, power=huge), at(0, 20, panel=long, power=4.0), at(40, hour=13)],
+        delay="1 minute")
+    early = "window_start < '2024-01-15 13:00:00'"
+    found.repair([date(2024, 1, 15)], ahead=EVER)
+    assert rows(found.current_windows().filter(early), "Panel_id", "total_power") == sorted(
+        [("a", (10.0 + huge) / 2), ("a", 0.0004), ("b", huge), (long, 3.0)])
+
+
+def test_late_rejects_are_seen(spark, site):
+    def sent(offset, panel, power, day):
+        return messages(spark, [wire(panel, power, f"2024-01-{day} 12:00:00")], offset).withColumn(
+            "timestamp", F.lit("2024-01-20").cast("timestamp"))
+
+    def start():
+        return [jobs.start_ingest(site.stream(), found.readings, site.checkpoint, NOW, files=1)]
+
+    found = pipeline.Tables(spark, site.out)
+    replay([sent(0, "p" * 251, 1.0, 15), sent(1, "a", 1e18, 16)], site.landing, start)
+    assert found.late_days() == [date(2024, 1, 15), date(2024, 1, 16)]
+
+
+def test_a_windows_query_that_lags_loses_no_repair(spark, site):
+    def sent(offset, time, power, arrived):
+        return messages(spark, [wire("a", power, f"2024-01-{time}")], offset).withColumn(
+            "timestamp", F.lit(f"2024-01-{arrived}").cast("timestamp"))
+
+    def start(name, messages_of):
+        return lambda: [pipeline.starts(
+            messages_of(), site.out, trigger=NOW, files=1, delay="1 minute")[name]()]
+
+    batches = [sent(0, "15 12:00:00", 10.0, "15 12:00:00"),
+               sent(1, "16 12:00:00", 1.0, "16 12:00:00"),
+               sent(2, "15 12:00:20", 20.0, "16 12:00:10"), sent(3, "17 12:00:00", 1.0, "17 12:00:00"),
+               sent(4, "18 12:00:00", 1.0, "18 12:00:00")]
+    found = pipeline.Tables(spark, site.out)
+    noon = "window_start = '2024-01-15 12:00:00'"
+    for batch in batches:
+        replay([batch], site.landing, start("ingest", site.stream))
+    found.upkeep("1 minute")
+    assert rows(found.current_windows().filter(noon), "total_power") == [(15.0,)]
+    again = site.landing + "2"
+    for batch in batches:  # the windows query comes to the same messages afterwards
+        replay([batch], again, start("windows", lambda: read_landing(spark, again)))
+    assert rows(found.current_windows().filter(noon), "total_power") == [(10.0,)]
+    found.upkeep("1 minute")
+    assert rows(found.current_windows().filter(noon), "total_power") == [(15.0,)]
