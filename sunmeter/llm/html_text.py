@@ -22,6 +22,7 @@ INSIDE, OUTSIDE, LEFT_OUT = "inside", "outside", "left out"
 
 # Names of HTML.
 RAW = ("script", "style", "noscript", "template", "iframe", "svg", "textarea", "object")
+EMPTY = ("svg", "template", "iframe", "object")  # such raw elements may end in their start tag
 NOT_CONTENT = frozenset((
     "head", "title", "nav", "header", "footer", "aside", "form", "button", "select", "menu",
     "dialog", *RAW))
@@ -40,10 +41,13 @@ MARKS = frozenset((
     "newsletter", "notice", "notices", "popup", "promo", "promoted", "promotion", "related",
     "reply", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "social",
     "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "widgets"))
+STATES = ("has", "no", "with", "without", "not")  # "has-sidebar" tells of what is around
+NAMED, COMPOUND = 2, 1  # how surely an element is marked
 ARTICLE = ("article", "main")
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    rf"|<(?:{'|'.join(EMPTY)})(?=[\s/])[^>]*+(?<=/)>"
     rf"|<(?P<raw>{'|'.join(RAW)})(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*+(?:>|\Z)"
     r"""|<(?P<close>/?)(?P<name>[a-z][^\s/>]*+)(?P<rest>(?:"[^"]*"|'[^']*'|[^"'>])*+)>"""
@@ -53,15 +57,28 @@ _ATTRIBUTE = re.compile(
 _PARTS = re.compile("[a-z]+")
 
 
-def _is_marked(attributes: str) -> bool:
-    """Whether class, id or role name something that is no content."""
+def _marked(name: str, attributes: str) -> int:
+    """Whether class, id or role name something that is no content.
+
+    ``NAMED`` where a whole token does, ``COMPOUND`` where a part of one does, 0 else.
+    Tokens that tell of a state do not, nor does a part behind the first of an
+    article's token; ``main`` is never marked.
+    """
+    found = 0
+    if name in ("html", "body", "main"):
+        return found
     for values in _ATTRIBUTE.findall(attributes):
-        if not MARKS.isdisjoint(_PARTS.findall("".join(values).lower())):
-            return True
-    return False
+        for token in "".join(values).lower().split():
+            if token in MARKS:
+                return NAMED
+            parts = _PARTS.findall(token)
+            if parts and parts[0] not in STATES and not MARKS.isdisjoint(
+                    parts[:1] if name == "article" else parts):
+                found = COMPOUND
+    return found
 
 
-def events(page: str | None) -> Iterator[tuple[str, str, str]]:
+def events(page: str | None) -> list[tuple[str, str, str]]:
     """Tags and texts of a page in order: (name, text, part).
 
     ``name`` is a tag's, or ``WORD`` for a text.  ``part`` is ``INSIDE`` an article or
@@ -70,8 +87,43 @@ def events(page: str | None) -> Iterator[tuple[str, str, str]]:
     class, id and role, with all they hold.  Such an element that is never closed
     ends where its parent does, or where an article or a body begins.  Scripts,
     styles and their like are not among the events.
+
+    An element marked by a part of a name only (``content-sidebar-wrap``) is not left
+    out if it holds most of the page's words, one marked by a whole name not
+    if it holds all of them; what is marked within is left out all the same.
     """
     page = page or ""
+    marked: list[tuple[int, int, int]] = []
+    found = list(_events(page, frozenset(), marked))
+    if marked:
+        total = marked.pop()[2]  # of the page
+        kept = frozenset(at for at, sure, words in marked if words and (
+            words == total if sure == NAMED else 2 * words > total))
+        if kept:
+            found = list(_events(page, kept, []))
+    return found
+
+
+def _events(
+    page: str, kept: frozenset[int], marked: list[tuple[int, int, int]],
+) -> Iterator[tuple[str, str, str]]:
+    """The events, where the marked elements that begin at ``kept`` are not left out.
+
+    ``marked`` gets the place, the sureness and the words of each marked element, and
+    of the page at the end, if there are any.  Words that tags leave out don't count.
+    """
+    opened: list[tuple[int, int, int, int]] = []  # depth, place, sureness, words before
+    plain: list[int] = []  # depths of open elements left out by their tags
+    words = 0
+
+    def close() -> None:
+        """What was open as deep as the stack is now has ended."""
+        while plain and plain[-1] >= len(stack):
+            plain.pop()
+        while opened and opened[-1][0] >= len(stack):
+            _, place, sure, before = opened.pop()
+            marked.append((place, sure, words - before))
+
     stack: list[str] = []
     skipped: list[int] = []  # places in the stack of open elements that are no content
     articles = at = 0
@@ -81,7 +133,10 @@ def events(page: str | None) -> Iterator[tuple[str, str, str]]:
 
     for token in _TOKEN.finditer(page):
         if token.start() > at:
-            yield WORD, page[at:token.start()], part()
+            text = page[at:token.start()]
+            if not plain:
+                words += len(text.split())
+            yield WORD, text, part()
         at = token.end()
         name = token["name"]
         if name is None:
@@ -96,22 +151,35 @@ def events(page: str | None) -> Iterator[tuple[str, str, str]]:
                 articles -= top in ARTICLE
                 if top == name:
                     break
+            close()
             continue
         if name in ARTICLE or name == "body":
             while skipped:
                 del stack[skipped.pop():]
+            close()
         opens = name not in VOID and not token["rest"].endswith("/")
         if opens:
             if name == "p" and stack and stack[-1] == "p":
                 stack.pop()  # a paragraph ends where the next begins
-            if not skipped and (name in NOT_CONTENT or (
-                    name not in ("html", "body") and _is_marked(token["rest"]))):
+                close()
+            sure = _marked(name, token["rest"])
+            if name in NOT_CONTENT:
+                plain.append(len(stack))
+            elif sure:
+                opened.append((len(stack), token.start(), sure, words))
+            if not skipped and (name in NOT_CONTENT or sure and token.start() not in kept):
                 skipped.append(len(stack))
             stack.append(name)
         yield name, "", part()
         articles += opens and name in ARTICLE
     if at < len(page):
+        if not plain:
+            words += len(page[at:].split())
         yield WORD, page[at:], part()
+    stack.clear()
+    close()
+    if marked:
+        marked.append((len(page), 0, words))
 
 
 def count_labels(page: str | None) -> list[tuple[str, int, int]]:

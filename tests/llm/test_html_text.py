@@ -78,3 +78,34 @@ def test_extract(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
     unmarked = html_text.learn_weights(spark.createDataFrame([(1, "<p>x")], "page_id long, html string"))
     assert unmarked == {html_text.WORD: 1.0}
+
+
+PLAIN = PAGE.replace("<article>", '<div class="entry">').replace("</article>", "</div>")
+
+
+@pytest.mark.parametrize("opening", [
+    '<div class="layout has-sidebar">', '<div class="no-sidebar">', '<div class="content-sidebar-wrap">',
+    "<div id='search-article'>", '<div class="page widget">', "<div class='menu-page'><div id=with-ads-x>",
+])
+def test_a_wrapper_is_no_sidebar_for_its_name(weights, opening):
+    page = PLAIN.replace('<div class="entry">', opening + '<div class="sidebar">Tags and dates</div>')
+    assert html_text.main_text(page.replace(
+        '<div class="ad">Buy this very nice thing now</div>', ""), weights) == WANT
+
+
+@pytest.mark.parametrize("tag", [
+    '<article class="post has-comments">', '<article class="post-with-sidebar">',
+    '<main class="search">', "<main id=content-widget>",
+])
+def test_articles_are_not_left_out_for_their_name(weights, tag):
+    name = tag[1:].split()[0]
+    page = PAGE.replace("<article>", tag).replace("</article>", f"</{name}>")
+    assert html_text.main_text(page, weights) == WANT
+    assert html_text.count_labels(page) == html_text.count_labels(PAGE) or name == "main"
+
+
+@pytest.mark.parametrize("empty", [
+    '<svg class="i" />', "<svg/>", "<template/>", '<iframe src="x" />', "<object data='y'/>"])
+def test_elements_that_end_in_their_start_tag(weights, empty):
+    for page in (PAGE, PAGE.replace("</footer>", "<svg><p>drawn words</p></svg></footer>")):
+        assert html_text.main_text(page.replace("<h1>", empty + "<h1>"), weights) == WANT
