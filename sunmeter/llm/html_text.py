@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sunmeter.llm.common import drawn, flat_map_rows, map_rows
 
 LABELLED_PAGES = 2_000  # pages the weights are learnt from, at most
+KINDS = 1_000  # kinds of tags that get a weight of their own, at most
 SEED = 6
 LEAST, MOST = 0.1, 5.0  # bounds of a weight's size
 UNKNOWN_TAG = -0.2
@@ -196,13 +197,14 @@ def count_labels(page: str | None) -> list[tuple[str, int, int]]:
 
 def learn_weights(
     pages: DataFrame, id_column: str = "page_id", page: str = "html",
-    most_pages: int = LABELLED_PAGES,
+    most_pages: int = LABELLED_PAGES, most_kinds: int = KINDS,
 ) -> dict[str, float]:
     """Weights of words and of tags by name, from pages that mark their article.
 
     Of the pages, those of ``most_pages`` ids at most are read, drawn by a seeded hash.
     A weight is the log of how often a kind stands within articles against
-    outside; words score above zero, tags below, within bounds.  Without any
+    outside; words score above zero, tags below, within bounds.  The ``most_kinds``
+    most frequent kinds, inside and outside together, have one.  Without any
     marked page, words count 1 and tags as unknown.
     """
     some = drawn(pages.select(id_column).dropna().distinct(), id_column, most_pages, SEED)
@@ -211,7 +213,7 @@ def learn_weights(
         chosen.select(page), lambda: count_labels, "kind string, inside long, outside long")
     totals = counted.groupBy("kind").agg(
         F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).orderBy(
-        F.desc("inside"), "kind").limit(1_000).collect()
+        F.desc(F.col("inside") + F.col("outside")), "kind").limit(most_kinds).collect()
     weights = {WORD: 1.0}
     for row in totals:
         odds = math.log((row["inside"] + 1) / (row["outside"] + 1))

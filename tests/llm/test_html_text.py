@@ -109,3 +109,11 @@ def test_articles_are_not_left_out_for_their_name(weights, tag):
 def test_elements_that_end_in_their_start_tag(weights, empty):
     for page in (PAGE, PAGE.replace("</footer>", "<svg><p>drawn words</p></svg></footer>")):
         assert html_text.main_text(page.replace("<h1>", empty + "<h1>"), weights) == WANT
+
+
+def test_tags_outside_articles_have_weights_too(spark):
+    kinds = "".join(f"<x-{k}>w</x-{k}>" for k in range(1_100))
+    page = "<article>" + kinds + "</article>" + "<teaser>t</teaser>" * 50
+    pages = spark.createDataFrame([(1, page)], "page_id long, html string")
+    assert html_text.learn_weights(pages)["teaser"] < -1
+    assert len(html_text.learn_weights(pages, most_kinds=2_000)) > 1_100
