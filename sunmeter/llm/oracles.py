@@ -116,6 +116,39 @@ from embeddings left join smallest on smallest.x = vec_id left join counts on co
 """
 
 
+FILL_MIDDLE = """
+with units as (
+  select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(doc_id::varchar, '')) as h,
+         regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u
+  from documents),
+numbers as (
+  select doc_id, text, u, len(u)::bigint as n,
+         [('0x' || h[1:8])::bigint, ('0x' || h[9:16])::bigint, ('0x' || h[17:24])::bigint,
+          ('0x' || h[25:32])::bigint] as h
+  from units),
+cuts as (
+  select *, least(h[1] % (n + 1), h[2] % (n + 1)) as a, greatest(h[1] % (n + 1), h[2] % (n + 1)) as b,
+         case when text = '' or contains(text, '<P>') or contains(text, '<S>')
+                or contains(text, '<M>') or h[3] % 100 >= 90 then 'plain'
+              when h[4] % 100 < 20 then 'spm' else 'psm' end as form
+  from numbers),
+parts as (
+  select doc_id, n, form, text,
+         coalesce(array_to_string(list_slice(u, 1, a), ''), '') as prefix,
+         coalesce(array_to_string(list_slice(u, a + 1, b), ''), '') as middle,
+         coalesce(array_to_string(list_slice(u, b + 1, n), ''), '') as suffix
+  from cuts)
+select doc_id, n, form,
+       case when form <> 'plain' then length(prefix) end as prefix_chars,
+       case when form <> 'plain' then length(middle) end as middle_chars,
+       sha256(case form when 'plain' then text
+                when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+       sha256(text) as restored_sha256
+from parts
+"""
+
+
 def _pattern(parts: list[tuple]) -> str:
     """A template as a pattern over words that each end in a space."""
     out = ""
@@ -164,5 +197,5 @@ from places
 
 ORACLES = {
     "op1_license_scan": _licenses(), "op3_line_dedup": LINES, "op4_quality_rules": QUALITY,
-    "op10_embedding_groups": VECTORS,
+    "op10_embedding_groups": VECTORS, "op11_fill_middle": FILL_MIDDLE,
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sunmeter.llm import (
-    bpe, embeddings, html_text, licenses, line_dedup, mixing, oracles, quality, secrets,
+    bpe, embeddings, fill_middle, html_text, licenses, line_dedup, mixing, oracles, quality, secrets,
     simhash, toxicity,
 )
 from sunmeter.llm.common import table
@@ -103,8 +103,18 @@ def op10_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_middle.transform(table(spark, sf_dir, "documents"))
+    restored = fill_middle.restored(F.col("output"), F.col("form"))
+    return rows.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored, 256).alias("restored_sha256"))
+
+
 QUERIES = {query.__name__: query for query in (
     op1_license_scan, op2_toxicity, op3_line_dedup, op4_quality_rules, op5_simhash_groups,
     op6_html_text, op7_source_mix, op8_secret_scan, op9_bpe_codec, op10_embedding_groups,
+    op11_fill_middle,
 )}
 ORACLES = oracles.ORACLES
