@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sunmeter.llm import (
-    bpe, embeddings, fill_middle, html_text, licenses, line_dedup, mixing, oracles, quality, secrets,
-    simhash, toxicity,
+    bpe, chunked_bpe, embeddings, fill_middle, html_text, licenses, line_dedup, mixing, oracles,
+    quality, secrets, simhash, spelling, toxicity,
 )
 from sunmeter.llm.common import table
 
@@ -19,6 +19,11 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return importlib.import_module("public_tokenizers").path(name)
 
 
+def vocabulary_pattern() -> str:
+    """The pattern by which the public tokenizers cut a text into pieces."""
+    return importlib.import_module("public_tokenizers").PATTERN
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``score`` is 1 where a license's own wording was accepted, 0.5 for a base phrase only."""
     found = licenses.scan(table(spark, sf_dir, "documents"))
@@ -112,9 +117,38 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(restored, 256).alias("restored_sha256"))
 
 
+def thinned(runs: DataFrame, one_in: int = 31) -> DataFrame:
+    """``runs`` (id, word) as a careless writer has them: of one word in so many a letter is missing.
+
+    Which word and which letter follow from the checksum of id and word; a null id is empty.
+    """
+    name = F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("word"))
+    rows = runs.select("word", F.crc32(name).alias("sum"), F.length("word").alias("chars"))
+    place = (F.col("sum") % F.col("chars")).cast("int")
+    less = F.concat(F.substring("word", F.lit(1), place),
+                    F.substring("word", place + 2, F.col("chars")))
+    return rows.select(
+        F.when(F.col("sum") % one_in == 0, less).otherwise(F.col("word")).alias("word"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.runs(table(spark, sf_dir, "documents"))
+    runs = runs.filter(F.length("word") >= spelling.LEAST_CHARS)  # no word gets longer
+    return spelling.variants(spelling.count_words(thinned(runs)))
+
+
+def op13_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = chunked_bpe.load_vocabulary(
+        vocabulary_path("byte_bpe_multi_50k.tiktoken"), vocabulary_pattern())
+    rows = chunked_bpe.encode(table(spark, sf_dir, "documents"), vocabulary)
+    return rows.select(
+        "doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {query.__name__: query for query in (
     op1_license_scan, op2_toxicity, op3_line_dedup, op4_quality_rules, op5_simhash_groups,
     op6_html_text, op7_source_mix, op8_secret_scan, op9_bpe_codec, op10_embedding_groups,
-    op11_fill_middle,
+    op11_fill_middle, op12_spelling_variants, op13_chunked_bpe,
 )}
 ORACLES = oracles.ORACLES

@@ -1,0 +1,165 @@
+"""Ids against the public library, chunks against whole texts."""
+
+import hashlib
+import random
+import sys
+from array import array
+
+import pytest
+
+from sunmeter.llm import chunked_bpe
+from sunmeter.llm.chunked_bpe import Cut
+from sunmeter.llm.queries import op13_chunked_bpe, vocabulary_path, vocabulary_pattern
+
+tiktoken = pytest.importorskip("tiktoken")
+PATH = vocabulary_path("byte_bpe_multi_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return chunked_bpe.load_vocabulary(PATH, vocabulary_pattern())
+
+
+@pytest.fixture(scope="module")
+def library(vocabulary):
+    return tiktoken.Encoding(
+        "own", pat_str=vocabulary.pattern, mergeable_ranks=vocabulary.ranks, special_tokens={})
+
+
+@pytest.fixture(scope="module")
+def codec(vocabulary):
+    return chunked_bpe.Codec(vocabulary)
+
+
+def numbers(ids):
+    return array("I", bytes(ids)).tolist()
+
+
+def texts(n, longest, seed=1):
+    rnd = random.Random(seed)
+    parts = [*"ab cd  '!?.9½²٣中ñé\n\t\r\x0b\x1c\x85\xa0  ​　﻿\x00"]
+    parts += ["<|endoftext|>", "'s", "'ll", "'re", " the", " hello", "😀", "é", "don't", "\n\n"]
+    return ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, longest))) for _ in range(n)]
+
+
+def test_ids_and_bytes_are_the_librarys(codec, library):
+    more = ["", " ", "  ", "a ", " a", "x" * 3000, " " * 500, "ab" * 900, "!" * 700 + "'s"]
+    for text in texts(5000, 40) + more:
+        ids = codec.encode(text)
+        assert numbers(ids) == library.encode_ordinary(text), text
+        assert codec.decode(ids) == text.encode()
+
+
+def test_every_code_point_is_cut_as_by_the_library(codec, library):
+    points = [chr(k) for k in range(sys.maxunicode + 1) if not 0xD800 <= k <= 0xDFFF]
+    for begin in range(0, len(points), 5000):
+        text = "".join(f"a{x}1{x} " for x in points[begin:begin + 5000])
+        if numbers(codec.encode(text)) != library.encode_ordinary(text):
+            wrong = [x for x in points[begin:begin + 5000] if numbers(
+                codec.encode(f"a{x}1{x} ")) != library.encode_ordinary(f"a{x}1{x} ")]
+            assert not wrong
+
+
+def test_long_pieces_merge_like_short_ones(vocabulary, library, monkeypatch):
+    rnd = random.Random(2)
+    pieces = ["".join(rnd.choice("aeinorst") for _ in range(60)) for _ in range(50)] + ["a" * 60]
+    short = [chunked_bpe.merge(piece.encode(), vocabulary.ranks) for piece in pieces]
+    monkeypatch.setattr(chunked_bpe, "SCANNED_BYTES", 0)
+    assert [chunked_bpe.merge(piece.encode(), vocabulary.ranks) for piece in pieces] == short
+    assert short == [library.encode_ordinary(piece) for piece in pieces]
+
+
+def test_few_kept_pieces_and_small_blocks_change_nothing(vocabulary, library, monkeypatch):
+    monkeypatch.setattr(chunked_bpe, "KEPT_PIECES", 1)
+    monkeypatch.setattr(chunked_bpe, "BLOCK_PIECES", 3)
+    codec = chunked_bpe.Codec(vocabulary)
+    text = "some words, some more words. end"
+    assert numbers(codec.encode(text)) == library.encode_ordinary(text)
+
+
+def test_patterns_that_look_behind_are_refused():
+    for pattern in (r"(?<=a)b|.", r"\bword|.", "^a|."):
+        with pytest.raises(ValueError):
+            chunked_bpe.compiled(pattern)
+
+
+def test_seams_are_ends_of_the_whole_text(codec):
+    """What is cut off a chunk's end never makes a wrong end, whatever lies behind."""
+    cut = Cut(60, 24)
+    for text in texts(400, 200, 3):
+        whole = {0, *codec.ends(text)}
+        before, begin = None, 0
+        for _, place, last, chunk in cut.chunks("", text):
+            ends = codec.ends(chunk)
+            head, tail = cut.near_seams(ends, len(chunk), last)
+            if place:
+                both = set(before) & set(head)
+                if not both:
+                    break  # an overlap without a seam: cut as a whole
+                begin = min(both)
+            known = [end + place * cut.chars for end in [0, *ends]
+                     if begin <= end <= (len(chunk) if last else cut.chars)]
+            assert set(known) <= whole
+            before = tail
+
+
+def encoded(spark, rows, vocabulary, cut=Cut(60, 24)):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return chunked_bpe.encode(docs, vocabulary, cut=cut)
+
+
+def test_chunks_of_many_texts(spark, vocabulary, library):
+    rnd = random.Random(5)
+    known = texts(150, 400, 4) + ["x" * 300, "word " * 90, " " * 200 + "a", "ab " * 30 + "y" * 90]
+    known += ["".join(rnd.choice("ab 'srel!\n") for _ in range(500)) for _ in range(50)]
+    rows = list(enumerate(known))
+    got = {r["doc_id"]: (numbers(r["ids"]), bytes(r["decoded"]))
+           for r in encoded(spark, rows, vocabulary).collect()}
+    assert got == {key: (library.encode_ordinary(t), t.encode()) for key, t in rows}
+
+
+def test_long_texts_go_by_chunks_and_giant_pieces_whole(spark, vocabulary):
+    shared = spark.sparkContext.broadcast(vocabulary)
+    rows = [("a", "some words here " * 40), ("b", "some words " * 10 + "z" * 200 + " end")]
+    cut = Cut(60, 24)
+    found = chunked_bpe.chunks(
+        spark.createDataFrame(rows, "digest string, text string"), shared, vocabulary.name, cut)
+    sewn = chunked_bpe.seams(found, cut).collect()
+    assert {r["digest"]: r["stitched"] for r in sewn} == {"a": True, "b": False}
+    assert sum(r["digest"] == "a" for r in sewn) == 11
+    assert all(r["begin"] <= cut.overlap for r in sewn if r["stitched"])
+
+
+def test_nulls_repeats_ties_and_empty_tables(spark, vocabulary, library):
+    long = "many words, many " * 20
+    rows = [(None, long), (None, None), (3, None), (4, long), (4, long), (5, "short"), (6, "")]
+    got = sorted(((r["doc_id"], numbers(r["ids"])) for r in encoded(
+        spark, rows, vocabulary).collect()), key=repr)
+    assert got == sorted(((k, library.encode_ordinary(t or "")) for k, t in rows), key=repr)
+    assert encoded(spark, [], vocabulary).count() == 0
+
+
+def test_clashing_names(spark, vocabulary, library):
+    names = ("digest", "place", "parts", "ids", "decoded", "key", "begin", "last")
+    docs = spark.createDataFrame(
+        [("k", "two words " * 30, *names)], f"id string, words string, {' string, '.join(names)} string")
+    row = chunked_bpe.encode(docs, vocabulary, "id", "words", Cut(60, 24)).collect()[0]
+    assert row["id"] == "k" and numbers(row["ids"]) == library.encode_ordinary("two words " * 30)
+    for name in ("digest", "key", "place"):
+        row = chunked_bpe.encode(docs, vocabulary, name, "words", Cut(60, 24)).collect()[0]
+        assert row[name] == name
+    with pytest.raises(ValueError):
+        chunked_bpe.encode(docs, vocabulary, "ids", "words")
+
+
+def test_query_is_the_librarys(spark, library):
+    rows = op13_chunked_bpe(spark, "/root/testdata/sf0.01")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: tuple(r)[1:] for r in rows.collect()}
+    assert len(got) == docs.count()
+    for row in docs.collect():
+        text = row["text"] or ""
+        ids = library.encode_ordinary(text)
+        assert got[row["doc_id"]] == (
+            len(ids), hashlib.sha256(array("I", ids).tobytes()).hexdigest(),
+            hashlib.sha256(text.encode()).hexdigest())

@@ -32,14 +32,14 @@ def test_query(spark, db, name):
 
 
 def test_all_are_registered():
-    assert {name.split("_")[0] for name in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert {*queries.QUERIES, "pipeline"} <= set(entries.queries())
 
 
 def test_every_document_has_a_row(spark):
     docs = table(spark, SF, "documents").count()
     for name in ("op2_toxicity", "op5_simhash_groups", "op7_source_mix", "op8_secret_scan",
-                 "op9_bpe_codec"):
+                 "op9_bpe_codec", "op11_fill_middle", "op13_chunked_bpe"):
         rows = queries.QUERIES[name](spark, SF)
         assert rows.count() == rows.select("doc_id").distinct().count() == docs
 
