@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sunmeter.functions.columns import stored_power
 from sunmeter.schema import (
-    CLOCK_AHEAD, EVENT_TIME, PANEL, PANEL_LENGTH, POWER, POWER_PRECISION, POWER_SCALE, STATUS,
+    BROKER_TIME, CLOCK_AHEAD, EVENT_TIME, PANEL, PANEL_LENGTH, POWER, POWER_PRECISION, POWER_SCALE, STATUS,
 )
 
 POWER_BOUND = float(10 ** (POWER_PRECISION - POWER_SCALE))
@@ -24,8 +24,23 @@ def is_valid() -> Column:
     return is_timed() & storable
 
 
+def with_arrival(messages: DataFrame) -> DataFrame:
+    """Messages whose ``timestamp`` no producer's clock can have set ahead.
+
+    By default a topic's timestamps are the producers', and a panel whose clock is
+    wrong stamps both its reading and its message.  So only a timestamp that the broker
+    set (``timestampType``) counts as it is; any other is cut at the time the batch
+    is processed, which Spark keeps with the batch, so a batch that is tried again
+    cuts alike.  Two queries take a message at different times: what a producer stamps
+    ahead may pass the one by the pause between them and fail the other.
+    """
+    now = F.current_timestamp()
+    is_later = ~F.col("timestampType").eqNullSafe(BROKER_TIME) & (F.col("timestamp") > now)
+    return messages.withColumn("timestamp", F.when(is_later, now).otherwise(F.col("timestamp")))
+
+
 def is_ahead(ahead: str = CLOCK_AHEAD, arrival: str = "timestamp") -> Column:
-    """A reading stamped further ahead of its arrival at the broker than clocks run.
+    """A reading stamped further ahead of its arrival (``with_arrival``) than clocks run.
 
     One such stamp would move the watermark of all panels, for good; so these rows
     are rejects, kept with their text, and reach no stream that has a watermark.

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sunmeter.schema import (
-    EVENT_TIME, PANEL, POWER, WATERMARK_DELAY, WINDOW_DURATION, WINDOW_END, WINDOW_POWER,
-    WINDOW_START,
+    EVENT_TIME, PANEL, POWER, POWER_SUM, READINGS, THROUGH, WATERMARK_DELAY, WINDOW_DURATION,
+    WINDOW_END, WINDOW_POWER, WINDOW_START,
 )
 
 
@@ -33,6 +33,39 @@ def panel_power(readings: DataFrame, duration: str = WINDOW_DURATION) -> DataFra
     )
 
 
+def power_parts(readings: DataFrame, duration: str = WINDOW_DURATION) -> DataFrame:
+    """T4: what the readings add to each panel's windows, by partition of the topic.
+
+    Sums and counts instead of means: parts of the same window from any two batches
+    are added up (``merged_parts``), however late the second one comes.  ``readings``
+    carry ``partition`` and ``offset``.
+    """
+    power = F.col(POWER).cast("double")
+    timed = readings.select(
+        PANEL, power.alias(POWER), "partition", "offset",
+        F.window(EVENT_TIME, duration).start.alias(WINDOW_START))
+    return timed.groupBy(PANEL, WINDOW_START, "partition").agg(
+        F.sum(POWER).alias(POWER_SUM), F.count(POWER).alias(READINGS),
+        F.max("offset").alias(THROUGH))
+
+
+def merged_parts(parts: DataFrame, *latest: str) -> DataFrame:
+    """One part per panel, window and partition; of columns ``latest`` the largest value."""
+    return parts.groupBy(PANEL, WINDOW_START, "partition").agg(
+        F.sum(POWER_SUM).alias(POWER_SUM), F.sum(READINGS).alias(READINGS),
+        *[F.max(name).alias(name) for name in (THROUGH, *latest)])
+
+
+def power_of_parts(parts: DataFrame, duration: str = WINDOW_DURATION) -> DataFrame:
+    """A1: mean power per panel and window from parts, merged or not."""
+    total, n = F.sum(POWER_SUM), F.sum(READINGS)
+    start = F.col(WINDOW_START)
+    return parts.groupBy(PANEL, WINDOW_START).agg(
+        F.try_divide(total, n).alias(WINDOW_POWER)).select(
+        PANEL, WINDOW_POWER, WINDOW_START,
+        (start + F.expr(f"INTERVAL '{duration}'")).alias(WINDOW_END))
+
+
 def with_lateness(readings: DataFrame, delay: str = WATERMARK_DELAY) -> DataFrame:
     """Watermark on the column the windows are built on, so state is freed."""
     return readings.withWatermark(EVENT_TIME, delay)

@@ -43,12 +43,15 @@ def panel_readings(spark: SparkSession, sf_dir: str, panel: str) -> DataFrame:
 
 def messages(
     rows: DataFrame, arrival: Column | None = None, partition: Column | None = None,
-    offset: Column | None = None,
+    offset: Column | None = None, stamped: Column | None = None,
 ) -> DataFrame:
-    """Readings as the topic would hand them over, offline ones as heartbeats."""
+    """Readings as the topic would hand them over, offline ones as heartbeats.
+
+    ``stamped`` is the time on the message, where a producer's clock sets it.
+    """
     arrival = F.col(EVENT_TIME) if arrival is None else arrival
     meta = rows.withColumns({
-        "timestamp": arrival.cast("timestamp"),
+        "timestamp": (arrival if stamped is None else stamped).cast("timestamp"),
         "topic": F.lit(TOPIC),
         "partition": (F.lit(0) if partition is None else partition).cast("int"),
         "offset": F.col("ingest_seq") if offset is None else offset,
@@ -81,6 +84,11 @@ def days_late() -> Column:
     return F.col(EVENT_TIME) + F.make_dt_interval(days=(F.col("ingest_seq") * 37 % 10).cast("int"))
 
 
+def by_arrival(arrival: Column) -> Column:
+    """Offsets that rise with the time of arrival."""
+    return F.unix_micros(arrival.cast("timestamp"))
+
+
 def slices(
     rows: DataFrame, count: int, arrival: Column | None = None, **meta: Column,
 ) -> list[DataFrame]:

@@ -161,5 +161,6 @@ ORACLES = {
     "stream_bad_clock": _windows(where="ingest_seq % 1000 <> 0") + _ALL_WINDOWS,
     "late_readings_kept": _AGG + _ALL_WINDOWS,
     "late_readings_repaired": _AGG + _ALL_WINDOWS,
+    "late_readings_merged": _AGG + _ALL_WINDOWS,
     "stream_latest_panel_status": _LATEST,
 }

@@ -122,13 +122,15 @@ def stream_current_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_bad_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every thousandth stamp is centuries ahead; no other window is lost for it."""
+    """Every thousandth stamp is centuries ahead, of every other one the message's time too;
+    no other window is lost for it."""
     broken = F.col("ingest_seq") % 1000 == 0
     rows = fixture.readings(spark, sf_dir).withColumn("sent", F.col(EVENT_TIME))
     kind = rows.schema[EVENT_TIME].dataType
     rows = rows.withColumn(EVENT_TIME, F.when(broken, F.lit(BROKEN_STAMP).cast(kind)).otherwise(
         F.col(EVENT_TIME)))
-    late = fixture.slices(rows, STEPS, F.col("sent"))
+    stamped = F.when(F.col("ingest_seq") % 2000 == 0, F.col(EVENT_TIME)).otherwise(F.col("sent"))
+    late = fixture.slices(rows, STEPS, F.col("sent"), stamped=stamped)
     root = play(spark, "clock", late, _pipeline("windows"))
     return plain(pipeline.Tables(spark, root).current_windows(), WINDOW_POWER)
 
@@ -161,6 +163,25 @@ def late_readings_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(tables.current_windows(), WINDOW_POWER)
 
 
+def late_readings_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same messages, added up as they come; the table is folded between, and the
+    checkpoint lost halfway, so that the topic is read from its start again."""
+    def job(messages: DataFrame, root: str) -> list[StreamingQuery]:
+        tables = pipeline.Tables(spark, root)
+        step = tables.parts.last_batch() + 1
+        tables.parts.fold()
+        tables.parts.clean()
+        return [jobs.start_panel_power_parts(
+            messages, tables.parts, f"{root}/checkpoint-{step < LATE_STEPS // 2}",
+            jobs.ALL_AVAILABLE, files=1)]
+
+    arrival = fixture.days_late()
+    slices = fixture.slices(fixture.readings(spark, sf_dir), LATE_STEPS, arrival,
+                            offset=fixture.by_arrival(arrival))
+    root = play(spark, "merged", slices, job)
+    return plain(pipeline.Tables(spark, root).merged_windows(), WINDOW_POWER)
+
+
 def stream_latest_panel_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Panels that move between two partitions, whose offsets don't compare."""
     rows = fixture.readings(spark, sf_dir)
@@ -177,6 +198,7 @@ QUERIES = {
         stream_raw_readings, stream_restart_exactly_once, compacted_readings,
         stream_rejected_readings, stream_panel_power_append, stream_panel_power_update,
         stream_current_windows, stream_bad_clock, late_readings_kept, late_readings_repaired,
+        late_readings_merged,
         stream_latest_panel_status,
     )
 }

@@ -49,6 +49,18 @@ WINDOW_SCHEMA = T.StructType([
     T.StructField(WINDOW_END, T.TimestampType()),
 ])
 
+# What a batch adds to a window: sums instead of a mean, so rows of any time can
+# be added later.  ``through`` is the last offset of the partition among them.
+POWER_SUM, READINGS, THROUGH = "power_sum", "readings", "through"
+PARTS_SCHEMA = T.StructType([
+    T.StructField(PANEL, T.StringType()),
+    T.StructField(WINDOW_START, T.TimestampType()),
+    T.StructField("partition", T.IntegerType()),
+    T.StructField(POWER_SUM, T.DoubleType()),
+    T.StructField(READINGS, T.LongType()),
+    T.StructField(THROUGH, T.LongType()),
+])
+
 # The last status of a panel in each partition of the topic.
 STATUS_SCHEMA = T.StructType([
     T.StructField(PANEL, T.StringType()),
@@ -66,7 +78,9 @@ MESSAGE_SCHEMA = T.StructType([
     T.StructField("partition", T.IntegerType()),
     T.StructField("offset", T.LongType()),
     T.StructField("timestamp", T.TimestampType()),
+    T.StructField("timestampType", T.IntegerType()),
 ])
+BROKER_TIME = 1  # the type of a timestamp that the broker set; others are the producer's
 
 # Panels stamp their readings up to one hour ahead of the offline heartbeats
 # (clock skew), and 30 s is the lateness the pipeline declares (D1, D2).  The

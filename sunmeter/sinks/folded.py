@@ -45,11 +45,24 @@ class Folded:
 
         return write
 
-    def read(self) -> DataFrame:
-        """All rows, merged; without ``batch_id``."""
-        days, through = self._current()
-        rows = self._data(days).unionByName(self._batches(through))
-        return self.merge(rows).drop(BATCH)
+    def read(self, days: Iterable[date] | None = None) -> DataFrame:
+        """All rows, or those of the given days, merged; without ``batch_id``."""
+        return self.merge(self.rows(days)).drop(BATCH)
+
+    def rows(self, days: Iterable[date] | None = None) -> DataFrame:
+        """The rows as they are stored; of folded ones only the files of the days are read."""
+        folded, through = self._current()
+        new = self._batches(through)
+        if days is not None:
+            wanted = set(days)
+            folded = {day: version for day, version in folded.items() if day in wanted}
+            new = new.filter(self.day.isin(*wanted) if wanted else F.lit(False))
+        return self._data(folded).unionByName(new)
+
+    def new_days(self) -> set[date]:
+        """The days that batches since the last fold touch."""
+        days = self.unfolded().select(self.day.alias("day")).distinct().collect()
+        return {row["day"] for row in days}
 
     def unfolded(self) -> DataFrame:
         """Rows of the batches since the last fold, as they came."""
@@ -92,6 +105,21 @@ class Folded:
             if row["day"] is not None and days.get(row["day"]) != row["version"]:
                 remove(self.spark, self._folder(row["day"], row["version"]))
 
+    def last_batch(self) -> int:
+        """The last batch that is folded or wholly written, -1 if there is none.
+
+        Batches behind it, begun but not finished, are removed: whoever asks will
+        write other batches in their place.
+        """
+        last = self._current()[1]
+        for number in self._batch_ids():
+            folder = f"{self.path}/batches/{BATCH}={number}"
+            if exists(self.spark, f"{folder}/_SUCCESS"):
+                last = max(last, number)
+            elif number > last:
+                remove(self.spark, folder)
+        return last
+
     def _batch_ids(self) -> list[int]:
         return sorted(int(name.partition("=")[2])
                       for name in names(self.spark, f"{self.path}/batches") if "=" in name)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sunmeter.functions.columns import stored_power
 from sunmeter.operators.quality import is_ahead, is_reject, is_timed
-from sunmeter.operators.windows import latest_emission
+from sunmeter.operators.windows import latest_emission, merged_parts
 from sunmeter.schema import (
-    CLOCK_AHEAD, EVENT_TIME, PANEL, PANEL_LENGTH, POWER, POWER_PRECISION, POWER_SCALE, RAW_SCHEMA,
-    RAW_TABLE, STATUS, STATUS_SCHEMA, WINDOW_SCHEMA, WINDOW_START,
+    CLOCK_AHEAD, EVENT_TIME, PANEL, PANEL_LENGTH, PARTS_SCHEMA, POWER, POWER_PRECISION,
+    POWER_SCALE, RAW_SCHEMA, RAW_TABLE, STATUS, STATUS_SCHEMA, WINDOW_SCHEMA, WINDOW_START,
 )
 from sunmeter.sinks.folded import BATCH, Folded
 
@@ -84,8 +87,11 @@ def _day_of(time: Column) -> Column:
 
 
 def readings_table(spark: SparkSession, path: str) -> Folded:
-    """K1: raw rows by the day of their stamp, rejects by that of their arrival."""
-    time = F.when(F.col("kind") == VALID, F.col(EVENT_TIME)).otherwise(F.col("timestamp"))
+    """K1: rows with panel and time by the day of their stamp, others by that of their arrival.
+
+    So a day's windows are made of that day's files alone, rejects that they take included.
+    """
+    time = F.when(is_timed(), F.col(EVENT_TIME)).otherwise(F.col("timestamp"))
     return Folded(spark, path, BY_KIND_SCHEMA, _day_of(time), order=("kind", PANEL, EVENT_TIME))
 
 
@@ -108,13 +114,15 @@ def is_windowed(ahead: str = CLOCK_AHEAD) -> Column:
     return (F.col("kind") == VALID) | (is_timed() & ~is_ahead(ahead))
 
 
-def read_timed(rows: Folded, ahead: str = CLOCK_AHEAD) -> DataFrame:
-    """The readings that the windows take, with the power as it was sent.
+def read_timed(
+    rows: Folded, ahead: str = CLOCK_AHEAD, days: Iterable[date] | None = None,
+) -> DataFrame:
+    """The readings that the windows take, with the power as it was sent; those of ``days``.
 
     Rows that were stored before that was kept have the raw table's power.
     """
     power = F.coalesce(MEASURED, F.col(POWER).cast("double"))
-    return with_day(rows.read().filter(is_windowed(ahead)).select(
+    return with_day(rows.read(days).filter(is_windowed(ahead)).select(
         PANEL, power.alias(POWER), EVENT_TIME))
 
 
@@ -127,6 +135,15 @@ def windows_table(spark: SparkSession, path: str) -> Folded:
                   (PANEL, WINDOW_START))
 
 
+def parts_table(spark: SparkSession, path: str) -> Folded:
+    """K2: what each batch added to the windows, by the day a window starts; added up when read."""
+    def merge(rows: DataFrame) -> DataFrame:
+        return merged_parts(rows, BATCH)
+
+    return Folded(spark, path, PARTS_SCHEMA, _day_of(F.col(WINDOW_START)), merge,
+                  (PANEL, WINDOW_START))
+
+
 def _newest_status(rows: DataFrame) -> DataFrame:
     return rows.groupBy(PANEL, "partition").agg(
         *[F.max_by(name, BATCH).alias(name) for name in (STATUS, "timestamp", "offset")],

@@ -15,13 +15,17 @@ from collections.abc import Callable
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 from sunmeter.functions.wire import decode
 from sunmeter.operators.fleet import latest_per_partition
-from sunmeter.operators.quality import is_ahead, is_timed, is_valid, to_raw
-from sunmeter.operators.windows import panel_power, with_lateness
-from sunmeter.schema import CLOCK_AHEAD, WATERMARK_DELAY, WINDOW_DURATION, WINDOW_START
+from sunmeter.operators.quality import is_ahead, is_timed, is_valid, to_raw, with_arrival
+from sunmeter.operators.windows import panel_power, power_parts, with_lateness
+from sunmeter.schema import (
+    CLOCK_AHEAD, THROUGH, WATERMARK_DELAY, WINDOW_DURATION, WINDOW_START,
+)
+from sunmeter.sinks.files import exists
 from sunmeter.sinks.folded import Folded
 from sunmeter.sinks.tables import by_kind, in_files, with_day
 
@@ -63,14 +67,15 @@ def start_ingest(
     Two queries would read and parse the topic twice.  Both kinds of row go to
     one table, so a batch commits them together.
     """
-    decoded = decode(messages, "topic", "partition", "offset", "timestamp", raw=True)
+    decoded = decode(
+        with_arrival(messages), "topic", "partition", "offset", "timestamp", raw=True)
     return (_writer(by_kind(decoded, ahead), checkpoint, "append", trigger)
             .foreachBatch(table.write(files)).start())
 
 
 def timed_readings(messages: DataFrame, ahead: str = CLOCK_AHEAD) -> DataFrame:
     """Readings that a watermark may see: panel and time known, the clock not far ahead."""
-    return decode(messages, "timestamp").filter(is_timed() & ~is_ahead(ahead))
+    return decode(with_arrival(messages), "timestamp").filter(is_timed() & ~is_ahead(ahead))
 
 
 def start_panel_power_append(
@@ -92,6 +97,58 @@ def start_panel_power_update(
     return _writer(rows, checkpoint, "update", trigger).foreachBatch(write).start()
 
 
+def start_panel_power_parts(
+    messages: DataFrame, table: Folded, checkpoint: str, trigger: Trigger | None = None,
+    files: int | None = None, duration: str = WINDOW_DURATION,
+) -> StreamingQuery:
+    """What each batch adds to the windows, as sums and counts, to a table of parts.
+
+    A batch is summed up by itself: there is no state, no watermark and no clock to guard,
+    and a reading of any day is added to its window when it comes.  A stamp that is
+    wrong makes a window of its own.  A batch that is tried again replaces its part.
+
+    The parts say how far each partition has been counted.  So a checkpoint that is
+    new, as the old one was lost, goes on behind that: the topic is read again, but
+    what the table has is not added twice (D5).
+    """
+    first, passed = _resumed(table, checkpoint)
+    readings = decode(messages, "partition", "offset").filter(is_timed())
+    if passed:
+        counted = F.create_map(*[F.lit(value) for pair in passed.items() for value in pair])
+        readings = readings.filter(
+            F.col("offset") > F.coalesce(F.element_at(counted, F.col("partition")), F.lit(-1)))
+    write_part = table.write(files)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_part(power_parts(batch, duration), first + batch_id)
+
+    return _writer(readings, checkpoint, "append", trigger).foreachBatch(write).start()
+
+
+STARTS_SCHEMA = "checkpoint string, number long, first long, passed map<int,long>"
+
+
+def _resumed(table: Folded, checkpoint: str) -> tuple[int, dict[int, int]]:
+    """The number of a checkpoint's first batch, and the offsets that were counted before it.
+
+    Both are noted when a checkpoint begins, and hold for its whole life.  Offsets
+    are one number per partition of the topic.
+    """
+    spark, path = table.spark, f"{table.path}/starts"
+    starts = (spark.read.schema(STARTS_SCHEMA).parquet(path) if exists(spark, path)
+              else spark.createDataFrame([], STARTS_SCHEMA))
+    if exists(spark, f"{checkpoint}/offsets"):
+        known = starts.filter(F.col("checkpoint") == checkpoint).orderBy(F.desc("number")).first()
+        return (known["first"], known["passed"]) if known else (0, {})
+    first = table.last_batch() + 1
+    passed = {row["partition"]: row["through"] for row in table.rows().groupBy("partition").agg(
+        F.max(THROUGH).alias("through")).collect()} if first else {}
+    number = starts.count()
+    spark.createDataFrame([(checkpoint, number, first, passed)], STARTS_SCHEMA).coalesce(
+        1).write.mode("append").parquet(path)
+    return first, passed
+
+
 def start_latest_status(
     readings: DataFrame, table: Folded, checkpoint: str, trigger: Trigger | None = None,
     files: int | None = None,

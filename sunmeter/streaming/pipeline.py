@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sunmeter.operators.windows import panel_power
+from sunmeter.operators.windows import panel_power, power_of_parts
 from sunmeter.schema import (
     CLOCK_AHEAD, EVENT_TIME, TOPIC, WATERMARK_DELAY, WINDOW_DURATION, WINDOW_END, WINDOW_SCHEMA,
     WINDOW_START,
@@ -24,7 +24,7 @@ from sunmeter.schema import (
 from sunmeter.session import SHUFFLE_PARTITIONS, prepare
 from sunmeter.sinks.files import exists
 from sunmeter.sinks.tables import (
-    is_windowed, read_raw, read_rejects, read_timed, readings_table, windows_table,
+    is_windowed, parts_table, read_raw, read_rejects, read_timed, readings_table, windows_table,
 )
 from sunmeter.sources.messages import read_topic, topic_options
 from sunmeter.streaming import jobs
@@ -40,6 +40,7 @@ class Tables:
         self.spark, self.repairs = spark, f"{root}/repairs"
         self.readings = readings_table(spark, f"{root}/readings")
         self.windows = windows_table(spark, f"{root}/windows")
+        self.parts = parts_table(spark, f"{root}/parts")
 
     def raw(self) -> DataFrame:
         return read_raw(self.readings)
@@ -51,6 +52,16 @@ class Tables:
         """All windows with their newest value, open ones too."""
         return self.windows.read()
 
+    def merged_windows(
+        self, duration: str = WINDOW_DURATION, days: Iterable[date] | None = None,
+    ) -> DataFrame:
+        """All windows, or those of ``days``, from the parts of the "parts" query.
+
+        Late rows are in it as soon as they have come: their parts are added up
+        with those of before, and no reading is looked at again.
+        """
+        return power_of_parts(self.parts.rows(days), duration)
+
     def final_windows(
         self, delay: str = WATERMARK_DELAY, duration: str = WINDOW_DURATION,
     ) -> DataFrame:
@@ -127,7 +138,7 @@ class Tables:
             return
         self.windows.fold()
         near = {day + timedelta(days=shift) for day in days for shift in (-1, 0, 1)}
-        timed = read_timed(self.readings, ahead)
+        timed = read_timed(self.readings, ahead, near)
         rows = panel_power(timed.filter(F.col("day").isin(*near)), duration)
         rows = rows.filter(F.to_date(WINDOW_START).isin(*days)).select(*WINDOW_SCHEMA.names)
         self.windows.replace_days(rows, days)
@@ -147,19 +158,23 @@ class Tables:
         self.windows.fold()
         self.repair(late, duration, ahead)
         self._mark(late, True)
+        self.parts.fold()
         self.readings.clean()
         self.windows.clean()
+        self.parts.clean()
 
 
 def starts(
     messages: DataFrame, root: str, delay: str = WATERMARK_DELAY,
     trigger: jobs.Trigger | None = None, files: int | None = None, ahead: str = CLOCK_AHEAD,
 ) -> dict[str, Callable[[], StreamingQuery]]:
-    """How to start both queries; each has its checkpoint below ``root``.
+    """How to start the queries; each has its checkpoint below ``root``.
 
-    One stores what the topic says, one keeps the state of the windows; final
-    windows are read from the table of the latter.  ``files`` is the number of
-    files a batch adds to a table.
+    "ingest" stores what the topic says.  The windows are kept in one of two ways:
+    "parts" adds up sums and counts in a table, so no row is ever too late;
+    "windows" keeps a state behind a watermark, says each window again when a row
+    changes it, and leaves late rows to a repair by ``Tables.upkeep``.  ``files``
+    is the number of files a batch adds to a table.
     """
     tables = Tables(messages.sparkSession, root)
     return {
@@ -168,6 +183,8 @@ def starts(
         "windows": lambda: jobs.start_panel_power_update(
             jobs.timed_readings(messages, ahead), tables.windows.write(files),
             f"{root}/checkpoints/windows", delay, trigger=trigger),
+        "parts": lambda: jobs.start_panel_power_parts(
+            messages, tables.parts, f"{root}/checkpoints/parts", trigger, files),
     }
 
 
@@ -176,6 +193,8 @@ def main() -> None:
     options.add_argument("--brokers", required=True)
     options.add_argument("--topic", default=TOPIC)
     options.add_argument("--root", required=True)
+    options.add_argument("--windows", choices=("parts", "windows"), default="parts",
+                         help="how windows are kept: added up, or as state behind a watermark")
     options.add_argument("--delay", default=WATERMARK_DELAY)
     options.add_argument("--ahead", default=CLOCK_AHEAD)
     options.add_argument("--every", default="30 seconds")
@@ -190,8 +209,9 @@ def main() -> None:
         given.brokers.split(","), given.topic, maxOffsetsPerTrigger=given.max_offsets)
     every = {"processingTime": given.every}
     spark.streams.addListener(jobs.DropCounter())
-    jobs.supervise(spark, starts(
-        read_topic(spark, source), given.root, given.delay, every, given.files, given.ahead))
+    known = starts(
+        read_topic(spark, source), given.root, given.delay, every, given.files, given.ahead)
+    jobs.supervise(spark, {name: known[name] for name in ("ingest", given.windows)})
 
 
 if __name__ == "__main__":

@@ -225,8 +225,9 @@ def test_raw_batches_in_stored_form(spark, site):
 def run_pipeline(spark, site, *batches, **options):
     for batch in batches:
         site.batch(*batch).write.mode("append").parquet(site.landing)
-        jobs.supervise(spark, pipeline.starts(
-            site.stream(), site.out, trigger=NOW, files=1, ahead=EVER, **options), restarts=0)
+        starts = pipeline.starts(
+            site.stream(), site.out, trigger=NOW, files=1, ahead=EVER, **options)
+        jobs.supervise(spark, {name: starts[name] for name in ("ingest", "windows")}, restarts=0)
     return pipeline.Tables(spark, site.out)
 
 
@@ -283,8 +284,8 @@ def test_a_broken_clock_is_a_reject_and_stops_no_window(spark, site):
     batches = [sent, messages(spark, [at(1)], 2), messages(spark, [at(2)], 3)]
 
     def start():
-        return [start() for start in pipeline.starts(
-            site.stream(), site.out, trigger=NOW, files=1).values()]
+        starts = pipeline.starts(site.stream(), site.out, trigger=NOW, files=1)
+        return [starts[name]() for name in ("ingest", "windows")]
 
     replay([batch.withColumn("timestamp", noon) for batch in batches], site.landing, start)
     found = pipeline.Tables(spark, site.out)
