@@ -23,7 +23,7 @@ OVERLAP_CHARS = 512  # of a chunk with the next one
 LOOK_AHEAD = 16  # code points behind a piece that it may depend on, at most
 SCANNED_BYTES = 64  # longer pieces are merged with a heap
 KEPT_CHARS = 32  # longer pieces are not kept for later texts
-KEPT_PIECES = 300_000  # of a Python worker
+KEPT_PIECES = 300_000  # of a Python worker, in each of two generations
 BLOCK_PIECES = 65_536  # pieces of a text that are held at a time
 NO_RANK = 1 << 31
 
@@ -62,24 +62,31 @@ def compiled(pattern: str) -> regex.Pattern:
         r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one piece: always the pair of least rank is merged, the leftmost first."""
+def byte_pairs(ranks: dict[bytes, int]) -> list[int]:
+    """The rank of every two bytes, at 256 times the first plus the second."""
+    return [ranks.get(bytes((one, two)), NO_RANK) for one in range(256) for two in range(256)]
+
+
+def merge(piece: bytes, ranks: dict[bytes, int], two: list[int]) -> list[int]:
+    """The ids of one piece: always the pair of least rank is merged, the leftmost first.
+
+    ``two`` are the ranks of ``byte_pairs``, with which every piece begins.
+    """
     if piece in ranks:
         return [ranks[piece]]
     if len(piece) > SCANNED_BYTES:
         return _merge_long(piece, ranks)
     get = ranks.get
-    parts = [piece[at:at + 1] for at in range(len(piece))]
-    pairs = [get(left + right, NO_RANK) for left, right in zip(parts, parts[1:])]
+    cuts = list(range(len(piece) + 1))
+    pairs = [two[one << 8 | other] for one, other in zip(piece, piece[1:])]
     while pairs and (best := min(pairs)) != NO_RANK:
         at = pairs.index(best)
-        parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        del pairs[at]
+        del pairs[at], cuts[at + 1]
         if at:
-            pairs[at - 1] = get(parts[at - 1] + parts[at], NO_RANK)
+            pairs[at - 1] = get(piece[cuts[at - 1]:cuts[at + 1]], NO_RANK)
         if at < len(pairs):
-            pairs[at] = get(parts[at] + parts[at + 1], NO_RANK)
-    return [ranks[part] for part in parts]
+            pairs[at] = get(piece[cuts[at]:cuts[at + 2]], NO_RANK)
+    return [ranks[piece[begin:end]] for begin, end in zip(cuts, cuts[1:])]
 
 
 def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -117,16 +124,26 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Pieces(dict):
-    """Ids of pieces met before, as little-endian 32-bit integers."""
+    """Ids of pieces met before, as little-endian 32-bit integers.
+
+    There are two generations: when this one is full it becomes the older one, and a
+    piece that is met again comes back from there.  So pieces that are frequent
+    stay, and those that stand once or twice go.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.two = ranks, byte_pairs(ranks)
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = array("I", merge(piece.encode("utf-8", "replace"), self.ranks)).tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            data = piece.encode("utf-8", "replace")
+            ids = array("I", merge(data, self.ranks, self.two)).tobytes()
         if len(piece) <= KEPT_CHARS:
             if len(self) >= KEPT_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
