@@ -79,9 +79,9 @@ def skewed_arrival() -> Column:
     return F.when(F.col(STATUS) == STATUS_ACTIVE, ahead).otherwise(time)
 
 
-def days_late() -> Column:
+def days_late(stamp: str = EVENT_TIME) -> Column:
     """Arrival up to nine days behind the stamp."""
-    return F.col(EVENT_TIME) + F.make_dt_interval(days=(F.col("ingest_seq") * 37 % 10).cast("int"))
+    return F.col(stamp) + F.make_dt_interval(days=(F.col("ingest_seq") * 37 % 10).cast("int"))
 
 
 def by_arrival(arrival: Column) -> Column:

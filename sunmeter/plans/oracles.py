@@ -69,6 +69,20 @@ _REJECTS = """
          || ',"current_status":1,"time_data":"'
          || case event_id % 4 when 0 then 'not a time ' || event_id else '2024-01-15 12:00:00' end
          || '"}' from events"""
+_FAR = """
+  with readings as (
+    select cast(user_id as varchar) as Panel_id,
+           case when event_type = 'error' then 0.0 else value end as power_panel,
+           case when user_id = 8 then ts + interval 975 year else ts end as time_data
+    from events),
+  agg as (
+    select Panel_id, avg(power_panel) as total_power,
+           time_bucket(interval '30 seconds', time_data) as window_start,
+           time_bucket(interval '30 seconds', time_data) + interval '30 seconds' as window_end
+    from readings group by Panel_id, 3, 4),
+  clocks as (select Panel_id, max(time_data) as newest from readings group by Panel_id)
+  select Panel_id, round(total_power, 6) as total_power, window_start, window_end
+  from agg join clocks using (Panel_id) where window_end <= newest - interval 30 second"""
 _LATEST = READINGS + """
   select Panel_id, arg_max(current_status, ingest_seq) as current_status
   from readings group by Panel_id"""
@@ -162,5 +176,7 @@ ORACLES = {
     "late_readings_kept": _AGG + _ALL_WINDOWS,
     "late_readings_repaired": _AGG + _ALL_WINDOWS,
     "late_readings_merged": _AGG + _ALL_WINDOWS,
+    "stream_panel_own_clock": _FAR,
+    "stream_repartitioned_state": _FAR,
     "stream_latest_panel_status": _LATEST,
 }

@@ -11,34 +11,40 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sunmeter.functions.wire import decode
 from sunmeter.operators.fleet import latest_of_partitions
+from sunmeter.operators.windows import power_of_parts
 from sunmeter.plans import fixture
 from sunmeter.plans.batch import mixed_topic, plain
 from sunmeter.plans.replay import replay
-from sunmeter.schema import EVENT_TIME, RAW_SCHEMA, WATERMARK_DELAY, WINDOW_POWER
+from sunmeter.schema import EVENT_TIME, PANEL, RAW_SCHEMA, WATERMARK_DELAY, WINDOW_POWER
 from sunmeter.session import SHUFFLE_PARTITIONS, scratch
-from sunmeter.sinks.tables import FINAL_SCHEMA, read_rejects, status_table
+from sunmeter.sinks.tables import FINAL_SCHEMA, parts_table, read_rejects, status_table
 from sunmeter.sources.messages import read_landing
-from sunmeter.streaming import jobs, pipeline
+from sunmeter.streaming import jobs, own_clock, pipeline
 
 STEPS = 3
 LATE_STEPS = 6
 STATE_PARTITIONS = 8
 NEVER_LATE = "11 days"
 BROKEN_STAMP = "2999-01-01 00:00:00"
+FAR_PANEL, FAR_AHEAD = "8", "975 years"
+OWN_DELAY = "30 seconds"
 
 # job(stream of messages, its folder) -> running queries
 Job = Callable[[DataFrame, str], list[StreamingQuery]]
 
 
-def play(spark: SparkSession, name: str, slices: list[DataFrame], job: Job) -> str:
+def play(
+    spark: SparkSession, name: str, slices: list[DataFrame], job: Job,
+    partitions: int = STATE_PARTITIONS,
+) -> str:
     """Run ``job`` over the slices; its folder.
 
-    A stateful query has ``STATE_PARTITIONS`` partitions of state, whatever the
-    batch setting is: the first start of a checkpoint fixes the number.
+    A stateful query has as many ``partitions`` of state, whatever the batch
+    setting is: the first start of a checkpoint fixes the number.
     """
     root = scratch(spark, name)
     batch = spark.conf.get(SHUFFLE_PARTITIONS)
-    spark.conf.set(SHUFFLE_PARTITIONS, STATE_PARTITIONS)
+    spark.conf.set(SHUFFLE_PARTITIONS, partitions)
     try:
         replay(slices, f"{root}/landing", lambda: job(read_landing(spark, f"{root}/landing"), root))
     finally:
@@ -182,6 +188,40 @@ def late_readings_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(pipeline.Tables(spark, root).merged_windows(), WINDOW_POWER)
 
 
+def _far_ahead(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Messages up to nine days late, and one panel whose clock is centuries ahead."""
+    rows = fixture.readings(spark, sf_dir).withColumn("sent", F.col(EVENT_TIME))
+    far = F.col("sent") + F.expr(f"INTERVAL '{FAR_AHEAD}'")
+    rows = rows.withColumn(EVENT_TIME, F.when(F.col(PANEL) == FAR_PANEL, far).otherwise(
+        F.col("sent")))
+    return fixture.slices(rows, STEPS, fixture.days_late("sent"))
+
+
+def _own_clock_job(messages: DataFrame, root: str, number: int = 0, **options) -> StreamingQuery:
+    return own_clock.start_panel_power_own_clock(
+        messages, parts_table(messages.sparkSession, f"{root}/parts-{number}"),
+        f"{root}/checkpoint-{number}", OWN_DELAY, trigger=jobs.ALL_AVAILABLE, files=1, **options)
+
+
+def stream_panel_own_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that end 30 s before their own panel's newest stamp, with all late rows."""
+    root = play(spark, "own-clock", _far_ahead(spark, sf_dir),
+                lambda messages, root: [_own_clock_job(messages, root)])
+    return plain(power_of_parts(parts_table(spark, f"{root}/parts-0").rows()), WINDOW_POWER)
+
+
+def stream_repartitioned_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, by a query with 8 partitions of state and one with 5 that takes it over."""
+    first, *rest = _far_ahead(spark, sf_dir)
+    old = play(spark, "state", [first], lambda messages, root: [_own_clock_job(messages, root)])
+    state = own_clock.open_windows(spark, f"{old}/checkpoint-0")
+    new = play(spark, "state", rest, lambda messages, root: [
+        _own_clock_job(messages, root, 1, state=state)], partitions=5)
+    parts = parts_table(spark, f"{old}/parts-0").rows().unionByName(
+        parts_table(spark, f"{new}/parts-1").rows())
+    return plain(power_of_parts(parts), WINDOW_POWER)
+
+
 def stream_latest_panel_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Panels that move between two partitions, whose offsets don't compare."""
     rows = fixture.readings(spark, sf_dir)
@@ -198,7 +238,7 @@ QUERIES = {
         stream_raw_readings, stream_restart_exactly_once, compacted_readings,
         stream_rejected_readings, stream_panel_power_append, stream_panel_power_update,
         stream_current_windows, stream_bad_clock, late_readings_kept, late_readings_repaired,
-        late_readings_merged,
+        late_readings_merged, stream_panel_own_clock, stream_repartitioned_state,
         stream_latest_panel_status,
     )
 }
