@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -11,9 +12,12 @@ from sunmeter.functions.columns import bucket_start, window_hours
 from sunmeter.operators.lookup import around
 from sunmeter.operators.windows import panel_power
 from sunmeter.schema import (
-    EVENT_TIME, HISTOGRAM_OFFSET, PANEL, STATUS, WINDOW_DURATION, WINDOW_END, WINDOW_POWER,
+    EVENT_TIME, HISTOGRAM_OFFSET, PANEL, POWER, STATUS, WINDOW_DURATION, WINDOW_END, WINDOW_POWER,
     WINDOW_START,
 )
+from sunmeter.session import scratch
+
+LEAST_DIGIT = -9  # smaller values are counted in cells of 1e-9
 
 
 def fleet_power(windows: DataFrame) -> DataFrame:
@@ -28,6 +32,22 @@ def fleet_energy(windows: DataFrame) -> DataFrame:
         (F.sum(WINDOW_POWER) * hours).alias("energy_wh"))
 
 
+def fleet_energy_closed(readings: DataFrame, duration: str = WINDOW_DURATION) -> DataFrame:
+    """A2, A3 on a stream: Wh of the fleet per window, once, when the watermark has passed it.
+
+    Two aggregates in a row: the mean of each panel's window, then the sum over the panels.
+    The window of the first is the event time of the second, which gets a window's
+    rows when it closes.  ``readings`` have a watermark; append mode only.
+    """
+    means = readings.groupBy(F.window(EVENT_TIME, duration).alias("of_panel"), PANEL).agg(
+        F.avg(F.col(POWER).cast("double")).alias(WINDOW_POWER))
+    fleet = means.groupBy(F.window(F.window_time("of_panel"), duration).alias("of_fleet")).agg(
+        F.sum(WINDOW_POWER).alias(WINDOW_POWER))
+    hours = window_hours(F.col("of_fleet.start"), F.col("of_fleet.end"))
+    return fleet.select(
+        F.col("of_fleet.end").alias(WINDOW_END), (F.col(WINDOW_POWER) * hours).alias("energy_wh"))
+
+
 def total_energy(windows: DataFrame) -> DataFrame:
     """A4: Wh over all panels and windows.
 
@@ -124,6 +144,51 @@ def power_histogram(
     )
 
 
+def nice_width(span: float, buckets: int) -> float:
+    """The smallest of 1, 2 and 5 times a power of ten that covers ``span`` in so many steps."""
+    least = span / buckets
+    if least <= 0:
+        return 1.0
+    power = 10.0 ** math.floor(math.log10(least))
+    return next(step * power for step in (1.0, 2.0, 5.0, 10.0) if least <= step * power)
+
+
+def power_histogram_auto(
+    windows: DataFrame, buckets: int = 30, combine: bool = False,
+) -> DataFrame:
+    """A7 with a width that follows the data: about so many buckets over the range of values.
+
+    One pass over the windows.  It counts values by their first three digits, cells
+    whose widths are powers of ten, and notes the least and the greatest value.  These
+    tell the width (``nice_width``), of which each cell then lies in one bucket; buckets
+    begin at its multiples.  Cells are some hundreds a panel, however many windows
+    there are.  Only where all values are within about a hundredth of their size are the cells
+    too wide, and the windows are read once more.
+    """
+    keys = [] if combine else [PANEL]
+    value = F.col(WINDOW_POWER)
+    known = windows.filter(value.isNotNull()).select(*keys, WINDOW_POWER)
+    digits = F.when(value == 0, F.lit(LEAST_DIGIT)).otherwise(F.greatest(
+        F.floor(F.log10(F.abs(value))) - 2, F.lit(LEAST_DIGIT)))
+    wide = F.col("digit") >= 0
+    scale = F.pow(F.lit(10.0), F.abs("digit"))
+    cell = F.floor(F.when(wide, value / scale).otherwise(value * scale))
+    counted = known.withColumn("digit", digits).withColumn("cell", cell).groupBy(
+        *keys, "digit", "cell").agg(
+        F.count(F.lit(1)).alias("windows"), F.min(value).alias("least"), F.max(value).alias("most"))
+    path = scratch(windows.sparkSession, "cells")
+    counted.write.parquet(path)
+    cells = windows.sparkSession.read.schema(counted.schema).parquet(path)
+    found = cells.agg(F.min("least"), F.max("most"), F.max("digit")).first()
+    width = nice_width(found[1] - found[0], buckets) if found[0] is not None else 1.0
+    power = math.floor(math.log10(width) + 1e-9)
+    if found[2] is not None and found[2] > power:
+        return power_histogram(known, width, 0.0, combine).withColumn("width", F.lit(width))
+    cells_a_bucket = round(width / 10.0 ** power) * F.pow(F.lit(10.0), power - F.col("digit"))
+    return cells.groupBy(*keys, (F.floor(F.col("cell") / cells_a_bucket) * width).alias(
+        "bucket_start")).agg(F.sum("windows").alias("windows")).withColumn("width", F.lit(width))
+
+
 def panels_wide(windows: DataFrame, panels: Sequence[str]) -> DataFrame:
     """R2: one row per window end, a column for each listed panel, aligned on time.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sunmeter.functions.columns import stored_power
 from sunmeter.schema import (
     BROKER_TIME, CLOCK_AHEAD, EVENT_TIME, PANEL, PANEL_LENGTH, POWER, POWER_PRECISION, POWER_SCALE, STATUS,
+    WATERMARK_DELAY,
 )
 
 POWER_BOUND = float(10 ** (POWER_PRECISION - POWER_SCALE))
@@ -50,6 +51,16 @@ def is_ahead(ahead: str = CLOCK_AHEAD, arrival: str = "timestamp") -> Column:
     return F.coalesce(F.col(EVENT_TIME) > limit, F.lit(False))
 
 
+def is_late(ahead: str = CLOCK_AHEAD, delay: str = WATERMARK_DELAY) -> Column:
+    """A reading that a watermark may have passed before it arrived.
+
+    The watermark is ``delay`` behind the newest stamp, which is ``ahead`` of its
+    arrival at most; so only rows that arrive later than the difference can have been dropped.
+    """
+    earliest = F.col("timestamp") + F.expr(f"INTERVAL '{ahead}'") - F.expr(f"INTERVAL '{delay}'")
+    return F.col(EVENT_TIME) < earliest
+
+
 def is_reject() -> Column:
     """The complement of ``is_valid``; an unknown (NULL) power is a reject too."""
     return ~F.coalesce(is_valid(), F.lit(False))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sunmeter.schema import (
-    EVENT_TIME, PANEL, POWER, POWER_SUM, READINGS, THROUGH, WATERMARK_DELAY, WINDOW_DURATION,
-    WINDOW_END, WINDOW_POWER, WINDOW_START,
+    EVENT_TIME, PANEL, POWER, POWER_SUM, READINGS, STATUS, STATUS_ACTIVE, THROUGH,
+    WATERMARK_DELAY, WINDOW_DURATION, WINDOW_END, WINDOW_POWER, WINDOW_START,
 )
 
 
@@ -71,6 +73,34 @@ def with_lateness(readings: DataFrame, delay: str = WATERMARK_DELAY) -> DataFram
     return readings.withWatermark(EVENT_TIME, delay)
 
 
+def once_each(
+    readings: DataFrame, delay: str = WATERMARK_DELAY,
+    keys: Sequence[str] = (PANEL, EVENT_TIME, POWER, STATUS),
+) -> DataFrame:
+    """Each reading once, though its producer sends it again.
+
+    A reading is known again for ``delay`` after its stamp, by the newest stamp; what comes
+    later is dropped as late, seen before or not.  So the state holds the readings
+    of that time only.  Two readings of one stamp that differ are two.
+    """
+    return readings.withWatermark(EVENT_TIME, delay).dropDuplicatesWithinWatermark(list(keys))
+
+
+def with_two_clocks(readings: DataFrame, delay: str = WINDOW_DURATION) -> DataFrame:
+    """A watermark for active panels and one for heartbeats, whose clocks are apart.
+
+    Each follows its own stamps, ``delay`` behind the newest; a window is closed when
+    both have passed it (the ``min`` policy, which is Spark's own).  So neither makes the
+    other's readings late, however far apart they are; where one of them falls
+    silent, windows stay open until it sends again.
+    """
+    def watermarked(is_active: Column) -> DataFrame:
+        return readings.filter(is_active).withWatermark(EVENT_TIME, delay)
+
+    active = F.col(STATUS).eqNullSafe(STATUS_ACTIVE)
+    return watermarked(active).unionByName(watermarked(~active))
+
+
 def latest_emission(updates: DataFrame, order: str = "batch_id", keep: bool = False) -> DataFrame:
     """D3: the newest value of each window among all that update mode emitted.
 

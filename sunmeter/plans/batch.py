@@ -235,6 +235,10 @@ def fleet_power_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fleet.power_histogram(_windows(spark, sf_dir), combine=True)
 
 
+def panel_power_histogram_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fleet.power_histogram_auto(_windows(spark, sf_dir))
+
+
 def panel_power_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = fleet.panels_wide(_windows(spark, sf_dir), WIDE_PANELS)
     return plain(wide, *[name for name in wide.columns if name != WINDOW_END])
@@ -266,6 +270,6 @@ QUERIES = {
         fleet_power_from_wire, fleet_energy_window, fleet_energy_window_1h, fleet_energy_total,
         latest_panel_status,
         latest_panel_status_of_topic, latest_fleet_power, panel_power_histogram,
-        fleet_power_histogram, panel_power_wide, expected_output, expected_output_day,
+        fleet_power_histogram, panel_power_histogram_auto, panel_power_wide, expected_output, expected_output_day,
     )
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sunmeter.plans.batch import AS_OF, FIRST_ROWS, FIRST_WINDOWS, LOOKUP_PANEL, WIDE_PANELS
+from sunmeter.plans.stream import SOME_WEEKS
 
 READINGS = """
 with readings as (
@@ -69,6 +70,29 @@ _REJECTS = """
          || ',"current_status":1,"time_data":"'
          || case event_id % 4 when 0 then 'not a time ' || event_id else '2024-01-15 12:00:00' end
          || '"}' from events"""
+_ROLLUP = _AGG.rstrip() + """,
+energy as (
+  select window_end - interval 30 second as start, total_power * 0.0083333333e0 as wh from fleet)
+"""
+# Six spans of equal length by arrival, up to nine days behind the stamp; late is
+# what arrives more than 15 s behind it.
+_LEDGER = """
+with arrived as (
+  select ts, ts + to_days(cast(event_id * 37 % 10 as integer)) as arrival from events),
+span as (
+  select epoch_us(min(arrival)) as low,
+         (epoch_us(max(arrival)) - epoch_us(min(arrival))) // 6 + 1 as width from arrived),
+later as (
+  select (epoch_us(arrival) - low) // width as step, count(*) as n,
+         count(*) filter (where ts < arrival - interval 15 second) as late
+  from arrived, span group by 1),
+sizes as (
+  select (select count(*) from events) as e, (select count(*) from conversations) as c)
+select 0::bigint as batch, 3 * e + c as read, e as valid, 2 * e + c as rejected,
+       0::bigint as late from sizes
+union all
+select step + 1, n, n, 0, late from later
+"""
 _FAR = """
   with readings as (
     select cast(user_id as varchar) as Panel_id,
@@ -157,6 +181,14 @@ ORACLES = {
     "fleet_power_histogram": _AGG + """
       select floor((total_power - 398) / 20) * 20 + 398 as bucket_start,
              count(*) as windows from agg group by 1""",
+    "panel_power_histogram_auto": _AGG + """,
+spans as (select (max(total_power) - min(total_power)) / 30 as least from agg),
+powers as (select least, pow(10e0, floor(log10(least))) as p from spans),
+widths as (
+  select case when least <= p then p when least <= 2 * p then 2 * p
+              when least <= 5 * p then 5 * p else 10 * p end as width from powers)
+      select Panel_id, floor(total_power / width) * width as bucket_start,
+             count(*) as windows, width from agg, widths group by 1, 2, 4""",
     "panel_power_wide": _AGG + f"""
       select window_end, {_WIDE_COLUMNS},
              round(sum(total_power) filter (where Panel_id not in ({_WIDE_NAMES})), 6)
@@ -177,6 +209,20 @@ ORACLES = {
     "late_readings_repaired": _AGG + _ALL_WINDOWS,
     "late_readings_merged": _AGG + _ALL_WINDOWS,
     "stream_panel_own_clock": _FAR,
+    "stream_fleet_energy": _AGG + """
+      select window_end, round(total_power * 0.0083333333e0, 6) as energy_wh from fleet
+      where window_end <= (select max(ts) from events) - interval 3630 second""",
+    "stream_resent_readings": _ALL_RAW,
+    "stream_two_clocks": _AGG + _ALL_WINDOWS,
+    "fleet_energy_rollup": _ROLLUP + " union all ".join(f"""
+      select '{grain}' as grain, {start} as start, round(sum(wh), 6) as energy_wh,
+             count(*) as windows from energy group by 2""" for grain, start in (
+          ("30 seconds", "start"), ("1 hour", "date_trunc('hour', start)"),
+          ("1 day", "cast(date_trunc('day', start) as timestamp)"))),
+    "fleet_energy_between": _ROLLUP + f"""
+      select round(sum(wh), 6) as energy_wh, count(*) as windows from energy
+      where start >= timestamp '{SOME_WEEKS[0]}' and start < timestamp '{SOME_WEEKS[1]}'""",
+    "ingest_ledger": _LEDGER,
     "stream_repartitioned_state": _FAR,
     "stream_latest_panel_status": _LATEST,
 }

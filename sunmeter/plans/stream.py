@@ -15,8 +15,11 @@ from sunmeter.operators.windows import power_of_parts
 from sunmeter.plans import fixture
 from sunmeter.plans.batch import mixed_topic, plain
 from sunmeter.plans.replay import replay
-from sunmeter.schema import EVENT_TIME, PANEL, RAW_SCHEMA, WATERMARK_DELAY, WINDOW_POWER
+from sunmeter.schema import (
+    EVENT_TIME, PANEL, RAW_SCHEMA, WATERMARK_DELAY, WINDOW_END, WINDOW_POWER,
+)
 from sunmeter.session import SHUFFLE_PARTITIONS, scratch
+from sunmeter.sinks.rollup import Rollup
 from sunmeter.sinks.tables import FINAL_SCHEMA, parts_table, read_rejects, status_table
 from sunmeter.sources.messages import read_landing
 from sunmeter.streaming import jobs, own_clock, pipeline
@@ -28,6 +31,8 @@ NEVER_LATE = "11 days"
 BROKEN_STAMP = "2999-01-01 00:00:00"
 FAR_PANEL, FAR_AHEAD = "8", "975 years"
 OWN_DELAY = "30 seconds"
+RESENT_DELAY = "26 hours"
+SOME_WEEKS = ("2024-01-04 05:17:30", "2024-01-19 21:40:00")
 
 # job(stream of messages, its folder) -> running queries
 Job = Callable[[DataFrame, str], list[StreamingQuery]]
@@ -141,8 +146,20 @@ def stream_bad_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(pipeline.Tables(spark, root).current_windows(), WINDOW_POWER)
 
 
-def _late(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    return fixture.slices(fixture.readings(spark, sf_dir), LATE_STEPS, fixture.days_late())
+def _late(spark: SparkSession, sf_dir: str, steps: int = LATE_STEPS) -> list[DataFrame]:
+    return fixture.slices(fixture.readings(spark, sf_dir), steps, fixture.days_late())
+
+
+def _counting_drops(spark: SparkSession, run: Callable[[], str]) -> tuple[str, int]:
+    """What ``run`` gives, and how many rows watermarks dropped meanwhile."""
+    drops = jobs.DropCounter()
+    spark.streams.addListener(drops)
+    try:
+        found = run()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(drops)
+    return found, sum(drops.dropped.values())
 
 
 def late_readings_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,15 +171,9 @@ def late_readings_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 def late_readings_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same messages, a watermark that drops most of them, and a repair from the raw rows."""
     delay = "30 seconds"
-    drops = jobs.DropCounter()
-    spark.streams.addListener(drops)
-    try:
-        root = play(spark, "repair", _late(spark, sf_dir),
-                    _pipeline("ingest", "windows", delay=delay))
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    finally:
-        spark.streams.removeListener(drops)
-    if not drops.dropped:
+    root, dropped = _counting_drops(spark, lambda: play(
+        spark, "repair", _late(spark, sf_dir), _pipeline("ingest", "windows", delay=delay)))
+    if not dropped:
         raise AssertionError("no row was late")
     tables = pipeline.Tables(spark, root)
     tables.upkeep(delay)
@@ -222,6 +233,86 @@ def stream_repartitioned_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(power_of_parts(parts), WINDOW_POWER)
 
 
+def stream_fleet_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fleet's energy of each window that the watermark has passed, by two states in a row."""
+    def job(messages: DataFrame, root: str) -> list[StreamingQuery]:
+        return [jobs.start_fleet_energy(
+            jobs.timed_readings(messages), f"{root}/energy", f"{root}/checkpoint",
+            trigger=jobs.ALL_AVAILABLE)]
+
+    root = play(spark, "energy", _ordered(spark, sf_dir), job)
+    stored = spark.read.schema(
+        f"{WINDOW_END} timestamp, energy_wh double, day date").parquet(f"{root}/energy")
+    return plain(stored.drop("day"), "energy_wh")
+
+
+def stream_resent_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message twice, a day apart, so that many come again after a restart."""
+    def job(messages: DataFrame, root: str) -> list[StreamingQuery]:
+        return [jobs.start_raw_once(
+            messages, f"{root}/raw", f"{root}/checkpoint", RESENT_DELAY, jobs.ALL_AVAILABLE)]
+
+    rows = fixture.readings(spark, sf_dir).withColumn("again", F.explode(F.array(
+        F.lit(0), F.lit(1))))
+    arrival = F.col(EVENT_TIME) + F.make_dt_interval(days="again")
+    slices = fixture.slices(rows, STEPS, arrival, offset=F.col("ingest_seq") * 2 + F.col("again"))
+    root = play(spark, "resent", slices, job)
+    return plain(spark.read.schema(RAW_SCHEMA).parquet(f"{root}/raw").drop("day"))
+
+
+def stream_two_clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active panels an hour ahead of heartbeats, 30 s of patience with each, nothing dropped."""
+    def job(messages: DataFrame, root: str) -> list[StreamingQuery]:
+        tables = pipeline.Tables(spark, root)
+        return [jobs.start_panel_power_update(
+            jobs.timed_readings(messages), tables.windows.write(1), f"{root}/checkpoint",
+            "30 seconds", trigger=jobs.ALL_AVAILABLE, two_clocks=True)]
+
+    slices = fixture.slices(
+        fixture.readings(spark, sf_dir), LATE_STEPS, fixture.skewed_arrival())
+    root, dropped = _counting_drops(spark, lambda: play(spark, "clocks", slices, job))
+    if dropped:
+        raise AssertionError(f"{dropped} rows were late")
+    return plain(pipeline.Tables(spark, root).current_windows(), WINDOW_POWER)
+
+
+def _rolled_up(spark: SparkSession, sf_dir: str) -> Rollup:
+    """The rollup of a table of parts; the last step's batch is not folded yet."""
+    def job(messages: DataFrame, root: str) -> list[StreamingQuery]:
+        tables = pipeline.Tables(spark, root)
+        tables.parts.fold(newest=True)
+        tables.parts.clean()
+        tables.rollup.update()
+        return [pipeline.starts(messages, root, trigger=jobs.ALL_AVAILABLE, files=1)["parts"]()]
+
+    root = play(spark, "rollup", _late(spark, sf_dir, STEPS), job)
+    return pipeline.Tables(spark, root).rollup
+
+
+def fleet_energy_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fleet's energy per window, hour and day, from the pyramid."""
+    rollup = _rolled_up(spark, sf_dir)
+    rows = [rollup.read(grain).select(F.lit(grain).alias("grain"), "start", "energy_wh", "windows")
+            for grain in rollup.grains]
+    return plain(rows[0].unionByName(rows[1]).unionByName(rows[2]), "energy_wh")
+
+
+def fleet_energy_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fleet's energy in some two weeks: days, then hours, then windows at the ends."""
+    found = _rolled_up(spark, sf_dir).between(*SOME_WEEKS)
+    return plain(found.select("energy_wh", "windows"), "energy_wh")
+
+
+def ingest_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each batch of the ingest read, stored, rejected and found late."""
+    mixed = mixed_topic(spark, sf_dir, broken=True)
+    root = play(spark, "ledger", [mixed, *_late(spark, sf_dir)], _pipeline("ingest"))
+    tables = pipeline.Tables(spark, root)
+    tables.ledger.fold()
+    tables.ledger.clean()
+    return tables.ledger.read().drop("noted")
+
+
 def stream_latest_panel_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Panels that move between two partitions, whose offsets don't compare."""
     rows = fixture.readings(spark, sf_dir)
@@ -239,6 +330,8 @@ QUERIES = {
         stream_rejected_readings, stream_panel_power_append, stream_panel_power_update,
         stream_current_windows, stream_bad_clock, late_readings_kept, late_readings_repaired,
         late_readings_merged, stream_panel_own_clock, stream_repartitioned_state,
+        stream_fleet_energy, stream_resent_readings, stream_two_clocks, fleet_energy_rollup,
+        fleet_energy_between, ingest_ledger,
         stream_latest_panel_status,
     )
 }

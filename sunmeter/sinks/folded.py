@@ -37,14 +37,24 @@ class Folded:
         self.schema = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
         self.order = list(order)
 
-    def write(self, files: int | None = None) -> Callable[[DataFrame, int], None]:
-        """The per-batch callback; ``files`` is the number of files of a batch."""
+    def write(
+        self, files: int | None = None,
+        seen: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    ) -> Callable[[DataFrame, int], None]:
+        """The per-batch callback; ``files`` is the number of files of a batch.
+
+        ``seen`` may observe the rows; it comes last, in the tasks that write, which
+        count once however often tasks before them are run again.
+        """
         def write(batch: DataFrame, batch_id: int) -> None:
             rows = batch if files is None else batch.repartition(files)
-            rows.write.mode("overwrite").parquet(f"{self.path}/batches/{BATCH}={batch_id}")
+            seen(rows).write.mode("overwrite").parquet(self.batch_folder(batch_id))
 
         return write
 
+    def batch_folder(self, number: int) -> str:
+        return f"{self.path}/batches/{BATCH}={number}"
+
     def read(self, days: Iterable[date] | None = None) -> DataFrame:
         """All rows, or those of the given days, merged; without ``batch_id``."""
         return self.merge(self.rows(days)).drop(BATCH)
@@ -59,6 +69,15 @@ class Folded:
             new = new.filter(self.day.isin(*wanted) if wanted else F.lit(False))
         return self._data(folded).unionByName(new)
 
+    def folded_rows(self, days: Iterable[date]) -> DataFrame:
+        """The rows of these days as they are folded, without newer batches."""
+        folded, wanted = self.versions(), set(days)
+        return self._data({day: version for day, version in folded.items() if day in wanted})
+
+    def versions(self) -> dict[date, int]:
+        """The folded days, each with the number of the fold that wrote it last."""
+        return self._current()[0]
+
     def new_days(self) -> set[date]:
         """The days that batches since the last fold touch."""
         days = self.unfolded().select(self.day.alias("day")).distinct().collect()
@@ -100,7 +119,7 @@ class Folded:
         days, through = self._current()
         for number in self._batch_ids():
             if number <= through:
-                remove(self.spark, f"{self.path}/batches/{BATCH}={number}")
+                remove(self.spark, self.batch_folder(number))
         for row in self._manifest().collect():
             if row["day"] is not None and days.get(row["day"]) != row["version"]:
                 remove(self.spark, self._folder(row["day"], row["version"]))
@@ -113,7 +132,7 @@ class Folded:
         """
         last = self._current()[1]
         for number in self._batch_ids():
-            folder = f"{self.path}/batches/{BATCH}={number}"
+            folder = self.batch_folder(number)
             if exists(self.spark, f"{folder}/_SUCCESS"):
                 last = max(last, number)
             elif number > last:

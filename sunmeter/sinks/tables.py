@@ -34,6 +34,11 @@ BY_KIND_SCHEMA = T.StructType([
 ])
 
 
+LEDGER_SCHEMA = T.StructType([
+    *[T.StructField(name, T.LongType()) for name in (
+        "batch", "read", "valid", "rejected", "late")],
+    T.StructField("noted", T.TimestampType()),
+])
 FINAL_SCHEMA = T.StructType([*WINDOW_SCHEMA.fields, T.StructField("day", T.DateType())])
 
 
@@ -144,6 +149,11 @@ def parts_table(spark: SparkSession, path: str) -> Folded:
                   (PANEL, WINDOW_START))
 
 
+def ledger_table(spark: SparkSession, path: str) -> Folded:
+    """A row per batch of the ingest, by the day it was noted."""
+    return Folded(spark, path, LEDGER_SCHEMA, _day_of(F.col("noted")), order=("batch",))
+
+
 def _newest_status(rows: DataFrame) -> DataFrame:
     return rows.groupBy(PANEL, "partition").agg(
         *[F.max_by(name, BATCH).alias(name) for name in (STATUS, "timestamp", "offset")],

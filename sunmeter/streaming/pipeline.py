@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sunmeter.operators.quality import is_late
 from sunmeter.operators.windows import panel_power, power_of_parts
 from sunmeter.schema import (
     CLOCK_AHEAD, EVENT_TIME, TOPIC, WATERMARK_DELAY, WINDOW_DURATION, WINDOW_END, WINDOW_SCHEMA,
@@ -23,8 +24,10 @@ from sunmeter.schema import (
 )
 from sunmeter.session import SHUFFLE_PARTITIONS, prepare
 from sunmeter.sinks.files import exists
+from sunmeter.sinks.rollup import Rollup
 from sunmeter.sinks.tables import (
-    is_windowed, parts_table, read_raw, read_rejects, read_timed, readings_table, windows_table,
+    is_windowed, ledger_table, parts_table, read_raw, read_rejects, read_timed, readings_table,
+    windows_table,
 )
 from sunmeter.sources.messages import read_topic, topic_options
 from sunmeter.streaming import jobs
@@ -41,6 +44,8 @@ class Tables:
         self.readings = readings_table(spark, f"{root}/readings")
         self.windows = windows_table(spark, f"{root}/windows")
         self.parts = parts_table(spark, f"{root}/parts")
+        self.rollup = Rollup(spark, f"{root}/rollup", self.parts)
+        self.ledger = ledger_table(spark, f"{root}/ledger")
 
     def raw(self) -> DataFrame:
         return read_raw(self.readings)
@@ -76,16 +81,8 @@ class Tables:
         self, delay: str = WATERMARK_DELAY, duration: str = WINDOW_DURATION,
         ahead: str = CLOCK_AHEAD,
     ) -> list[date]:
-        """Days with windows that rows since the last fold may have missed.
-
-        The watermark is ``delay`` behind the latest stamp, which is ``ahead`` of its
-        arrival at most; so only rows that arrive later than the difference can
-        have been dropped.
-        """
-        earliest = F.col("timestamp") + F.expr(f"INTERVAL '{ahead}'") - F.expr(
-            f"INTERVAL '{delay}'")
-        late = self.readings.unfolded().filter(
-            is_windowed(ahead) & (F.col(EVENT_TIME) < earliest))
+        """Days with windows that rows since the last fold may have missed (``is_late``)."""
+        late = self.readings.unfolded().filter(is_windowed(ahead) & is_late(ahead, delay))
         day = F.to_date(F.window(EVENT_TIME, duration)["start"])
         return sorted(row["day"] for row in late.select(day.alias("day")).distinct().collect())
 
@@ -159,9 +156,11 @@ class Tables:
         self.repair(late, duration, ahead)
         self._mark(late, True)
         self.parts.fold()
-        self.readings.clean()
-        self.windows.clean()
-        self.parts.clean()
+        self.rollup.update()
+        self.rollup.fold()
+        self.ledger.fold()
+        for table in (self.readings, self.windows, self.parts, self.ledger):
+            table.clean()
 
 
 def starts(
@@ -179,7 +178,8 @@ def starts(
     tables = Tables(messages.sparkSession, root)
     return {
         "ingest": lambda: jobs.start_ingest(
-            messages, tables.readings, f"{root}/checkpoints/ingest", trigger, files, ahead),
+            messages, tables.readings, f"{root}/checkpoints/ingest", trigger, files, ahead,
+            tables.ledger, delay),
         "windows": lambda: jobs.start_panel_power_update(
             jobs.timed_readings(messages, ahead), tables.windows.write(files),
             f"{root}/checkpoints/windows", delay, trigger=trigger),

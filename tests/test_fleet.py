@@ -14,6 +14,35 @@ def agg(spark):
         ("a", 100.0, T0), ("b", 250.0, T0), ("a", 300.0, T1), ("c", None, T1), ("d", 398.0, T0)])
 
 
+@pytest.mark.parametrize("values, width", (
+    ([0.0, 1.0, 29.0], 1.0), ([0.0, 31.0], 2.0), ([5.0, 120.0, 450.5, 20.0, 40.0], 20.0),
+    ([-3.5, 0.25, 7.75], 0.5), ([1e6, 1e6 + 300.0], 10.0), ([7.0, 7.0], 1.0),
+    ([0.001, 0.0043, 0.0], 0.0002), ([1e9, 2.0], 5e7)))
+def test_bucket_width_follows_the_data(spark, values, width):
+    rows_of = windows(spark, [(f"p{k % 2}", v, f"2024-01-15 12:{k:02}:00")
+                              for k, v in enumerate(values)] + [("p0", None, "2024-01-15 13:00:00")])
+    for combine in (False, True):
+        got = fleet.power_histogram_auto(rows_of, combine=combine)
+        want = fleet.power_histogram(rows_of, width, 0.0, combine).withColumn("width", F.lit(width))
+        kept = [name for name in got.columns if name != "bucket_start"]
+
+        def rounded(df):
+            return rows(df.withColumn("bucket_start", F.round("bucket_start", 9)),
+                        *kept, "bucket_start")
+
+        assert rounded(got) == rounded(want)
+
+
+def test_no_value_makes_no_bucket(spark):
+    none = windows(spark, [("a", None, "2024-01-15 12:00:00")])
+    assert fleet.power_histogram_auto(none).count() == 0
+
+
+def test_windows_are_read_once_for_buckets(spark):
+    text = plan(fleet.power_histogram_auto(windows(spark, [("a", 5.0, "2024-01-15 12:00:00")])))
+    assert "LocalTableScan" not in text and text.count("FileScan parquet") == 1
+
+
 def test_fleet_power_sums_the_panels_present(agg):
     assert rows(fleet.fleet_power(agg)) == [
         ("2024-01-15 12:00:30", 748.0), ("2024-01-15 12:01:00", 300.0)]

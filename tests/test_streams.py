@@ -1,4 +1,5 @@
 from datetime import date
+from decimal import Decimal
 
 import pytest
 from helpers import messages, rows, wire
@@ -344,3 +345,86 @@ def test_a_windows_query_that_lags_loses_no_repair(spark, site):
     assert rows(found.current_windows().filter(noon), "total_power") == [(10.0,)]
     found.upkeep("1 minute")
     assert rows(found.current_windows().filter(noon), "total_power") == [(15.0,)]
+
+
+def test_each_reading_once_though_sent_again(spark, site):
+    def start():
+        return [jobs.start_raw_once(
+            site.stream(), site.out, site.checkpoint, "10 minutes", NOW, files=1, ahead=EVER)]
+
+    first = [at(0), at(1), at(0, panel="b"), at(1, power=2.0)]
+    runs = site.play([first + first, first, [at(40)], first], start)
+    assert rows(spark.read.parquet(site.out), "Panel_id", "power_panel", "time_data") == sorted([
+        *[(p, power, f"2024-01-15 12:{m:02}:00") for p, power, m in (
+            ("a", Decimal("1.000"), 0), ("a", Decimal("1.000"), 1), ("b", Decimal("1.000"), 0),
+            ("a", Decimal("2.000"), 1), ("a", Decimal("1.000"), 40))]], key=repr)
+    left = [query.lastProgress.stateOperators[0].numRowsTotal for query in runs]
+    assert max(left) <= 5 and left[-1] == 1  # what the watermark has passed is forgotten
+
+
+def test_fleet_energy_of_closed_windows(spark, site):
+    def start():
+        return [jobs.start_fleet_energy(
+            decode(site.stream()), site.out, site.checkpoint, "1 minute", trigger=NOW)]
+
+    site.play([[at(0, power=100.0), at(0, 10, power=300.0), at(0, 20, power=50.0, panel="b"), "no"],
+               [at(0, 25, power=150.0, panel="b")], [at(5)], [at(9)]], start)
+    got = spark.read.parquet(site.out)
+    assert rows(got.withColumn("energy_wh", F.round("energy_wh", 6)), "window_end", "energy_wh") == [
+        ("2024-01-15 12:00:30", 2.5), ("2024-01-15 12:05:30", 0.008333)]
+
+
+def test_two_clocks_need_no_patience(spark, site, drops):
+    table, start = windows_job(site, delay="30 seconds", two_clocks=True)
+    site.play(skewed(), start)
+    assert total(spark, drops) == 0
+    batch = panel_power(decode(spark.read.parquet(site.landing)))
+    assert rows(table.read()) == rows(batch) and table.read().count() == 8
+
+
+def test_the_ledger_adds_up(spark, site):
+    found = run_pipeline(
+        spark, site, [at(0), "nope", at(1), None], ["{}", at(2)], [at(30, hour=9)])
+    want = [(0, 4, 2, 2, 2), (1, 2, 1, 1, 1), (2, 1, 1, 0, 1)]  # all may be late, guard off
+    for _ in range(2):
+        assert rows(found.ledger.read().drop("noted")) == want
+        found.upkeep()
+    rows_of = spark.read.parquet(site.landing).count()
+    assert found.ledger.read().agg(F.sum("read")).first()[0] == rows_of
+
+
+def test_the_ledger_counts_what_may_be_late(spark, site):
+    table, ledger = tables.readings_table(spark, site.out), tables.ledger_table(
+        spark, site.out + "-ledger")
+
+    def start():
+        return [jobs.start_ingest(
+            site.stream(), table, site.checkpoint, NOW, files=1, ledger=ledger)]
+
+    sent = [messages(spark, [at(0), at(1), "x"]).withColumn(
+        "timestamp", F.lit(f"2024-01-15 12:01:{s}").cast("timestamp")) for s in ("10", "20")]
+    replay(sent, site.landing, start)
+    assert rows(ledger.read().drop("noted")) == [(0, 3, 2, 1, 1), (1, 3, 2, 1, 2)]
+
+
+def test_rejects_that_are_left_out_are_counted(spark, site, drops):
+    def start():
+        return [jobs.start_raw(decode(site.stream()), site.out, site.checkpoint, NOW, files=1)]
+
+    site.play([[at(0), "nope", "{}"], [at(1), None]], start)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert sum(drops.rejected.values()) == 3
+
+
+def test_a_null_panel_makes_no_window_and_a_bad_stamp_ends_no_stream(spark, site):
+    noon = F.lit("2024-01-15 12:10:00").cast("timestamp")
+
+    def start():
+        return [jobs.start_panel_power_append(
+            decode(site.stream(), "timestamp"), site.out, site.checkpoint, "1 minute", trigger=NOW)]
+
+    sent = [messages(spark, list(texts), 5 * k).withColumn("timestamp", noon) for k, texts in enumerate((
+        [at(0), wire("b", 1.0, "2999-01-01 00:00:00"), '{"time_data":"2024-01-15 12:00:00"}'],
+        [at(0, 20, power=3.0), at(9)]))]
+    replay(sent, site.landing, start)
+    assert rows(spark.read.parquet(site.out), "Panel_id", "total_power") == [("a", 2.0)]
