@@ -7,7 +7,6 @@ import heapq
 import json
 import mmap
 import re
-import tempfile
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,7 +28,7 @@ _LONE_SPACE = re.compile(rf"\x20(?=[^{SPACE}])")
 LEXICON_WORDS = 200_000
 MAX_CACHED_PIECES = 500_000
 SCANNED_BYTES = 64
-MAX_PIECE = 40
+MAX_PIECE = 40  # longer pieces are neither in the lexicon nor kept for later texts
 LEVELS = 8
 ENDS = frozenset(",.;:!?")
 ID_BITS = 24
@@ -217,11 +216,10 @@ def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
 
 
 def mapped(image: bytes) -> mmap.mmap:
-    """The image memory-mapped from a file without a name, which goes with its process."""
-    with tempfile.TemporaryFile() as file:
-        file.write(image)
-        file.flush()
-        return mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+    """The image in a memory map of its own, outside the heap, which goes with its process."""
+    region = mmap.mmap(-1, len(image))
+    region.write(image)
+    return region
 
 
 def pieces(text: str) -> Iterator[str]:
@@ -293,7 +291,8 @@ class _Pieces(dict):
             ids = self[piece[:-1]] + self.codec.plain[piece[-1]]
         else:
             ids = b"".join(map(self.codec.ids_of, WORDS.findall(self.prefix + piece)))
-        self[piece] = ids
+        if len(piece) <= MAX_PIECE:  # so the number kept bounds their bytes
+            self[piece] = ids
         return ids
 
 

@@ -100,6 +100,18 @@ def held(rows: DataFrame, *names: str, **computed: Column) -> DataFrame:
     return rows.select(*names, F.inline(F.array(values)))
 
 
+def fresh_names(taken: Iterable[str], *names: str) -> list[str]:
+    """``names`` for columns of our own, lengthened until none of them is ``taken``."""
+    used = {name.lower() for name in taken}  # names are compared without case
+    found = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        found.append(name)
+    return found
+
+
 def fresh_key(key: str) -> Column:
     """A key equal exactly where ``key`` (a long) is, which Spark takes for a new column.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sunmeter.llm.common import WORD, fresh_key, held, settled
+from sunmeter.llm.common import WORD, fresh_key, fresh_names, held, settled
 
 WINDOW_BASE = 131
 WINDOW_MODULUS = 2_147_483_647
@@ -14,9 +14,6 @@ LONG_WORDS = 50  # a line of more words is a chunk by itself
 
 SPAN = ("start", "lines", "begin")
 RANGE = "array<struct<start:int,lines:int>>"
-# Columns beside those of the documents, whose names must not clash.
-DIGEST, ID, ID_DIGEST, REMOVED, LINES = (
-    f"line_dedup_{name}" for name in ("digest", "id", "id_digest", "removed", "lines"))
 
 
 def _lines(text: Column) -> Column:
@@ -161,8 +158,7 @@ def removals(
     repeated = settled(classes.filter("n > 1"), "repeated")
     copies = settled(_joined(single, repeated), "copies")
 
-    wanted = copies.groupBy("id", "digest").agg(
-        F.collect_list(F.struct(*SPAN)).alias("spans"))
+    wanted = wanted_spans(copies)
     texts = _with_lines(docs, id_column, text).join(
         wanted.select(F.col("id").alias("wanted_id"), F.col("digest").alias("wanted_digest"),
                       "spans").hint("shuffle_hash"),
@@ -184,6 +180,11 @@ def removals(
         F.array_sort(F.collect_set(F.struct("start", "lines"))).alias("removed"))
 
 
+def wanted_spans(copies: DataFrame) -> DataFrame:
+    """(id, digest, spans): what is to be compared of each document, once for all its equal rows."""
+    return copies.groupBy("id", "digest").agg(F.collect_set(F.struct(*SPAN)).alias("spans"))
+
+
 def _joined(single: DataFrame, classes: DataFrame) -> DataFrame:
     """The chunks of the given classes, with the classes' other columns."""
     more = [name for name in classes.columns if name not in ("key", "check", "bytes", "n")]
@@ -215,30 +216,32 @@ def dedup(
     lines; null ids come first in order; an empty table stays empty.
     """
     names = docs.columns
+    digest, id_, id_digest, removed, lines = fresh_names((*names, report or ""), *[
+        f"line_dedup_{name}" for name in ("digest", "id", "id_digest", "removed", "lines")])
     found = removals(docs, id_column, text, whole).select(
-        F.col("id").alias(ID), F.col("digest").alias(ID_DIGEST),
-        F.col("removed").alias(REMOVED))
-    marked = docs.withColumn(DIGEST, F.xxhash64(text))
-    same = (F.col(id_column).eqNullSafe(F.col(ID))
-            & (F.col(DIGEST) == F.col(ID_DIGEST)))
+        F.col("id").alias(id_), F.col("digest").alias(id_digest),
+        F.col("removed").alias(removed))
+    marked = docs.withColumn(digest, F.xxhash64(text))
+    same = (F.col(id_column).eqNullSafe(F.col(id_))
+            & (F.col(digest) == F.col(id_digest)))
     joined = marked.join(found.hint("shuffle_hash"), same, "left")
     rows = held(
-        joined, *names, REMOVED,
-        **{LINES: F.when(F.col(REMOVED).isNotNull(), _lines(F.col(text)))})
-    n = F.size(REMOVED)
+        joined, *names, removed,
+        **{lines: F.when(F.col(removed).isNotNull(), _lines(F.col(text)))})
+    n = F.size(removed)
 
     def between(k: Column) -> Column:
         """The lines between a removed range and the next."""
-        last = F.get(REMOVED, k - 1)
+        last = F.get(removed, k - 1)
         begin = F.when(k > 0, last["start"] + last["lines"]).otherwise(1)
-        end = F.when(k < n, F.get(REMOVED, k)["start"]).otherwise(
-            F.size(LINES) + 1)
+        end = F.when(k < n, F.get(removed, k)["start"]).otherwise(
+            F.size(lines) + 1)
         length = end - begin
-        return F.slice(LINES, begin, F.greatest(F.lit(0), length) if whole else length)
+        return F.slice(lines, begin, F.greatest(F.lit(0), length) if whole else length)
 
     left = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), n), between)), "\n")
-    cleaned = F.when(F.col(REMOVED).isNull(), F.col(text)).otherwise(left)
-    ranges = F.coalesce(REMOVED, F.array().cast(RANGE))
+    cleaned = F.when(F.col(removed).isNull(), F.col(text)).otherwise(left)
+    ranges = F.coalesce(removed, F.array().cast(RANGE))
     more = [ranges.alias(report)] if report else []
     return rows.select(*[cleaned.alias(name) if name == text else F.col(name) for name in names],
                        *more)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sunmeter.llm.common import WORD, held, settled
+from sunmeter.llm.common import WORD, fresh_names, held, settled
 
 WEIGHTS = (1, 2, 3)  # of the sources in order, repeating
 LIMIT = 3  # a source gives each of its words at most so often
@@ -18,9 +18,6 @@ BUNDLE_SHARDS = 1_000
 SEED = 20_240_115
 # Fixed value: a prime larger than the blocks of any shard.
 STEP = 2_147_483_647
-# Columns beside those of the documents, whose names must not clash.
-DIGEST, ID, ID_DIGEST, TAKES, PIECES = (
-    f"mixing_{name}" for name in ("digest", "id", "id_digest", "takes", "pieces"))
 
 
 def size_of(text: Column) -> Column:
@@ -219,26 +216,28 @@ def mixed(
     that the mix does not take are gone.
     """
     names = docs.columns
-    docs = docs.withColumn(DIGEST, F.xxhash64(*names))
-    plans = plan(docs, id_column, text, source, DIGEST, **options)
-    taken = plans.filter("taken > 0").groupBy(id_column, DIGEST).agg(
-        F.collect_list(F.struct("copies", "extra_blocks")).alias(TAKES)).select(
-        F.col(id_column).alias(ID), F.col(DIGEST).alias(ID_DIGEST), TAKES)
-    same = F.col(id_column).eqNullSafe(F.col(ID)) & (F.col(DIGEST) == F.col(ID_DIGEST))
-    found = docs.join(taken.hint("shuffle_hash"), same).select(*names, TAKES)
-    once = found.filter(F.size(TAKES) == 1)
-    equal = found.filter(F.size(TAKES) > 1).dropDuplicates(names)  # the takes are of all of them
-    rows = once.union(equal).withColumn(TAKES, F.explode(TAKES))
-    rows = held(rows, *names, TAKES, **{PIECES: F.when(
-        F.size(f"{TAKES}.extra_blocks") > 0,
+    digest, id_, id_digest, takes, pieces = fresh_names(names, *[
+        f"mixing_{name}" for name in ("digest", "id", "id_digest", "takes", "pieces")])
+    docs = docs.withColumn(digest, F.xxhash64(*names))
+    plans = plan(docs, id_column, text, source, digest, **options)
+    taken = plans.filter("taken > 0").groupBy(id_column, digest).agg(
+        F.collect_list(F.struct("copies", "extra_blocks")).alias(takes)).select(
+        F.col(id_column).alias(id_), F.col(digest).alias(id_digest), takes)
+    same = F.col(id_column).eqNullSafe(F.col(id_)) & (F.col(digest) == F.col(id_digest))
+    found = docs.join(taken.hint("shuffle_hash"), same).select(*names, takes)
+    once = found.filter(F.size(takes) == 1)
+    equal = found.filter(F.size(takes) > 1).dropDuplicates(names)  # the takes are of all of them
+    rows = once.union(equal).withColumn(takes, F.explode(takes))
+    rows = held(rows, *names, takes, **{pieces: F.when(
+        F.size(f"{takes}.extra_blocks") > 0,
         F.regexp_extract_all(text, F.lit(f"(?s).*?{WORD}"), F.lit(0)))})
 
     def words(part: Column) -> Column:
-        return F.array_join(F.slice(PIECES, (part["start"] + 1).cast("int"),
+        return F.array_join(F.slice(pieces, (part["start"] + 1).cast("int"),
                                     (part["end"] - part["start"]).cast("int")), "")
 
-    extra = F.array_join(F.transform(f"{TAKES}.extra_blocks", words), "")
+    extra = F.array_join(F.transform(f"{takes}.extra_blocks", words), "")
     texts = F.concat(
-        F.array_repeat(F.col(text), F.col(f"{TAKES}.copies").cast("int")),
+        F.array_repeat(F.col(text), F.col(f"{takes}.copies").cast("int")),
         F.filter(F.array(extra), lambda part: part != ""))
     return rows.withColumn(text, F.explode(texts)).select(*names)

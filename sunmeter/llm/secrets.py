@@ -24,7 +24,9 @@ BASE_KINDS = ("assign", "access", "hex")
 
 # Further kinds, found by their form.
 PRIVATE_KEY = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
-WEB_TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
+# A token begins a run of its characters, and runs are never taken back: one pass.
+WEB_TOKEN = re.compile(
+    r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+")
 HOST_TOKEN = re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")
 FORM_KINDS = (("private_key", PRIVATE_KEY), ("web_token", WEB_TOKEN), ("host_token", HOST_TOKEN))
 
@@ -34,6 +36,9 @@ KINDS = (*BASE_KINDS, *(name for name, _ in FORM_KINDS), LIVE)
 
 # A value with at least so many owners is an example that people copy.
 EXAMPLE_OWNERS = 3
+# So is one that each of its owners has in more than so many repositories on average:
+# a sample in a template, where a credential of one's own stands in a few places.
+EXAMPLE_REPOSITORIES = 100
 
 _NAMES = ("password", "passwd", "secret", "token", "api")
 
@@ -86,8 +91,8 @@ def candidates(
 def ownership(found: DataFrame, repository: str = "doc_id", owner: str = "source") -> DataFrame:
     """Corpus-wide frequency of each digest: distinct repositories and owners.
 
-    ``verdict`` is ``example`` for what ``EXAMPLE_OWNERS`` or more owners have,
-    ``live`` for values of fewer owners that look random, else ``weak``.  A null
+    ``verdict`` is ``example`` for what ``EXAMPLE_OWNERS`` or more owners have, or each
+    in over ``EXAMPLE_REPOSITORIES`` repositories on average, ``live`` for values of fewer owners that look random, else ``weak``.  A null
     owner or repository counts as one of its own.  Each copy is reduced to one
     row per repository before owners are counted, and every step is aggregated
     before the shuffle, so a value with millions of copies is many small sums.
@@ -101,7 +106,9 @@ def ownership(found: DataFrame, repository: str = "doc_id", owner: str = "source
         F.sum("n_repositories").alias("n_repositories"),
         F.count("*").alias("n_owners"),
         F.max("random").alias("random"),
-    ).withColumn("verdict", F.when(F.col("n_owners") >= EXAMPLE_OWNERS, "example")
+    ).withColumn("verdict", F.when(
+        (F.col("n_owners") >= EXAMPLE_OWNERS)
+        | (F.col("n_repositories") > EXAMPLE_REPOSITORIES * F.col("n_owners")), "example")
                  .when(F.col("random"), "live").otherwise("weak"))
 
 

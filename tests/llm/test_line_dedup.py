@@ -161,3 +161,35 @@ def test_whole_passages_against_plain_python(spark, rows):
             line for i, line in enumerate(lines) if i not in gone)
     got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), whole=True)
     assert {r["doc_id"]: r["text"] for r in got.collect()} == want
+
+
+def test_equal_rows_are_compared_once(spark):
+    """Rows of one id and text ask for the same spans, however many they are."""
+    text = "\n".join(f"line {k} of some words" for k in range(40))
+
+    def spans(n):
+        docs = spark.createDataFrame([(None, text)] * n + [(1, text)], "doc_id long, text string")
+        found = line_dedup.chunks(docs, "doc_id", "text")
+        single = found.select("id", "digest", F.inline("chunks"))
+        return sorted(F_size for F_size, in line_dedup.wanted_spans(single).select(
+            F.size("spans")).collect())
+
+    assert spans(2) == spans(200) and len(spans(200)) == 2
+
+
+def test_thousands_of_equal_rows(spark):
+    docs = spark.createDataFrame([(None, "one line here\nand one more\nthe end of it")] * 5000 + [
+        (3, "one line here\nand one more\nthe end of it")], "doc_id long, text string")
+    for whole in (False, True):
+        rows = line_dedup.dedup(docs, whole=whole)
+        assert rows.groupBy("doc_id", "text").count().count() == 2 and rows.count() == 5001
+
+
+def test_columns_with_the_names_of_our_own(spark):
+    docs = spark.createDataFrame(
+        [(k, "some words\nsome more words\nend of them", "mine", "ours") for k in range(3)],
+        "doc_id long, text string, line_dedup_digest string, line_dedup_removed string")
+    rows = line_dedup.dedup(docs)
+    assert rows.columns == docs.columns
+    assert {(r["line_dedup_digest"], r["line_dedup_removed"]) for r in rows.collect()} == {
+        ("mine", "ours")}

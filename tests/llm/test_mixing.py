@@ -88,8 +88,8 @@ def test_the_mix_has_the_words_that_the_plan_takes(docs):
     named = docs.withColumn("lang", F.lit("en")).withColumn("taken", F.lit(1))
     mix = mixing.mixed(named, **OPTIONS)
     assert mix.columns == named.columns
-    marked = named.withColumn(mixing.DIGEST, F.xxhash64(*named.columns))
-    plan = mixing.plan(marked, "doc_id", "text", "source", mixing.DIGEST, **OPTIONS)
+    marked = named.withColumn("mixing_digest", F.xxhash64(*named.columns))
+    plan = mixing.plan(marked, "doc_id", "text", "source", "mixing_digest", **OPTIONS)
     want = plan.groupBy("doc_id").agg(F.sum("taken").alias("n")).filter("n > 0")
     got = mix.groupBy("doc_id").agg(F.sum(mixing.size_of(F.col("text"))).alias("n"))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import defaultdict
 
 from sunmeter.llm import secrets
@@ -75,3 +76,20 @@ def test_ownership_counts(spark):
 def test_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert secrets.scan(docs).count() == 0
+
+
+def test_templates_of_one_owner_are_examples(spark):
+    rows = [(k, "token=Abcd1234Efgh5678Ijkl", "one") for k in range(101)]
+    rows += [(k, "token=Zyxw9876Vuts5432Rqpo", "two") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["n_repositories"]: r["verdict"] for r in secrets.ownership(
+        secrets.candidates(docs)).collect()}
+    assert got == {101: "example", 100: "live"}
+
+
+def test_runs_of_beginnings_are_scanned_once():
+    began = time.perf_counter()
+    assert secrets.spans_of("eyJ" * 400_000) == []
+    assert time.perf_counter() - began < 1
+    token = "eyJ" + "a" * 12 + "." + "b" * 12 + "." + "c" * 12
+    assert [span[:3] for span in secrets.spans_of(f"x {token}. y")] == [("web_token", 2, 43)]
