@@ -35,6 +35,18 @@ def window_hours(start: Column, end: Column) -> Column:
     return F.when(seconds == 30, F.lit(WINDOW_HOURS)).otherwise(seconds / 3600)
 
 
+def z_value(*places: Column, bits: int) -> Column:
+    """The bits of all places in turn, the highest first: what is near in z is near in each.
+
+    Places are whole numbers below 2 ** ``bits``.
+    """
+    z = F.lit(0).cast("long")
+    for bit in reversed(range(bits)):
+        for place in places:
+            z = z * 2 + F.shiftright(place, bit) % 2
+    return z
+
+
 def bucket_start(value: Column, width: float, offset: float = HISTOGRAM_OFFSET) -> Column:
     """Lower edge of the histogram bucket ``value`` falls in."""
     return F.floor((value - offset) / width) * width + offset

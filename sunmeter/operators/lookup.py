@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime, timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sunmeter.functions.columns import second_text
 from sunmeter.schema import EVENT_TIME, PANEL, POWER, STATUS
 
+BACK, AHEAD = timedelta(hours=4), timedelta(hours=1)
+
 
 def panel_rows(raw: DataFrame, panel: str) -> DataFrame:
     """All stored readings of one panel; none for an unknown id."""
@@ -26,6 +30,13 @@ def panel_rows_json(raw: DataFrame, panel: str) -> DataFrame:
     return panel_rows(raw, panel).select(F.to_json(fields).alias("reading"))
 
 
+def days_around(as_of: str, back: timedelta = BACK, ahead: timedelta = AHEAD) -> set[date]:
+    """The days of the rows from ``back`` before to ``ahead`` after ``as_of``."""
+    now = datetime.fromisoformat(as_of)
+    first, last = (now - back).date(), (now + ahead).date()
+    return {first + timedelta(days=k) for k in range((last - first).days + 1)}
+
+
 def around(
     readings: DataFrame,
     as_of: str,

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sunmeter.schema import EVENT_TIME, PANEL, POWER, WINDOW_END, WINDOW_POWER
+from sunmeter.operators.windows import panel_power
+from sunmeter.schema import (
+    EVENT_TIME, PANEL, POWER, WINDOW_DURATION, WINDOW_END, WINDOW_POWER,
+)
 from sunmeter.session import scratch
 
 PLACE, INPUT = "series_place", "series_input"
@@ -27,6 +30,32 @@ def window_series(windows: DataFrame, limit: int | None = None) -> DataFrame:
     return rows if limit is None else first_rows(rows, limit, WINDOW_END, PANEL, WINDOW_POWER)
 
 
+def first_windows(
+    readings: DataFrame, limit: int, duration: str = WINDOW_DURATION,
+) -> DataFrame:
+    """The first ``limit`` rows of the window series, straight from the readings.
+
+    The windows are first counted by the hour they end in, from panels and times alone.
+    Then only the readings up to the hour in which the limit falls are read, by a bound
+    on their stored time, and their windows computed and stored, once.
+    """
+    end = F.window(EVENT_TIME, duration)["end"]
+    ends = readings.select(PANEL, end.alias(WINDOW_END)).distinct()
+    cut = _cut(ends, F.date_trunc("hour", WINDOW_END), limit)
+    near = readings
+    if cut is not None:
+        past = F.lit(cut["bucket"]).cast(readings.schema[EVENT_TIME].dataType) + F.expr(
+            "INTERVAL '1' HOUR")
+        near = readings.filter(F.col(EVENT_TIME) < past)
+    rows = window_series(panel_power(near, duration))
+    if cut is None:
+        return rows
+    rows = rows.filter(F.col(WINDOW_END) < past)
+    path = scratch(readings.sparkSession, "first-windows")
+    rows.write.parquet(path)
+    return window_series(readings.sparkSession.read.schema(rows.schema).parquet(path), limit)
+
+
 def first_rows(rows: DataFrame, limit: int, time: str, *ties: str) -> DataFrame:
     """L1: the first ``limit`` rows by ``(time, *ties)``, as a set; NULL times last.
 

@@ -161,8 +161,8 @@ def panel_window_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def panel_window_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first windows of an hour each, cut among those that end at the same time."""
-    return plain(series.window_series(_windows(spark, sf_dir, "1 hour"), FIRST_WINDOWS),
-                 WINDOW_POWER)
+    return plain(series.first_windows(
+        fixture.readings(spark, sf_dir), FIRST_WINDOWS, "1 hour"), WINDOW_POWER)
 
 
 def readings_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,6 +144,8 @@ ORACLES = {
     "compacted_readings": _ALL_RAW,
     "panel_lookup": _LOOKUP,
     "panel_lookup_stored": _LOOKUP,
+    "panel_lookup_live": _LOOKUP,
+    "readings_in_range_live": _ALL_RAW + f" where time_data {_SHOWN}",
     "panel_lookup_json": READINGS + f"""
       select '{{"Panel_id":"' || Panel_id || '","current_status":' || current_status
              || ',"power_panel":"' || {_STORED} || '","time_data":"' || {_SECONDS}

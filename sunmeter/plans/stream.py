@@ -11,12 +11,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sunmeter.functions.wire import decode
 from sunmeter.operators.fleet import latest_of_partitions
+from sunmeter.operators.lookup import around, days_around, panel_rows
 from sunmeter.operators.windows import power_of_parts
 from sunmeter.plans import fixture
-from sunmeter.plans.batch import mixed_topic, plain
+from sunmeter.plans.batch import AS_OF, LOOKUP_PANEL, mixed_topic, plain
 from sunmeter.plans.replay import replay
 from sunmeter.schema import (
-    EVENT_TIME, PANEL, RAW_SCHEMA, WATERMARK_DELAY, WINDOW_END, WINDOW_POWER,
+    EVENT_TIME, PANEL, POWER, RAW_SCHEMA, WATERMARK_DELAY, WINDOW_END, WINDOW_POWER,
 )
 from sunmeter.session import SHUFFLE_PARTITIONS, scratch
 from sunmeter.sinks.rollup import Rollup
@@ -107,6 +108,26 @@ def compacted_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(tables.raw().drop("day"))
 
 
+def _live(spark: SparkSession, sf_dir: str) -> pipeline.Tables:
+    """Tables whose older batches are folded, while the newest is as it came."""
+    root = play(spark, "live", _ordered(spark, sf_dir), _pipeline("ingest"))
+    tables = pipeline.Tables(spark, root)
+    tables.readings.fold()
+    return tables
+
+
+def panel_lookup_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stored readings of one panel, of folded days and of open batches."""
+    rows = panel_rows(_live(spark, sf_dir).raw(), LOOKUP_PANEL)
+    return rows.withColumn(POWER, F.col(POWER).cast("string"))
+
+
+def readings_in_range_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored readings around a time, of the days' folders that it touches."""
+    tables = _live(spark, sf_dir)
+    return plain(around(tables.raw(days_around(AS_OF)), AS_OF).drop("day"))
+
+
 def stream_rejected_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     topic = mixed_topic(spark, sf_dir, broken=True)
     root = play(spark, "rejects", [topic], _pipeline("ingest"))
@@ -326,7 +347,8 @@ def stream_latest_panel_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     query.__name__: query
     for query in (
-        stream_raw_readings, stream_restart_exactly_once, compacted_readings,
+        stream_raw_readings, stream_restart_exactly_once, compacted_readings, panel_lookup_live,
+        readings_in_range_live,
         stream_rejected_readings, stream_panel_power_append, stream_panel_power_update,
         stream_current_windows, stream_bad_clock, late_readings_kept, late_readings_repaired,
         late_readings_merged, stream_panel_own_clock, stream_repartitioned_state,

@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+STORED_TIMES = "spark.sql.parquet.outputTimestampType"
 SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
 
 
@@ -17,11 +18,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 
     Wire times carry no zone, so the session zone decides what they mean: UTC.
     State goes to RocksDB, which keeps it off the JVM heap when there are many
-    panels, and a batch saves its changes only, not whole snapshots.
+    panels, and a batch saves its changes only, not whole snapshots.  Times are
+    written as numbers of microseconds: the form that Spark writes by default has no least and
+    greatest values, by which ranges of time pass files and row groups by.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set(STATE_STORE, ROCKSDB)
     spark.conf.set(CHANGELOG, "true")
+    spark.conf.set(STORED_TIMES, "TIMESTAMP_MICROS")
     return spark
 
 

@@ -25,17 +25,23 @@ class Folded:
     over the days' current versions and the batches since the last fold, however
     many there have been.
 
+    Folded rows lie in order of ``order`` within a day.  Of ``looked_up`` columns every file
+    has Bloom filters, so a lookup passes row groups by that lack the value, also in
+    batches that are not folded yet and in no order.
+
     ``merge`` makes one table of rows that may say the same thing twice; they carry
     their ``batch_id``, and it must keep that column.  ``day`` gives a row's day.
     """
 
     def __init__(
         self, spark: SparkSession, path: str, schema: T.StructType, day: Column,
-        merge: Callable[[DataFrame], DataFrame] = lambda rows: rows, order: Iterable[str] = (),
+        merge: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+        order: Iterable[str | Column] = (), looked_up: Iterable[str] = (),
     ):
         self.spark, self.path, self.day, self.merge = spark, path.rstrip("/"), day, merge
         self.schema = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
         self.order = list(order)
+        self.options = {f"parquet.bloom.filter.enabled#{name}": "true" for name in looked_up}
 
     def write(
         self, files: int | None = None,
@@ -48,7 +54,8 @@ class Folded:
         """
         def write(batch: DataFrame, batch_id: int) -> None:
             rows = batch if files is None else batch.repartition(files)
-            seen(rows).write.mode("overwrite").parquet(self.batch_folder(batch_id))
+            seen(rows).write.mode("overwrite").options(**self.options).parquet(
+                self.batch_folder(batch_id))
 
         return write
 
@@ -181,7 +188,7 @@ class Folded:
         dealt = rows.withColumn("day", self.day).withColumn("input", F.spark_partition_id())
         (dealt.repartitionByRange("day", *self.order, "input").drop("input")
             .sortWithinPartitions("day", *self.order)
-            .write.mode("overwrite").partitionBy("day").parquet(
+            .write.mode("overwrite").options(**self.options).partitionBy("day").parquet(
                 f"{self.path}/data/version={version}"))
         done = [(day, through) for day in days] or [(None, through)]
         (self.spark.createDataFrame(done, "day date, through long").coalesce(1)

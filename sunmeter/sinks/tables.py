@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sunmeter.functions.columns import stored_power
+from sunmeter.functions.columns import stored_power, z_value
 from sunmeter.operators.quality import is_ahead, is_reject, is_timed
 from sunmeter.operators.windows import latest_emission, merged_parts
 from sunmeter.schema import (
@@ -21,6 +21,7 @@ from sunmeter.sinks.folded import BATCH, Folded
 VALID, REJECT = "valid", "reject"
 MEASURED = "measured_power"  # the power as it was sent; the raw table's is rounded and bounded
 NO_DAY = "1970-01-01"
+DAY_SECONDS = 24 * 60 * 60
 
 BY_KIND_SCHEMA = T.StructType([
     T.StructField("kind", T.StringType()),
@@ -97,16 +98,33 @@ def readings_table(spark: SparkSession, path: str) -> Folded:
     So a day's windows are made of that day's files alone, rejects that they take included.
     """
     time = F.when(is_timed(), F.col(EVENT_TIME)).otherwise(F.col("timestamp"))
-    return Folded(spark, path, BY_KIND_SCHEMA, _day_of(time), order=("kind", PANEL, EVENT_TIME))
+    return Folded(spark, path, BY_KIND_SCHEMA, _day_of(time),
+                  order=("kind", panel_and_time(), PANEL, EVENT_TIME), looked_up=(PANEL,))
 
 
-def read_kind(rows: Folded, kind: str) -> DataFrame:
-    return rows.read().filter(F.col("kind") == kind)
+Z_BITS = 8
 
 
-def read_raw(rows: Folded) -> DataFrame:
-    """The raw readings of a readings table."""
-    return with_day(read_kind(rows, VALID).select(*RAW_SCHEMA.names[:4]))
+def panel_and_time() -> Column:
+    """Z-order of panels, by a hash, and times within a day.
+
+    A row group then holds some panels for some of the day: a range of time passes most
+    row groups by through their least and greatest times, and a lookup of a
+    panel through their Bloom filters, where an order by panel alone serves lookups only.
+    """
+    cells = 1 << Z_BITS
+    panel = F.pmod(F.xxhash64(PANEL), F.lit(cells))
+    second = F.coalesce(F.unix_seconds(EVENT_TIME), F.lit(0)) % DAY_SECONDS
+    return z_value(panel, F.floor(second * cells / DAY_SECONDS), bits=Z_BITS)
+
+
+def read_kind(rows: Folded, kind: str, days: Iterable[date] | None = None) -> DataFrame:
+    return rows.read(days).filter(F.col("kind") == kind)
+
+
+def read_raw(rows: Folded, days: Iterable[date] | None = None) -> DataFrame:
+    """The raw readings of a readings table, all or those of ``days``."""
+    return with_day(read_kind(rows, VALID, days).select(*RAW_SCHEMA.names[:4]))
 
 
 def read_rejects(rows: Folded) -> DataFrame:

@@ -47,8 +47,9 @@ class Tables:
         self.rollup = Rollup(spark, f"{root}/rollup", self.parts)
         self.ledger = ledger_table(spark, f"{root}/ledger")
 
-    def raw(self) -> DataFrame:
-        return read_raw(self.readings)
+    def raw(self, days: Iterable[date] | None = None) -> DataFrame:
+        """The raw readings, or those of ``days``, of whose folders alone are then read."""
+        return read_raw(self.readings, days)
 
     def rejects(self) -> DataFrame:
         return read_rejects(self.readings)

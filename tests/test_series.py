@@ -1,9 +1,10 @@
 import random
 
 import pytest
-from helpers import rows
+from helpers import readings, rows
 from pyspark.sql import functions as F
 from sunmeter.operators import series
+from sunmeter.operators.windows import panel_power
 
 
 def brute(data, n):
@@ -81,3 +82,20 @@ def test_rows_before_the_cut_are_a_pushed_range(spark, tmp_path):
     assert got.agg(F.max("power_panel")).first()[0] == 129
     text = got._jdf.queryExecution().executedPlan().toString()
     assert "LessThan(time_data,2024-01-15" in text
+
+
+@pytest.mark.parametrize("limit", (1, 7, 50, 120, 10_000))
+def test_first_windows_are_those_of_the_whole_series(spark, limit):
+    known = readings(spark, [
+        (f"p{k % 3}", float(k), 1, f"2024-01-15 {10 + k % 5}:{k % 60:02}:{k * 7 % 60:02}")
+        for k in range(150)] + [("p", 1.0, 1, None)])
+    want = series.window_series(panel_power(known), limit)
+    assert rows(series.first_windows(known, limit)) == rows(want)
+
+
+def test_first_windows_read_no_later_readings(spark, tmp_path):
+    path = str(tmp_path / "r")
+    readings(spark, [("a", 1.0, 1, f"2024-01-{day:02} 12:00:00") for day in range(1, 29)]).write.parquet(path)
+    found = series.first_windows(spark.read.parquet(path), 3)
+    assert rows(found, "window_end") == [(f"2024-01-{day:02} 12:00:30",) for day in (1, 2, 3)]
+    assert "/r" not in {p.rsplit("/", 2)[1] for p in found.inputFiles()}  # from the stored windows
