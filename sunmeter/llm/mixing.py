@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,8 +16,6 @@ SHARD_WORDS = 200_000
 ROW_WORDS = 20  # a document counts as so many words at least when shards are cut
 BUNDLE_SHARDS = 1_000
 SEED = 20_240_115
-# Fixed value: a prime larger than the blocks of any shard.
-STEP = 2_147_483_647
 
 
 def size_of(text: Column) -> Column:
@@ -113,17 +111,18 @@ def plan(
 
     A source's documents are dealt by hash into shards of about ``shard_words``
     words and laid end to end there in seeded order, so no task holds more than
-    shards of bounded size, however large the source.  Sources get quotas of
+    shards of bounded size, however large the source and however many rows are
+    equal: those are numbered and dealt by their numbers.  Sources get quotas of
     blocks of ``block_words`` words by Sainte-Laguë, then bundles of a source's
-    shards, then the shards.  Which blocks a shard gives once more is a seeded
-    permutation.  As votes below a source are blocks, no block is taken more than
+    shards, then the shards.  Which blocks a shard gives once more follows from
+    the order of their seeded hashes.  As votes below a source are blocks, no block is taken more than
     ``limit`` times.  Null text has size 0, null sources are one source; repeated
     rows are documents of their own; rows without words take nothing; no rows
     give no rows.  The seed and the rows fix the result; ``more`` columns are kept.
     """
     rows = settled(docs.select(
         F.col(id_column).alias("id"), F.col(source).alias("source"), *more,
-        size_of(F.col(text)).alias("size")), "sizes")
+        size_of(F.col(text)).alias("size"), F.spark_partition_id().alias("task")), "sizes")
     sources = rows.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     shares = targets(sources, weights, limit)
@@ -136,21 +135,28 @@ def plan(
 
     dealt = rows.join(by_source, F.col("source").eqNullSafe(F.col("named"))).withColumn(
         "order", F.xxhash64(F.lit(seed), "id", "size", *more))
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "order"), "n_shards"))
+    dealt = _numbered(dealt, ["place", "order"]).withColumn(
+        "shard", F.pmod(F.xxhash64(F.lit(seed + 1), "order", "number"), "n_shards"))
     shard = Window.partitionBy("place", "shard")
-    before = shard.orderBy("order", "id", "size", *more).rowsBetween(Window.unboundedPreceding, -1)
+    before = shard.orderBy("order", "id", "size", *more, "number").rowsBetween(
+        Window.unboundedPreceding, -1)
     placed = settled(dealt.select(
         "id", "source", *more, "size", "source_size", "target", "source_blocks", "place", "shard",
         F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"),
         F.sum("size").over(shard).alias("shard_size")), "placed")
 
-    quotas = settled(_shard_quotas(placed, limit, block_words), "quotas")
-    spread = placed.join(quotas, ["place", "shard"])
+    def chance(block: Column) -> Column:
+        return F.xxhash64(F.lit(seed + 2), "place", "shard", block)
+
     blocks = F.greatest("n_blocks", F.lit(1))
-    spread = spread.withColumn("copies", F.floor(F.col("quota") / blocks)).withColumn(
-        "extra", F.col("quota") - F.col("copies") * F.col("n_blocks")).withColumn(
-        "offset", F.pmod(F.xxhash64(F.lit(seed + 2), "place", "shard"), blocks))
-    spread = spread.withColumn("extra_blocks", _extra_blocks())
+    quotas = _shard_quotas(placed, limit, block_words).withColumn(
+        "copies", F.floor(F.col("quota") / blocks)).withColumn(
+        "extra", F.col("quota") - F.col("copies") * F.col("n_blocks"))
+    drawn = F.array_sort(F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), chance))
+    quotas = settled(quotas.withColumn("last", F.when(F.col("extra") > 0, F.get(
+        drawn, (F.col("extra") - 1).cast("int")))), "quotas")
+    spread = placed.join(quotas, ["place", "shard"]).withColumn(
+        "extra_blocks", _extra_blocks(chance))
     extra = F.aggregate("extra_blocks", F.lit(0).cast("long"), lambda total, block: (
         total + block["end"] - block["start"]))
     return spread.select(
@@ -159,6 +165,22 @@ def plan(
         "n_blocks", "copies", "extra_blocks")
 
 
+def _numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``number``: rows of equal keys count from 0, in any order.
+
+    Rows are numbered within their ``task`` of before, behind those of the tasks before
+    it, so equal rows are spread over as many tasks as they came from.
+    """
+    each = [*keys, "task"]
+    sizes = rows.groupBy(*each).agg(F.count("*").alias("rows_of_task"))
+    earlier = Window.partitionBy(*keys).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sizes.select(*each, F.coalesce(
+        F.sum("rows_of_task").over(earlier), F.lit(0)).alias("begin")).filter("begin > 0")
+    own = F.row_number().over(Window.partitionBy(*each).orderBy(F.lit(0))) - 1
+    return rows.withColumn("own", own).join(begins, each, "left").withColumn(
+        "number", F.col("own") + F.coalesce("begin", F.lit(0))).drop("own", "begin", "task")
+
+
 def _shard_quotas(placed: DataFrame, limit: int, block_words: int) -> DataFrame:
     """``n_blocks`` and ``quota`` of each shard: a source's blocks by bundle, then by shard."""
     shards = settled(placed.groupBy("place", "shard").agg(
@@ -182,10 +204,10 @@ def _shard_quotas(placed: DataFrame, limit: int, block_words: int) -> DataFrame:
         "place", "shard", "n_blocks", "quota")
 
 
-def _extra_blocks() -> Column:
+def _extra_blocks(chance: Callable[[Column], Column]) -> Column:
     """The document's parts of blocks that are taken once more, as words from its start.
 
-    Block j of a shard of t words in n blocks begins at word j * t div n.
+    Those are the blocks of the least ``chance``, up to ``last``.  Block j of a shard of t words in n blocks begins at word j * t div n.
     """
     t, n, size = F.col("shard_size"), F.col("n_blocks"), F.col("size")
     begin, end = F.col("first"), F.col("first") + F.col("size")
@@ -197,7 +219,7 @@ def _extra_blocks() -> Column:
         return F.floor(block * t / n)
 
     met = F.sequence(holding(begin), holding(end - 1))
-    won = F.filter(met, lambda j: F.pmod(j * STEP + F.col("offset"), n) < F.col("extra"))
+    won = F.filter(met, lambda j: chance(j) <= F.col("last"))
     parts = F.transform(won, lambda j: F.struct(
         (F.greatest(starts(j), begin) - begin).cast("long").alias("start"),
         (F.least(starts(j + 1), end) - begin).cast("long").alias("end")))

@@ -105,3 +105,29 @@ def test_nothing(spark):
     empty = spark.createDataFrame([(1, None, None), (2, "", "a")], DOCS)
     assert [r["taken"] for r in mixing.plan(empty).collect()] == [0, 0]
     assert mixing.mixed(empty).count() == 0
+
+
+def test_equal_rows_are_dealt_out(spark):
+    """Shards stay of the size asked for, however many rows are equal or lack an id."""
+    rows = [(None, "one two three", "s")] * 3000 + [(7, "a b", "s")] * 2000
+    docs = spark.createDataFrame(rows, DOCS).repartition(6)
+    found = mixing.plan(docs, shard_words=500, block_words=8).collect()
+    assert len(found) == 5000 and max(row["shard_size"] for row in found) <= 1000
+    again = mixing.plan(docs.repartition(3), shard_words=500, block_words=8).collect()
+    assert Counter(map(str, found)) == Counter(map(str, again))
+
+
+def test_the_seed_changes_the_order_of_blocks(spark):
+    """Blocks taken once more are other ones, not the same ones moved on."""
+    rows = [(0, " ".join(f"w{k}" for k in range(800)), "big"), (1, "x " * 3200, "other")]
+    docs = spark.createDataFrame(rows, DOCS)
+
+    def blocks(seed):
+        plan = mixing.plan(docs, block_words=8, shard_words=100_000, seed=seed)
+        row = plan.filter("doc_id = 1").first()
+        return tuple(part["start"] // 8 for part in row["extra_blocks"])
+
+    drawn = [blocks(seed) for seed in range(4)]
+    assert len(set(drawn)) == 4 and len({len(found) for found in drawn}) == 1
+    gaps = {tuple(b - a for a, b in zip(found, found[1:])) for found in drawn}
+    assert len(gaps) == 4 and blocks(0) == drawn[0]
