@@ -152,4 +152,6 @@ def _edge(time: Column, grain: str, up: bool) -> Column:
     """The start of a grain at or behind ``time``, or at or before it."""
     unit = grain.split()[-1]
     floor = F.date_trunc(unit, time)
-    return F.when(floor < time, floor + F.expr(f"INTERVAL '{grain}'")).otherwise(floor) if up else floor
+    if not up:
+        return floor
+    return F.when(floor < time, floor + F.expr(f"INTERVAL '{grain}'")).otherwise(floor)
