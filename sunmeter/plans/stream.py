@@ -59,9 +59,13 @@ def play(
 
 
 def _pipeline(*names: str, delay: str = WATERMARK_DELAY) -> Job:
-    """The pipeline's queries of these names."""
+    """The pipeline's queries of these names.
+
+    A batch is written by the tasks that read or sum it up: a set number of files would
+    bring all rows of a large batch to as many tasks.
+    """
     def job(messages: DataFrame, root: str) -> list[StreamingQuery]:
-        starts = pipeline.starts(messages, root, delay, jobs.ALL_AVAILABLE, files=1)
+        starts = pipeline.starts(messages, root, delay, jobs.ALL_AVAILABLE)
         return [starts[name]() for name in names]
 
     return job
@@ -69,7 +73,7 @@ def _pipeline(*names: str, delay: str = WATERMARK_DELAY) -> Job:
 
 def _raw_job(messages: DataFrame, root: str) -> list[StreamingQuery]:
     return [jobs.start_raw(
-        decode(messages), f"{root}/raw", f"{root}/checkpoint", jobs.ALL_AVAILABLE, files=1)]
+        decode(messages), f"{root}/raw", f"{root}/checkpoint", jobs.ALL_AVAILABLE)]
 
 
 def _append_job(messages: DataFrame, root: str) -> list[StreamingQuery]:
@@ -81,7 +85,7 @@ def _status_job(messages: DataFrame, root: str) -> list[StreamingQuery]:
     readings = decode(messages, "partition", "offset", "timestamp")
     return [jobs.start_latest_status(
         readings, status_table(messages.sparkSession, f"{root}/status"), f"{root}/checkpoint",
-        jobs.ALL_AVAILABLE, files=1)]
+        jobs.ALL_AVAILABLE)]
 
 
 def _ordered(spark: SparkSession, sf_dir: str, steps: int = STEPS) -> list[DataFrame]:
@@ -211,7 +215,7 @@ def late_readings_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
         tables.parts.clean()
         return [jobs.start_panel_power_parts(
             messages, tables.parts, f"{root}/checkpoint-{step < LATE_STEPS // 2}",
-            jobs.ALL_AVAILABLE, files=1)]
+            jobs.ALL_AVAILABLE)]
 
     arrival = fixture.days_late()
     slices = fixture.slices(fixture.readings(spark, sf_dir), LATE_STEPS, arrival,
@@ -232,7 +236,7 @@ def _far_ahead(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 def _own_clock_job(messages: DataFrame, root: str, number: int = 0, **options) -> StreamingQuery:
     return own_clock.start_panel_power_own_clock(
         messages, parts_table(messages.sparkSession, f"{root}/parts-{number}"),
-        f"{root}/checkpoint-{number}", OWN_DELAY, trigger=jobs.ALL_AVAILABLE, files=1, **options)
+        f"{root}/checkpoint-{number}", OWN_DELAY, trigger=jobs.ALL_AVAILABLE, **options)
 
 
 def stream_panel_own_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,7 +290,7 @@ def stream_two_clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     def job(messages: DataFrame, root: str) -> list[StreamingQuery]:
         tables = pipeline.Tables(spark, root)
         return [jobs.start_panel_power_update(
-            jobs.timed_readings(messages), tables.windows.write(1), f"{root}/checkpoint",
+            jobs.timed_readings(messages), tables.windows.write(), f"{root}/checkpoint",
             "30 seconds", trigger=jobs.ALL_AVAILABLE, two_clocks=True)]
 
     slices = fixture.slices(
@@ -304,7 +308,7 @@ def _rolled_up(spark: SparkSession, sf_dir: str) -> Rollup:
         tables.parts.fold(newest=True)
         tables.parts.clean()
         tables.rollup.update()
-        return [pipeline.starts(messages, root, trigger=jobs.ALL_AVAILABLE, files=1)["parts"]()]
+        return [pipeline.starts(messages, root, trigger=jobs.ALL_AVAILABLE)["parts"]()]
 
     root = play(spark, "rollup", _late(spark, sf_dir, STEPS), job)
     return pipeline.Tables(spark, root).rollup

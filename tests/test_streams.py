@@ -9,9 +9,11 @@ from pyspark.sql import types as T
 from sunmeter.functions.wire import decode
 from sunmeter.operators.fleet import latest_of_partitions
 from sunmeter.operators.windows import panel_power
+from sunmeter.plans import stream
 from sunmeter.plans.replay import replay
 from sunmeter.schema import RAW_SCHEMA
 from sunmeter.sinks import tables
+from sunmeter.sinks.files import names
 from sunmeter.sources.messages import read_landing
 from sunmeter.streaming import jobs, pipeline
 
@@ -428,3 +430,15 @@ def test_a_null_panel_makes_no_window_and_a_bad_stamp_ends_no_stream(spark, site
         [at(0, 20, power=3.0), at(9)]))]
     replay(sent, site.landing, start)
     assert rows(spark.read.parquet(site.out), "Panel_id", "total_power") == [("a", 2.0)]
+
+
+@pytest.mark.parametrize("name", ["ingest", "windows"])
+def test_a_large_batch_is_written_by_many_tasks(spark, name):
+    sent = messages(spark, [
+        wire(f"p{i}", 1.0, f"2024-01-15 12:{i % 60:02}:00") for i in range(200)]).withColumn(
+        "timestamp", F.lit("2024-01-15 12:59:00").cast("timestamp")).repartition(4)
+    root = stream.play(spark, "tasks", [sent], stream._pipeline(name))
+    kept = pipeline.Tables(spark, root)
+    table = {"ingest": kept.readings, "windows": kept.windows}[name]
+    files = [file for file in names(spark, table.batch_folder(0)) if file.startswith("part")]
+    assert len(files) >= 4 and table.rows().count() == 200
