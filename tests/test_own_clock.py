@@ -100,3 +100,25 @@ def test_a_state_goes_on_with_other_partitions(spark, site):
     numbers = spark.read.format("statestore").option("path", str(
         site.path / "new-checkpoint")).option("stateVarName", own_clock.STATE).load()
     assert again.count() == 2 and numbers.agg(F.max("partition_id")).first()[0] < 3
+
+
+def test_state_is_by_bucket_and_silence_by_panel(spark, site, monkeypatch):
+    monkeypatch.setattr(own_clock, "BUCKETS", 2, raising=False)
+    site.play(*[at("12:00:00", float(i), f"p{i}") for i in range(40)])
+    stored = spark.read.format("statestore").option("path", str(
+        site.path / "checkpoint")).option("stateVarName", own_clock.STATE).load()
+    assert stored.count() <= 2
+    assert own_clock.open_windows(spark, str(site.path / "checkpoint")).count() == 40
+    site.play(at("12:00:10", 3.0, "p1"), at("12:09:00", 5.0, "p1"))
+    assert site.windows() == [("p1", 2.0, "2024-01-15 12:00:00")]
+
+
+def test_a_silent_panel_goes_and_its_buckets_others_stay(spark, site, monkeypatch):
+    monkeypatch.setattr(own_clock, "BUCKETS", 1, raising=False)
+    site.play(at("12:00:00", 10.0), at("12:00:00", 3.0, "b"), quiet="1 millisecond")
+    site.play(at("12:00:10", 30.0), quiet="2 hours")  # "a" sends, and the timer goes off
+    assert site.windows() == [("b", 3.0, "2024-01-15 12:00:00")]
+    state = own_clock.open_windows(spark, str(site.path / "checkpoint"))
+    assert rows(state, "Panel_id") == [("a",)]
+    site.play(at("12:09:00"))
+    assert ("a", 20.0, "2024-01-15 12:00:00") in site.windows()
