@@ -10,6 +10,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import regex
 from pyspark.sql import DataFrame
@@ -29,6 +30,7 @@ LEXICON_WORDS = 200_000
 MAX_CACHED_PIECES = 500_000
 SCANNED_BYTES = 64
 MAX_PIECE = 40  # longer pieces are neither in the lexicon nor kept for later texts
+HEAD_BYTES, MAX_HEADS = 4, 100_000  # beginnings of words whose state in the lexicon is remembered
 LEVELS = 8
 ENDS = frozenset(",.;:!?")
 ID_BITS = 24
@@ -79,15 +81,15 @@ def merge(word: bytes, vocabulary: Vocabulary) -> list[int]:
     """The ids of one word: always the pair of least rank is merged, the leftmost first."""
     if len(word) > SCANNED_BYTES:
         return _merge_long(word, vocabulary)
-    get, ids = vocabulary.merges.get, [vocabulary.bytes_to_id[byte] for byte in word]
-    ranks = [get(pair, NO_MERGE) for pair in zip(ids, ids[1:])]
+    get, ids = vocabulary.merges.get, list(map(vocabulary.bytes_to_id.__getitem__, word))
+    ranks = list(map(get, zip(ids, ids[1:]), repeat(NO_MERGE)))
     while ranks:
         best = min(ranks)
         if best == NO_MERGE:
             break
-        at, new = ranks.index(best), best & ID_MASK
-        ids[at:at + 2] = [new]
-        del ranks[at]
+        at = ranks.index(best)
+        ids[at] = new = best & ID_MASK
+        del ids[at + 1], ranks[at]
         if at:
             ranks[at - 1] = get((ids[at - 1], new), NO_MERGE)
         if at < len(ranks):
@@ -143,12 +145,37 @@ class Lexicon:
             at += 4 * length
         self.image, self.labels = image, at
         self.first, self.final, self.target, self.add, self.begin, self.ids = parts
+        self.ids_at = self.labels - 4 * lengths[-2]
+        self.heads: dict[bytes, tuple[int, int] | None] = {}
 
     def get(self, word: bytes) -> list[int] | None:
         """The ids of ``word``, None where the lexicon doesn't have it."""
+        found = self.stored(word)
+        return None if found is None else memoryview(found).cast("i").tolist()
+
+    def stored(self, word: bytes) -> bytes | None:
+        """The ids of ``word`` as the image has them, 32 bits each.
+
+        Many words begin alike, so where their first bytes lead to is remembered.
+        """
+        head = word[:HEAD_BYTES]
+        if head in self.heads:
+            reached = self.heads[head]
+        else:
+            reached = self._walk(head, 0, 0)
+            if len(self.heads) < MAX_HEADS:
+                self.heads[head] = reached
+        if reached and len(word) > HEAD_BYTES:
+            reached = self._walk(word[HEAD_BYTES:], *reached)
+        if not reached or not self.final[reached[0]]:
+            return None
+        begin, at = self.begin, self.ids_at
+        return self.image[at + 4 * begin[reached[1]]:at + 4 * begin[reached[1] + 1]]
+
+    def _walk(self, word: bytes, state: int, rank: int) -> tuple[int, int] | None:
+        """The state behind ``word`` from a state on, and the sum along the way."""
         first, target, add, labels, find = (
             self.first, self.target, self.add, self.labels, self.image.find)
-        state = rank = 0
         for place in range(len(word)):
             edge = find(
                 word[place:place + 1], labels + first[state], labels + first[state + 1]) - labels
@@ -156,9 +183,7 @@ class Lexicon:
                 return None
             rank += add[edge]
             state = target[edge]
-        if not self.final[state]:
-            return None
-        return self.ids[self.begin[rank]:self.begin[rank + 1]].tolist()
+        return state, rank
 
 
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
@@ -246,11 +271,25 @@ class Codec:
         self.special = re.compile("|".join(map(re.escape, names))) if names else None
         self.plain = _Pieces(self, "")
         self.spaced = _Pieces(self, " ")
+        self.marks: dict[str, bytes] = {}  # words that are not letters
 
     def ids_of(self, word: str) -> bytes:
         data = word.encode("utf-8", "replace")
-        ids = self.lexicon.get(data)
-        return array("I", merge(data, self.vocabulary) if ids is None else ids).tobytes()
+        ids = self.lexicon.stored(data)
+        return array("I", merge(data, self.vocabulary)).tobytes() if ids is None else ids
+
+    def word(self, word: str) -> bytes:
+        """The ids of one word of a piece that has several, by what was met before."""
+        if word.isalpha():
+            return self.plain[word]
+        if word[0] == " " and word[1:].isalpha():
+            return self.spaced[word[1:]]
+        ids = self.marks.get(word)
+        if ids is None:
+            ids = self.ids_of(word)
+            if len(word) <= MAX_PIECE:
+                self.marks[word] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         if self.special is None:
@@ -263,7 +302,7 @@ class Codec:
         return b"".join([*out, self._encode(text[at:])])
 
     def _encode(self, text: str) -> bytes:
-        for cache in (self.plain, self.spaced):
+        for cache in (self.plain, self.spaced, self.marks):
             if len(cache) > MAX_CACHED_PIECES:
                 cache.clear()
         if _SPACE_THEN_SPACE.search(text):
@@ -290,7 +329,7 @@ class _Pieces(dict):
         elif piece[:-1].isalpha() and piece[-1] in ENDS:  # such a mark is one after letters
             ids = self[piece[:-1]] + self.codec.plain[piece[-1]]
         else:
-            ids = b"".join(map(self.codec.ids_of, WORDS.findall(self.prefix + piece)))
+            ids = b"".join(map(self.codec.word, WORDS.findall(self.prefix + piece)))
         if len(piece) <= MAX_PIECE:  # so the number kept bounds their bytes
             self[piece] = ids
         return ids

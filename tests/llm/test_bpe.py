@@ -93,3 +93,21 @@ def test_encode(spark, vocabulary, library):
             ids = library.encode(text or "", add_special_tokens=False).ids
             assert found[key] == (array("I", ids).tobytes(), text or "")
     assert bpe.encode(docs.limit(0), vocabulary).count() == 0
+
+
+def test_words_that_begin_alike_or_stand_in_many_pieces_are_looked_up_once(vocabulary, library):
+    words = {w: bpe.merge(w, vocabulary) for w in (b" the", b" then", b" thenar", b"the", b" t")}
+    lexicon = bpe.Lexicon(bpe.mapped(bpe.compile_lexicon(words)))
+    asked, walk, stored = [], lexicon._walk, lexicon.stored
+    lexicon._walk = lambda word, *at: asked.append(word) or walk(word, *at)
+    assert [lexicon.get(w) for w in (b" the", b" then", b" th", b" then", b" thenars", b"")] == [
+        words[b" the"], words[b" then"], None, words[b" then"], None, None]
+    assert asked.count(b" the") == 1
+    sought = []
+    lexicon.stored = lambda word: sought.append(word) or stored(word)
+    codec = bpe.Codec(vocabulary, lexicon)
+    text = "then\nthe--then then\nthe then--the then\n\nthe"
+    got = array("I")
+    got.frombytes(codec.encode(text))
+    assert got.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(sought) == len(set(sought))
