@@ -19,7 +19,7 @@ from sunmeter.plans.replay import replay
 from sunmeter.schema import (
     EVENT_TIME, PANEL, POWER, RAW_SCHEMA, WATERMARK_DELAY, WINDOW_END, WINDOW_POWER,
 )
-from sunmeter.session import SHUFFLE_PARTITIONS, scratch
+from sunmeter.session import CHANGELOG, SHUFFLE_PARTITIONS, scratch
 from sunmeter.sinks.rollup import Rollup
 from sunmeter.sinks.tables import FINAL_SCHEMA, parts_table, read_rejects, status_table
 from sunmeter.sources.messages import read_landing
@@ -46,15 +46,19 @@ def play(
     """Run ``job`` over the slices; its folder.
 
     A stateful query has as many ``partitions`` of state, whatever the batch
-    setting is: the first start of a checkpoint fixes the number.
+    setting is: the first start of a checkpoint fixes the number.  Each slice is one large
+    batch before a stop, so the state is saved whole with every batch: saved as
+    changes, each start would put in and remove again what all slices before had.
     """
     root = scratch(spark, name)
-    batch = spark.conf.get(SHUFFLE_PARTITIONS)
+    batch, changelog = spark.conf.get(SHUFFLE_PARTITIONS), spark.conf.get(CHANGELOG)
     spark.conf.set(SHUFFLE_PARTITIONS, partitions)
+    spark.conf.set(CHANGELOG, "false")
     try:
         replay(slices, f"{root}/landing", lambda: job(read_landing(spark, f"{root}/landing"), root))
     finally:
         spark.conf.set(SHUFFLE_PARTITIONS, batch)
+        spark.conf.set(CHANGELOG, changelog)
     return root
 
 

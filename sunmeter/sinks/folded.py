@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,13 +113,19 @@ class Folded:
     def replace_days(self, rows: DataFrame, days: Iterable[date]) -> None:
         """Put ``rows`` in place of all that these days have; later batches still count.
 
-        Rows of other days are refused, so no other day can lose anything.
+        Rows of other days are refused, so no other day can lose anything.  They are
+        counted by the tasks that write, before readers turn to what is written.
         """
         _, through = self._current()
-        days = set(days)
-        if not rows.filter(~F.coalesce(self.day.isin(*days), F.lit(False))).isEmpty():
+        days, seen = set(days), Observation()
+        stray = ~F.coalesce(F.col("day").isin(*days), F.lit(False))
+        version = self._write_days(
+            rows.withColumn(BATCH, F.lit(through).cast("long")),
+            lambda dealt: dealt.observe(seen, F.count_if(stray).alias("strays")))
+        if seen.get.get("strays"):
+            remove(self.spark, f"{self.path}/data/version={version}")
             raise ValueError("rows of other days than those to be replaced")
-        self._publish(rows.withColumn(BATCH, F.lit(through).cast("long")), days, through)
+        self._say(version, days, through)
 
     def clean(self) -> None:
         """Remove folded batches and superseded days; readers of before lose them."""
@@ -181,16 +187,40 @@ class Folded:
         rows = rows.filter(F.col(BATCH) > after)
         return rows if upto is None else rows.filter(F.col(BATCH) <= upto)
 
+    def _dealt(
+        self, rows: DataFrame, seen: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    ) -> DataFrame:
+        """Rows with their day, cut by size in the order of the days and sorted.
+
+        Large days have many files, small ones share.  A sort computes an expression
+        anew at each comparison, so those of ``order`` are columns before it.
+        """
+        order, computed = ["day"], {}
+        for key in self.order:
+            if isinstance(key, Column):
+                name = f"order_{len(order)}"
+                computed[name], key = key, name
+            order.append(key)
+        helpers = {**computed, "input": F.spark_partition_id()}
+        dealt = rows.withColumn("day", self.day).withColumns(helpers)
+        return (seen(dealt.repartitionByRange(*order, "input"))
+                .sortWithinPartitions(*order).drop(*helpers))
+
     def _publish(self, rows: DataFrame, days: set[date], through: int) -> None:
+        self._say(self._write_days(rows), days, through)
+
+    def _write_days(
+        self, rows: DataFrame, seen: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    ) -> int:
+        """Write a new version, which no reader turns to yet; its number."""
         known = self._manifest().agg(F.max("version")).first()[0]
         version = 0 if known is None else known + 1
-        # Cut by size in the order of the days: large days have many files, small ones share.
-        dealt = rows.withColumn("day", self.day).withColumn("input", F.spark_partition_id())
-        (dealt.repartitionByRange("day", *self.order, "input").drop("input")
-            .sortWithinPartitions("day", *self.order)
+        (self._dealt(rows, seen)
             .write.mode("overwrite").options(**self.options).partitionBy("day").parquet(
                 f"{self.path}/data/version={version}"))
+        return version
+
+    def _say(self, version: int, days: set[date], through: int) -> None:
         done = [(day, through) for day in days] or [(None, through)]
         (self.spark.createDataFrame(done, "day date, through long").coalesce(1)
             .write.mode("overwrite").parquet(f"{self.path}/manifest/version={version}"))
-

@@ -3,7 +3,7 @@
 from datetime import date
 
 import pytest
-from helpers import rows, scans, windows
+from helpers import plan, rows, scans, windows
 from pyspark.sql import functions as F
 
 from sunmeter.sinks import tables
@@ -118,3 +118,38 @@ def test_files_of_a_batch_and_a_day_are_bounded(spark, tmp_path):
             files = names(spark, f"{table.path}/data/version=0/{day}")
             assert len([n for n in files if n.startswith("part")]) <= 4
     assert table.read().count() == 4000
+
+
+def test_a_sort_compares_columns_only(spark, tmp_path):
+    """Computed at each comparison, the Z-order took most of a fold's time."""
+    table = tables.readings_table(spark, str(tmp_path / "r"))
+    sorts = [line for line in plan(table._dealt(spark.createDataFrame([], table.schema))).splitlines()
+             if " Sort [" in line]
+    assert sorts and not any(name in line for line in sorts for name in ("hash", "shift", "pmod"))
+
+
+def test_replaced_days_are_computed_for_ranges_and_files_only(spark, table):
+    table.write(1)(batch(spark, ("a", 1.0, "15 12:00:00")), 0)
+    table.fold(newest=True)
+    computed = spark.sparkContext.accumulator(0)
+
+    def counted(power):
+        computed.add(1)
+        return power
+
+    some = batch(spark, *[("a", float(n), f"15 12:{n:02}:00") for n in range(40)])
+    start = F.col("window_start") + F.make_dt_interval(
+        secs=F.udf(counted, "double")("total_power").cast("decimal(18,6)"))
+    moved = some.withColumn("window_start", start)
+    table.replace_days(moved, [date(2024, 1, 15)])
+    assert table.read().count() == 40 and computed.value <= 2 * 40
+
+
+def test_refused_rows_leave_nothing(spark, table):
+    table.write(1)(batch(spark, ("a", 1.0, "15 12:00:00")), 0)
+    table.fold(newest=True)
+    with pytest.raises(ValueError):
+        table.replace_days(batch(
+            spark, ("a", 4.0, "15 12:00:00"), ("b", 0.0, "16 12:00:00")), [date(2024, 1, 15)])
+    assert power(table) == [("a", 1.0, "2024-01-15 12:00:00")]
+    assert [name for name in names(spark, f"{table.path}/data") if "=" in name] == ["version=0"]

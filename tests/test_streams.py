@@ -442,3 +442,13 @@ def test_a_large_batch_is_written_by_many_tasks(spark, name):
     table = {"ingest": kept.readings, "windows": kept.windows}[name]
     files = [file for file in names(spark, table.batch_folder(0)) if file.startswith("part")]
     assert len(files) >= 4 and table.rows().count() == 200
+
+
+def test_state_of_a_slice_is_saved_whole(spark):
+    """A start reads what is left of the state, not all that the slices before put in and removed."""
+    late = stream._late(spark, "/root/testdata/sf0.001", 2)
+    root = stream.play(spark, "whole", late, stream._pipeline("windows", delay="30 seconds"))
+    for part in range(stream.STATE_PARTITIONS):
+        saved = names(spark, f"{root}/checkpoints/windows/state/0/{part}")
+        assert not [name for name in saved if name.endswith(".changelog")]
+        assert {f"{version}.zip" for version in (1, 2, 3)} <= set(saved)
